@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +110,18 @@ def numbered_within(df: DataFrame, group: list[str], chunk: Column, counts: Data
     parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     ranked = parted.withColumn("_k", F.row_number().over(W.partitionBy(*group, "_chunk").orderBy(*(order or []))))
     return ranked.join(parts, [*group, "_chunk"]).withColumn(name, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_chunk", "_k", "_before")
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, as --py-files would."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    with tempfile.NamedTemporaryFile(prefix="hearthway-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(out.name)
+    _shipped.add(app)

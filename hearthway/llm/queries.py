@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_sharding": sharding.op4_sharding,
+    "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
