@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding
+from . import embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_html_extract": html_extract.op5_html_extract,
+    "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_url_filter": url_filter.OP2_SQL,
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

@@ -52,7 +52,7 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - np.array(self.thresholds)[None, :])
 
     @classmethod
-    def fit(cls, features: list[list[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e-3, least: float = 15.0) -> OrdinalModel:
+    def fit(cls, features: list[list[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e-5, least: float = 18.0) -> OrdinalModel:
         """Maximum likelihood with an L2 penalty, by full-batch gradient steps (Adam).
 
         Only features whose likelihood-ratio statistic against grade > 0 is at least ``least`` take part. Without rows
