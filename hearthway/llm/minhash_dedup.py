@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, keep_rows, settle, ship, spread_join, with_row
 from .components import components
+from .url_filter import BlockedBloom
 
 #: Registers, mantissa bits, registers in a band, members of a bucket that one task compares.
 REGISTERS, MANTISSA, BAND, BLOCK = 256, 10, 8, 512
@@ -95,29 +96,22 @@ def corrected(equal: np.ndarray, k: int = REGISTERS, mantissa: int = MANTISSA) -
     return np.maximum(0.0, (equal - chance) / (1 - chance))
 
 
-def sketches(docs: DataFrame, k: int, mantissa: int, band: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """row_no, doc_id, n_shingles, digest (of the set), registers and bands of each document."""
+def sketches(docs: DataFrame, k: int, mantissa: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """row_no, doc_id, n_shingles, digest (of the set) and registers of each document."""
     numbered, row = with_row(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, digests, registers, bands = [], [], [], []
+            n, digests, registers = [], [], []
             for text in batch["text"]:
                 hashes = shingle_hashes(text, size)
                 n.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                if len(hashes):
-                    r = sketch(hashes, k, mantissa)
-                    registers.append(r.tobytes())
-                    rows = r.reshape(-1, band)
-                    bands.append(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(rows)], dtype=np.uint64).view(np.int64))
-                else:
-                    registers.append(b"")
-                    bands.append(np.empty(0, dtype=np.int64))
-            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "digest": digests, "registers": registers, "bands": bands})
+                registers.append(sketch(hashes, k, mantissa).tobytes() if len(hashes) else b"")
+            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "digest": digests, "registers": registers})
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(run, "row_no long, doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
+    return source.mapInPandas(run, "row_no long, doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float, k: int, mantissa: int) -> DataFrame:
@@ -130,8 +124,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float, k: int, mantiss
         x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), k) for s in (one, two))
         return pd.Series(corrected((x == y).mean(axis=1), k, mantissa) >= floor)
 
-    held = nodes.select("node", "registers")
-    both = pairs.join(held.withColumnsRenamed({"node": "a", "registers": "ra"}), "a").join(held.withColumnsRenamed({"node": "b", "registers": "rb"}), "b")
+    both = pairs.join(nodes.withColumnsRenamed({"node": "a", "registers": "ra"}), "a").join(nodes.withColumnsRenamed({"node": "b", "registers": "rb"}), "b")
     return both.filter(near("ra", "rb")).select("a", "b")
 
 
@@ -148,23 +141,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(100 * F.col("both") >= threshold * (n - F.col("both"))).select("a", "b")
 
 
-def _across(members: DataFrame, floor: float, k: int, mantissa: int, forest: bool) -> DataFrame:
-    """Pairs of different components in blocks of members(key, x, y, side, node, component, registers)."""
+def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int, forest: bool) -> DataFrame:
+    """Pairs of different components in blocks of members(key, band, x, y, side, node, component, registers).
+
+    A pair that shares several bands is looked at in the first of them only, so it comes up once.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf[pdf["side"] <= 1].sort_values("node")
         two = pdf[pdf["side"] >= 1].sort_values("node")
         if not len(one) or not len(two):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        same, here = one["side"].iat[0] == 1, int(pdf["band"].iat[0])
         x, y = (np.frombuffer(b"".join(p["registers"]), dtype=np.uint16).reshape(len(p), k) for p in (one, two))
         na, nb, ca, cb = (p[c].to_numpy() for c in ("node", "component") for p in (one, two))
         found = []
         for i in range(len(x)):
-            other = np.flatnonzero((cb != ca[i]) & (nb != na[i]))
-            if len(other):
-                est = corrected((y[other] == x[i]).mean(axis=1), k, mantissa)
-                hit = est >= floor
-                found += [(e, min(na[i], nb[j]), max(na[i], nb[j]), ca[i], cb[j]) for e, j in zip(est[hit], other[hit], strict=True)]
+            other = np.flatnonzero((cb != ca[i]) & ((nb > na[i]) if same else (nb != na[i])))
+            equal = y[other] == x[i]
+            est = corrected(equal.mean(axis=1), k, mantissa)
+            near = est >= floor
+            first = equal[near].reshape(-1, k // band, band).all(axis=2).argmax(axis=1) == here
+            j = other[near][first]
+            found.append(np.column_stack([est[near][first], np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j]), np.full(len(j), ca[i]), cb[j]]).astype(object) if len(j) else np.empty((0, 5), dtype=object))
+        edges = np.concatenate(found)
         if forest:
             root: dict[int, int] = {}
 
@@ -175,13 +175,13 @@ def _across(members: DataFrame, floor: float, k: int, mantissa: int, forest: boo
                 return c
 
             kept = []
-            for e in sorted(set(found), key=lambda e: (-e[0], e[1], e[2])):
+            for e in sorted(edges.tolist(), key=lambda e: (-e[0], e[1], e[2])):
                 a, b = top(e[3]), top(e[4])
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    kept.append(e)
-            found = kept
-        return pd.DataFrame(sorted({(e[1], e[2]) for e in found}), columns=["a", "b"], dtype="int64")
+                    kept.append(e[1:3])
+            return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(edges[:, 1:3], columns=["a", "b"]).astype("int64")
 
     return members.groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
@@ -199,39 +199,47 @@ def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int =
     ship(spark)
     share = threshold / 100
     floor = share - SLACK * (share * (1 - share) / k) ** 0.5
-    table = settle(sketches(docs, k, mantissa, band, size, id_col, text_col), "sketches")
+    table = settle(sketches(docs, k, mantissa, size, id_col, text_col), "sketches")
     nodes = settle(
-        table.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")),
+        table.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("registers").alias("registers")),
         "sketch-nodes",
     )
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    bands = F.array(*[F.xxhash64(F.substring("registers", 2 * band * i + 1, 2 * band), F.lit(i)) for i in range(k // band)])
+    banded = nodes.select("node", F.posexplode(bands).alias("band", "key"))
     buckets = settle(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("in_key")).filter("in_key > 1"), "buckets")
     bucketed = settle(spread_join(banded, buckets, ["key"], "in_key", F.col("node")), "bucket-members")
-    # full sets of the nodes that share a bucket, from whole texts
-    wanted = bucketed.select(F.col("node").alias("row_no")).distinct()
+    wanted = settle(bucketed.select("node").distinct(), "bucket-nodes")
+    held = settle(nodes.select("node", "registers").join(wanted, "node", "left_semi"), "bucket-registers")
+    # Full sets of the nodes that share a bucket, from whole texts. A Bloom filter of those nodes saves a shuffle of the
+    # texts; sets of others that it lets through are never asked for.
+    bloom = spark.sparkContext.broadcast(BlockedBloom.build(wanted, "node").words)
+
+    @F.pandas_udf("boolean")
+    def may_want(hashes: pd.Series) -> pd.Series:
+        return pd.Series(BlockedBloom(bloom.value).passes(hashes.to_numpy()))
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_hashes(t, size).tobytes())
 
     numbered, row = with_row(docs)
-    texts = numbered.select(F.col(row).alias("row_no"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = settle(texts.join(wanted, "row_no", "left_semi").select(F.col("row_no").alias("node"), full("text").alias("set")), "shingle-sets")
+    texts = numbered.select(F.col(row).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = settle(texts.filter(may_want(F.xxhash64("node"))).select("node", full("text").alias("set")), "shingle-sets")
 
     star = bucketed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = [settle(_confirmed(_estimated(star, nodes, floor, k, mantissa), sets, threshold), "links")]
+    links = [settle(_confirmed(_estimated(star, held, floor, k, mantissa), sets, threshold), "links")]
     tried = [star]
     for forest in (True, False):
         found = components(reduce(DataFrame.unionByName, links))
-        placed = bucketed.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "in_key", F.coalesce("component", "node").alias("component"))
+        placed = bucketed.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", "in_key", F.coalesce("component", "node").alias("component"))
         placed = settle(placed, "bucket-components")
         mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "mixed-buckets")
         members = spread_join(placed.drop("in_key"), mixed, ["key"], "m", F.col("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
         paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
-        dealt = paired.select("key", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
-        dealt = dealt.join(nodes.select("node", "registers"), "node")
-        pairs = _across(dealt, floor, k, mantissa, forest).distinct()
+        dealt = paired.select("key", "band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
+        dealt = dealt.join(held, "node")
+        pairs = _across(dealt, floor, k, mantissa, band, forest)
         pairs = settle(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
         links.append(settle(_confirmed(pairs, sets, threshold), "links"))
         tried.append(pairs)
