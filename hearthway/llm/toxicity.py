@@ -23,6 +23,8 @@ from .common import keep_rows, settle, ship, with_row
 MAX_ROWS = 12_000
 #: Hash space of the features, and the features that a model keeps at most.
 SPACE, MAX_FEATURES = 1 << 22, 20_000
+#: Least likelihood-ratio statistic of a feature that takes part.
+LEAST_G2 = 18.0
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -52,30 +54,16 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - np.array(self.thresholds)[None, :])
 
     @classmethod
-    def fit(cls, features: list[list[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e-5, least: float = 18.0) -> OrdinalModel:
+    def fit(cls, features: list[np.ndarray], grades: np.ndarray, steps: int = 300, l2: float = 1e-5) -> OrdinalModel:
         """Maximum likelihood with an L2 penalty, by full-batch gradient steps (Adam).
 
-        Only features whose likelihood-ratio statistic against grade > 0 is at least ``least`` take part. Without rows
-        nothing is graded above 0; with rows of one grade the thresholds alone are fitted.
+        Without rows nothing is graded above 0; with rows of one grade the thresholds alone are fitted.
         """
         levels = int(grades.max()) if len(grades) else 0
         if not levels:
             return cls()
         rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-        flat = np.fromiter((x for f in features for x in f), dtype=np.int64, count=len(rows))
-        bad = grades > 0
-        seen, with_bad = np.bincount(flat, minlength=SPACE).astype(float), np.bincount(flat, weights=bad[rows].astype(float), minlength=SPACE)
-        names = np.flatnonzero(seen >= 3)
-        n, b = float(len(grades)), float(bad.sum())
-        a11, a10 = with_bad[names], seen[names] - with_bad[names]
-        cells = ((a11, seen[names] * b / n), (a10, seen[names] * (n - b) / n), (b - a11, (n - seen[names]) * b / n), (n - b - a10, (n - seen[names]) * (n - b) / n))
-        g2 = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0) for o, e in cells)
-        top = np.lexsort((names, -g2))[:MAX_FEATURES]
-        names = np.sort(names[top[g2[top] >= least]])
-        place = np.full(SPACE, -1)
-        place[names] = np.arange(len(names))
-        use = place[flat] >= 0
-        rows, cols = rows[use], place[flat[use]]
+        names, cols = np.unique(np.concatenate([np.asarray(f, dtype=np.int64) for f in features]), return_inverse=True)
         # thresholds t_0, t_0 + exp(d_1), ... stay ordered; they start where the grades' shares say
         share = np.clip([np.mean(grades > k) for k in range(levels)], 1e-4, 1 - 1e-4)
         t = np.log((1 - share) / share)
@@ -99,11 +87,22 @@ class OrdinalModel:
         return cls({int(f): float(w) for f, w in zip(names, p[:k], strict=True)}, tuple(float(x) for x in t))
 
 
+def screened(sample: DataFrame, least: float = LEAST_G2) -> DataFrame:
+    """Features of sample(_grade, f) by likelihood-ratio statistic against grade > 0: the best MAX_FEATURES over ``least``."""
+    n, b = (float(x or 0) for x in sample.agg(F.count(F.lit(1)), F.sum((F.col("_grade") > 0).cast("int"))).first())
+    counts = sample.select((F.col("_grade") > 0).cast("int").alias("bad"), F.explode("f").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("seen"), F.sum("bad").alias("with")).filter("seen >= 3")
+    seen, hit = F.col("seen"), F.col("with")
+    cells = [(hit, seen * b / n if n else hit), (seen - hit, seen * (n - b) / n if n else hit), (b - hit, (n - seen) * b / n if n else hit), (n - b - seen + hit, (n - seen) * (n - b) / n if n else hit)]
+    g2 = sum((F.when(o > 0, 2 * o * F.ln(o / e)).otherwise(F.lit(0.0)) for o, e in cells), F.lit(0.0))
+    return counts.withColumn("g2", g2).filter(F.col("g2") >= least).orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).select("feature")
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
     ``grade`` is an expression over ``labels``. Labels with a null grade or id are ignored; of several labels of a
-    document the highest grade counts.
+    document the highest grade counts. Features are screened by Spark; the driver gets the screened features of the
+    sample, MAX_FEATURES names at most.
     """
     ship(docs.sparkSession)
     graded = labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).filter("_id is not null and _grade is not null").groupBy("_id").agg(F.max("_grade").alias("_grade"))
@@ -114,8 +113,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = MA
     def features(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.array(text_features(t), dtype=np.int32))
 
-    found = sample.select("_grade", features("_text").alias("f")).limit(2 * max_rows).toPandas()
-    return OrdinalModel.fit([np.asarray(x).tolist() for x in found["f"]], found["_grade"].to_numpy(dtype=np.int64))
+    held = settle(sample.select("_grade", features("_text").alias("f")), "labelled")
+    names = np.sort(np.array([r["feature"] for r in screened(held).collect()], dtype=np.int32))
+
+    @F.pandas_udf("array<int>")
+    def kept(f: pd.Series) -> pd.Series:
+        return f.map(lambda x: np.asarray(x)[np.isin(x, names)])
+
+    rows = held.select("_grade", kept("f").alias("f")).orderBy("_grade", "f").toPandas()
+    return OrdinalModel.fit(rows["f"].tolist(), rows["_grade"].to_numpy(dtype=np.int64))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
