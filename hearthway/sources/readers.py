@@ -27,9 +27,17 @@ def csv_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str:
     return ENCODINGS[0]
 
 
+def allow_charsets(spark: SparkSession) -> None:
+    """Let the CSV source take every charset of the JVM, which the Korean code pages need."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_csv_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV file with a header, in whichever of the known encodings."""
-    reader = spark.read.option("header", True).option("encoding", csv_encoding(spark, path))
+    encoding = csv_encoding(spark, path)
+    if encoding != ENCODINGS[0]:
+        allow_charsets(spark)
+    reader = spark.read.option("header", True).option("encoding", encoding)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
