@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import settle, ship, spread_join, unused, with_row
 
 #: Bytes of a chunk at least, and on average beyond that; bytes of a repeated passage at least.
-LEAST, MEAN, PASSAGE = 16, 24, 120
+LEAST, MEAN, PASSAGE = 16, 24, 100
 
 
 def _gear() -> np.ndarray:
