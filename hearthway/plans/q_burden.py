@@ -31,13 +31,13 @@ def c02_total_burden(t: Tables):
     w AS (SELECT DISTINCT zone_key, type, ym FROM f),
     m AS (SELECT w.zone_key, w.type, w.ym, r.ym AS rate_ym, r.rate, row_number() OVER (PARTITION BY w.zone_key, w.type, w.ym
       ORDER BY abs((w.ym // 100 * 12 + w.ym % 100) - (r.ym // 100 * 12 + r.ym % 100)), r.ym) AS k FROM w JOIN rate r ON w.zone_key = r.zone_key AND w.type = r.type)
-    SELECT f.dong, f.ym, count(*) AS n, min(m.rate_ym) AS rate_ym_min, max(m.rate_ym) AS rate_ym_max, count(CASE WHEN m.rate_ym = f.ym THEN 1 END) AS exact_n, round(avg(f.rent + f.deposit * m.rate / 12), 4) AS cost
+    SELECT f.dong, f.ym, count(*) AS n, min(m.rate_ym) AS rate_ym_min, max(m.rate_ym) AS rate_ym_max, count(CASE WHEN m.rate_ym = f.ym THEN 1 END) AS exact_n, round(avg(f.rent + f.deposit * m.rate / 12), 7) AS cost
     FROM f LEFT JOIN m ON f.zone_key = m.zone_key AND f.type = m.type AND f.ym = m.ym AND m.k = 1 GROUP BY 1, 2""")
 def c01_surface_cost_nearest_month(t: Tables):
     zones = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("dong"), F.col("n_regionkey").alias("zone_key"))
     facts = bd.nearest_month(t.txn.join(F.broadcast(zones), "dong"), t.rate, ["zone_key", "type"])
     cost = bd.surface_cost(F.col("rent"), F.col("deposit"), F.col("rate"))
-    return facts.groupBy("dong", "ym").agg(F.count(F.lit(1)).alias("n"), F.min("rate_ym").alias("rate_ym_min"), F.max("rate_ym").alias("rate_ym_max"), F.count_if("exact").alias("exact_n"), R(F.avg(cost), 4).alias("cost"))
+    return facts.groupBy("dong", "ym").agg(F.count(F.lit(1)).alias("n"), F.min("rate_ym").alias("rate_ym_min"), F.max("rate_ym").alias("rate_ym_max"), F.count_if("exact").alias("exact_n"), R(F.avg(cost), 7).alias("cost"))
 
 
 @query("""WITH z AS (SELECT zone_key, ym, avg(rate) AS sub FROM rate WHERE type = 'SMALL' GROUP BY 1, 2)
@@ -208,7 +208,7 @@ def c08_j13_p33_policy_match(t: Tables):
     return sc.match_policies(t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), p)
 
 
-@query("""SELECT district, count(*) AS n, round(regr_slope(y, x) * -100000, 6) AS slope_100k, CASE WHEN regr_slope(y, x) < 0 THEN 'cheaper is farther' ELSE 'no trade-off' END AS verdict FROM (
+@query("""SELECT district, count(*) AS n, CASE WHEN NOT isnan(regr_slope(y, x)) THEN round(regr_slope(y, x) * -100000, 6) END AS slope_100k, CASE WHEN regr_slope(y, x) < 0 THEN 'cheaper is farther' ELSE 'no trade-off' END AS verdict FROM (
     SELECT r.zone AS district, b.oneway_min AS y, b.rent_cost AS x FROM burden b JOIN dim_region r USING (dong)) GROUP BY 1""")
 def c09_a25_tradeoff_slope(t: Tables):
     j = t.burden.join(F.broadcast(t.dim_region), "dong").withColumnRenamed("zone", "district")
