@@ -50,5 +50,5 @@ def profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), q.alias("q"))
     low, high = F.col("q")[2] - 1.5 * (F.col("q")[4] - F.col("q")[2]), F.col("q")[4] + 1.5 * (F.col("q")[4] - F.col("q")[2])
     fences = stats.withColumns({"lo": low, "hi": high})
-    out = df.select(*by, value).join(F.broadcast(fences.select(*by, "lo", "hi")), by).groupBy(*by).agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers"))
+    out = df.select(*by, value).join(fences.select(*by, "lo", "hi"), by).groupBy(*by).agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers"))
     return fences.join(out, by).withColumn("cv", F.try_divide("sd", "mean"))

@@ -64,9 +64,9 @@ def recommend_homes(view: DataFrame, homes: DataFrame, least_coverage: float, k:
 def match_policies(users: DataFrame, rules: DataFrame) -> DataFrame:
     """Users with the rules that fit them: a null limit or target restricts nothing.
 
-    Rules with a target join on it; only rules without one meet every user, and those are summed up as sorted limits.
+    Rules with a target join on it; only rules without one meet every user. Spark chooses that join's strategy by size.
     """
     fits = F.col("rent_max").isNull() | (F.col("rent_max") >= F.col("c_acctbal"))
     aimed = users.join(rules.filter("target is not null"), F.col("target") == F.col("c_nationkey")).filter(fits).select("c_custkey", "c_acctbal", "p_partkey")
-    anywhere = users.join(F.broadcast(rules.filter("target is null")), fits).select("c_custkey", "c_acctbal", "p_partkey")
+    anywhere = users.join(rules.filter("target is null"), fits).select("c_custkey", "c_acctbal", "p_partkey")
     return aimed.unionByName(anywhere).groupBy("c_custkey", "c_acctbal").agg(F.count(F.lit(1)).alias("rules"), F.min("p_partkey").alias("first_rule"))

@@ -88,7 +88,7 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
 def anomalies(df: DataFrame, key: str, value: str, group: str, count: str, least: int) -> DataFrame:
     """Log ratio to the group's median, its robust z over all rows, and a diagnosis."""
     med = df.groupBy(group).agg(F.median(value).alias("_m"))
-    logs = df.join(F.broadcast(med), group).withColumn("log_ratio", F.ln(F.col(value) / F.col("_m")))
+    logs = df.join(med, group).withColumn("log_ratio", F.ln(F.col(value) / F.col("_m")))
     z = robust_z(logs.select(key, count, "log_ratio"), [], "log_ratio")
     odd = F.abs(F.col("z")) > 2.5
     return z.select(key, F.col("log_ratio"), "z", F.when(odd & (F.col(count) < least), "odd and few").when(odd, "odd").when(F.col(count) < least, "few").otherwise("plain").alias("diagnosis"))

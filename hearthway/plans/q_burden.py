@@ -35,7 +35,7 @@ def c02_total_burden(t: Tables):
     FROM f LEFT JOIN m ON f.zone_key = m.zone_key AND f.type = m.type AND f.ym = m.ym AND m.k = 1 GROUP BY 1, 2""")
 def c01_surface_cost_nearest_month(t: Tables):
     zones = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("dong"), F.col("n_regionkey").alias("zone_key"))
-    facts = bd.nearest_month(t.txn.join(F.broadcast(zones), "dong"), t.rate, ["zone_key", "type"])
+    facts = bd.nearest_month(t.txn.join(zones, "dong"), t.rate, ["zone_key", "type"])
     cost = bd.surface_cost(F.col("rent"), F.col("deposit"), F.col("rate"))
     return facts.groupBy("dong", "ym").agg(F.count(F.lit(1)).alias("n"), F.min("rate_ym").alias("rate_ym_min"), F.max("rate_ym").alias("rate_ym_max"), F.count_if("exact").alias("exact_n"), R(F.avg(cost), 7).alias("cost"))
 
@@ -64,7 +64,7 @@ def p21_rent_filter_chain(t: Tables):
 def p22_p23_measure_and_flags(t: Tables):
     size = F.coalesce(F.when(F.col("area") % 5 != 0, F.col("area")), F.col("area") + 3)
     n = t.txn.groupBy("dong").agg((F.count(F.lit(1)) < 30).alias("small_sample"))
-    return t.txn.join(F.broadcast(n), "dong").select("l_orderkey", "l_linenumber", "dong", "rent", size.alias("size"), (F.col("area") < 14).alias("tiny"), "small_sample")
+    return t.txn.join(n, "dong").select("l_orderkey", "l_linenumber", "dong", "rent", size.alias("size"), (F.col("area") < 14).alias("tiny"), "small_sample")
 
 
 @query("""SELECT dong, industry, round(sum(amount) / sum(cnt), 9) AS price, sum(cnt) AS cnt FROM sales WHERE cnt > 0 GROUP BY 1, 2 HAVING sum(cnt) > 0""")
@@ -150,7 +150,7 @@ def a34_weighted_mean_of_medians(t: Tables):
 @query("""SELECT zone, min(v) AS wmedian FROM (SELECT zone, v, sum(n) OVER (PARTITION BY zone ORDER BY v, dong ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY zone) AS tot
     FROM (SELECT zone, dong, median(rent) AS v, count(*) AS n FROM txn JOIN dim_region USING (dong) GROUP BY 1, 2)) WHERE c >= tot / 2 GROUP BY zone""")
 def a33_weighted_median(t: Tables):
-    m = t.txn.join(F.broadcast(t.dim_region), "dong").groupBy("zone", "dong").agg(F.median("rent").alias("v"), F.count(F.lit(1)).alias("n"))
+    m = t.txn.join(t.dim_region, "dong").groupBy("zone", "dong").agg(F.median("rent").alias("v"), F.count(F.lit(1)).alias("n"))
     return sc.weighted_median(m, ["zone"], "v", "n", "dong").withColumnRenamed("v", "wmedian")
 
 
@@ -211,7 +211,7 @@ def c08_j13_p33_policy_match(t: Tables):
 @query("""SELECT district, count(*) AS n, CASE WHEN NOT isnan(regr_slope(y, x)) THEN round(regr_slope(y, x) * -100000, 6) END AS slope_100k, CASE WHEN regr_slope(y, x) < 0 THEN 'cheaper is farther' ELSE 'no trade-off' END AS verdict FROM (
     SELECT r.zone AS district, b.oneway_min AS y, b.rent_cost AS x FROM burden b JOIN dim_region r USING (dong)) GROUP BY 1""")
 def c09_a25_tradeoff_slope(t: Tables):
-    j = t.burden.join(F.broadcast(t.dim_region), "dong").withColumnRenamed("zone", "district")
+    j = t.burden.join(t.dim_region, "dong").withColumnRenamed("zone", "district")
     s = F.regr_slope("oneway_min", "rent_cost")
     return j.groupBy("district").agg(F.count(F.lit(1)).alias("n"), R(s * -100000, 6).alias("slope_100k"), F.when(s < 0, "cheaper is farther").otherwise("no trade-off").alias("verdict"))
 

@@ -379,7 +379,7 @@ def a20_quantile_flag(t: Tables):
 
 @query("SELECT zone, count(*) AS n, round(avg(rent_cost), 4) AS mean, string_agg(DISTINCT gu, ', ' ORDER BY gu) AS gus FROM burden JOIN dim_region USING (dong) GROUP BY zone")
 def a22_type_profile(t: Tables):
-    return t.burden.join(F.broadcast(t.dim_region), "dong").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), R(F.avg("rent_cost"), 4).alias("mean"), F.array_join(F.array_sort(F.collect_set("gu")), ", ").alias("gus"))
+    return t.burden.join(t.dim_region, "dong").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), R(F.avg("rent_cost"), 4).alias("mean"), F.array_join(F.array_sort(F.collect_set("gu")), ", ").alias("gus"))
 
 
 @query("SELECT zone, round(avg(v), 8) AS external FROM (SELECT zone_key AS zone, rate AS v, row_number() OVER (PARTITION BY zone_key, type ORDER BY ym) AS i FROM rate) WHERE i % 2 = 1 GROUP BY zone")

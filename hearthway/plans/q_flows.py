@@ -48,7 +48,7 @@ def a05_internal_share(t: Tables):
     round(sum(weight * fare) / sum(CASE WHEN fare IS NOT NULL THEN weight END), 4) AS fare
     FROM (SELECT b.district, r.home, b.weight, r.fare FROM route r JOIN bridge b ON r.work = b.dong) GROUP BY 1, 2""")
 def a06_district_commute_view(t: Tables):
-    j = t.route.drop("weight").join(F.broadcast(t.bridge), F.col("work") == F.col("dong"))
+    j = t.route.drop("weight").join(t.bridge, F.col("work") == F.col("dong"))
     w, f = F.col("weight"), F.col("fare")
     return j.groupBy("district", "home").agg(R(F.sum(w * f) / F.sum(w), 4).alias("fare_known_only"), R(F.sum(w), 6).alias("weight_sum"), R(fl.available_mean("fare", "weight"), 4).alias("fare"))
 
@@ -97,7 +97,7 @@ def a16_community_summary(t: Tables):
 @query("""SELECT home, sum(CASE WHEN h = w THEN flow ELSE 0 END) / sum(flow) AS same_share, 1 - sum(CASE WHEN h = w THEN flow ELSE 0 END) / sum(flow) AS cross_share FROM (
     SELECT o.home, o.flow, a.zone AS h, b.zone AS w FROM od o JOIN dim_region a ON o.home = a.dong JOIN dim_region b ON o.work = b.dong) GROUP BY home""")
 def a17_same_community_share(t: Tables):
-    d = F.broadcast(t.dim_region.select("dong", "zone"))
+    d = t.dim_region.select("dong", "zone")
     j = t.od.join(d.withColumnsRenamed({"dong": "home", "zone": "h"}), "home").join(d.withColumnsRenamed({"dong": "work", "zone": "w"}), "work")
     same = F.sum(F.when(F.col("h") == F.col("w"), F.col("flow")).otherwise(0)) / F.sum("flow")
     return j.groupBy("home").agg(same.alias("same_share"), (1 - same).alias("cross_share"))
@@ -106,7 +106,7 @@ def a17_same_community_share(t: Tables):
 @query("""SELECT home, zone, flow FROM (SELECT o.home, b.zone, sum(o.flow) AS flow, row_number() OVER (PARTITION BY o.home ORDER BY sum(o.flow) DESC, b.zone) AS k
     FROM od o JOIN dim_region b ON o.work = b.dong GROUP BY 1, 2) WHERE k = 1""")
 def a17_dominant_destination(t: Tables):
-    z = t.od.join(F.broadcast(t.dim_region), F.col("work") == F.col("dong")).groupBy("home", "zone").agg(F.sum("flow").alias("flow"))
+    z = t.od.join(t.dim_region, F.col("work") == F.col("dong")).groupBy("home", "zone").agg(F.sum("flow").alias("flow"))
     return z.withColumn("k", F.row_number().over(W.partitionBy("home").orderBy(F.desc("flow"), "zone"))).filter("k = 1").drop("k")
 
 
@@ -175,13 +175,13 @@ def j06_all_nodes_zero_filled(t: Tables):
 
 @query("""SELECT o.home, o.work, o.flow, a.dong_name AS home_name, a.gu AS home_gu, b.dong_name AS work_name, b.gu AS work_gu FROM od o LEFT JOIN dim_region a ON o.home = a.dong LEFT JOIN dim_region b ON o.work = b.dong""")
 def j02_name_both_ends(t: Tables):
-    d = F.broadcast(t.dim_region.select("dong", "dong_name", "gu"))
+    d = t.dim_region.select("dong", "dong_name", "gu")
     return t.od.select("home", "work", "flow").join(d.withColumnsRenamed({"dong": "home", "dong_name": "home_name", "gu": "home_gu"}), "home", "left").join(d.withColumnsRenamed({"dong": "work", "dong_name": "work_name", "gu": "work_gu"}), "work", "left")
 
 
 @query("""SELECT o.home, o.work, round((a.dong % 37) * 0.01 + 37.5, 4) AS home_lat, round((b.dong % 37) * 0.01 + 37.5, 4) AS work_lat FROM od o LEFT JOIN dim_region a ON o.home = a.dong LEFT JOIN dim_region b ON o.work = b.dong""")
 def j23_coordinates_both_ends(t: Tables):
-    c = F.broadcast(t.dim_region.select("dong", R((F.col("dong") % 37) * 0.01 + 37.5, 4).alias("lat")))
+    c = t.dim_region.select("dong", R((F.col("dong") % 37) * 0.01 + 37.5, 4).alias("lat"))
     return t.od.select("home", "work").join(c.withColumnsRenamed({"dong": "home", "lat": "home_lat"}), "home", "left").join(c.withColumnsRenamed({"dong": "work", "lat": "work_lat"}), "work", "left")
 
 

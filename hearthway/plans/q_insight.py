@@ -77,7 +77,7 @@ def c16_scenarios_top10(t: Tables):
 def c17_district_candidates(t: Tables):
     from hearthway.operators.flows import weighted_mean
 
-    j = _pairs(t).filter("time_min <= 60 and rent_cost <= 260000").join(F.broadcast(t.bridge.select(F.col("dong").alias("work"), "district", "weight")), "work")
+    j = _pairs(t).filter("time_min <= 60 and rent_cost <= 260000").join(t.bridge.select(F.col("dong").alias("work"), "district", "weight"), "work")
     c = j.groupBy("district", "home").agg(R(weighted_mean("total", "weight"), 2).alias("mean_total"), F.count(F.lit(1)).alias("n"))
     c = c.withColumn("k", F.rank().over(W.partitionBy("district").orderBy("mean_total")))
     return t.dim_region.select(F.col("zone").alias("district")).distinct().join(c, "district", "left").select("district", "home", "mean_total", "k", "n")
@@ -171,14 +171,14 @@ def a27_rent_bands(t: Tables):
 
 @query("""SELECT district, gu, n, mean_total, rank() OVER (PARTITION BY district ORDER BY mean_total) AS k FROM (SELECT b.district, r.gu, count(*) AS n, round(avg(p.total), 7) AS mean_total FROM pairs p JOIN bridge b ON b.dong = p.work JOIN dim_region r ON r.dong = p.home GROUP BY 1, 2)""")
 def a30_zone_summary(t: Tables):
-    j = _pairs(t).join(F.broadcast(t.bridge.select(F.col("dong").alias("work"), "district")), "work").join(F.broadcast(t.dim_region.select(F.col("dong").alias("home"), "gu")), "home")
+    j = _pairs(t).join(t.bridge.select(F.col("dong").alias("work"), "district"), "work").join(t.dim_region.select(F.col("dong").alias("home"), "gu"), "home")
     g = j.groupBy("district", "gu").agg(F.count(F.lit(1)).alias("n"), R(F.avg("total"), 7).alias("mean_total"))
     return g.withColumn("k", F.rank().over(W.partitionBy("district").orderBy("mean_total")))
 
 
 @query("""SELECT home, district, (s - x) / (n - 1) - x AS advantage FROM (SELECT home, district, x, sum(x) OVER (PARTITION BY home) AS s, count(*) OVER (PARTITION BY home) AS n FROM (SELECT p.home, b.district, round(avg(p.total)) AS x FROM pairs p JOIN bridge b ON b.dong = p.work GROUP BY 1, 2)) WHERE n > 1""")
 def a44_specialisation(t: Tables):
-    g = _pairs(t).join(F.broadcast(t.bridge.select(F.col("dong").alias("work"), "district")), "work").groupBy("home", "district").agg(R(F.avg("total")).alias("x"))
+    g = _pairs(t).join(t.bridge.select(F.col("dong").alias("work"), "district"), "work").groupBy("home", "district").agg(R(F.avg("total")).alias("x"))
     w = W.partitionBy("home")
     g = g.withColumns({"s": F.sum("x").over(w), "n": F.count(F.lit(1)).over(w)}).filter("n > 1")
     return g.select("home", "district", ((F.col("s") - F.col("x")) / (F.col("n") - 1) - F.col("x")).alias("advantage"))
@@ -186,7 +186,7 @@ def a44_specialisation(t: Tables):
 
 @query("""SELECT home, max(CASE WHEN district = 'ASIA' THEN x END) AS asia, max(CASE WHEN district = 'EUROPE' THEN x END) AS europe, max(CASE WHEN district = 'AFRICA' THEN x END) AS africa FROM (SELECT p.home, b.district, round(avg(p.total), 7) AS x FROM pairs p JOIN bridge b ON b.dong = p.work GROUP BY 1, 2) GROUP BY home""")
 def r04_pivot_districts(t: Tables):
-    g = _pairs(t).join(F.broadcast(t.bridge.select(F.col("dong").alias("work"), "district")), "work").groupBy("home", "district").agg(R(F.avg("total"), 7).alias("x"))
+    g = _pairs(t).join(t.bridge.select(F.col("dong").alias("work"), "district"), "work").groupBy("home", "district").agg(R(F.avg("total"), 7).alias("x"))
     p = g.groupBy("home").pivot("district", ["ASIA", "EUROPE", "AFRICA"]).agg(F.first("x"))
     return p.select("home", F.col("ASIA").alias("asia"), F.col("EUROPE").alias("europe"), F.col("AFRICA").alias("africa"))
 

@@ -190,7 +190,7 @@ def m21_spearman(t: Tables):
 
 @query("SELECT zone, count(*) AS n, round(avg(tx), 4) AS mean, median(tx) AS med, round(stddev_samp(tx), 4) AS sd FROM burden JOIN dim_region USING (dong) GROUP BY zone")
 def m22_posthoc_profile(t: Tables):
-    return t.burden.join(F.broadcast(t.dim_region), "dong").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), R(F.avg("tx"), 4).alias("mean"), F.median("tx").alias("med"), R(F.stddev_samp("tx"), 4).alias("sd"))
+    return t.burden.join(t.dim_region, "dong").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), R(F.avg("tx"), 4).alias("mean"), F.median("tx").alias("med"), R(F.stddev_samp("tx"), 4).alias("sd"))
 
 
 @query(f"""WITH r AS ({RANKS.format(g='p_type', v='p_size', t='part')}), q AS (SELECT sum(s * s / n) AS q, sum(n) AS n, count(*) AS groups FROM (SELECT p_type, sum(r) AS s, count(*) AS n FROM r GROUP BY 1)), ti AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM part GROUP BY p_size)),
@@ -232,7 +232,7 @@ def c28_quadrants(t: Tables):
     z AS (SELECT dong, tx, x, CASE WHEN mad > 0 THEN (x - med) / (1.4826 * mad) WHEN sd > 0 THEN (x - med) / sd ELSE 0 END AS z FROM l, m, d)
     SELECT dong, round(x, 6) AS log_ratio, round(z, 4) AS z, CASE WHEN abs(z) > 2.5 AND tx < 590 THEN 'odd and few' WHEN abs(z) > 2.5 THEN 'odd' WHEN tx < 590 THEN 'few' ELSE 'plain' END AS diagnosis FROM z""")
 def c34_anomalies(t: Tables):
-    b = t.burden.join(F.broadcast(t.dim_region), "dong").select("dong", "zone", "rent_cost", "tx")
+    b = t.burden.join(t.dim_region, "dong").select("dong", "zone", "rent_cost", "tx")
     return st.anomalies(b, "dong", "rent_cost", "zone", "tx", 590).select("dong", R("log_ratio", 6).alias("log_ratio"), R("z", 4).alias("z"), "diagnosis")
 
 

@@ -40,7 +40,7 @@ def q03_a23_weight_sums(t: Tables):
 def q03_district_coverage(t: Tables):
     from hearthway.operators.flows import coverage
 
-    j = t.od.select("home", "work", "flow").join(F.broadcast(t.bridge.select(F.col("dong").alias("work"), "district")), "work").join(t.route.select("home", "work", F.lit(1).alias("has")), ["home", "work"], "left")
+    j = t.od.select("home", "work", "flow").join(t.bridge.select(F.col("dong").alias("work"), "district"), "work").join(t.route.select("home", "work", F.lit(1).alias("has")), ["home", "work"], "left")
     return j.groupBy("district").agg(R(coverage("has", "flow"), 6).alias("coverage"), F.count(F.lit(1)).alias("pairs"))
 
 
@@ -111,7 +111,7 @@ def q12_geocode_audit(t: Tables):
     CASE WHEN 100.0 * count(CASE WHEN bad THEN 1 END) / count(*) <= 0.5 THEN 'acceptable' ELSE 'too much' END AS verdict FROM (SELECT deposit, dong % 50 = 7 AS bad FROM txn)""")
 def a43_quarantine_loss(t: Tables):
     good = t.dim_region.filter("dong % 50 <> 7").select("dong", F.lit(True).alias("ok"))
-    j = t.txn.join(F.broadcast(good), "dong", "left").withColumn("bad", F.col("ok").isNull())
+    j = t.txn.join(good, "dong", "left").withColumn("bad", F.col("ok").isNull())
     pct = 100.0 * F.count_if("bad") / F.count(F.lit(1))
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("lost"), R(pct, 4).alias("lost_pct"), R(100 * F.sum(F.when(F.col("bad"), F.col("deposit")).otherwise(0)) / F.sum("deposit"), 4).alias("amount_pct"), F.when(pct <= 0.5, "acceptable").otherwise("too much").alias("verdict"))
 
