@@ -183,7 +183,9 @@ def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int,
             return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
         return pd.DataFrame(edges[:, 1:3], columns=["a", "b"]).astype("int64")
 
-    return members.groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
+    # a stated number of partitions is not coalesced, so the comparisons spread over all tasks
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
