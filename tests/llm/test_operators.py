@@ -282,6 +282,7 @@ def test_html_blocks(spark, tmp_path):
     text = "Title & more\n\nFirst para graph, with bold and link.\n\none\n\ntwo\n\nLast <para>."
     assert got[1] == got[2] == (text, len(text)) and got[3] == got[4] == ("", 0)
     assert html_extract.blocks("<p>a<script>x</script> b</p><!-- c --><style>d</style>e") == [((), "a b", 0), ((), "e", 0)]
+    assert html_extract.blocks("<p>cut off</p") == [((), "cut off", 0)] and html_extract.blocks("<p>1 < 2 &amp;&amp; 3</p>") == [((), "1 < 2 && 3", 0)]
 
 
 def test_html_truth_on_given_pages(spark):
