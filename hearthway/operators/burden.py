@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.sources.stage import settle
+
 WORK_DAYS = 21
 HOURLY_VALUE = 10320
 PASS_CAP = 62000
@@ -51,7 +53,11 @@ def global_rank(df: DataFrame, order: Column, name: str, tie: str, parts: int =
 
 
 def rank_gap(df: DataFrame) -> DataFrame:
-    """Rank of rent and of total, their signed gap, and the type by the two medians."""
+    """Rank of rent and of total, their signed gap, and the type by the two medians.
+
+    ``df`` is written once, as ranks and medians read it several times.
+    """
+    df = settle(df)
     ranked = global_rank(global_rank(df, F.col("rent_cost"), "rent_rank", "dong"), F.col("total"), "total_rank", "dong")
     medians = df.agg(F.median("rent_cost").alias("m_rent"), F.median("total").alias("m_total"))
     high_rent, high_total = F.col("rent_cost") > F.col("m_rent"), F.col("total") > F.col("m_total")
