@@ -25,12 +25,14 @@ MAX_ROWS = 12_000
 SPACE, MAX_FEATURES = 1 << 22, 20_000
 #: Least likelihood-ratio statistic of a feature that takes part.
 LEAST_G2 = 18.0
+#: Letters of the prefixes that are features.
+PREFIXES = (3, 4, 5, 6, 7, 8)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Hashes of a lower-cased word and of its prefixes of four and five letters."""
-    parts = ["=" + word] + [f"{n}{word[:n]}" for n in (4, 5) if len(word) > n]
+    """Hashes of a lower-cased word and of its shorter prefixes."""
+    parts = ["=" + word] + [f"{n}{word[:n]}" for n in PREFIXES if len(word) > n]
     return tuple(zlib.crc32(p.encode()) % SPACE for p in parts)
 
 
