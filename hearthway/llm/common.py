@@ -7,9 +7,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import BlockedBloom
+
 #: A key is heavy when it holds more than 1/HEAVY of all rows, so there are fewer than HEAVY such keys.
 HEAVY = 1000
 
@@ -66,10 +69,23 @@ def with_row(df: DataFrame) -> tuple[DataFrame, str]:
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def keep_rows(df: DataFrame, rows: DataFrame, row: str = "row_no") -> DataFrame:
-    """The rows of ``df`` whose ``with_row`` number is in ``rows``, with the columns of ``df``."""
+def drop_rows(df: DataFrame, rows: DataFrame, row: str = "row_no") -> DataFrame:
+    """``df`` without the rows whose ``with_row`` number is in ``rows`` (settled), with the columns of ``df``.
+
+    A Bloom filter of the numbers, of bounded size, tells most rows apart where they are read; only rows that it lets
+    through are shuffled to an exact anti-join.
+    """
+    ship(df.sparkSession)
     numbered, name = with_row(df)
-    return numbered.join(rows.select(F.col(row).alias(name)), name, "left_semi").select(*[numbered[f"`{c}`"] for c in df.columns])
+    bloom = df.sparkSession.sparkContext.broadcast(BlockedBloom.build(rows, row).words)
+
+    @F.pandas_udf("boolean")
+    def may_drop(hashes: pd.Series) -> pd.Series:
+        return pd.Series(BlockedBloom(bloom.value).passes(hashes.to_numpy()))
+
+    maybe = may_drop(F.xxhash64(name))
+    kept = numbered.filter(~maybe).unionByName(numbered.filter(maybe).join(rows.select(F.col(row).alias(name)), name, "left_anti"))
+    return kept.select(*[kept[f"`{c}`"] for c in df.columns])
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, by: Column) -> DataFrame:

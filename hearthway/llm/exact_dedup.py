@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, settle, shared_dir, spread_join, with_row
+from .common import drop_rows, settle, shared_dir, spread_join, with_row
 
 INDEX_SCHEMA = "text_sha256 string, keep_id long, keep_row long, batch string"
 
@@ -65,7 +65,7 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch:
     """The rows of ``docs`` that stay, one for each text, with their columns."""
     index = index or scratch_index(docs.sparkSession)
     judged = index.admit(docs, batch, id_col, text_col)
-    return keep_rows(docs, judged.filter("kept"))
+    return drop_rows(docs, settle(judged.filter("not kept").select("row_no"), "copies"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep_rows, settle, ship, spread_join, with_row
+from .bloom import BlockedBloom
+from .common import drop_rows, forget, settle, ship, spread_join, with_row
 from .components import components
-from .url_filter import BlockedBloom
 
 #: Registers, mantissa bits, registers in a band, members of a bucket that one task compares.
 REGISTERS, MANTISSA, BAND, BLOCK = 256, 10, 8, 512
@@ -259,7 +259,7 @@ def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int =
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of near-duplicates, with their columns."""
     judged = settle(near_documents(docs, **how).select("row_no", "kept"), "near-kept")
-    return keep_rows(docs, judged.filter("kept"))
+    return drop_rows(docs, judged.filter("not kept"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

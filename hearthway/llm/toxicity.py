@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, settle, ship, with_row
+from .common import settle, ship, with_row
 
 #: Labelled documents that a model is fitted on, at most; taken by hash of their id.
 MAX_ROWS = 12_000
@@ -55,6 +55,20 @@ class OrdinalModel:
         """P(grade > k) for each row and each threshold k."""
         return _sigmoid(score[:, None] - np.array(self.thresholds)[None, :])
 
+    def scores(self, texts: pd.Series) -> np.ndarray:
+        """w.x of each text: the weights of its distinct features."""
+        known, weights = self.__dict__.setdefault("_known", {}), self.weights
+
+        def hits(word: str) -> tuple[int, ...]:
+            found = known.get(word)
+            if found is None:
+                if len(known) > 300_000:
+                    known.clear()
+                found = known[word] = tuple(f for f in word_features(word) if f in weights)
+            return found
+
+        return np.array([sum(weights[f] for f in {f for w in set(LETTERS.findall(t.lower())) for f in hits(w)}) for t in texts], dtype=float)
+
     @classmethod
     def fit(cls, features: list[np.ndarray], grades: np.ndarray, steps: int = 300, l2: float = 1e-5) -> OrdinalModel:
         """Maximum likelihood with an L2 penalty, by full-batch gradient steps (Adam).
@@ -137,19 +151,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value, {}
-        weights = model.weights
-
-        def hits(word: str) -> tuple[int, ...]:
-            found = known.get(word)
-            if found is None:
-                if len(known) > 300_000:
-                    known.clear()
-                found = known[word] = tuple(f for f in word_features(word) if f in weights)
-            return found
-
+        model = shared.value
         for batch in batches:
-            scores = np.array([sum(weights[f] for f in {f for w in set(LETTERS.findall(t.lower())) for f in hits(w)}) for t in batch["text"]], dtype=float)
+            scores = model.scores(batch["text"])
             above = model.above(scores)
             each = -np.diff(np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))]))
             yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "p_toxic": above[:, 0], "expected_severity": above.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32), "toxic": above[:, 0] > 0.5})
@@ -163,10 +167,16 @@ def severity() -> Column:
     return F.when(F.col("toxic") == 1, F.lit(1) + F.when(F.col("quality") == 0, F.lit(1)).otherwise(F.lit(0))).when(F.col("toxic") == 0, F.lit(0))
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with their columns."""
-    scored = settle(score(docs, model).select("row_no", "toxic"), "toxic")
-    return keep_rows(docs, scored.filter("not toxic"))
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with their columns; rows stay where they are read."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.above(shared.value.scores(texts))[:, 0] > 0.5)
+
+    return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
