@@ -60,24 +60,29 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def with_row(df: DataFrame) -> tuple[DataFrame, str]:
-    """Add a row number that is the same on every read of the same files; returns the name of its column.
+    """Add a row number that holds for one read only; returns the name of its column.
 
-    Rows that equal each other in every column still get different numbers. Inputs that are not read straight
-    from files should be settled first.
+    Rows that equal each other in every column still get different numbers. Another read may split the files otherwise
+    (the splits follow the cores at hand) and then numbers rows otherwise: what is read again needs ``settled_rows``.
     """
     name = unused(df, "row_no")
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def drop_rows(df: DataFrame, rows: DataFrame, row: str = "row_no") -> DataFrame:
-    """``df`` without the rows whose ``with_row`` number is in ``rows`` (settled), with the columns of ``df``.
+def settled_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a row number, written once, so that numbers and rows agree in all later reads; and the column's name."""
+    numbered, name = with_row(df)
+    return settle(numbered, "rows"), name
+
+
+def drop_rows(numbered: DataFrame, name: str, rows: DataFrame, row: str = "row_no") -> DataFrame:
+    """``numbered`` (see ``settled_rows``) without the rows whose number is in ``rows`` (settled), and without ``name``.
 
     A Bloom filter of the numbers, of bounded size, tells most rows apart where they are read; only rows that it lets
     through are shuffled to an exact anti-join.
     """
-    ship(df.sparkSession)
-    numbered, name = with_row(df)
-    bloom = df.sparkSession.sparkContext.broadcast(BlockedBloom.build(rows, row).words)
+    ship(numbered.sparkSession)
+    bloom = numbered.sparkSession.sparkContext.broadcast(BlockedBloom.build(rows, row).words)
 
     @F.pandas_udf("boolean")
     def may_drop(hashes: pd.Series) -> pd.Series:
@@ -85,7 +90,7 @@ def drop_rows(df: DataFrame, rows: DataFrame, row: str = "row_no") -> DataFrame:
 
     maybe = may_drop(F.xxhash64(name))
     kept = numbered.filter(~maybe).unionByName(numbered.filter(maybe).join(rows.select(F.col(row).alias(name)), name, "left_anti"))
-    return kept.select(*[kept[f"`{c}`"] for c in df.columns])
+    return kept.select(*[kept[f"`{c}`"] for c in numbered.columns if c != name])
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, by: Column) -> DataFrame:

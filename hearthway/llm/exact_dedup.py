@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_rows, settle, shared_dir, spread_join, with_row
+from .common import drop_rows, settle, settled_rows, shared_dir, spread_join, with_row
 
 INDEX_SCHEMA = "text_sha256 string, keep_id long, keep_row long, batch string"
 
@@ -35,14 +35,14 @@ class DigestIndex:
         writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
-    def admit(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def admit(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
         """Judge ``docs`` and append their new digests.
 
-        Returns a row for each input row: row_no (see ``with_row``), doc_id, keep_id, group_size (equal texts in the
+        Returns a row for each input row: row_no (``row_col``, or see ``with_row``), doc_id, keep_id, group_size (equal texts in the
         batch), kept, text_sha256. A null text counts as empty, a null id is smaller than any other, an empty table
         gives no rows; other columns are not read.
         """
-        numbered, row = with_row(docs)
+        numbered, row = (docs, row_col) if row_col else with_row(docs)
         rows = settle(numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256")), "digests")
         top = F.max(F.struct(F.col("doc_id"), F.col("row_no"))).alias("top")
         groups = settle(rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), top), "digest-groups")
@@ -51,7 +51,8 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
         known = settle(groups.join(self.spark.table(self.table).hint("merge"), "text_sha256"), "digest-verdicts")
         judged = spread_join(rows, known, ["text_sha256"], "group_size", F.col("row_no"))
-        kept = (F.col("batch") == batch) & (F.col("row_no") == F.col("keep_row"))
+        # by this run's numbers: those in the index are of the run that appended, which may have split the files otherwise
+        kept = (F.col("batch") == batch) & F.col("top.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_no") == F.col("top.row_no"))
         return judged.select("row_no", "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
@@ -64,8 +65,9 @@ def scratch_index(spark: SparkSession, buckets: int | None = None) -> DigestInde
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "all", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with their columns."""
     index = index or scratch_index(docs.sparkSession)
-    judged = index.admit(docs, batch, id_col, text_col)
-    return drop_rows(docs, settle(judged.filter("not kept").select("row_no"), "copies"))
+    numbered, row = settled_rows(docs)
+    judged = index.admit(numbered, batch, id_col, text_col, row)
+    return drop_rows(numbered, row, settle(judged.filter("not kept").select("row_no"), "copies"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .common import drop_rows, forget, settle, ship, spread_join, with_row
+from .common import drop_rows, forget, settle, settled_rows, ship, spread_join
 from .components import components
 
 #: Registers, mantissa bits, registers in a band, members of a bucket that one task compares.
@@ -96,9 +96,8 @@ def corrected(equal: np.ndarray, k: int = REGISTERS, mantissa: int = MANTISSA) -
     return np.maximum(0.0, (equal - chance) / (1 - chance))
 
 
-def sketches(docs: DataFrame, k: int, mantissa: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """row_no, doc_id, n_shingles, digest (of the set) and registers of each document."""
-    numbered, row = with_row(docs)
+def sketches(numbered: DataFrame, row: str, k: int, mantissa: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """row_no, doc_id, n_shingles, digest (of the set) and registers of each document; ``row`` numbers the documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,20 +187,22 @@ def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int,
     return members.repartition(parts, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """A row for each row of ``docs``: row_no, doc_id, n_shingles, component_id, kept.
 
     Documents link when 100 * intersection >= ``threshold`` * union of their sets of distinct ``size``-word shingles;
     component_id is the smallest doc_id reachable. Documents without words, and null texts, have an empty set and link
     with nothing. Bands of 8 out of 256 registers miss a pair just at the threshold of 0.85 with probability 4e-5.
     Repeated rows are rows of their own. A null id is a component's id only if all its members' are null; such a row is
-    kept if its component has no id. Other columns are not read; an empty table gives no rows.
+    kept if its component has no id. Other columns are not read; an empty table gives no rows. Texts are read twice:
+    ``docs`` may bring the numbers of ``settled_rows`` as ``row_col``, else its texts are written once with theirs.
     """
     spark = docs.sparkSession
     ship(spark)
     share = threshold / 100
     floor = share - SLACK * (share * (1 - share) / k) ** 0.5
-    table = settle(sketches(docs, k, mantissa, size, id_col, text_col), "sketches")
+    numbered, row = (docs, row_col) if row_col else settled_rows(docs.select(id_col, text_col))
+    table = settle(sketches(numbered, row, k, mantissa, size, id_col, text_col), "sketches")
     nodes = settle(
         table.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("registers").alias("registers")),
         "sketch-nodes",
@@ -224,9 +225,10 @@ def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int =
     def full(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_hashes(t, size).tobytes())
 
-    numbered, row = with_row(docs)
     texts = numbered.select(F.col(row).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = settle(texts.filter(may_want(F.xxhash64("node"))).select("node", full("text").alias("set")), "shingle-sets")
+    if not row_col:
+        forget(numbered)
 
     star = bucketed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = [settle(_confirmed(_estimated(star, held, floor, k, mantissa), sets, threshold), "links")]
@@ -258,8 +260,9 @@ def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int =
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of near-duplicates, with their columns."""
-    judged = settle(near_documents(docs, **how).select("row_no", "kept"), "near-kept")
-    return drop_rows(docs, judged.filter("not kept"))
+    numbered, row = settled_rows(docs)
+    judged = settle(near_documents(numbered, row_col=row, **how).select("row_no", "kept"), "near-kept")
+    return drop_rows(numbered, row, judged.filter("not kept"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, spread_join, uniform, with_row
+from .common import WORD, settle, settled_rows, spread_join, uniform, with_row
 
 #: Documents of a source that one draw orders together; a larger source is dealt into several such parts.
 PART = 4096
@@ -41,14 +41,14 @@ def fill_targets(sources: DataFrame, max_repeat: int = 3) -> DataFrame:
     return leveled.withColumn("target", F.when(F.col("_own").isNull() | (F.col("_own") * F.col("weight") > capped), capped).otherwise(F.col("_own") * F.col("weight"))).drop("_level", "_under", "_own")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """A row for each input row: row_no, doc_id, size, source_size, target, copies, taken.
 
     Sources by code point, null last (a null source is one of its own), weigh ``weights`` in turn. A null text has
     size 0; a source without words has target 0. Rows that repeat an id are drawn each for itself. Other columns are
-    not read; an empty table gives no rows.
+    not read; an empty table gives no rows. ``row_col`` is the row number where ``docs`` brings one.
     """
-    numbered, row = with_row(docs)
+    numbered, row = (docs, row_col) if row_col else with_row(docs)
     rows = settle(numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-")).alias("_key"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     sources = rows.groupBy("_key", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sources = sources.withColumn("rank", F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())))
@@ -68,8 +68,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the plan says, with its columns."""
-    numbered, row = with_row(docs)
-    plan = plan_mix(docs, **how).filter("copies > 0").select(F.col("row_no").alias(row), F.col("copies").alias(f"{row}_copies"))
+    numbered, row = settled_rows(docs)
+    plan = plan_mix(numbered, row_col=row, **how).filter("copies > 0").select(F.col("row_no").alias(row), F.col("copies").alias(f"{row}_copies"))
     joined = numbered.join(plan, row)
     return joined.withColumn(f"{row}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{row}_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, ship, spread_join, unused, with_row
+from .common import settle, settled_rows, ship, spread_join, unused, with_row
 
 #: Bytes of a chunk at least, and on average beyond that; bytes of a repeated passage at least.
 LEAST, MEAN, PASSAGE = 16, 24, 100
@@ -57,10 +57,10 @@ def chunk_ends(data: bytes, least: int = LEAST, mean: int = MEAN) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame, least: int = LEAST, mean: int = MEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, least: int = LEAST, mean: int = MEAN, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_no, doc_id, ends (byte offsets in UTF-8) and digests of the chunks of each text."""
     ship(docs.sparkSession)
-    numbered, row = with_row(docs)
+    numbered, row = (docs, row_col) if row_col else with_row(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +104,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, **how) -> DataFra
 
 def strip_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with its columns and rows, but without passages that stay elsewhere. Null texts stay null."""
-    found = repeated_passages(docs, text_col=text_col, **how).filter("removed")
+    numbered, row = settled_rows(docs)
+    found = repeated_passages(numbered, text_col=text_col, row_col=row, **how).filter("removed")
     spans = settle(found.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans")), "spans")
 
     @F.pandas_udf("string")
@@ -120,7 +121,6 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(texts, starts, lengths, strict=True)])
 
-    numbered, row = with_row(docs)
     held = unused(numbered, "spans")
     joined = numbered.join(spans.select(F.col("row_no").alias(row), F.col("spans").alias(held)), row, "left")
     text = without(F.col(text_col), F.col(f"{held}.start"), F.col(f"{held}.length"))

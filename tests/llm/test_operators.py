@@ -218,6 +218,67 @@ def test_drop_near_copies_keeps_columns(spark, tmp_path):
     assert minhash_dedup.drop_near_copies(docs).columns == docs.columns
 
 
+@pytest.fixture
+def other_splits(spark, monkeypatch):
+    """A table of several files whose splits differ from one step to the next: each settled table changes the cores."""
+    key, turn = "spark.sql.leafNodeDefaultParallelism", [0]
+
+    def step():
+        turn[0] += 1
+        spark.conf.set(key, "1" if turn[0] % 2 else "8")
+
+    for module in (exact_dedup, minhash_dedup, mixing, substring_dedup):
+        def settled(df, name, f=module.settle):
+            out = f(df, name)
+            step()
+            return out
+
+        monkeypatch.setattr(module, "settle", settled)
+    step()
+    yield step
+    spark.conf.unset(key)
+
+
+def in_files(spark, tmp_path, rows):
+    path = str(tmp_path / "files")
+    spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in rows], "doc_id long, text string, source string").repartition(8).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, other_splits):
+    rows = [(i, t) for i, (_, t) in enumerate(near_rows(3, 240))] + [(1000 + i, "one text that is there many times over") for i in range(60)]
+    docs, texts = in_files(spark, tmp_path, rows), dict(rows)
+    want = collections.Counter((i, n, c) for (i, _), (n, c) in zip(rows, brute_near(rows, 85), strict=True))
+    for _ in range(2):  # begins at either number of splits
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_documents(docs).collect()) == want
+        other_splits()
+    stages = {
+        "exact": (exact_dedup.drop_exact_copies, lambda: {max(i for i in texts if texts[i] == t) for t in texts.values()}),
+        "near": (minhash_dedup.drop_near_copies, lambda: {c for _, _, c in want}),
+    }
+    for run, keep in stages.values():
+        for parallelism in ("1", "8"):
+            kept = run(docs)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(keep())
+    for parallelism in ("1", "8"):
+        copies = collections.Counter({r.doc_id: r.copies for r in mixing.plan_mix(docs).collect() if r.copies})
+        mixed = mixing.mix(docs)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+        assert collections.Counter(r.doc_id for r in mixed.collect()) == copies
+        stripped = substring_dedup.strip_repeats(docs, passage=30)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+        assert {r.doc_id for r in stripped.collect() if r.text == "" and r.doc_id >= 1000} == set(range(1001, 1060))
+
+
+def test_batch_admitted_again_at_other_splits(spark, tmp_path, other_splits):
+    docs = in_files(spark, tmp_path, [(i, f"text {i % 50}") for i in range(200)])
+    index = exact_dedup.scratch_index(spark, 2)
+    for parallelism in ("1", "8"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+        assert {r.doc_id for r in index.admit(docs, "b").filter("kept").collect()} == set(range(150, 200))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
