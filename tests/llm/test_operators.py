@@ -310,6 +310,28 @@ def test_embeddings_against_brute_force(spark, tmp_path):
     assert collections.Counter((r.vec_id, r.component_id) for r in out) == collections.Counter((rows[i][0], reach.get(i, rows[i][0])) for i in range(len(rows)))
 
 
+def dense_label(n, background, planted, seed):
+    """Unit vectors of 64 dimensions whose mutual cosine is about ``background``, with pairs planted at 0.981; and all links."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(np.sqrt(background) * unit(rng.standard_normal(64)) + np.sqrt(1 - background) * unit(rng.standard_normal((n, 64))))
+    one = x[:planted]
+    side = rng.standard_normal((planted, 64))
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    x = np.concatenate([x, 0.981 * one + np.sqrt(1 - 0.981**2) * side]).astype(np.float32)
+    u = unit(x.astype(float))
+    return x, [int((u[i] @ u.T >= 0.98).sum()) - 1 for i in range(len(u))]
+
+
+@pytest.mark.parametrize("n, how", [(8000, {}), (1500, {"passes": 1, "window": 16, "block": 256})], ids=["all pairs", "windows first"])
+def test_dense_label_loses_no_link(spark, tmp_path, n, how):
+    x, links = dense_label(n, 0.95, 150, 12)
+    vectors = table(spark, tmp_path, [(i, e.tolist(), 1) for i, e in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors, **how).collect()}
+    assert sum(links) >= 300 and [out[i].n_links for i in range(len(x))] == links
+    assert all(out[n + i].component_id <= i and out[n + i].component_id == out[i].component_id for i in range(150))
+
+
 def test_url_edge_cases(spark, tmp_path):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/?q", "http://badexample.com/en/", "http://a.b.example.com/en/#t", "http://x.net/es/1", "http://x.net/de/", "http://com", "http://com/", "http://ÀB.Com/x", "http://example.com/en/"]
     pages = table(spark, tmp_path, [(i, u) for i, u in enumerate(urls)] + [(5, urls[5])], "page_id long, url string, html string, keys string, verdict string")
