@@ -187,14 +187,13 @@ def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int,
     return members.repartition(parts, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """A row for each row of ``docs``: row_no, doc_id, n_shingles, component_id, kept.
+def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """A row for each row of ``docs``: row_no, doc_id, n_shingles, component_id, component (a row number of the group).
 
     Documents link when 100 * intersection >= ``threshold`` * union of their sets of distinct ``size``-word shingles;
     component_id is the smallest doc_id reachable. Documents without words, and null texts, have an empty set and link
     with nothing. Bands of 8 out of 256 registers miss a pair just at the threshold of 0.85 with probability 4e-5.
-    Repeated rows are rows of their own. A null id is a component's id only if all its members' are null; such a row is
-    kept if its component has no id. Other columns are not read; an empty table gives no rows. Texts are read twice:
+    Repeated rows are rows of their own. A null id is a component's id only if all its members' are null. Other columns are not read; an empty table gives no rows. Texts are read twice:
     ``docs`` may bring the numbers of ``settled_rows`` as ``row_col``, else its texts are written once with theirs.
     """
     spark = docs.sparkSession
@@ -251,18 +250,29 @@ def near_documents(docs: DataFrame, threshold: int = 85, size: int = 5, k: int =
     found = components(reduce(DataFrame.unionByName, links))
     classes = nodes.select("digest", "node", "least", "many").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = settle(classes.join(smallest, "component").select("digest", "many", "component_id"), "near-classes")
+    classes = settle(classes.join(smallest, "component").select("digest", "many", "component_id", "component"), "near-classes")
     rows = table.select("row_no", "doc_id", "n_shingles", "digest")
-    linked = spread_join(rows.filter("n_shingles > 0"), classes, ["digest"], "many", F.col("row_no")).select("row_no", "doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("row_no", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = spread_join(rows.filter("n_shingles > 0"), classes, ["digest"], "many", F.col("row_no")).select("row_no", "doc_id", "n_shingles", "component_id", "component")
+    alone = rows.filter("n_shingles = 0").select("row_no", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row_no").alias("component"))
+    return linked.unionByName(alone)
+
+
+def near_documents(docs: DataFrame, **how) -> DataFrame:
+    """A row for each row of ``docs``: row_no, doc_id, n_shingles, component_id, kept; see ``grouped``.
+
+    Every row with its component's id is kept, and so is every row of a component without an id.
+    """
+    return grouped(docs, **how).drop("component").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group of near-duplicates, with their columns."""
+    """The rows of ``docs`` that stay, with their columns: of each group of near-duplicates the one with the smallest id,
+    of several such rows one."""
     numbered, row = settled_rows(docs)
-    judged = settle(near_documents(numbered, row_col=row, **how).select("row_no", "kept"), "near-kept")
-    return drop_rows(numbered, row, judged.filter("not kept"))
+    judged = settle(grouped(numbered, row_col=row, **how).select("row_no", "doc_id", "component"), "near-groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("least")
+    stay = judged.groupBy("component").agg(least).select("least.row_no")
+    return drop_rows(numbered, row, settle(judged.join(stay, "row_no", "left_anti").select("row_no"), "near-copies"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

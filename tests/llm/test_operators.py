@@ -279,6 +279,13 @@ def test_batch_admitted_again_at_other_splits(spark, tmp_path, other_splits):
         assert {r.doc_id for r in index.admit(docs, "b").filter("kept").collect()} == set(range(150, 200))
 
 
+def test_drop_near_copies_keeps_one_row_a_group(spark, tmp_path):
+    one, two, three = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(3, one), (3, one), (5, one), (None, two), (None, two), (3, three), (3, three), (None, ""), (None, "")]
+    kept = minhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == {(3, one): 1, (None, two): 1, (3, three): 1, (None, ""): 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
