@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
@@ -24,10 +28,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a local session takes a temporary one
+    (as tests do), and a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="hearthway-"))
     return f"{root.rstrip('/')}/hearthway-{app}"
 
@@ -37,18 +44,46 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for held in _collecting:
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table that ``settle`` wrote and that nothing reads any more."""
     path = getattr(df, "_settled_at", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collecting(held: list[str]) -> Iterator[list[str]]:
+    """Note in ``held`` the tables that are settled meanwhile, for ``release``."""
+    _collecting.append(held)
+    try:
+        yield held
+    finally:
+        _collecting.remove(held)
+
+
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Delete the noted tables, which nothing reads any more, and let the JVM's cleaner drop shuffles without a reader."""
+    for path in held:
+        delete(spark, path)
+    held.clear()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -123,21 +158,27 @@ def numbered_within(df: DataFrame, group: list[str], chunk: Column, counts: Data
     ``chunk`` deals the rows of a group into parts; the parts' sizes are summed first, then rows are numbered in
     their part and moved by the rows of the parts before. ``df`` is read twice: settle it first.
     """
-    from pyspark.sql import Window as W
-
     parted = df.withColumn("_chunk", chunk)
     parts = parted.groupBy(*group, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     ranked = parted.withColumn("_k", F.row_number().over(W.partitionBy(*group, "_chunk").orderBy(*(order or []))))
+    # parts are as many as the chunks; a chunk's own key spreads over tasks even where the group is hot
     return ranked.join(parts, [*group, "_chunk"]).withColumn(name, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_chunk", "_k", "_before")
 
+
+#: Bytes of a batch between the JVM and a Python worker, where the session does not say otherwise.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, as --py-files would."""
+    """Send this package to the executors once for each application, as --py-files would, and bound Python batches."""
     app = spark.sparkContext.applicationId
+    # whole texts vary from nothing to megabytes, so what goes to a Python worker at once is bounded by bytes, not rows
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
