@@ -7,7 +7,7 @@ each length and looks up which pattern, sequence and offset each number has.
 
 from __future__ import annotations
 
-import base64
+import heapq
 import os
 import re
 import zlib
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered_within, settle, ship, with_row
 
-#: Units that a worker keeps the ids of.
-CACHE = 400_000
+#: Bytes that the units kept by a task may take, about; nodes and sets of lengths that a search looks at.
+UNIT_BYTES, EFFORT = 24_000_000, 20_000
 END = 2
 PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,24 +32,30 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 def best_fit(counts: Counts, capacity: int) -> list[tuple[int, Pattern]]:
     """Best-fit decreasing on a histogram: bins of equal content are handled together."""
     open_: dict[int, list[tuple[int, Pattern]]] = {}
+    rooms = 0  # bit r: there is an open bin with room r
     for size in sorted(counts, reverse=True):
         left = counts[size]
         while left:
-            room = min((r for r in open_ if r >= size and open_[r]), default=None)
-            if room is None:
+            fits = rooms >> size
+            if not fits:
                 many, room, pattern = left, capacity, ()
             else:
+                room = size + (fits & -fits).bit_length() - 1
                 many, pattern = open_[room].pop()
+                if not open_[room]:
+                    rooms ^= 1 << room
             each = room // size
             full = min(many, left // each)
-            if full:
-                open_.setdefault(room - each * size, []).append((full, (*pattern, (size, each))))
+            made = [(full, each)] if full else []
             left, many = left - full * each, many - full
             if left and many and left < each:
-                open_.setdefault(room - left * size, []).append((1, (*pattern, (size, left))))
+                made.append((1, left))
                 left, many = 0, many - 1
-            if many and pattern:
-                open_.setdefault(room, []).append((many, pattern))
+            made.append((many if pattern else 0, 0))
+            for bins, k in made:
+                if bins:
+                    open_.setdefault(room - k * size, []).append((bins, (*pattern, (size, k)) if k else pattern))
+                    rooms |= 1 << (room - k * size)
     return [x for group in open_.values() for x in group]
 
 
@@ -65,105 +71,184 @@ def lower_bound(counts: Counts, capacity: int) -> int:
     return best
 
 
-def fillings(room: int, counts: Counts, waste: int, width: int, steps: int = 600) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated sets of lengths for ``room`` that waste at most ``waste``, fullest first, at most ``width``.
+def _sums(size: int, times: int, upto: int) -> int:
+    """Bits 0, size, 2 * size, ... times * size, as far as ``upto``."""
+    out = 1
+    for _ in range(min(times, upto // size)):
+        out |= out << size
+    return out & ((1 << (upto + 1)) - 1)
 
-    A set is dominated if an unused length could replace some of its members (their sum no larger than it) and still
-    fit: the members it replaces are easier to place elsewhere. At most ``steps`` sets are looked at.
+
+def dominated(chosen: tuple[int, ...], waste: int, spare: list[int]) -> bool:
+    """Whether one item of ``spare`` could take the place of some of ``chosen`` and use no less room.
+
+    Those it replaces, with the same or a smaller sum, are easier to place elsewhere. One item of the same size is no gain.
     """
-    sizes = sorted((s for s in counts if counts[s] and s <= room), reverse=True)
-    least = sizes[-1] if sizes else room + 1
-    found: dict[tuple[int, ...], int] = {}
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and steps > 0 and sum(1 for r in found.values() if r == 0) < width:
-        at, rest, chosen = stack.pop()
-        steps -= 1
-        nexts = []
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s <= rest:
-                for k in range(min(rest // s, counts[s]), 0, -1):
-                    nexts.append((i + 1, rest - k * s, chosen + (s,) * k))
-                    if len(nexts) >= 2 * width:
-                        break
-            if len(nexts) >= 2 * width:
-                break
-        if rest <= waste and (rest < least or not nexts):
-            found[chosen] = rest
-        stack.extend(reversed(nexts))
+    one, two = 0, 0  # sums of one member or more, and of two or more
+    for s in chosen:
+        one, two = one | one << s | 1 << s, two | two << s | one << s
+    # an item x does it if some sum t has t <= x <= t + waste, and t < x where t is a single member
+    reach = two
+    for w in range(1, waste + 1):
+        reach |= (one << w) | (two << w)
+    return any(reach >> x & 1 for x in spare)
+
 
-    def dominated(chosen: tuple[int, ...], rest: int) -> bool:
-        sums = {0}
-        for s in chosen[:8]:
-            sums |= {t + s for t in sums}
-        spare = [s for s in sizes if counts[s] > chosen.count(s)]
-        return any(t < x <= t + rest for t in sums for x in spare) if rest else False
+class Search:
+    """The effort a search may spend, and what it did: nodes, sets of lengths, turns off the first choice, ends."""
 
-    kept = [(rest, chosen) for chosen, rest in found.items() if not dominated(chosen, rest)]
-    return sorted(kept, key=lambda x: (x[0], len(x[1])))[:width]
+    def __init__(self, effort: int = EFFORT):
+        self.effort, self.nodes, self.sets, self.turns, self.leaves = effort, 0, 0, 0, 0
 
+    def spent(self) -> int:
+        return self.nodes + self.sets
 
-def bin_completion(counts: Counts, capacity: int, nodes: int = 60, width: int = 4) -> list[tuple[int, Pattern]]:
+
+def fillings(room: int, counts: Counts, waste: int, seen: Search) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated sets of lengths for ``room``, those that waste least first, as far as ``waste``: (waste, set).
+
+    Sums that the lengths from each on can reach are kept as bits, so that no branch is entered that leads to none.
+    Sets with the larger members come first. Each set looked at counts in ``seen``; without effort left there are no more.
+    """
+    sizes = sorted((s for s in counts if counts[s] and s <= room), reverse=True)
+    reach = [1]
+    for s in reversed(sizes):
+        sums = reach[-1]
+        for _ in range(min(counts[s], room // s)):
+            grown = (sums | sums << s) & ((1 << (room + 1)) - 1)
+            if grown == sums:
+                break
+            sums = grown
+        reach.append(sums)
+    reach.reverse()  # reach[i]: sums of sizes[i:]
+    for lost in range(min(waste, room) + 1):
+        if not reach[0] >> (room - lost) & 1:
+            continue
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room - lost, ())]
+        while stack:
+            at, rest, chosen = stack.pop()
+            while rest and at < len(sizes) and (sizes[at] > rest or not any(reach[at + 1] >> (rest - k * sizes[at]) & 1 for k in range(1, min(rest // sizes[at], counts[sizes[at]]) + 1))):
+                at += 1
+            if not rest:
+                seen.sets += 1
+                if seen.spent() > seen.effort:
+                    return
+                if not dominated(chosen, lost, [s for s in sizes if counts[s] > chosen.count(s)]):
+                    yield lost, chosen
+            elif at < len(sizes):
+                s = sizes[at]
+                if reach[at + 1] >> rest & 1:
+                    stack.append((at + 1, rest, chosen))
+                for k in range(1, min(rest // s, counts[s]) + 1):
+                    if reach[at + 1] >> (rest - k * s) & 1:
+                        stack.append((at + 1, rest - k * s, chosen + (s,) * k))
+
+
+def bin_completion(counts: Counts, capacity: int, effort: int = EFFORT, seen: Search | None = None) -> list[tuple[int, Pattern]]:
     """Patterns with multiplicities that hold ``counts`` in few bins.
 
-    Depth first: complete the bin of the longest item left by its undominated fillings, fullest first, and use each
-    as often as the histogram allows. A branch ends when its waste shows that it can't beat the incumbent, at first
-    the best-fit solution. The search stops at the lower bound or after ``nodes`` bins, so its time is bounded.
+    Branch and bound: a node completes the bin of the longest item left by an undominated filling, used as often as the
+    histogram allows, or half as often, and so on down to once, so that every packing can be reached. Nodes with the
+    fewest departures from the first choice (the fullest filling, as often as can be) come first, the deepest of them
+    before others; so the first descent reaches an end, and later ones turn off from it. A branch ends when its waste
+    shows that it can't beat the incumbent, at first the best-fit solution. States met before with no more bins are not
+    looked at again. The search stops at the lower bound, when nothing is left to try, or when it has spent ``effort``
+    (nodes and sets of lengths looked at): the one budget. ``seen`` tells what it did, and brings its own effort.
     """
+    seen = seen or Search(effort)
     counts = {s: n for s, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     fewest, bound, total = sum(m for m, _ in incumbent), lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
-    stack: list[tuple[Counts, int, int, list[tuple[int, Pattern]]]] = [(counts, 0, 0, [])]
-    while stack and fewest > bound and nodes > 0:
-        left, used, wasted, made = stack.pop()
-        nodes -= 1
+    known: dict[tuple, int] = {}
+    # departures, -depth, order; then the state: histogram, bins used, waste, moves made (linked), choice to take
+    queue: list[tuple] = [(0, 0, 0, counts, 0, 0, None, 0)]
+    pushed = 0
+
+    def unrolled(made) -> list[tuple[int, Pattern]]:
+        out = []
+        while made:
+            out.append(made[0])
+            made = made[1]
+        return out
+
+    while queue and fewest > bound and seen.spent() < seen.effort:
+        departures, depth, _, left, used, wasted, made, choice = heapq.heappop(queue)
         allowed = (fewest - 1) * capacity - total - wasted
         if allowed < 0:
             continue
-        if not left:
-            incumbent, fewest = made, used
-            continue
-        # best-fit may finish what is left better than the incumbent does
-        rest = best_fit(left, capacity)
-        if used + sum(m for m, _ in rest) < fewest:
-            incumbent, fewest = [*made, *rest], used + sum(m for m, _ in rest)
+        if choice == 0:
+            seen.nodes += 1
+            if not left:
+                seen.leaves += 1
+                incumbent, fewest = unrolled(made), used
+                continue
+            state = tuple(sorted(left.items()))
+            digest = (hash(state), len(state), sum(left.values()))
+            if known.get(digest, used + 1) <= used:
+                continue
+            known[digest] = used
+            if depth % 16 == 0 or len(left) <= 32:
+                # best-fit may finish what is left better than the incumbent does
+                rest = best_fit(left, capacity)
+                if used + sum(m for m, _ in rest) < fewest:
+                    seen.leaves += 1
+                    incumbent, fewest = [*unrolled(made), *rest], used + sum(m for m, _ in rest)
+                    continue
+        else:
+            seen.turns += 1
         first = max(left)
-        others = {s: n for s, n in left.items()}
+        others = dict(left)
         others[first] -= 1
-        for room, chosen in reversed(fillings(capacity - first, others, allowed, width)):
+        # the choice-th pair of a filling and a multiplicity, and whether there is a next one
+        at, found = 0, None
+        for room, chosen in fillings(capacity - first, others, allowed, seen):
             items = (first, *chosen)
             pattern = tuple((s, items.count(s)) for s in sorted(set(items), reverse=True))
-            many = min(left[s] // k for s, k in pattern)
+            most = min(left[s] // k for s, k in pattern)
             if room:
-                many = min(many, max(1, allowed // room))
-            after = dict(left)
-            for s, k in pattern:
-                after[s] -= k * many
-            stack.append(({s: n for s, n in after.items() if n}, used + many, wasted + room * many, [*made, (many, pattern)]))
+                most = min(most, max(1, allowed // room))
+            steps = most.bit_length()
+            if choice < at + steps:
+                found = (room, pattern, max(1, most >> (choice - at)))
+                break
+            at += steps
+        if found is None:
+            continue
+        room, pattern, many = found
+        after = dict(left)
+        for s, k in pattern:
+            after[s] -= k * many
+            if not after[s]:
+                del after[s]
+        pushed += 2
+        heapq.heappush(queue, (departures, depth - 1, pushed, after, used + many, wasted + room * many, ((many, pattern), made), 0))
+        heapq.heappush(queue, (departures + 1, depth, pushed + 1, left, used, wasted, made, choice + 1))
     return incumbent
 
 
 class Units(dict):
-    """Ids of units led by a blank, as little-endian unsigned 32-bit integers; kept until there are CACHE of them."""
+    """Ids of units led by a blank, as little-endian unsigned 32-bit integers; kept as far as UNIT_BYTES reach."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE:
+        ids = array("I", self.encode(" " + unit)).tobytes()
+        self.held += 200 + len(unit) + len(ids)
+        if self.held > UNIT_BYTES:
             self.clear()
-        self[unit] = ids = array("I", self.encode(" " + unit)).tobytes()
+            self.held = 0
+        self[unit] = ids
         return ids
 
 
 class UnitTokenizer:
-    """Ids of whole texts, put together from the ids of their blank-led units.
+    """Ids of whole texts by ``tokenizers``, put together from the ids of their blank-led units.
 
     Byte-level pre-tokenisation never joins a character with a blank after it, so the units " word" can be encoded one
     by one, unless a blank stands between other white space. Such texts, texts with a special token and texts with
-    characters beyond Latin script go to the tokenizer whole. The units' ids come from the same vocabulary as ranks
-    where there is such a file, which gives the same ids faster.
+    characters beyond Latin script go to the tokenizer whole.
     """
 
     rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
@@ -173,34 +258,18 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        encode = lambda text: self.encoder.encode(text, add_special_tokens=False).ids
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.exists(ranks):
-            import public_tokenizers
-            import tiktoken
+        self.units = Units(self.encode)
 
-            with open(ranks, "rb") as lines:
-                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encode = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
-        self.encode, self.units = encode, Units(encode)
+    def encode(self, text: str) -> list[int]:
+        return self.encoder.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
         if self.rare.search(text):
-            return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")
         return array("I", self.encode(first)).tobytes() + b"".join(map(self.units.__getitem__, rest))
 
 
-_tokenizers: dict[str, UnitTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> UnitTokenizer:
-    """A worker's tokenizer for ``path``, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = UnitTokenizer(path)
-    return _tokenizers[path]
-
-
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenised pieces of at most ``capacity`` ids: row_no, doc_id, piece, start, length, ids_crc32 (and ids).
 
@@ -211,7 +280,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
     numbered, row = with_row(docs)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer_at(tokenizer)
+        encode = UnitTokenizer(tokenizer)  # of this task: a reused worker keeps nothing of it
         tail = b"" if end is None else array("I", [end]).tobytes()
         for batch in batches:
             out = []
@@ -234,7 +303,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**62), F.col("doc_id")))
 
 
-def place(pieces: DataFrame, capacity: int = 1024, nodes: int = 60) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, effort: int = EFFORT) -> DataFrame:
     """Add sequence_id and offset to settled ``pieces``; other columns stay.
 
     The histogram that goes to the driver has at most ``capacity`` rows and the table of slots that is broadcast at
@@ -243,7 +312,7 @@ def place(pieces: DataFrame, capacity: int = 1024, nodes: int = 60) -> DataFrame
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken, slots, sequence = dict.fromkeys(counts, 0), [], 0
-    for many, pattern in sorted(bin_completion(counts, capacity, nodes), key=lambda x: x[1], reverse=True):
+    for many, pattern in sorted(bin_completion(counts, capacity, effort), key=lambda x: x[1], reverse=True):
         offset = 0
         for size, each in pattern:
             slots.append((size, taken[size], taken[size] + many * each, each, sequence, offset))
