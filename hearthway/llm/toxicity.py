@@ -1,14 +1,17 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Severity grades 0..K-1 are modelled by P(grade > k) = sigmoid(w.x - t_k): one weight vector shared by ordered
-thresholds t_0 < t_1 < ...  Features are the distinct words of a text and their prefixes, hashed. The model is fitted
-on a bounded sample of labelled documents; every document is scored over its whole text.
+thresholds t_0 < t_1 < ...  Features are the distinct words of a text and their prefixes, hashed, and once more what two
+different words of the text have in common. The model is fitted on a bounded sample of labelled documents, and the
+probability from which a document counts as toxic is chosen on held-out parts of it; every document is scored over its
+whole text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +28,8 @@ MAX_ROWS = 12_000
 SPACE, MAX_FEATURES = 1 << 22, 20_000
 #: Least likelihood-ratio statistic of a feature that takes part.
 LEAST_G2 = 18.0
+#: Words whose features a task keeps.
+MOST_WORDS = 100_000
 #: Letters of the prefixes that are features.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,7 +42,9 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def text_features(text: str) -> list[int]:
-    return sorted({f for w in set(LETTERS.findall(text.lower())) for f in word_features(w)})
+    """Features of a text; SPACE is added to those of two or more of its distinct words."""
+    seen = Counter(f for w in set(LETTERS.findall(text.lower())) for f in word_features(w))
+    return sorted([*seen, *(f + SPACE for f, n in seen.items() if n > 1)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,28 +53,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """Weights by feature and ordered thresholds."""
+    """Weights by feature, ordered thresholds, and the probability above which a document is toxic."""
 
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (20.0,)
+    cut: float = 0.5
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and each threshold k."""
         return _sigmoid(score[:, None] - np.array(self.thresholds)[None, :])
 
-    def scores(self, texts: pd.Series) -> np.ndarray:
-        """w.x of each text: the weights of its distinct features."""
-        known, weights = self.__dict__.setdefault("_known", {}), self.weights
+    def scores(self, texts: pd.Series, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+        """w.x of each text: the weights of its distinct features. ``known`` keeps words between the batches of a task."""
+        known, weights = {} if known is None else known, self.weights
 
         def hits(word: str) -> tuple[int, ...]:
             found = known.get(word)
             if found is None:
-                if len(known) > 300_000:
+                if len(known) > MOST_WORDS:
                     known.clear()
-                found = known[word] = tuple(f for f in word_features(word) if f in weights)
+                found = known[word] = tuple(f for f in word_features(word) if f in weights or f + SPACE in weights)
             return found
 
-        return np.array([sum(weights[f] for f in {f for w in set(LETTERS.findall(t.lower())) for f in hits(w)}) for t in texts], dtype=float)
+        def total(text: str) -> float:
+            seen = Counter(f for w in set(LETTERS.findall(text.lower())) for f in hits(w))
+            return sum(weights.get(f, 0.0) + (weights.get(f + SPACE, 0.0) if n > 1 else 0.0) for f, n in seen.items())
+
+        return np.array([total(t) for t in texts], dtype=float)
 
     @classmethod
     def fit(cls, features: list[np.ndarray], grades: np.ndarray, steps: int = 300, l2: float = 1e-5) -> OrdinalModel:
@@ -103,6 +115,22 @@ class OrdinalModel:
         return cls({int(f): float(w) for f, w in zip(names, p[:k], strict=True)}, tuple(float(x) for x in t))
 
 
+def held_out_cut(features: list[np.ndarray], grades: np.ndarray, folds: int = 4) -> float:
+    """The probability of a grade above 0 that parts toxic rows from others best (F1) where each was left out of the fit."""
+    bad = grades > 0
+    if min(bad.sum(), (~bad).sum()) < folds:
+        return 0.5
+    p, fold = np.zeros(len(grades)), np.arange(len(grades)) % folds
+    for k in range(folds):
+        model = OrdinalModel.fit([f for f, o in zip(features, fold, strict=True) if o != k], grades[fold != k])
+        out = np.flatnonzero(fold == k)
+        p[out] = model.above(np.array([sum(model.weights.get(int(f), 0.0) for f in features[i]) for i in out], dtype=float))[:, 0]
+    cuts = np.linspace(0.05, 0.95, 37)
+    f1 = [2 * (bad & (p > c)).sum() / max(1, bad.sum() + (p > c).sum()) for c in cuts]
+    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
+    return float(cuts[best[np.abs(cuts[best] - 0.5).argmin()]])
+
+
 def screened(sample: DataFrame, least: float = LEAST_G2) -> DataFrame:
     """Features of sample(_grade, f) by likelihood-ratio statistic against grade > 0: the best MAX_FEATURES over ``least``."""
     n, b = (float(x or 0) for x in sample.agg(F.count(F.lit(1)), F.sum((F.col("_grade") > 0).cast("int"))).first())
@@ -117,13 +145,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = MA
     """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
     ``grade`` is an expression over ``labels``. Labels with a null grade or id are ignored; of several labels of a
-    document the highest grade counts. Features are screened by Spark; the driver gets the screened features of the
-    sample, MAX_FEATURES names at most.
+    document the highest grade counts; of several rows of a document the smallest text. Features are screened by Spark;
+    the driver gets the screened features of the sample, MAX_FEATURES names at most.
     """
     ship(docs.sparkSession)
     graded = labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).filter("_id is not null and _grade is not null").groupBy("_id").agg(F.max("_grade").alias("_grade"))
     chosen = graded.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_grade").agg(F.min("_text").alias("_text"))
 
     @F.pandas_udf("array<int>")
     def features(texts: pd.Series) -> pd.Series:
@@ -137,13 +165,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = MA
         return f.map(lambda x: np.asarray(x)[np.isin(x, names)])
 
     rows = held.select("_grade", kept("f").alias("f")).orderBy("_grade", "f").toPandas()
-    return OrdinalModel.fit(rows["f"].tolist(), rows["_grade"].to_numpy(dtype=np.int64))
+    known, grades = rows["f"].tolist(), rows["_grade"].to_numpy(dtype=np.int64)
+    model = OrdinalModel.fit(known, grades)
+    model.cut = held_out_cut(known, grades)
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: row_no, doc_id, p_toxic, expected_severity, grade (the likeliest), toxic.
+    """A row for each row of ``docs``: row_no, doc_id, p_toxic, expected_severity, grade (0, or the likeliest
+    above 0 of a toxic one), toxic.
 
-    A document is toxic when P(grade > 0) is over one half. A null text counts as empty; an empty text has no features
+    A document is toxic when P(grade > 0) is over the model's cut. A null text counts as empty; an empty text has no features
     and gets the prior. Repeated rows are scored each for itself; other columns are not read.
     """
     ship(docs.sparkSession)
@@ -151,12 +183,14 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, known = shared.value, {}
         for batch in batches:
-            scores = model.scores(batch["text"])
+            scores = model.scores(batch["text"], known)
             above = model.above(scores)
             each = -np.diff(np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))]))
-            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "p_toxic": above[:, 0], "expected_severity": above.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32), "toxic": above[:, 0] > 0.5})
+            toxic = above[:, 0] > model.cut
+            grade = np.where(toxic, 1 + each[:, 1:].argmax(axis=1), 0).astype(np.int32)
+            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "p_toxic": above[:, 0], "expected_severity": above.sum(axis=1), "grade": grade, "toxic": toxic})
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(run, "row_no long, doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
@@ -173,8 +207,10 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.above(shared.value.scores(texts))[:, 0] > 0.5)
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, known = shared.value, {}
+        for texts in batches:
+            yield pd.Series(model.above(model.scores(texts, known))[:, 0] > model.cut)
 
     return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))
 
