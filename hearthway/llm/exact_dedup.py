@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_rows, settle, settled_rows, shared_dir, spread_join, with_row
+from .bloom import BlockedBloom
+from .common import delete, settle, shared_dir, ship, spread_join, unused, with_row
 
 INDEX_SCHEMA = "text_sha256 string, keep_id long, keep_row long, batch string"
 
@@ -35,6 +37,12 @@ class DigestIndex:
         writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
+    def drop(self) -> None:
+        """Remove the index: its table and, where it has a path of its own, the files there."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.path:
+            delete(self.spark, self.path)
+
     def admit(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
         """Judge ``docs`` and append their new digests.
 
@@ -63,16 +71,41 @@ def scratch_index(spark: SparkSession, buckets: int | None = None) -> DigestInde
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "all", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with their columns."""
-    index = index or scratch_index(docs.sparkSession)
-    numbered, row = settled_rows(docs)
-    judged = index.admit(numbered, batch, id_col, text_col, row)
-    return drop_rows(numbered, row, settle(judged.filter("not kept").select("row_no"), "copies"))
+    """The rows of ``docs`` that stay, one for each text, with their columns.
+
+    A row is known by its text's digest and its id, which hold for every read. Where several rows that are equal in both
+    would stay, one of them does. Only rows that a Bloom filter lets through, those that go or are not alone, are shuffled.
+    """
+    ship(docs.sparkSession)
+    own_index = index or scratch_index(docs.sparkSession)
+    judged = settle(own_index.admit(docs, batch, id_col, text_col).select("text_sha256", "doc_id", "kept"), "exact-verdicts")
+    if index is None:
+        own_index.drop()
+    sha, own, known_sha, known_id = (unused(docs, x) for x in ("sha", "sha_id", "known_sha", "known_id"))
+    each = judged.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept")
+    each = settle(each.select(F.col("text_sha256").alias(known_sha), F.col("doc_id").alias(known_id), F.col("kept").alias("_kept")).withColumn("_k", F.xxhash64(known_sha, known_id)), "exact-copies")
+    words = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(each, "_k").words)
+
+    @F.pandas_udf("boolean")
+    def judged_so(hashes: pd.Series) -> pd.Series:
+        return pd.Series(BlockedBloom(words.value).passes(hashes.to_numpy()))
+
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).withColumn(own, F.col(id_col).cast("long"))
+    maybe = judged_so(F.xxhash64(F.xxhash64(sha, own)))
+    fits = (F.col(sha) == F.col(known_sha)) & F.col(own).eqNullSafe(F.col(known_id))
+    open_ = rows.filter(maybe)
+    alone = open_.join(each.select(known_sha, known_id), fits, "left_anti")
+    several = open_.join(each.filter("_kept").select(known_sha, known_id), fits, "left_semi").dropDuplicates([sha])
+    kept = rows.filter(~maybe).unionByName(alone).unionByName(several)
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scratch_index(spark).admit(docs, "all").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index = scratch_index(spark)
+    judged = index.admit(docs, "all").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index.drop()  # the answer is in tables of its own
+    return judged
 
 
 OP1_SQL = """
