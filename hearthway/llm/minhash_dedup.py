@@ -6,8 +6,9 @@ them, and full shingle sets confirm them. Equal sets are one node from the start
 
 Candidates of a bucket of near-copies are not all paired. First each member meets the bucket's smallest member; links
 are confirmed and united. Only buckets that still hold several components go on: blocks of bounded size compare
-registers, and forward a best-first forest over the pairs of different components, then, once those are decided,
-every pair of different components that is left. So no link is lost, and most pairs are never made.
+registers, and forward a best-first forest over the pairs of different components. Members that may still link different
+components after that meet once more with their full sets, and the task itself decides. So no link is lost, and no task
+puts out more pairs than it has members.
 """
 
 from __future__ import annotations
@@ -113,6 +114,12 @@ def sketches(numbered: DataFrame, row: str, k: int, mantissa: int, size: int, id
     return source.mapInPandas(run, "row_no long, doc_id long, n_shingles long, digest binary, registers binary")
 
 
+def _both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Settled pairs (a, b) with ``column`` of both; a hub that many pairs share is split over several tasks."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).join(nodes.withColumnsRenamed({"node": "a", column: "one"}), "a")
+    return spread_join(pairs, hubs, ["a"], "_n", F.col("b")).drop("_n").join(nodes.withColumnsRenamed({"node": "b", column: "two"}), "b")
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float, k: int, mantissa: int) -> DataFrame:
     """Pairs (a, b) whose estimate is at least ``floor``."""
 
@@ -123,8 +130,11 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float, k: int, mantiss
         x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), k) for s in (one, two))
         return pd.Series(corrected((x == y).mean(axis=1), k, mantissa) >= floor)
 
-    both = pairs.join(nodes.withColumnsRenamed({"node": "a", "registers": "ra"}), "a").join(nodes.withColumnsRenamed({"node": "b", "registers": "rb"}), "b")
-    return both.filter(near("ra", "rb")).select("a", "b")
+    return _both(pairs, nodes, "registers").filter(near("one", "two")).select("a", "b")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -132,61 +142,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def common(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True)) for a, b in zip(one, two, strict=True)], dtype="int64")
+        return pd.Series([_common(a, b) for a, b in zip(one, two, strict=True)], dtype="int64")
 
-    sized = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
-    n = (F.octet_length("sa") + F.octet_length("sb")) / 8
-    both = sized.withColumn("both", common("sa", "sb"))
+    n = (F.octet_length("one") + F.octet_length("two")) / 8
+    both = _both(pairs, sets, "set").withColumn("both", common("one", "two"))
     return both.filter(100 * F.col("both") >= threshold * (n - F.col("both"))).select("a", "b")
 
 
-def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int, forest: bool) -> DataFrame:
-    """Pairs of different components in blocks of members(key, band, x, y, side, node, component, registers).
+class _Union(dict):
+    """Groups of components within a task."""
+
+    def top(self, c: int) -> int:
+        while self.setdefault(c, c) != c:
+            self[c] = self[self[c]]
+            c = self[c]
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
 
-    A pair that shares several bands is looked at in the first of them only, so it comes up once.
+def _near_rows(x: np.ndarray, row: np.ndarray, floor: float, k: int, mantissa: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of registers ``x`` are near ``row`` by the estimate, and those estimates."""
+    equal = np.ascontiguousarray(x == row).view(np.uint64).sum(axis=1)  # eight counts of at most k / 8 in each number
+    est = corrected(equal.view(np.uint8).reshape(len(x), 8).sum(axis=1) / k, k, mantissa)
+    near = np.flatnonzero(est >= floor)
+    return near, est[near]
+
+
+def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int, threshold: int, how: str) -> DataFrame:
+    """What (a, b) is found in blocks of members(key, band, x, y, side, node, component, registers), over different components.
+
+    ``how`` is "forest": a best-first forest of the pairs that pass the estimate; "open": the members of such pairs, each
+    with itself; "verify": a forest of the pairs whose sets (members bring ``set``) confirm it. A pair that shares
+    several bands is looked at in the first of them only. No task puts out more rows than it has members.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf[pdf["side"] <= 1].sort_values("node")
         two = pdf[pdf["side"] >= 1].sort_values("node")
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        same, here = one["side"].iat[0] == 1, int(pdf["band"].iat[0])
-        x, y = (np.frombuffer(b"".join(p["registers"]), dtype=np.uint16).reshape(len(p), k) for p in (one, two))
-        na, nb, ca, cb = (p[c].to_numpy() for c in ("node", "component") for p in (one, two))
-        found = []
-        for i in range(len(x)):
-            other = np.flatnonzero((cb != ca[i]) & ((nb > na[i]) if same else (nb != na[i])))
-            equal = y[other] == x[i]
-            est = corrected(equal.mean(axis=1), k, mantissa)
-            near = est >= floor
-            first = equal[near].reshape(-1, k // band, band).all(axis=2).argmax(axis=1) == here
-            j = other[near][first]
-            found.append(np.column_stack([est[near][first], np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j]), np.full(len(j), ca[i]), cb[j]]).astype(object) if len(j) else np.empty((0, 5), dtype=object))
-        edges = np.concatenate(found)
-        if forest:
-            root: dict[int, int] = {}
-
-            def top(c: int) -> int:
-                while root.setdefault(c, c) != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            kept = []
-            for e in sorted(edges.tolist(), key=lambda e: (-e[0], e[1], e[2])):
-                a, b = top(e[3]), top(e[4])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    kept.append(e[1:3])
-            return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-        return pd.DataFrame(edges[:, 1:3], columns=["a", "b"]).astype("int64")
+        found: list[tuple] = []
+        if len(one) and len(two):
+            same, here = one["side"].iat[0] == 1, int(pdf["band"].iat[0])
+            x, y = (np.frombuffer(b"".join(p["registers"]), dtype=np.uint16).reshape(len(p), k) for p in (one, two))
+            na, nb, ca, cb = (p[c].to_numpy() for c in ("node", "component") for p in (one, two))
+            for i in range(len(x)):
+                near, est = _near_rows(y, x[i], floor, k, mantissa)
+                keep = (cb[near] != ca[i]) & ((nb[near] > na[i]) if same else (nb[near] != na[i]))
+                near, est = near[keep], est[keep]
+                if len(near):
+                    first = (y[near] == x[i]).reshape(-1, k // band, band).all(axis=2).argmax(axis=1) == here
+                    found.extend((-e, min(na[i], nb[j]), max(na[i], nb[j]), i, j) for e, j in zip(est[first].tolist(), near[first].tolist(), strict=True))
+        if how == "open":
+            nodes = sorted({n for f in found for n in f[1:3]})
+            return pd.DataFrame({"a": nodes, "b": nodes}, dtype="int64")
+        groups, kept = _Union(), []
+        sa, sb = (one["set"].to_numpy(), two["set"].to_numpy()) if how == "verify" else (None, None)
+        for e in sorted(found):
+            i, j = e[3:]
+            if groups.top(int(ca[i])) == groups.top(int(cb[j])):
+                continue
+            if how == "verify":
+                both = _common(sa[i], sb[j])
+                if 100 * both < threshold * ((len(sa[i]) + len(sb[j])) // 8 - both):
+                    continue
+            groups.join(int(ca[i]), int(cb[j]))
+            kept.append(e[1:3])
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     # a stated number of partitions is not coalesced, so the comparisons spread over all tasks
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return members.repartition(parts, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
+def _dealt(placed: DataFrame, block: int) -> DataFrame:
+    """Members of buckets that hold several components, once for each pair of blocks: key, band, node, component, x, y, side."""
+    mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "mixed-buckets")
+    members = spread_join(placed, mixed, ["key"], "m", F.col("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
+    return paired.select("key", "band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
+
+
 def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """A row for each row of ``docs``: row_no, doc_id, n_shingles, component_id, component (a row number of the group).
 
@@ -229,24 +268,24 @@ def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGIST
     if not row_col:
         forget(numbered)
 
-    star = bucketed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = [settle(_confirmed(_estimated(star, held, floor, k, mantissa), sets, threshold), "links")]
-    tried = [star]
-    for forest in (True, False):
+    star = settle(bucketed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    near = settle(_estimated(star, held, floor, k, mantissa), "pairs")
+    links = [settle(_confirmed(near, sets, threshold), "links")]
+
+    def placed(of: DataFrame) -> DataFrame:
         found = components(reduce(DataFrame.unionByName, links))
-        placed = bucketed.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", "in_key", F.coalesce("component", "node").alias("component"))
-        placed = settle(placed, "bucket-components")
-        mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "mixed-buckets")
-        members = spread_join(placed.drop("in_key"), mixed, ["key"], "m", F.col("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-        paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
-        dealt = paired.select("key", "band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
-        dealt = dealt.join(held, "node")
-        pairs = _across(dealt, floor, k, mantissa, band, forest)
-        pairs = settle(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
-        links.append(settle(_confirmed(pairs, sets, threshold), "links"))
-        tried.append(pairs)
-        forget(placed)
+        joined = of.join(found.withColumnRenamed("id", "node"), "node", "left")
+        return settle(joined.select("key", "band", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
+
+    forest = settle(_across(_dealt(placed(bucketed), block).join(held, "node"), floor, k, mantissa, band, threshold, "forest"), "pairs")
+    links.append(settle(_confirmed(forest.join(star, ["a", "b"], "left_anti"), sets, threshold), "links"))
+    # what may still link different components is decided where its members meet, so that no pair is put out undecided
+    rest = placed(bucketed)
+    undecided = settle(_across(_dealt(rest, block).join(held, "node"), floor, k, mantissa, band, threshold, "open").select(F.col("a").alias("node")).distinct(), "open-nodes")
+    members = _dealt(rest.join(undecided, "node", "left_semi"), block).join(held, "node").join(sets, "node")
+    links.append(settle(_across(members, floor, k, mantissa, band, threshold, "verify"), "links"))
+    for done in (star, near, forest, rest, undecided, bucketed, held, sets):
+        forget(done)
     found = components(reduce(DataFrame.unionByName, links))
     classes = nodes.select("digest", "node", "least", "many").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
