@@ -1,8 +1,11 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page scores its containers and votes for the generalised tag-class path of the best. Spark counts the votes by
-host, and every page is extracted again from the container on its host's winning path; a page without that container
-uses its own best.
+host, and every page is extracted again from the container on its host's winning path; a page without that container,
+or without a host, uses its own best.
+
+Words of classes and ids only lower a container's score. Below the winner, what they mark is left out where the winner
+holds other text beside it; inline elements are never left out and never part a block.
 """
 
 from __future__ import annotations
@@ -21,136 +24,265 @@ from .url_filter import url_parts
 #: Hosts whose winning paths are broadcast; with more the pages are joined to them by a shuffle.
 BROADCAST_HOSTS = 20_000
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[/a-zA-Z][^<>]*\Z""", re.S)
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-HOLDERS = frozenset("html body div article main section td table tbody tr center figure details".split())
-NEVER = frozenset("nav footer aside form button select menu dialog head object video audio canvas".split())
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of a class or id that mark what is not the article.
-MARKS = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|widget\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|foot|masthead|cookies?|consent|notices?|notification|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|discussion|respond|repl(?:y|ies)|pagination|pager|toolbar|login|search)(?![a-z])")
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+VOID = _words("area base br col embed hr img input link meta param source track wbr")
+#: Elements whose content is no text of the page; up to their end tag nothing is read.
+RAW = _words("script style textarea title noscript iframe template svg button select object video audio canvas")
+INLINE = _words("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input")
+HOLDERS = _words("html body div article main section td table tbody tr center figure details form")
+HEAD = _words("meta link title style script base noscript template head")
+ITEMS = {"li": _words("ul ol"), "dt": _words("dl"), "dd": _words("dl"), "tr": _words("table"), "td": _words("table"), "th": _words("table")}
+#: Elements and roles that are no part of an article, wherever they stand below the winner.
+ASIDE = _words("nav footer aside menu dialog head")
+ROLES = _words("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar")
+
+PLAIN, WEAK, STRONG, NEVER = range(4)
+#: What a mark leaves of a container's score, and what may stand beside a marked container, as a share of its letters,
+#: for it to be the article's holder and stay.
+FACTOR, BESIDE = (1.0, 0.3, 0.05, 0.05), (0.0, 1.0, 0.02, -1.0)
+STRONG_WORDS = _words("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup newsletter signup related recommended recommendation recommendations comment comments commentlist disqus pagination pager toolbar login promo promos promotion notice notices notification")
+WEAK_WORDS = _words("side widget widgets modal overlay share sharing social search subscribe subscription respond reply replies discussion foot")
+#: Parts of a name that say nothing of their own beside such words.
+NEUTRAL = _words("box bar block wrap wrapper container list area section inner outer left right top bottom site page main post posts article articles entry links link item items icons panel unit slot zone row col primary secondary global user reader text title thread form policy message buttons tools in the and")
+HEADER_PARTS = _words("site page top global main header")
 HINTS = re.compile(r"(?:^|[^a-z])(?:content|article|post|entry|story|main|body|text)(?![a-z])")
 
 
-def _close(stack: list, tag: str, stop: frozenset) -> None:
-    """Pop up to the nearest open ``tag``, but not past one of ``stop``."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
-        if stack[i][0] in stop:
-            return
+def mark_of(names: str, inside: bool) -> int:
+    """PLAIN, WEAK or STRONG for the names of a class and an id; ``inside`` an article or main element.
+
+    A name marks if all its parts are words of the lists, neutral ones or numbers: "ad-box" does, "market-share" does not.
+    """
+    found = PLAIN
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x and not (len(x) == 1 and x == "x")]
+        if not parts:
+            continue
+        strong, weak = not STRONG_WORDS.isdisjoint(parts), not WEAK_WORDS.isdisjoint(parts)
+        if (strong or weak) and all(x in STRONG_WORDS or x in WEAK_WORDS or x in NEUTRAL for x in parts):
+            if inside and parts == ["discussion"]:
+                continue
+            found = max(found, STRONG if strong else WEAK)
+        elif not inside and "header" in parts and HEADER_PARTS.issuperset(parts):
+            found = STRONG
+    return found
+
+
+class Page:
+    """The text blocks of a page in order and the tree of containers they stand in.
+
+    Node 0 and path 0 are the page itself. Each node has a parent, a path, a mark and letters; nodes of the same path
+    (tag and first class of every container above) share its number. All lists are built in one walk, in linear time.
+    """
+
+    def __init__(self, html: str):
+        self.blocks: list[tuple[int, str, int]] = []  # node, text, letters in links
+        self.parent, self.path, self.mark, self.holds = [0], [0], [PLAIN], [True]
+        self.steps, self.paths, self.above = [""], {}, [0]
+        self._walk(html)
+        self.letters = [0] * len(self.parent)
+        for node, text, links in self.blocks:
+            self.letters[node] += max(0, len(text) - links)
+        for n in range(len(self.parent) - 1, 0, -1):
+            self.letters[self.parent[n]] += self.letters[n]
+
+    def _walk(self, html: str) -> None:
+        stack: list[tuple[str, int]] = []  # tag, node that holds what is in it
+        places: dict[str, list[int]] = {}  # where each tag stands in the stack
+        walls: list[int] = []  # where the holders stand
+        endless: set[str] = set()
+        parts: list[str] = []
+        node = links = at = 0
+
+        def flush() -> None:
+            nonlocal links
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    self.blocks.append((node, text, min(links, len(text))))
+                parts.clear()
+            links = 0
 
+        def close(tag: str, floor: int = -1) -> None:
+            """Pop up to the nearest open ``tag`` if it stands above ``floor``."""
+            nonlocal node
+            where = places.get(tag)
+            if not where or where[-1] < floor:
+                return
+            upto = where[-1]
+            while len(stack) > upto:
+                gone, _ = stack.pop()
+                places[gone].pop()
+            while walls and walls[-1] >= upto:
+                walls.pop()
+            node = stack[-1][1] if stack else 0
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Text blocks of a page in order, without what is marked as no part of an article: (container path, text, link letters)."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, step of the path if it is a holder, skipped
-    parts: list[str] = []
-    links = at = 0
-
-    def flush() -> None:
-        nonlocal links
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append((tuple(s for _, s, _ in stack if s), text, links))
-        parts.clear()
-        links = 0
-
-    def say(raw: str) -> None:
-        nonlocal links
-        if raw and not (stack and stack[-1][2]):
+        def say(raw: str) -> None:
+            nonlocal links
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack[-4:]):
+            if places.get("a"):
                 links += len(text)
 
-    while at < len(html):
-        m = TAG.search(html, at)
-        if m is None:
-            say(html[at:])
-            break
-        say(html[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in RAW:
-            if not m[1]:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            continue
-        if tag not in INLINE:
-            flush()
-        elif tag == "br":
-            parts.append(" ")
-            continue
-        if m[1]:
-            _close(stack, tag, frozenset() if tag in HOLDERS or tag in NEVER else HOLDERS)
-            continue
-        if tag in VOID or m[3].endswith("/") and tag in INLINE:
-            continue
-        if tag not in INLINE:
-            _close(stack, "p", HOLDERS)
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                _close(stack, tag, frozenset(("ul", "ol", "dl", "table")))
-        skip = bool(stack and stack[-1][2])
-        step = None
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        attrs = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTR.findall(m[3])} if "=" in m[3] else {}
-        named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if tag in NEVER or tag == "header" and not inside or attrs.get("role") in ROLES or "hidden" in m[3].lower().split():
-            skip = True
-        elif tag not in ("html", "body", "main", "article") and named != " " and (MARKS.search(named) or not inside and re.search(r"(?:^|[^a-z])(?:site|page|top)?-?header(?![a-z])", named)):
-            skip = True
+        while at < len(html):
+            m = TAG.search(html, at)
+            if m is None:
+                say(html[at:])
+                break
+            if m.start() > at:
+                say(html[at : m.start()])
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                continue
+            if tag in RAW:
+                if not m[1]:
+                    end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    if end:
+                        at = end.end()
+                    else:  # never closed: a script has no text in it, of others only the text up to the next tag is theirs
+                        endless.add(tag)
+                        after = -1 if tag in ("script", "style") else html.find("<", at)
+                        at = after if after >= 0 else len(html)
+                continue
+            if tag == "br":
+                parts.append(" ")
+                continue
+            inline = tag in INLINE
+            if not inline:
+                flush()
+            if m[1]:
+                close(tag, -1 if tag in HOLDERS or tag in ASIDE else walls[-1] if walls else -1)
+                continue
+            if tag in VOID or inline and m[3].endswith("/"):
+                continue
+            if inline:
+                places.setdefault(tag, []).append(len(stack))
+                stack.append((tag, node))
+                continue
+            if tag not in HEAD and places.get("head"):
+                close("head")
+            close("p", walls[-1] if walls else -1)
+            if tag in ITEMS:
+                close(tag, max((places[t][-1] for t in ITEMS[tag] if places.get(t)), default=-1))
+            self._open(tag, m[3], node, bool(places.get("article") or places.get("main")))
+            if len(self.parent) > self._last:
+                node = self._last
+            places.setdefault(tag, []).append(len(stack))
+            if tag in HOLDERS:
+                walls.append(len(stack))
+            stack.append((tag, node))
+        flush()
+
+    def _open(self, tag: str, attributes: str, node: int, inside: bool) -> None:
+        """A node for an element that is a step of the path or marked; ``_last`` is the node that holds its content."""
+        mark, attrs = PLAIN, {}
+        if "=" in attributes:
+            attrs = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTR.findall(attributes)}
+        if tag in ASIDE or tag == "header" and not inside or attrs.get("role") in ROLES or "hidden" in attributes.lower().split():
+            mark = NEVER
+        elif tag not in ("html", "body", "main", "article") and (attrs.get("class") or attrs.get("id")):
+            mark = mark_of(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
+        elif tag == "article" and attrs.get("class"):
+            mark = mark_of(attrs["class"], inside)
+        if tag == "form" and mark < WEAK:
+            mark = WEAK
+        step = ""
         if tag in HOLDERS:
             first = attrs.get("class", "").split()
-            step = tag + ("." + re.sub(r"\d+", "#", first[0]) if first else "#" + re.sub(r"\d+", "#", attrs["id"]) if "id" in attrs else "")
-        if skip and not (stack and stack[-1][2]):
-            flush()
-        stack.append((tag, step, skip))
-    flush()
-    return out
-
-
-def best_path(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float]:
-    """The path that scores best on a page, and its score: letters outside links, of all blocks below it.
+            step = tag + ("." + re.sub(r"\d+", "#", first[0]) if first else "#" + "_".join(re.sub(r"\d+", "#", attrs["id"]).split()) if attrs.get("id") else "")
+        if not step and not mark:
+            self._last = node
+            return
+        path = self.path[node]
+        if step:
+            path = self.paths.setdefault((path, step), len(self.steps))
+            if path == len(self.steps):
+                self.steps.append(step)
+                self.above.append(self.path[node])
+        self.parent.append(node)
+        self.path.append(path)
+        self.mark.append(mark)
+        self.holds.append(bool(step))
+        self._last = len(self.parent) - 1
 
-    Each level up costs a little, so the innermost container of the whole text wins; article, main and telling class
-    names count more.
-    """
-    scores: dict[tuple[str, ...], float] = {}
-    for path, text, links in found:
-        worth = max(0, len(text) - 2 * links) + 5 * text.count(",")
-        for n in range(len(path), 0, -1):
-            scores[path[:n]] = scores.get(path[:n], 0.0) + worth * 0.97 ** (len(path) - n)
-    if not scores:
-        return "", 0.0
+    def best(self) -> tuple[str | None, float]:
+        """The path that scores best, and its score; (None, 0) without text.
 
-    def weighed(path: tuple[str, ...]) -> float:
-        last = path[-1]
-        return scores[path] * (1.6 if last.split(".")[0].split("#")[0] in ("article", "main") else 1.3 if HINTS.search(last) else 1.0)
+        A block is worth its letters outside links and its commas, less by the marks above it. Each level up costs a
+        little, so the innermost container of the whole text wins; article, main and telling class names count more.
+        """
+        if not self.blocks:
+            return None, 0.0
+        factor = [1.0] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            factor[n] = max(factor[self.parent[n]] * FACTOR[self.mark[n]], 1e-6)
+        scores = [0.0] * len(self.steps)
+        for node, text, links in self.blocks:
+            scores[self.path[node]] += (max(0.01, len(text) - 2 * links) + 5 * text.count(",")) * factor[node]
+        for p in range(len(self.steps) - 1, 0, -1):
+            scores[self.above[p]] += 0.97 * scores[p]
+        top, most = 0, -1.0
+        for p, step in enumerate(self.steps):
+            name = step.split(".")[0].split("#")[0]
+            weighed = scores[p] * (1.6 if name in ("article", "main") else 1.3 if HINTS.search(step) else 1.0)
+            if weighed > most:
+                top, most = p, weighed
+        names = []
+        while top:
+            names.append(self.steps[top])
+            top = self.above[top]
+        return " ".join(reversed(names)), most
 
-    top = max(sorted(scores), key=weighed)
-    return " ".join(top), weighed(top)
+    def find(self, path: str) -> int | None:
+        """The number of a path on this page."""
+        at: int | None = 0
+        for step in path.split():
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
 
+    def text_on(self, path: str | None) -> str:
+        """The blocks below ``path``, else below the page's own best path, without what is marked there."""
+        if not self.blocks:
+            return ""
+        wanted = None if path is None else self.find(path)
+        chosen = self._below(wanted) if wanted is not None else []
+        if not chosen:
+            chosen = self._below(self.find(self.best()[0] or "") or 0)
+        return "\n\n".join(chosen)
 
-def text_on(found: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
-    """All blocks below ``path``, else below the page's own best path."""
-    wanted = tuple(path.split())
-    chosen = [text for p, text, _ in found if p[: len(wanted)] == wanted] if wanted else []
-    if not chosen:
-        wanted = tuple(best_path(found)[0].split())
-        chosen = [text for p, text, _ in found if p[: len(wanted)] == wanted]
-    return "\n\n".join(chosen)
+    def _below(self, wanted: int) -> list[str]:
+        inside, out = [wanted == 0], [False]
+        every = 0 if wanted else self.letters[0]
+        for n in range(1, len(self.parent)):
+            if wanted and self.path[n] == wanted and self.holds[n]:
+                every += self.letters[n]
+        for n in range(1, len(self.parent)):
+            up = self.parent[n]
+            if inside[up]:
+                inside.append(True)
+                kept = self.mark[n] == PLAIN or every - self.letters[n] <= BESIDE[self.mark[n]] * self.letters[n]
+                out.append(out[up] or not kept)
+            else:
+                inside.append(self.path[n] == wanted and self.holds[n])
+                out.append(False)
+        return [text for node, text, _ in self.blocks if inside[node] and not out[node]]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each row of ``pages``: row_no, page_id, url, text, n_chars (code points).
 
-    A null html counts as empty and gives an empty text; a null url, or one without a host, votes with the others of its
-    kind. Ties between paths go to the higher score, then to the greater path. Other columns are not read.
+    A null html counts as empty and gives an empty text; an empty table gives no rows. A page whose url is null or has no
+    host neither votes nor follows a vote. Ties between paths go to the higher score, then to the greater path. Repeated
+    rows vote and are extracted each for itself. Other columns are not read.
     """
     ship(pages.sparkSession)
     numbered, row = with_row(pages)
@@ -159,22 +291,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = [best_path(blocks(h)) for h in batch["html"]]
+            best = [Page(h).best() for h in batch["html"]]
             yield pd.DataFrame({"host": batch["host"], "path": [p for p, _ in best], "score": [s for _, s in best]})
 
-    votes = source.select("host", "html").mapInPandas(vote, "host string, path string, score double")
+    votes = source.filter("host <> ''").select("host", "html").mapInPandas(vote, "host string, path string, score double")
     tally = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
-    order = F.struct((F.col("path") != "").alias("some"), F.col("votes"), F.col("score"), F.col("path"))
+    order = F.struct(F.col("path").isNotNull().alias("some"), F.col("votes"), F.col("score"), F.col("path"))
     winners = settle(tally.groupBy("host").agg(F.sum("votes").alias("n"), F.max(order).getField("path").alias("path")), "html-paths")
 
     @F.pandas_udf("string")
     def again(htmls: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([text_on(blocks(h), p) for h, p in zip(htmls, paths, strict=True)])
+        return pd.Series([Page(h).text_on(p) for h, p in zip(htmls, paths, strict=True)], dtype=object)
 
     if winners.count() <= BROADCAST_HOSTS:
-        joined = source.join(F.broadcast(winners), "host")
+        joined = source.join(F.broadcast(winners), "host", "left")
     else:
-        joined = spread_join(source, winners, ["host"], "n", F.col("row_no"))
+        alone = source.filter("host = ''").withColumn("path", F.lit(None).cast("string"))
+        joined = spread_join(source.filter("host <> ''"), winners, ["host"], "n", F.col("row_no")).drop("n").unionByName(alone)
     out = joined.select("row_no", "page_id", "url", again("html", "path").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
