@@ -3,6 +3,9 @@
 A gear rolling hash cuts each text where the hash of the last 32 bytes is small, so the cuts depend on nearby content
 alone and settle again soon after an insertion. Chunks are deduplicated by digest over the whole corpus: the first
 occurrence (smallest document, then position) stays. Runs of repeated chunks make up the repeated passages.
+
+An exact check follows: each run is extended on both sides by the bytes that also equal the text around the place where
+its first and its last chunk stay, and is a passage if it then has more than 50 words.
 """
 
 from __future__ import annotations
@@ -12,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, settled_rows, ship, spread_join, unused, with_row
+from .bloom import BlockedBloom
+from .common import forget, settle, settled_rows, ship, spread_join, unused, with_row
 
-#: Bytes of a chunk at least, and on average beyond that; bytes of a repeated passage at least.
-LEAST, MEAN, PASSAGE = 16, 24, 100
+#: Bytes of a chunk at least, on average beyond that, and at most (but for the end of its last character).
+LEAST, MEAN, MOST = 16, 24, 128
+#: Bytes that the chunks of a run must hold for it to be extended, words that a passage has at least.
+RUN, WORDS = 64, 51
 
 
 def _gear() -> np.ndarray:
@@ -42,64 +48,207 @@ def gear_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes, least: int = LEAST, mean: int = MEAN) -> list[int]:
-    """Where the chunks of ``data`` end: after each byte whose hash is below 2**32 / mean and ``least`` bytes on."""
+def chunk_ends(data: bytes, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
+    """Where the chunks of UTF-8 ``data`` end: after each byte whose hash is below 2**32 / mean and ``least`` bytes on.
+
+    A chunk without such a byte ends after ``most``. An end within a character moves behind it.
+    """
     if not data:
         return []
     cuts = (np.flatnonzero(gear_hashes(data) < np.uint32(2**32 // mean)) + 1).tolist()
-    ends, at = [], 0
-    for c in cuts:
-        if c - at >= least:
+    ends, at, size = [], 0, len(data)
+    for c in [*cuts, size]:
+        while c - at > most:
+            at += most
+            while at < size and data[at] & 0xC0 == 0x80:
+                at += 1
+            ends.append(at)
+        if c - at >= least and c < size:
+            while c < size and data[c] & 0xC0 == 0x80:
+                c += 1
             ends.append(c)
             at = c
-    if at < len(data):
-        ends.append(len(data))
+    if at < size:
+        ends.append(size)
     return ends
 
 
-def chunks(docs: DataFrame, least: int = LEAST, mean: int = MEAN, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """row_no, doc_id, ends (byte offsets in UTF-8) and digests of the chunks of each text."""
+def chunks(docs: DataFrame, least: int = LEAST, mean: int = MEAN, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row_no, doc_id, t1 and t2 (digest of the text), starts and ends (bytes of UTF-8), d1 and d2 (digests) of the chunks."""
     ship(docs.sparkSession)
     numbered, row = (docs, row_col) if row_col else with_row(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ends, digests = [], []
+            whole, starts, ends, digests = [], [], [], []
             for text in batch["text"]:
                 data = text.encode()
-                e = chunk_ends(data, least, mean)
-                d = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *e], e, strict=False)]
+                e = chunk_ends(data, least, mean, most)
+                s = [0, *e[:-1]] if e else []
+                starts.append(np.array(s, dtype=np.int32))
                 ends.append(np.array(e, dtype=np.int32))
-                digests.append(np.array(d, dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "ends": ends, "digests": digests})
+                digests.append(_halves([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(s, e, strict=True)]))
+                whole.append(xxhash.xxh3_128_digest(data))
+            texts = _halves(whole)
+            yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "t1": texts[0], "t2": texts[1], "starts": starts, "ends": ends, "d1": [d[0] for d in digests], "d2": [d[1] for d in digests]})
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(run, "row_no long, doc_id long, ends array<int>, digests array<long>")
+    return source.mapInPandas(run, "row_no long, doc_id long, t1 long, t2 long, starts array<int>, ends array<int>, d1 array<long>, d2 array<long>")
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, **how) -> DataFrame:
-    """A row for each run of repeated chunks of at least ``passage`` bytes.
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """Two rows of 64-bit numbers from digests of 16 bytes."""
+    return np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T.copy()
 
-    row_no, doc_id, start and length (bytes of UTF-8), n_chunks, copies (occurrences of its rarest chunk), removed (the
-    passage stays elsewhere) and keep_doc_id (a document where it stays). A run holds only chunks that stay here, or only
-    chunks that stay elsewhere. Null and empty texts have no chunks; repeated rows repeat each other's passages. Digests
-    have 64 bits: two different chunks share one with a probability of about 1e-7 for each chunk of a 100 TB corpus, and
-    a passage needs several in a row.
-    """
-    table = settle(chunks(docs, **how), "chunks")
-    seen = table.select("row_no", "doc_id", F.posexplode("digests").alias("pos", "digest"))
-    first = F.min(F.struct("doc_id", "row_no", "pos")).alias("first")
-    repeated = settle(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1"), "chunk-repeats")
-    found = spread_join(seen, repeated, ["digest"], "n", F.hash("row_no", "pos"))
-    away = (F.col("row_no") != F.col("first.row_no")) | (F.col("pos") != F.col("first.pos"))
-    found = found.select("row_no", "pos", "n", away.alias("removed"), F.col("first.doc_id").alias("keep_doc_id"))
+
+def _passing(keys: DataFrame, key: str):
+    """A filter for hashes of values that are among ``keys``, of bounded size: some others pass it as well."""
+    words = keys.sparkSession.sparkContext.broadcast(BlockedBloom.build(keys, key).words)
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(BlockedBloom(words.value).passes(hashes.to_numpy()))
+
+    return may
+
+
+def repeated_chunks(table: DataFrame) -> DataFrame:
+    """A row for each occurrence of a chunk that occurs more than once: row_no, start, end, n, removed, keep_doc_id,
+    keep_row and keep_start (where it stays)."""
+    each = table.select("row_no", "doc_id", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"), F.col("d1").alias("d1"), F.col("d2").alias("d2"))))
+    # half a digest tells most single chunks apart, so that only what may be repeated is shuffled with its place
+    twice = settle(each.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1"), "chunk-twice")
+    may = _passing(twice, "d1")
+    maybe = settle(each.filter(may(F.xxhash64("d1"))), "chunk-maybe")
+    first = F.min(F.struct("doc_id", "row_no", "start")).alias("first")
+    repeated = settle(maybe.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1"), "chunk-repeats")
+    found = spread_join(maybe, repeated, ["d1", "d2"], "n", F.hash("row_no", "start"))
+    away = (F.col("row_no") != F.col("first.row_no")) | (F.col("start") != F.col("first.start"))
+    found = found.select("row_no", "start", "end", "n", away.alias("removed"), F.col("first.doc_id").alias("keep_doc_id"), F.col("first.row_no").alias("keep_row"), F.col("first.start").alias("keep_start"))
     # a document's chunks meet in one task: they are no more than its text has
-    island = F.col("pos") - F.row_number().over(W.partitionBy("row_no", "removed").orderBy("pos"))
-    runs = found.withColumn("island", island).groupBy("row_no", "removed", "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.min("n").alias("copies"), F.min("keep_doc_id").alias("keep_doc_id"))
-    runs = runs.join(table.select("row_no", "doc_id", "ends"), "row_no")
-    start = F.when(F.col("a") > 0, F.element_at("ends", F.col("a"))).otherwise(F.lit(0))
-    runs = runs.withColumn("start", start.cast("long")).withColumn("length", (F.element_at("ends", F.col("b") + 1) - F.col("start")).cast("long"))
-    return runs.filter(F.col("length") >= passage).select("row_no", "doc_id", "start", "length", (F.col("b") - F.col("a") + 1).alias("n_chunks"), "copies", "removed", "keep_doc_id")
+    found = settle(found.withColumn("island", _island()), "chunk-found")
+    for done in (twice, maybe, repeated):
+        forget(done)
+    return found
+
+
+def _island() -> Column:
+    """A number for each run of chunks that follow each other, of those that stay here or those that stay elsewhere."""
+    w = W.partitionBy("row_no", "removed").orderBy("start")
+    return F.sum(F.when(F.lag("end").over(w) == F.col("start"), 0).otherwise(1)).over(w).cast("int")
+
+
+def contexts(docs: DataFrame, asked: DataFrame, text_col: str) -> DataFrame:
+    """(t1, t2, at, left, bytes, words) for asked(t1, t2, at, left): the text before (left) or after a place, one byte
+    beyond it and MOST bytes and one more on its side, and how many words begin before it. Equal texts are read once."""
+    wanted = settle(asked.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "left")).alias("places")), "texts-asked")
+    may = _passing(wanted, "t1")
+
+    @F.pandas_udf("t1 long, t2 long")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("t1", "t2"), _halves([xxhash.xxh3_128_digest(t.encode()) for t in texts]), strict=True)))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(digest(text).alias("t"), text.cast("binary").alias("data")).filter(may(F.xxhash64("t.t1"))).select("t.t1", "t.t2", "data")
+    once = texts.groupBy("t1", "t2").agg(F.max("data").alias("data"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t1, t2, data, places in zip(batch["t1"], batch["t2"], batch["data"], batch["places"], strict=True):
+                begins = _word_starts(data)
+                for place in places:
+                    at, left = place["at"], place["left"]
+                    part = data[max(0, at - MOST - 1) : at + 1] if left else data[at - 1 : at + MOST + 1]
+                    out.append((t1, t2, at, left, part, int(np.searchsorted(begins, at))))
+            yield pd.DataFrame(out, columns=["t1", "t2", "at", "left", "bytes", "words"])
+
+    return once.join(wanted, ["t1", "t2"]).mapInPandas(cut, "t1 long, t2 long, at int, left boolean, bytes binary, words int")
+
+
+def _word_starts(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, dtype=np.uint8)
+    solid = ~((x == 32) | ((x >= 9) & (x <= 13)))
+    return np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+
+
+def extension(own: bytes, kept: bytes, left: bool, start: bool) -> tuple[int, int]:
+    """Bytes that a run grows by on one side, and the words that begin there (on the left, also one that is cut).
+
+    ``own`` and ``kept`` are contexts; ``start``: the left one reaches the start of the text. Characters stay whole.
+    """
+    a, b = (own[:-1], kept[:-1]) if left else (own[1:], kept[1:])
+    most = max(0, min(len(a) - (0 if start else 1), len(b), MOST)) if left else min(len(a), len(b), MOST)
+    low, high = 0, most
+    while low < high:
+        m = (low + high + 1) // 2
+        if (a[len(a) - m :] == b[len(b) - m :]) if left else a[:m] == b[:m]:
+            low = m
+        else:
+            high = m - 1
+    m = low
+    if left:
+        while m and a[len(a) - m] & 0xC0 == 0x80:
+            m -= 1
+        return m, len(a[len(a) - m :].split()) if m else 0
+    while m and m < len(a) and a[m] & 0xC0 == 0x80:
+        m -= 1
+    part = a[:m]
+    return m, len(part.split()) - (1 if m and not part[:1].isspace() and not own[:1].isspace() else 0)
+
+
+def extended(runs: DataFrame, ids: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Add before, after (bytes that a run grows by) and words to runs(row_no, island, a, b, first, last)."""
+    side = lambda left, at, kept: F.struct(F.lit(left).alias("left"), at.cast("int").alias("at"), kept["row"].alias("keep_row"), kept["at"].cast("int").alias("keep_at"))
+    edges = runs.select("row_no", "island", F.inline(F.array(side(True, F.col("a"), F.col("first")), side(False, F.col("b"), F.col("last")))))
+    edges = settle(edges.join(ids.select("row_no", "t1", "t2"), "row_no"), "run-edges")
+    keepers = edges.groupBy("keep_row").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("row_no").alias("keep_row"), F.col("t1").alias("k1"), F.col("t2").alias("k2")), "keep_row")
+    edges = settle(spread_join(edges, settle(keepers, "run-keepers"), ["keep_row"], "n", F.hash("row_no", "at")).drop("n", "keep_row"), "run-edges")
+    asked = edges.select("t1", "t2", "at", "left").unionByName(edges.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("keep_at").alias("at"), "left"))
+    around = settle(contexts(docs, asked, text_col), "run-contexts")
+    for names, held in ((["t1", "t2", "at"], "own"), (["k1", "k2", "keep_at"], "kept")):
+        part = around.withColumnsRenamed({"t1": names[0], "t2": names[1], "at": names[2], "bytes": held, "words": f"{held}_words"})
+        groups = settle(edges.groupBy(*names, "left").agg(F.count(F.lit(1)).alias("n")).join(part, [*names, "left"]), f"run-{held}")
+        edges = spread_join(edges, groups, [*names, "left"], "n", F.hash("row_no", "island")).drop("n")
+
+    @F.pandas_udf("grown int, words int")
+    def grow(own: pd.Series, kept: pd.Series, left: pd.Series, at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extension(*x[:3], x[3] <= MOST) for x in zip(own, kept, left, at, strict=True)], columns=["grown", "words"])
+
+    grown = edges.select("row_no", "island", "left", F.col("own_words").alias("upto"), grow("own", "kept", "left", "at").alias("g"))
+    on, off = F.col("left"), ~F.col("left")
+    total = F.max(F.when(off, F.col("upto"))) - F.max(F.when(on, F.col("upto"))) + F.sum("g.words")
+    sums = grown.groupBy("row_no", "island").agg(F.max(F.when(on, F.col("g.grown"))).alias("before"), F.max(F.when(off, F.col("g.grown"))).alias("after"), total.cast("long").alias("words"))
+    return runs.join(sums, ["row_no", "island"])
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS, run: int = RUN, text_col: str = "text", **how) -> DataFrame:
+    """A row for each passage of at least ``words`` words that repeats, where it repeats (removed) and where it stays.
+
+    row_no, doc_id, start and length (bytes of UTF-8, whole characters), n_chunks, words, copies (occurrences of its
+    rarest chunk), removed (the passage stays elsewhere) and keep_doc_id (the document where its first chunk stays). A
+    passage's chunks may stay in several documents; where chunks stay, they make up rows with removed = false and
+    without a count of words. Passages of which whole chunks hold less than ``run`` bytes are not found. Null and empty
+    texts have no chunks; repeated rows repeat each other's passages; an empty table has none. Digests have 128 bits.
+    """
+    table = settle(chunks(docs, text_col=text_col, **how), "chunks")
+    ids = settle(table.select("row_no", "doc_id", "t1", "t2"), "chunk-rows")
+    found = repeated_chunks(table)
+    forget(table)
+    elsewhere, here = found.filter("removed"), found.filter("not removed")
+    first = F.min_by(F.struct(F.col("keep_row").alias("row"), F.col("keep_start").alias("at"), "keep_doc_id"), "start").alias("first")
+    last = F.max_by(F.struct(F.col("keep_row").alias("row"), (F.col("keep_start") + F.col("end") - F.col("start")).alias("at")), "start").alias("last")
+    sums = [F.min("start").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n_chunks"), F.min("n").alias("copies")]
+    runs = settle(elsewhere.groupBy("row_no", "island").agg(*sums, first, last).filter(F.col("b") - F.col("a") >= run), "chunk-runs")
+    passages = settle(extended(runs, ids, docs, text_col).filter(F.col("words") >= words), "passages")
+    gone = passages.select("row_no", (F.col("a") - F.col("before")).alias("start"), (F.col("b") - F.col("a") + F.col("before") + F.col("after")).alias("length"), "n_chunks", "words", "copies", F.lit(True).alias("removed"), F.col("first.keep_doc_id").alias("keep_doc_id"))
+    # where the chunks of those passages stay
+    pointed = elsewhere.join(passages.select("row_no", "island"), ["row_no", "island"], "left_semi").select(F.col("keep_row").alias("row_no"), F.col("keep_start").alias("start")).distinct()
+    stays = here.join(pointed, ["row_no", "start"], "left_semi").drop("island").withColumn("island", _island())
+    kept = stays.groupBy("row_no", "island").agg(*sums, F.first("keep_doc_id").alias("keep_doc_id")).filter(F.col("b") - F.col("a") >= run)
+    kept = kept.select("row_no", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("length"), "n_chunks", F.lit(None).cast("long").alias("words"), "copies", F.lit(False).alias("removed"), "keep_doc_id")
+    both = gone.unionByName(kept).join(ids.select("row_no", "doc_id"), "row_no")
+    return both.select("row_no", "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "n_chunks", "words", "copies", "removed", "keep_doc_id")
 
 
 def strip_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
@@ -115,9 +264,9 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
                 return text
             data, at, kept = text.encode(), 0, []
             for s, n in zip(starts, lengths, strict=True):
-                kept.append(data[at:s])
-                at = s + n
-            return b"".join([*kept, data[at:]]).decode(errors="ignore")
+                kept.append(data[at:s])  # nothing, where passages overlap
+                at = max(at, s + n)
+            return b"".join([*kept, data[at:]]).decode()
 
         return pd.Series([one(*x) for x in zip(texts, starts, lengths, strict=True)])
 
@@ -129,4 +278,4 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repeated_passages(docs).select("doc_id", "start", "length", "n_chunks", "copies", "removed", "keep_doc_id")
+    return repeated_passages(docs).select("doc_id", "start", "length", "n_chunks", "words", "copies", "removed", "keep_doc_id")
