@@ -9,6 +9,7 @@ end, large ones first.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, numbered_within, settle, spread_join, uniform, with_row
@@ -17,6 +18,8 @@ from .common import forget, numbered_within, settle, spread_join, uniform, with_
 BINS = 16384
 #: Free documents are dealt in these steps, those over a fraction of a shard first, so that small ones close the gaps.
 STEPS = (32, 512)
+#: A group of at most this fraction of a shard moves as a whole.
+WHOLE = 32
 
 
 def _loads(df: DataFrame, shards: int) -> list[int]:
@@ -50,7 +53,7 @@ def propagate(linked: DataFrame, shards: int, quota: float, rounds: int = 6) ->
             break
         admitted = [min(1.0, room[s] / asked[s]) if asked.get(s) else 1.0 for s in range(shards)]
         joined = spread_join(linked, plan.select("group", "shard", "cnt", "target"), ["group", "shard"], "cnt", F.col("row_no"))
-        whole = F.col("group_bytes") <= F.lit(quota / 32)
+        whole = F.col("group_bytes") <= F.lit(quota / WHOLE)
         draw = F.when(whole, uniform(F.col("group"), seed="admit")).otherwise(uniform(F.col("row_no"), seed="admit"))
         moved = joined.withColumn("shard", F.when(draw < _at(admitted, F.col("target")), F.col("target")).otherwise(F.col("shard"))).drop("cnt", "target")
         moved, last = settle(moved, "shard-state"), linked
@@ -61,12 +64,13 @@ def propagate(linked: DataFrame, shards: int, quota: float, rounds: int = 6) ->
 
 
 def _deal(free: DataFrame, room: list[float]) -> DataFrame:
-    """Give free documents shards in proportion to ``room``: cut the hash range where its summed bytes say."""
-    from pyspark.sql import Window as W
+    """Give free documents shards in proportion to ``room``: cut the hash range where its summed bytes say.
 
+    Documents of one ``unit`` stay together.
+    """
     total = sum(room) or 1.0
     edges = [sum(room[: s + 1]) / total for s in range(len(room) - 1)]
-    binned = free.withColumn("_bin", F.floor(uniform(F.col("row_no"), seed="deal") * BINS).cast("int"))
+    binned = free.withColumn("_bin", F.floor(uniform(F.col("unit"), seed="deal") * BINS).cast("int"))
     sums = binned.groupBy("_bin").agg(F.sum("size").alias("_b"))
     upto = F.sum("_b").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
     every = F.sum("_b").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -96,20 +100,25 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     free = state.filter("n = 1").drop("n", "shard")
     linked = propagate(state.filter("n > 1").drop("n"), shards, fair, rounds)
 
-    # what still exceeds a shard's fair share is free to go elsewhere
+    # what still exceeds a shard's fair share is free to go elsewhere: small groups as a whole, large ones by documents
     over = [max(0.0, x - fair) / x if x else 0.0 for x in _loads(linked, shards)]
-    spilled = uniform(F.col("row_no"), seed="spill") < _at(over, F.col("shard"))
+    whole = F.col("group_bytes") <= F.lit(fair / WHOLE)
+    row_unit = F.concat_ws(" ", "group", "row_no")
+    linked = linked.withColumn("unit", F.when(whole, F.col("group")).otherwise(row_unit)).withColumn("unit_bytes", F.when(whole, F.col("group_bytes")).otherwise(F.col("size")))
+    spilled = uniform(F.col("unit"), seed="spill") < _at(over, F.col("shard"))
+    free = free.withColumn("unit", row_unit).withColumn("unit_bytes", F.col("size"))
     stay, free = linked.filter(~spilled), free.unionByName(linked.filter(spilled).drop("shard"))
     placed = settle(stay, "shard-linked")
     bounds = [None, *[fair / k for k in STEPS], 0.0]
     for high, low in zip(bounds, bounds[1:], strict=False):
-        part = free.filter((F.col("size") > low) & (F.col("size") <= high if high is not None else F.lit(True)))
+        part = free.filter((F.col("unit_bytes") > low) & (F.col("unit_bytes") <= high if high is not None else F.lit(True)))
         room = [max(0.0, fair - x) for x in _loads(placed, shards)]
         dealt = _deal(part, room if sum(room) > 0 else [1.0] * shards)
-        placed = settle(placed.unionByName(dealt), "shard-placed")
+        placed, last = settle(placed.unionByName(dealt), "shard-placed"), placed
+        forget(last)
     parts = max(1, count // (shards * 4096))
     chunk = F.pmod(F.xxhash64("row_no"), F.lit(parts))
-    return numbered_within(placed, ["shard"], chunk, name="slot", order=[F.col("doc_id"), F.col("row_no")]).drop("group_bytes")
+    return numbered_within(placed, ["shard"], chunk, name="slot", order=[F.col("doc_id"), F.col("row_no")]).drop("group_bytes", "unit", "unit_bytes")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     urls = urls.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(keys))
     tested = urls.withColumn("pass", passes(F.transform("keys", lambda k: F.xxhash64(k))))
     hits = F.transform(F.filter(F.arrays_zip("keys", "pass"), lambda x: x["pass"]), lambda x: x["keys"])
+    # a url without a hit gets a key of its own that no rule has, so that such urls do not meet in one task
     possible = tested.select("row_no", "page_id", "host", "path", F.explode_outer(hits).alias("key"))
+    possible = possible.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.col("row_no"))))
     exact = possible.join(listed.select("rule", "listed"), possible["key"] == listed["rule"], "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("listed"))))
     judged = exact.groupBy("row_no").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
