@@ -23,9 +23,12 @@ class BlockedBloom:
         self.words = words  # uint64, blocks x WORDS
 
     @classmethod
-    def build(cls, keys: DataFrame, key: str) -> BlockedBloom:
-        """From the distinct keys of a DataFrame; at most MAX_BLOCKS rows of 64 bytes reach the driver."""
-        hashed = keys.select(F.xxhash64(key).alias("h")).distinct()
+    def build(cls, keys: DataFrame, key: str, hashed: bool = False) -> BlockedBloom:
+        """From the distinct keys of a DataFrame; at most MAX_BLOCKS rows of 64 bytes reach the driver.
+
+        ``hashed``: the keys are 64-bit hashes themselves, else they are passed as ``xxhash64`` of the key.
+        """
+        hashed = keys.select((F.col(key) if hashed else F.xxhash64(key)).alias("h")).distinct()
         count = hashed.count()
         blocks = max(1, min(MAX_BLOCKS, -(-count // KEYS_A_BLOCK)))
         rows = hashed.mapInPandas(_masks(blocks), ", ".join(["block long", *(f"w{i} long" for i in range(WORDS))]))

@@ -173,6 +173,19 @@ BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _shipped: set[str] = set()
 
 
+def tidy() -> None:
+    """At the end of a Python task: give memory that is free again back to the system, as workers are used again."""
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, as --py-files would, and bound Python batches."""
     app = spark.sparkContext.applicationId
