@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .common import forget, settle, settled_rows, ship, spread_join, unused, with_row
+from .common import forget, settle, settled_rows, ship, spread_join, tidy, unused, with_row
 
 #: Bytes of a chunk at least, on average beyond that, and at most (but for the end of its last character).
 LEAST, MEAN, MOST = 16, 24, 128
@@ -91,6 +91,7 @@ def chunks(docs: DataFrame, least: int = LEAST, mean: int = MEAN, most: int = MO
                 whole.append(xxhash.xxh3_128_digest(data))
             texts = _halves(whole)
             yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "t1": texts[0], "t2": texts[1], "starts": starts, "ends": ends, "d1": [d[0] for d in digests], "d2": [d[1] for d in digests]})
+        tidy()
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(run, "row_no long, doc_id long, t1 long, t2 long, starts array<int>, ends array<int>, d1 array<long>, d2 array<long>")
@@ -101,25 +102,25 @@ def _halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T.copy()
 
 
-def _passing(keys: DataFrame, key: str):
-    """A filter for hashes of values that are among ``keys``, of bounded size: some others pass it as well."""
-    words = keys.sparkSession.sparkContext.broadcast(BlockedBloom.build(keys, key).words)
-
-    @F.pandas_udf("boolean")
-    def may(hashes: pd.Series) -> pd.Series:
-        return pd.Series(BlockedBloom(words.value).passes(hashes.to_numpy()))
-
-    return may
-
-
 def repeated_chunks(table: DataFrame) -> DataFrame:
     """A row for each occurrence of a chunk that occurs more than once: row_no, start, end, n, removed, keep_doc_id,
     keep_row and keep_start (where it stays)."""
-    each = table.select("row_no", "doc_id", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"), F.col("d1").alias("d1"), F.col("d2").alias("d2"))))
     # half a digest tells most single chunks apart, so that only what may be repeated is shuffled with its place
-    twice = settle(each.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1"), "chunk-twice")
-    may = _passing(twice, "d1")
-    maybe = settle(each.filter(may(F.xxhash64("d1"))), "chunk-maybe")
+    twice = settle(table.select(F.explode("d1").alias("d1")).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1"), "chunk-twice")
+    words = table.sparkSession.sparkContext.broadcast(BlockedBloom.build(twice, "d1", hashed=True).words)
+    arrays = ["starts", "ends", "d1", "d2"]
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bloom = BlockedBloom(words.value)
+        for batch in batches:
+            if batch.empty:
+                continue
+            hit = np.split(bloom.passes(np.concatenate(batch["d1"].tolist())), np.cumsum([len(d) for d in batch["d1"]])[:-1])
+            yield batch.assign(**{c: [x[h] for x, h in zip(batch[c], hit, strict=True)] for c in arrays}).astype({"doc_id": "Int64"})
+        tidy()
+
+    open_ = table.select("row_no", "doc_id", *arrays).mapInPandas(some, "row_no long, doc_id long, starts array<int>, ends array<int>, d1 array<long>, d2 array<long>")
+    maybe = settle(open_.select("row_no", "doc_id", F.inline(F.arrays_zip(*[F.col(c).alias(c.rstrip("s")) for c in arrays]))), "chunk-maybe")
     first = F.min(F.struct("doc_id", "row_no", "start")).alias("first")
     repeated = settle(maybe.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1"), "chunk-repeats")
     found = spread_join(maybe, repeated, ["d1", "d2"], "n", F.hash("row_no", "start"))
@@ -142,14 +143,18 @@ def contexts(docs: DataFrame, asked: DataFrame, text_col: str) -> DataFrame:
     """(t1, t2, at, left, bytes, words) for asked(t1, t2, at, left): the text before (left) or after a place, one byte
     beyond it and MOST bytes and one more on its side, and how many words begin before it. Equal texts are read once."""
     wanted = settle(asked.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "left")).alias("places")), "texts-asked")
-    may = _passing(wanted, "t1")
+    words = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(wanted, "t1", hashed=True).words)
 
-    @F.pandas_udf("t1 long, t2 long")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("t1", "t2"), _halves([xxhash.xxh3_128_digest(t.encode()) for t in texts]), strict=True)))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bloom = BlockedBloom(words.value)
+        for batch in batches:
+            data = [t.encode() for t in batch["text"]]
+            t1, t2 = _halves([xxhash.xxh3_128_digest(d) for d in data])
+            hit = np.flatnonzero(bloom.passes(t1))
+            yield pd.DataFrame({"t1": t1[hit], "t2": t2[hit], "data": [data[i] for i in hit]})
+        tidy()
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(digest(text).alias("t"), text.cast("binary").alias("data")).filter(may(F.xxhash64("t.t1"))).select("t.t1", "t.t2", "data")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(read, "t1 long, t2 long, data binary")
     once = texts.groupBy("t1", "t2").agg(F.max("data").alias("data"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
