@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .common import drop_rows, forget, settle, settled_rows, ship, spread_join
+from .common import drop_rows, forget, settle, settled_rows, ship, spread_join, tidy
 from .components import components
 
 #: Registers, mantissa bits, registers in a band, members of a bucket that one task compares.
@@ -109,6 +109,7 @@ def sketches(numbered: DataFrame, row: str, k: int, mantissa: int, size: int, id
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 registers.append(sketch(hashes, k, mantissa).tobytes() if len(hashes) else b"")
             yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "digest": digests, "registers": registers})
+        tidy()
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(run, "row_no long, doc_id long, n_shingles long, digest binary, registers binary")
@@ -255,16 +256,14 @@ def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGIST
     # texts; sets of others that it lets through are never asked for.
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(wanted, "node").words)
 
-    @F.pandas_udf("boolean")
-    def may_want(hashes: pd.Series) -> pd.Series:
-        return pd.Series(BlockedBloom(bloom.value).passes(hashes.to_numpy()))
-
-    @F.pandas_udf("binary")
-    def full(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_hashes(t, size).tobytes())
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = batch[BlockedBloom(bloom.value).passes(batch["hash"].to_numpy())]
+            yield pd.DataFrame({"node": some["node"], "set": [shingle_hashes(t, size).tobytes() for t in some["text"]]})
+        tidy()
 
-    texts = numbered.select(F.col(row).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = settle(texts.filter(may_want(F.xxhash64("node"))).select("node", full("text").alias("set")), "shingle-sets")
+    texts = numbered.select(F.col(row).alias("node"), F.xxhash64(row).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = settle(texts.mapInPandas(full, "node long, set binary"), "shingle-sets")
     if not row_col:
         forget(numbered)
 
