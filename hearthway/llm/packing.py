@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered_within, settle, ship, with_row
+from .common import numbered_within, settle, ship, tidy, with_row
 
 #: Bytes that the units kept by a task may take, about; nodes and sets of lengths that a search looks at.
 UNIT_BYTES, EFFORT = 24_000_000, 20_000
@@ -294,6 +294,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
                     out.append((row_no, doc_id, piece, start, size, zlib.crc32(part), *([part.cast("I").tolist()] if with_ids else [])))
                     start, piece = start + size, piece + 1
             yield pd.DataFrame(out, columns=names)
+        del encode
+        tidy()
 
     schema = PIECES + (", ids array<long>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]

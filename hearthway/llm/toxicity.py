@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, with_row
+from .common import settle, ship, tidy, with_row
 
 #: Labelled documents that a model is fitted on, at most; taken by hash of their id.
 MAX_ROWS = 12_000
@@ -191,6 +191,8 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             toxic = above[:, 0] > model.cut
             grade = np.where(toxic, 1 + each[:, 1:].argmax(axis=1), 0).astype(np.int32)
             yield pd.DataFrame({"row_no": batch["row_no"], "doc_id": batch["doc_id"].astype("Int64"), "p_toxic": above[:, 0], "expected_severity": above.sum(axis=1), "grade": grade, "toxic": toxic})
+        known.clear()
+        tidy()
 
     source = numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(run, "row_no long, doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
@@ -211,6 +213,8 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
         model, known = shared.value, {}
         for texts in batches:
             yield pd.Series(model.above(model.scores(texts, known))[:, 0] > model.cut)
+        known.clear()
+        tidy()
 
     return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))
 
