@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
+from .stage import settle
+
+ENCODINGS = ("UTF-8", "x-windows-949")
 
 LEG = T.StructType([T.StructField("mode", T.StringType()), T.StructField("sectionTime", T.LongType()), T.StructField("route", T.StringType()), T.StructField("start", T.StructType([T.StructField("name", T.StringType())])), T.StructField("end", T.StructType([T.StructField("name", T.StringType())]))])
 ITINERARY = T.StructType([T.StructField("totalTime", T.LongType()), T.StructField("totalDistance", T.DoubleType()), T.StructField("totalWalkTime", T.LongType()), T.StructField("transferCount", T.IntegerType()), T.StructField("fare", T.StructType([T.StructField("regular", T.StructType([T.StructField("totalFare", T.LongType())]))])), T.StructField("legs", T.ArrayType(LEG))])
 RESPONSE = T.StructType([T.StructField("metaData", T.StructType([T.StructField("plan", T.StructType([T.StructField("itineraries", T.ArrayType(ITINERARY))]))]))])
 
 
-def csv_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str:
-    """The first encoding that decodes the head of a file without a fault; the head is a bounded read."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("b")).limit(1).collect()
-    data = bytes(head[0]["b"]) if head else b""
-    for name, codec in zip(ENCODINGS, ("utf-8", "cp949", "euc-kr"), strict=True):
-        for cut in range(4):  # the sample may end within a character
-            try:
-                data[: len(data) - cut].decode(codec)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return ENCODINGS[0]
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the file is valid UTF-8, else the Korean code page, of which EUC-KR is a part.
+
+    Spark checks the bytes of all lines where they are read; the first line that is no UTF-8 ends the search.
+    """
+    odd = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
+    return ENCODINGS[0] if odd.isEmpty() else ENCODINGS[1]
 
 
 def allow_charsets(spark: SparkSession) -> None:
@@ -42,22 +41,39 @@ def read_csv_any(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def read_after_preamble(spark: SparkSession, path: str, names: list[str], first: str = "NO", most: int = 30) -> DataFrame:
-    """CSV lines after the header, the first line (of ``most``) whose first cell is ``first``; adds source_file."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    head = lines.filter((F.col("n") < most) & F.split("line", ",")[0].isin(first, f'"{first}"')).groupBy("source_file").agg(F.min("n").alias("h"))
-    body = lines.join(F.broadcast(head), "source_file").filter((F.col("n") > F.col("h")) & (F.trim("line") != ""))
+    """CSV lines after the header, the first line (of ``most``) whose first cell is ``first``; adds source_file.
+
+    Lines keep the place of their split and their place in it, written once, so a file of any size is read in parts.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.rtrim("value", F.lit("\r")).alias("line"))
+    lines = settle(read)
+    top = F.when(F.col("place.block") == 0, F.col("place.n"))
+    titled = F.split("line", ",")[0].isin(first, f'"{first}"')
+    head = lines.groupBy("source_file").agg(F.min(top).alias("start"), F.min(F.when(titled, F.col("place"))).alias("head"))
+    head = head.filter((F.col("head.block") == 0) & (F.col("head.n") - F.col("start") < most)).select("source_file", "head")
+    body = lines.join(head, "source_file").filter((F.col("place") > F.col("head")) & (F.trim("line") != ""))
     cells = F.from_csv("line", ", ".join(f"`{c}` string" for c in names))
     return body.select("source_file", cells.alias("c")).select("source_file", "c.*")
 
 
-def read_listed(spark: SparkSession, folder: str, prefixes: tuple[str, ...], contains: str, names: list[str]) -> DataFrame:
-    """Union of the files of ``folder`` whose name starts with one of ``prefixes`` and contains ``contains``."""
-    read = spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    name = F.url_decode(F.col("source_file"))
-    keep = F.lit(False)
-    for p in prefixes:
-        keep = keep | name.startswith(p)
-    return read.filter(keep & name.contains(contains)).select(*names, name.alias("source_file"))
+def listed(spark: SparkSession, folder: str, prefixes: tuple[str, ...], contains: str) -> list[str]:
+    """Paths in ``folder`` whose name starts with one of ``prefixes`` and contains ``contains``; only names are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith(tuple(prefixes)) and contains in f.getPath().getName())
+
+
+def read_listed(spark: SparkSession, folder: str, prefixes: tuple[str, ...], contains: str, schema: str) -> DataFrame:
+    """Union of the listed CSV files (or folders of parts) of ``folder``, with the name each row comes from; see ``listed``."""
+    parts = [spark.read.option("header", True).schema(schema).csv(p).withColumn("source_file", F.lit(p.rsplit("/", 1)[-1])) for p in listed(spark, folder, prefixes, contains)]
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, source_file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def month_of_file(name: Column) -> Column:
+    """The month that a file's name gives before its sign for months; null without one."""
+    return F.regexp_extract(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"(\d+)월", 1).try_cast("int")
 
 
 def drop_label_rows(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
@@ -114,22 +130,59 @@ def latest(batches: DataFrame, keys: list[str], batch: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def merge_attempts(attempts: DataFrame, targets: DataFrame, keys: list[str], batch: str, ok: str) -> DataFrame:
+    """Latest success of each key, latest failure of keys without one, and targets without a success, told apart by ``state``.
+
+    A target that only failed is in both of the last: its failure is on record, and its work remains.
+    """
+    rest = [c for c in attempts.columns if c not in (*keys, ok)]
+    done = latest(attempts.filter(F.col(ok)).drop(ok), keys, batch)
+    failed = latest(attempts.filter(~F.col(ok)).drop(ok), keys, batch).join(done, keys, "left_anti")
+    remain = remaining(targets, done, keys)
+    for c in rest:
+        remain = remain.withColumn(c, F.lit(None).cast(attempts.schema[c].dataType))
+    state = lambda d, name: d.select(*keys, *rest, F.lit(name).alias("state"))
+    return state(done, "done").unionByName(state(failed, "failed")).unionByName(state(remain, "remaining"))
+
+
 def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, type, n, sample): rows and the first value that is not null of every column; one pass a table."""
     out = None
     for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+        placed = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*df.columns).alias("v"))
+        sample = lambda c: F.min(F.when(F.col(f"v.{c}").isNotNull(), F.struct("row", F.col(f"v.{c}").cast("string").alias("value"))))["value"]
+        one = placed.agg(F.count(F.lit(1)).alias("n"), *[sample(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
         rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("type"), F.col(f"c{i}").alias("sample")) for i, (c, k) in enumerate(df.dtypes)]))
         part = one.select(F.lit(name).alias("table"), "n", rows.alias("r")).select("table", "n", "r.*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Write each named table as Parquet below ``folder``; overwriting makes a rerun safe."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return sorted(tables)
+def load_order(parents: dict[str, list[str]]) -> list[str]:
+    """Names so that each comes after the tables it refers to; by name where that leaves a choice."""
+    left, out = {n: set(p) for n, p in parents.items()}, []
+    while left:
+        free = sorted(n for n, p in left.items() if not p - set(out))
+        if not free:
+            raise ValueError(f"tables refer to each other in a circle: {sorted(left)}")
+        out += free
+        left = {n: p for n, p in left.items() if n not in free}
+    return out
+
+
+def publish(tables: dict[str, DataFrame], folder: str, parents: dict[str, list[str]] | None = None) -> list[str]:
+    """Empty the named tables below ``folder``, those that refer to others first, then write each after what it refers to.
+
+    Returns the order of loading. A rerun replaces what the last one wrote.
+    """
+    order = [n for n in load_order({n: [p for p in (parents or {}).get(n, []) if p in tables] for n in tables}) if n in tables]
+    spark = next(iter(tables.values())).sparkSession
+    for name in reversed(order):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for name in order:
+        tables[name].write.parquet(f"{folder}/{name}")
+    return order
 
 
 def surrogate_key(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where that is unset (local tests)."""
+    """``spark.checkpoint.dir``. Where that is unset a local session takes a temporary folder, and a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(root or _own.setdefault(app, 'file://' + tempfile.mkdtemp(prefix='hearthway-'))).rstrip('/')}/stage-{app}"
 
 
