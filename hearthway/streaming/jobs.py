@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,49 +23,65 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def _run(stream: DataFrame, mode: str, each) -> None:
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def _run(stream: DataFrame, mode: str, each, folder: str) -> None:
+    """Run a stream to the end of what has arrived; its checkpoint in ``folder`` lets a later run go on from there."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def _written(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream to its end; each micro-batch overwrites (complete) or adds (append) its own folder, so a retry is safe."""
-    spark, out = stream.sparkSession, f"{stage_dir(stream.sparkSession)}/out-{uuid.uuid4().hex}"
-    last: list[int] = []
+def _folder(spark: SparkSession, folder: str | None) -> str:
+    return folder or f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _latest(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Each key's last state after all micro-batches, of this run and earlier ones on the same ``folder``.
+
+    A micro-batch writes only the keys it changed, over its own folder, so a retry is safe and no batch writes all state.
+    """
+    spark, values = stream.sparkSession, [c for c in stream.columns if c not in keys]
 
     def each(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/{batch}")
-        last.append(batch)
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    _run(stream, mode, each)
-    parts = [last[-1]] if mode == "complete" else sorted(set(last))
-    return reduce(DataFrame.unionByName, [spark.read.schema(stream.schema).parquet(f"{out}/{b}") for b in parts]) if parts else spark.createDataFrame([], stream.schema)
+    _run(stream, "update", each, folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    seen = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    last = seen.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def running_flows(trips: DataFrame, keys: list[str], weight: str, value: str) -> DataFrame:
-    """Flow, weighted mean and rows by key after all files that have arrived; equals the batch aggregate."""
+def running_flows(trips: DataFrame, keys: list[str], weight: str, value: str, folder: str | None = None) -> DataFrame:
+    """Flow, weighted mean and rows by key after all files that have arrived; equals the batch aggregate.
+
+    With a ``folder`` of its own a job goes on where its last run ended.
+    """
     agg = trips.groupBy(*keys).agg(F.sum(weight).alias("flow"), F.sum(F.col(weight) * F.col(value)).alias("_xw"), F.count(F.lit(1)).alias("n_rows"))
-    return _written(agg, "complete").withColumn("mean", F.round(F.col("_xw") / F.col("flow"), 6)).drop("_xw")
+    out = _latest(agg, keys, _folder(trips.sparkSession, folder))
+    return out.withColumn("mean", F.round(F.col("_xw") / F.col("flow"), 6)).drop("_xw")
 
 
-def split_stream(rows: DataFrame, dim: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def split_stream(rows: DataFrame, dim: DataFrame, key: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid and orphan rows of a stream, split batch by batch against a static dimension."""
-    spark, out = rows.sparkSession, f"{stage_dir(rows.sparkSession)}/split-{uuid.uuid4().hex}"
+    spark, folder = rows.sparkSession, _folder(rows.sparkSession, folder)
     keys = dim.select(key).distinct()
 
     def each(df: DataFrame, batch: int) -> None:
-        df.join(keys, key, "left_semi").write.mode("overwrite").parquet(f"{out}/valid/batch={batch}")
-        df.join(keys, key, "left_anti").write.mode("overwrite").parquet(f"{out}/orphan/batch={batch}")
+        df.join(keys, key, "left_semi").write.mode("overwrite").parquet(f"{folder}/valid/batch={batch}")
+        df.join(keys, key, "left_anti").write.mode("overwrite").parquet(f"{folder}/orphan/batch={batch}")
 
-    _run(rows, "append", each)
+    _run(rows, "append", each, folder)
     schema = rows.select(key, *[c for c in rows.columns if c != key]).schema
-    return tuple(spark.read.schema(schema).parquet(f"{out}/{side}").select(*schema.names) for side in ("valid", "orphan"))
+    return tuple(spark.read.schema(schema).parquet(f"{folder}/{side}").select(*schema.names) for side in ("valid", "orphan"))
+
 
+def morning_volume(events: DataFrame, ts: str = "ts", value: str = "value", low: int = 420, high: int = 580, late: str = "1 day", folder: str | None = None) -> DataFrame:
+    """Hourly count and volume of events between 07:00 and 09:40.
 
-def morning_volume(events: DataFrame, ts: str = "ts", value: str = "value", low: int = 420, high: int = 580) -> DataFrame:
-    """Hourly count and volume of events between 07:00 and 09:40, with a watermark of a day for late ones."""
+    Windows that end ``late`` before the newest event leave the state; events for them are dropped from then on.
+    """
     minute = F.hour(ts) * 60 + F.minute(ts)
     events = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    windowed = events.withWatermark(ts, "1 day").filter(minute.between(low, high)).groupBy(F.window(ts, "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("volume"))
-    return _written(windowed.select(F.col("window.start").alias("hour"), "n", "volume"), "complete")
+    windowed = events.withWatermark(ts, late).filter(minute.between(low, high)).groupBy(F.window(ts, "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("volume"))
+    return _latest(windowed.select(F.col("window.start").alias("hour"), "n", "volume"), ["hour"], _folder(events.sparkSession, folder))
