@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -191,15 +192,33 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.select(F.when(top == expected, F.lit(1.0)).otherwise((F.col("i") - expected) / (top - expected)).alias("ari"))
 
 
+def bootstrapped(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """As many rows as ``df`` has on average: each as often as a Poisson draw of mean 1 says, by the hash of its key."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_003)) / 1_000_003
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(1, 8):
+        total += p
+        steps.append(total)
+        p /= k
+    times = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= u))
+    return df.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).drop("_times")
+
+
 def stability(df: DataFrame, key: str, columns: list[str], k: int, runs: int = 5, share: float = 0.85, seed: int = 42) -> DataFrame:
-    """Refits on subsamples chosen by hash: ARI of each with the fit on all rows."""
+    """Refits on bootstrap samples and on subsamples, both by hash: (kind, runs, mean, std and lowest decile of ARI)."""
     full = fit(df, columns, k, seed=seed).select(key, F.col("label").alias("full"))
     rows = []
-    for i in range(runs):
-        part = df.filter(F.pmod(F.xxhash64(F.lit(seed + i), F.col(key)), F.lit(1000)) < int(1000 * share))
-        again = fit(part, columns, k, seed=seed + i).select(key, "label")
-        rows.append((i, float(adjusted_rand(again.join(full, key), "full", "label").first()["ari"])))
-    return df.sparkSession.createDataFrame(rows, "run int, ari double")
+    for kind in ("bootstrap", "subsample"):
+        found = []
+        for i in range(runs):
+            part = bootstrapped(df, key, seed + i) if kind == "bootstrap" else df.filter(F.pmod(F.xxhash64(F.lit(seed + i), F.col(key)), F.lit(1000)) < int(1000 * share))
+            again = fit(part, columns, k, seed=seed + i).select(key, "label")
+            found.append(float(adjusted_rand(again.join(full, key), "full", "label").first()["ari"]))
+        mean = sum(found) / runs
+        at = 0.1 * (runs - 1)
+        low = sorted(found)[int(at) :][:2]
+        rows.append((kind, runs, mean, (sum((x - mean) ** 2 for x in found) / runs) ** 0.5, low[0] + (low[-1] - low[0]) * (at - int(at))))
+    return df.sparkSession.createDataFrame(rows, "kind string, runs int, mean_ari double, std_ari double, p10_ari double")
 
 
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
@@ -249,13 +268,24 @@ def two_stage(df: DataFrame, key: str, first: list[str], second: list[str], k: i
     return reduce(DataFrame.unionByName, out)
 
 
-def candidate_scores(table: DataFrame, weights: dict[str, tuple[float, bool]], keep: int = 2, by: list[str] | None = None) -> DataFrame:
-    """Weighted sum of min-max scores (weight, higher is better) and the best ``keep`` in each group."""
-    every = W.partitionBy(F.lit(1))
+def eligible(table: DataFrame, strict: Column, relaxed: Column, least: int = 15) -> DataFrame:
+    """Rows that meet ``strict``, or ``relaxed`` where fewer than ``least`` do; ``rule`` says which held."""
+    n = table.agg(F.count_if(strict).alias("_n"))
+    rule = F.when(F.col("_n") >= least, "strict").otherwise("relaxed")
+    return table.crossJoin(F.broadcast(n)).withColumn("rule", rule).filter(F.when(F.col("rule") == "strict", strict).otherwise(relaxed)).drop("_n")
+
+
+def weighted_score(table: DataFrame, weights: dict[str, tuple[float, bool]], name: str = "score") -> DataFrame:
+    """Add a weighted sum of min-max scores (weight, higher is better); a column without spread scores 0.5."""
+    bounds = table.agg(*[f(c).alias(f"{p}{c}") for c in weights for f, p in ((F.min, "_lo_"), (F.max, "_hi_"))])
     score = F.lit(0.0)
     for c, (w, up) in weights.items():
-        lo, hi = F.min(c).over(every), F.max(c).over(every)
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         s = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.5))
         score = score + w * (s if up else 1 - s)
-    out = table.withColumn("score", score)
-    return out.withColumn("place", F.row_number().over(W.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("score"), *table.columns))).filter(F.col("place") <= keep)
+    return table.crossJoin(F.broadcast(bounds)).withColumn(name, score).drop(*[f"{p}{c}" for c in weights for p in ("_lo_", "_hi_")])
+
+
+def best_of(table: DataFrame, by: list[str], score: str, keep: int, tie: list[str], name: str = "place") -> DataFrame:
+    """The ``keep`` rows of each group with the highest ``score`` (ties by ``tie``) and their places."""
+    return table.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), *tie))).filter(F.col(name) <= keep)

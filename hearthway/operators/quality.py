@@ -52,3 +52,15 @@ def profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     fences = stats.withColumns({"lo": low, "hi": high})
     out = df.select(*by, value).join(fences.select(*by, "lo", "hi"), by).groupBy(*by).agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers"))
     return fences.join(out, by).withColumn("cv", F.try_divide("sd", "mean"))
+
+
+def geocode_audit(rows: DataFrame, ok: str, address: str, gu: str, point: list[str], city: str) -> DataFrame:
+    """Counts of failures, of addresses outside the city, of found addresses without their district, of shared points.
+
+    Points are counted first, so no task holds all rows of a hot one.
+    """
+    each = rows.groupBy(*point).agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(~F.col(ok)).alias("failed"), F.count_if(~F.coalesce(F.col(address), F.lit("")).startswith(city)).alias("outside"),
+        F.count_if(F.col(ok) & ~F.coalesce(F.contains(F.col(address), F.concat(F.col(gu), F.lit(" "))), F.lit(False))).alias("other_gu"),
+    )
+    return each.agg(F.sum("k").alias("n"), *[F.sum(c).alias(c) for c in ("failed", "outside", "other_gu")], F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("repeated"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthway.functions import clean as cl
 from hearthway.operators import burden as bd
 from hearthway.operators import scores as sc
+from hearthway.operators import statistics as st
 
 from .tables import Tables, query
 
@@ -160,27 +161,37 @@ def a48_cost_spread(t: Tables):
     return long.groupBy("component").agg(F.min("v").alias("lo"), F.median("v").alias("med"), F.max("v").alias("hi"), (F.max("v") - F.min("v")).alias("spread"))
 
 
+@query("""WITH r AS (SELECT *, rank() OVER (ORDER BY rent_cost) AS rr, rank() OVER (ORDER BY total) AS tr, rank() OVER (ORDER BY rent_cost) + (count(*) OVER (PARTITION BY rent_cost) - 1) / 2.0 AS ra, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS ta FROM burden WHERE total IS NOT NULL)
+    SELECT count(*) AS n, round(median(rent_cost / total), 6) AS rent_share, round(median((total - rent_cost) / total), 6) AS commute_share, round(corr(ra, ta), 6) AS rho, count(CASE WHEN abs(rr - tr) >= 50 THEN 1 END) AS moved, round(count(CASE WHEN abs(rr - tr) >= 50 THEN 1 END) / count(*), 6) AS moved_share FROM r""")
+def a48_cost_report(t: Tables):
+    b = t.burden.filter("total is not null")
+    moved = F.count_if(F.abs("rank_gap") >= 50)
+    one = bd.rank_gap(b).agg(F.count(F.lit(1)).alias("n"), R(F.median(F.col("rent_cost") / F.col("total")), 6).alias("rent_share"), R(F.median((F.col("total") - F.col("rent_cost")) / F.col("total")), 6).alias("commute_share"), moved.alias("moved"), R(moved / F.count(F.lit(1)), 6).alias("moved_share"))
+    return one.crossJoin(st.spearman(b, "rent_cost", "total").select(R("rho", 6).alias("rho")))
+
+
 @query("SELECT b.dong, round(b.hours * p.hourly + b.rent_cost + b.transport, 2) AS total, p.code, b.coverage < 0.7 AS flagged FROM burden b CROSS JOIN (VALUES ('min', 10320), ('half', 5160)) p(code, hourly) WHERE p.code = 'half'")
 def c04_j10_cost_view(t: Tables):
     p = t.spark.createDataFrame([("min", 10320), ("half", 5160)], "code string, hourly int").filter("code = 'half'")
     return t.burden.crossJoin(F.broadcast(p)).select("dong", R(F.col("hours") * F.col("hourly") + F.col("rent_cost") + F.col("transport"), 2).alias("total"), "code", (F.col("coverage") < 0.7).alias("flagged"))
 
 
-RECOMMEND = """rec AS (SELECT v.district, v.home, v.fare, v.coverage, b.rent_cost, round(b.rent_cost + 42 * CASE WHEN v.fare IS NULL THEN 62000.0 / 42 ELSE v.fare END, 2) AS cost
-    FROM (SELECT district, home, round(sum(weight * fare) / sum(CASE WHEN fare IS NOT NULL THEN weight END), 4) AS fare, round(sum(weight), 6) AS coverage
-      FROM (SELECT x.district, r.home, x.weight, r.fare FROM route r JOIN bridge x ON r.work = x.dong) GROUP BY 1, 2) v
-    JOIN (SELECT dong, rent_cost, ntile(10) OVER (ORDER BY tx, dong) AS decile FROM burden) b ON b.dong = v.home WHERE v.coverage >= 0.5 AND b.decile > 1),
+RECOMMEND = """rec AS (SELECT *, round(rent_cost + transport + time_cost, 2) AS cost FROM (SELECT v.district, v.home, v.commute_min, v.fare, v.coverage, b.rent_cost,
+      CASE WHEN v.fare IS NULL THEN 62000.0 ELSE least(round(v.fare) * 42, 62000.0) END AS transport, round(v.commute_min * 42 / 60 * 10320) AS time_cost
+    FROM (SELECT district, home, round(sum(weight * time_min) / sum(weight), 4) AS commute_min, round(sum(weight * fare) / sum(CASE WHEN fare IS NOT NULL THEN weight END), 4) AS fare, round(sum(weight), 6) AS coverage
+      FROM (SELECT x.district, r.home, x.weight, r.time_min, r.fare FROM route r JOIN bridge x ON r.work = x.dong) GROUP BY 1, 2) v
+    JOIN (SELECT dong, rent_cost, ntile(10) OVER (ORDER BY tx, dong) AS decile FROM burden) b ON b.dong = v.home WHERE v.coverage >= 0.7 AND b.decile > 1)),
     top AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY cost, home) AS k FROM rec)"""
 
 
 def _recommended(t: Tables):
     from .q_flows import a06_district_commute_view
 
-    view = a06_district_commute_view(t).select("district", "home", "fare", F.col("weight_sum").alias("coverage"))
-    return sc.recommend_homes(view, t.burden.select("dong", "rent_cost", "tx"), least_coverage=0.5, k=10)
+    view = a06_district_commute_view(t).select("district", "home", "commute_min", "fare", F.col("weight_sum").alias("coverage"))
+    return sc.recommend_homes(view, t.burden.select("dong", "rent_cost", "tx"), least_coverage=0.7, k=10)
 
 
-@query(f"WITH {RECOMMEND} SELECT district, home, fare, coverage, rent_cost, cost, k FROM top WHERE k <= 10")
+@query(f"WITH {RECOMMEND} SELECT district, home, commute_min, fare, coverage, rent_cost, transport, time_cost, cost, k FROM top WHERE k <= 10")
 def c05_home_recommendation(t: Tables):
     return _recommended(t)
 
@@ -201,10 +212,10 @@ def c07_j11_savings_grid(t: Tables):
     return g.groupBy("income", "base").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(left >= 0.2 * F.col("income"), 1).otherwise(0)).alias("reach"), R(F.avg(left / F.col("income")), 6).alias("mean_rate"))
 
 
-@query("""SELECT c.c_custkey, c.c_acctbal, count(*) AS rules, min(p.p_partkey) AS first_rule FROM customer c JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN p_retailprice END AS rent_max, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 25 END AS target FROM part WHERE p_brand = 'Brand#2') p
+@query("""SELECT c.c_custkey, c.c_acctbal, count(*) AS rules, min(p.p_partkey) AS first_rule FROM customer c JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN p_retailprice END AS rent_max, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 25 END AS target FROM part) p
     ON (p.rent_max IS NULL OR p.rent_max >= c.c_acctbal) AND (p.target IS NULL OR p.target = c.c_nationkey) GROUP BY 1, 2""")
 def c08_j13_p33_policy_match(t: Tables):
-    p = t.part.filter("p_brand = 'Brand#2'").select("p_partkey", F.when(F.col("p_size") % 2 == 1, F.col("p_retailprice")).alias("rent_max"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey") % 25).alias("target"))
+    p = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 1, F.col("p_retailprice")).alias("rent_max"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey") % 25).alias("target"))
     return sc.match_policies(t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), p)
 
 

@@ -22,10 +22,10 @@ def i06_i07_pruned_partial_aggregation(t: Tables):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("dong")).agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT code, arg_max(name, tag) AS name, max(tag) AS tag FROM (SELECT lpad((c_custkey % 500)::VARCHAR, 8, '0') AS code, 'old' || c_nationkey AS name, '2023' AS tag FROM customer WHERE c_custkey % 500 <> 3 AND c_custkey < 500
+@query("""SELECT code, arg_max(name, tag) AS name, max(tag) AS tag FROM (SELECT lpad((c_custkey % 500)::VARCHAR, 8, '0') AS code, 'old' || (c_custkey % 500) AS name, '2023' AS tag FROM customer WHERE c_custkey % 500 <> 3
     UNION ALL SELECT lpad(s_suppkey::VARCHAR, 8, '0'), s_name, '2024' FROM supplier) GROUP BY code""")
 def i04_code_list_union(t: Tables):
-    old = t.customer.filter("c_custkey % 500 <> 3 and c_custkey < 500").select(F.lpad((F.col("c_custkey") % 500).cast("string"), 8, "0").alias("code"), F.concat(F.lit("old"), "c_nationkey").alias("name"), F.lit("2023").alias("tag"))
+    old = t.customer.filter("c_custkey % 500 <> 3").select(F.lpad((F.col("c_custkey") % 500).cast("string"), 8, "0").alias("code"), F.concat(F.lit("old"), (F.col("c_custkey") % 500).cast("string")).alias("name"), F.lit("2023").alias("tag"))
     new = t.supplier.select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("code"), F.col("s_name").alias("name"), F.lit("2024").alias("tag"))
     return rd.latest(old.unionByName(new), ["code"], "tag")
 
@@ -83,16 +83,20 @@ def i17_cache_fold_back(t: Tables):
     return rd.fold_back(part(3, "old"), part(5, "new"), part(2, "two"), ["k"], "v")
 
 
-@query("""SELECT 'region' AS "table", (SELECT count(*) FROM region) AS n, 'r_regionkey' AS "column", 'int' AS type, '0' AS sample UNION ALL SELECT 'region', (SELECT count(*) FROM region), 'r_name', 'string', (SELECT min(r_name) FROM region)
-    UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'c_custkey', 'bigint', (SELECT min(c_custkey)::VARCHAR FROM customer) UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'c_name', 'string', (SELECT min(c_name) FROM customer)""")
+@query("""SELECT 'region' AS "table", (SELECT count(*) FROM region) AS n, 'r_regionkey' AS "column", 'int' AS type, (SELECT r_regionkey::VARCHAR FROM region LIMIT 1) AS sample UNION ALL SELECT 'region', (SELECT count(*) FROM region), 'r_name', 'string', (SELECT r_name FROM region LIMIT 1)
+    UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'c_custkey', 'bigint', (SELECT c_custkey::VARCHAR FROM customer LIMIT 1) UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'segment', 'string', (SELECT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' LIMIT 1)""")
 def i18_catalogue(t: Tables):
-    return rd.catalogue({"region": t.region, "customer": t.customer.select("c_custkey", "c_name")})
+    segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    return rd.catalogue({"region": t.region, "customer": t.customer.select("c_custkey", segment.alias("segment"))})
 
 
-@query("""SELECT k, batch, price FROM (SELECT o_custkey AS k, year(o_orderdate) AS batch, round(max(o_totalprice), 2) AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2) WHERE n = 1""")
+@query("""WITH a AS (SELECT o_custkey AS k, year(o_orderdate) AS batch, o_orderstatus <> 'F' AS ok, round(max(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2, 3),
+    l AS (SELECT *, row_number() OVER (PARTITION BY k, ok ORDER BY batch DESC) AS n FROM a), done AS (SELECT k, batch, price FROM l WHERE ok AND n = 1)
+    SELECT k, batch, price, 'done' AS state FROM done UNION ALL SELECT k, batch, price, 'failed' FROM l WHERE NOT ok AND n = 1 AND k NOT IN (SELECT k FROM done)
+    UNION ALL SELECT c_custkey, NULL, NULL, 'remaining' FROM customer WHERE c_custkey NOT IN (SELECT k FROM done)""")
 def i19_latest_batch(t: Tables):
-    b = t.orders.filter("o_orderstatus <> 'F'").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("batch")).agg(R(F.max("o_totalprice"), 2).alias("price"))
-    return rd.latest(b, ["k"], "batch")
+    attempts = t.orders.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("batch"), (F.col("o_orderstatus") != "F").alias("ok")).agg(R(F.max("o_totalprice"), 2).alias("price"))
+    return rd.merge_attempts(attempts, t.customer.select(F.col("c_custkey").alias("k")), ["k"], "batch", "ok")
 
 
 @query("""SELECT year, dong, coalesce(y1, 0) + coalesce(y2, 0) + coalesce(y3, 0) + coalesce(y4, 0) AS youth, households - (coalesce(y1, 0) + coalesce(y2, 0) + coalesce(y3, 0) + coalesce(y4, 0)) AS rest FROM (SELECT *, nullif(b1, 0) AS y1, nullif(b2, 0) AS y2, nullif(b3, 0) AS y3, nullif(b4, 0) AS y4 FROM panel)
@@ -104,12 +108,6 @@ def p01_p02_panel_bands(t: Tables):
     return t.panel.filter(F.col("dong") % 10 != 0).select("year", "dong", youth.alias("youth"), (F.col("households") - youth).alias("rest")).filter("youth is not null")
 
 
-@query("SELECT o_orderkey, month(o_orderdate) AS m FROM orders")
-def p03_month_from_name(t: Tables):
-    name = F.concat(F.lit("/data/od_"), F.date_format("o_orderdate", "yyyy"), F.lit("년_"), F.month("o_orderdate"), F.lit("월.csv"))
-    return t.orders.select("o_orderkey", F.regexp_extract(name, r"(\d+)월", 1).cast("long").alias("m"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (1, 2, 3) THEN NULL ELSE round(o_totalprice, 2) END AS v FROM orders")
 def p04_number_parse(t: Tables):
     k = F.col("o_orderkey") % 4
@@ -137,7 +135,8 @@ def p07_code10(t: Tables):
 
 @query("SELECT c_custkey, '종로' || (c_custkey % 9) || '.' || (c_custkey % 7) || '가동' AS name FROM customer")
 def p08_p11_name_repair(t: Tables):
-    dot = F.when(F.col("c_custkey") % 3 == 0, "?").when(F.col("c_custkey") % 3 == 1, "·").otherwise("ㆍ")
+    dots = F.array(F.lit("?"), *[F.lit(chr(code)) for code in cl.NUMBER_DOTS])
+    dot = F.element_at(dots, (F.col("c_custkey") % (1 + len(cl.NUMBER_DOTS)) + 1).cast("int"))
     text = F.concat(F.lit("서울 종로구  종로"), F.col("c_custkey") % 9, dot, F.col("c_custkey") % 7, F.lit("가동 "))
     return t.customer.select("c_custkey", cl.repair_name(text).alias("name"))
 
@@ -232,18 +231,19 @@ def p37_format(t: Tables):
     return t.burden.select("dong", F.concat(F.format_number(F.col("rent_cost").cast("long"), 0), F.lit(" → "), F.format_number("tx", 0)).alias("text"), F.concat(R(F.col("coverage") * 100).cast("long"), F.lit("%")).alias("pct"))
 
 
-@query("SELECT type, zone_key, ym, rate * 100 AS pct FROM (SELECT type, zone_key, ym, round(rate, 6) AS rate FROM rate WHERE ym BETWEEN 199601 AND 199612)")
+@query("SELECT type, zone_key, ym, round(rate, 6) * 100 AS pct FROM rate")
 def r01_months_to_rows(t: Tables):
-    months = [199601, 199604, 199607, 199610]
-    wide = t.rate.filter(F.col("ym").between(199601, 199612)).groupBy("type", "zone_key").pivot("ym", months).agg(F.first(R("rate", 6)))
+    months = sorted(r["ym"] for r in t.rate.select("ym").distinct().collect())  # as many as the calendar has
+    wide = t.rate.groupBy("type", "zone_key").pivot("ym", months).agg(F.first(R("rate", 6)))
     wide = wide.select("type", "zone_key", *[F.col(str(m)).alias(f"{m // 100}년 {m % 100}월") for m in months])
     return rs.months_to_rows(wide, ["type", "zone_key"]).select("type", "zone_key", "ym", (F.col("value") * 100).alias("pct"))
 
 
-@query("SELECT dong, year, households FROM panel WHERE year IN (1996, 1997, 1998)")
+@query("SELECT dong, year, households FROM panel")
 def r02_years_to_rows(t: Tables):
-    wide = t.panel.groupBy("dong").pivot("year", [1996, 1997, 1998]).agg(F.first("households"))
-    return wide.unpivot(["dong"], ["1996", "1997", "1998"], "year", "households").withColumn("year", F.col("year").cast("int")).filter("households is not null")
+    years = sorted(r["year"] for r in t.panel.select("year").distinct().collect())
+    wide = t.panel.groupBy("dong").pivot("year", years).agg(F.first("households"))
+    return wide.unpivot(["dong"], [str(y) for y in years], "year", "households").withColumn("year", F.col("year").cast("int")).filter("households is not null")
 
 
 @query("SELECT dong, sum(type = 'SMALL')::BIGINT AS small, sum(type = 'PROMO')::BIGINT AS promo, 0::BIGINT AS absent, count(*) AS total, round(sum(type = 'SMALL') / count(*), 6) AS small_share FROM txn GROUP BY dong")
@@ -303,38 +303,38 @@ def j18_rekey_by_name(t: Tables):
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dong").isNull()).alias("failed"), F.count_if(F.col("dong") != F.col("s_suppkey")).alias("changed"))
 
 
-LINKS = "SELECT DISTINCT l_suppkey AS dong, l_partkey AS bjd FROM lineitem WHERE l_quantity > 40"
+LINKS = "SELECT DISTINCT l_suppkey AS dong, l_partkey AS bjd FROM lineitem"
 
 
-@query(f"WITH m AS ({LINKS}) SELECT a.dong, b.dong AS neighbour, count(*) AS shared, string_agg(a.bjd::VARCHAR, ',' ORDER BY a.bjd) AS names FROM m a JOIN m b ON a.bjd = b.bjd AND a.dong <> b.dong WHERE b.dong % 4 = 0 GROUP BY 1, 2")
+@query(f"WITH m AS ({LINKS}) SELECT a.dong, b.dong AS neighbour, count(*) AS shared, string_agg(a.bjd::VARCHAR, ',' ORDER BY a.bjd) AS names FROM m a JOIN m b ON a.bjd = b.bjd AND a.dong <> b.dong GROUP BY 1, 2")
 def j19_shared_neighbours(t: Tables):
-    m = t.lineitem.filter("l_quantity > 40").select(F.col("l_suppkey").alias("dong"), F.col("l_partkey").alias("bjd")).distinct()
-    return rs.shared_neighbours(m, m.filter("dong % 4 = 0"), "dong", "bjd").select("dong", "neighbour", "shared", F.array_join("names", ",").alias("names"))
+    m = t.lineitem.select(F.col("l_suppkey").alias("dong"), F.col("l_partkey").alias("bjd")).distinct()
+    return rs.shared_neighbours(m, m, "dong", "bjd").select("dong", "neighbour", "shared", F.array_join("names", ",").alias("names"))
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS dong, l_partkey % 2000 AS road, l_returnflag AS gu FROM lineitem WHERE l_quantity > 45) SELECT a.dong, count(DISTINCT b.dong) AS neighbours FROM m a JOIN m b ON a.road = b.road AND a.gu = b.gu AND a.dong <> b.dong GROUP BY 1")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS dong, l_partkey % 2000 AS road, l_returnflag AS gu FROM lineitem) SELECT a.dong, count(DISTINCT b.dong) AS neighbours FROM m a JOIN m b ON a.road = b.road AND a.gu = b.gu AND a.dong <> b.dong GROUP BY 1")
 def j20_road_adjacency(t: Tables):
-    m = t.lineitem.filter("l_quantity > 45").select(F.col("l_suppkey").alias("dong"), (F.col("l_partkey") % 2000).alias("road"), F.col("l_returnflag").alias("gu")).distinct()
+    m = t.lineitem.select(F.col("l_suppkey").alias("dong"), (F.col("l_partkey") % 2000).alias("road"), F.col("l_returnflag").alias("gu")).distinct()
     return m.join(m.withColumnRenamed("dong", "other"), ["road", "gu"]).filter("dong <> other").groupBy("dong").agg(F.countDistinct("other").alias("neighbours"))
 
 
-GEO = "SELECT dong, gu, 37.4 + (dong * 37 % 100) * 0.003 AS lat, 126.8 + (dong * 53 % 100) * 0.004 AS lng FROM dim_region"
+GEO = "SELECT dong, gu, 37.5 + (dong * 37 % 100) * 0.0006 AS lat, 126.9 + (dong * 53 % 100) * 0.0008 AS lng FROM dim_region"
 
 
 @query(f"""WITH g AS ({GEO}), d AS (SELECT a.dong, b.dong AS c, 2 * 6371.0088 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lng - a.lng) / 2) ** 2)) AS km FROM g a JOIN g b ON a.gu = b.gu AND a.dong <> b.dong WHERE a.dong % 5 = 0 AND b.dong % 5 <> 0)
-    SELECT dong, count(CASE WHEN km <= 5 THEN 1 END) AS within5, count(CASE WHEN km <= 10 THEN 1 END) AS within10, round(min(km), 4) AS nearest, count(*) AS candidates FROM d GROUP BY dong""")
+    SELECT dong, {", ".join(f"count(CASE WHEN km <= {r} THEN 1 END) AS within{r}" for r in (1, 2, 3, 5))}, round(min(km), 4) AS nearest, count(*) AS candidates FROM d GROUP BY dong""")
 def j21_haversine(t: Tables):
-    g = t.dim_region.select("dong", "gu", (37.4 + (F.col("dong") * 37 % 100) * 0.003).alias("lat"), (126.8 + (F.col("dong") * 53 % 100) * 0.004).alias("lng"))
+    g = t.dim_region.select("dong", "gu", (37.5 + (F.col("dong") * 37 % 100) * 0.0006).alias("lat"), (126.9 + (F.col("dong") * 53 % 100) * 0.0008).alias("lng"))
     d = rs.haversine_pairs(g.filter("dong % 5 = 0"), g.filter("dong % 5 <> 0"), "dong", "gu")
-    return d.groupBy("dong").agg(F.count_if(F.col("km") <= 5).alias("within5"), F.count_if(F.col("km") <= 10).alias("within10"), R(F.min("km"), 4).alias("nearest"), F.count(F.lit(1)).alias("candidates"))
+    return d.groupBy("dong").agg(*[F.count_if(F.col("km") <= r).alias(f"within{r}") for r in (1, 2, 3, 5)], R(F.min("km"), 4).alias("nearest"), F.count(F.lit(1)).alias("candidates"))
 
 
-@query("""WITH x AS (SELECT f.dong, r.gu, r.zone, f.f1, f.f2 FROM features f JOIN dim_region r USING (dong)), p AS (SELECT a.dong, b.dong AS donor, CASE WHEN a.gu = b.gu THEN 1 WHEN a.zone = b.zone THEN 2 ELSE 3 END AS lvl, round((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2, 9) AS d FROM x a JOIN x b ON b.dong % 5 <> 0 WHERE a.dong % 5 = 0),
+@query("""WITH x AS (SELECT f.dong, r.gu, r.zone, f.f1, f.f2, f.f4 FROM features f JOIN dim_region r USING (dong)), p AS (SELECT a.dong, b.dong AS donor, b.f1 AS donor_value, CASE WHEN a.gu = b.gu THEN 1 WHEN a.zone = b.zone THEN 2 ELSE 3 END AS lvl, round((a.f2 - b.f2) ** 2 + (a.f4 - b.f4) ** 2, 9) AS d FROM x a JOIN x b ON b.dong % 5 <> 0 WHERE a.dong % 5 = 0),
     s AS (SELECT dong, CASE WHEN count(CASE WHEN lvl = 1 THEN 1 END) >= 3 THEN 1 WHEN count(CASE WHEN lvl <= 2 THEN 1 END) >= 3 THEN 2 ELSE 3 END AS scope FROM p GROUP BY 1)
-    SELECT dong, donor, scope, k FROM (SELECT p.dong, donor, scope, row_number() OVER (PARTITION BY p.dong ORDER BY d, donor) AS k FROM p JOIN s ON s.dong = p.dong AND lvl <= scope) WHERE k <= 5""")
+    SELECT dong, donor, scope, k, donor_value, median(donor_value) OVER (PARTITION BY dong) AS imputed FROM (SELECT p.dong, donor, donor_value, scope, row_number() OVER (PARTITION BY p.dong ORDER BY d, donor) AS k FROM p JOIN s ON s.dong = p.dong AND lvl <= scope) WHERE k <= 5""")
 def j22_widening_donors(t: Tables):
-    x = t.features.join(t.dim_region.select("dong", "gu", "zone"), "dong").select("dong", "gu", "zone", "f1", "f2")
-    return rs.widening_donors(x.filter("dong % 5 = 0"), x.filter("dong % 5 <> 0"), ["f1", "f2"], 3, 5)
+    x = t.features.join(t.dim_region.select("dong", "gu", "zone"), "dong").select("dong", "gu", "zone", "f1", "f2", "f4")
+    return rs.widening_donors(x.filter("dong % 5 = 0"), x.filter("dong % 5 <> 0"), ["f2", "f4"], "f1")
 
 
 @query("WITH m AS (SELECT n_nationkey AS legacy, count(*) AS k, min(n_nationkey * 2) AS cur FROM nation WHERE n_nationkey % 3 = 0 GROUP BY 1) SELECT s_suppkey, coalesce(cur, s_nationkey) AS code, cur IS NOT NULL AS mapped FROM supplier LEFT JOIN m ON legacy = s_nationkey")

@@ -44,13 +44,13 @@ def a05_internal_share(t: Tables):
     return fl.internal_share(t.od)
 
 
-@query("""SELECT district, home, round(sum(weight * fare) / sum(weight), 4) AS fare_known_only, round(sum(weight), 6) AS weight_sum,
+@query("""SELECT district, home, round(sum(weight * fare) / sum(weight), 4) AS fare_known_only, round(sum(weight), 6) AS weight_sum, round(sum(weight * time_min) / sum(weight), 4) AS commute_min,
     round(sum(weight * fare) / sum(CASE WHEN fare IS NOT NULL THEN weight END), 4) AS fare
-    FROM (SELECT b.district, r.home, b.weight, r.fare FROM route r JOIN bridge b ON r.work = b.dong) GROUP BY 1, 2""")
+    FROM (SELECT b.district, r.home, b.weight, r.time_min, r.fare FROM route r JOIN bridge b ON r.work = b.dong) GROUP BY 1, 2""")
 def a06_district_commute_view(t: Tables):
     j = t.route.drop("weight").join(t.bridge, F.col("work") == F.col("dong"))
     w, f = F.col("weight"), F.col("fare")
-    return j.groupBy("district", "home").agg(R(F.sum(w * f) / F.sum(w), 4).alias("fare_known_only"), R(F.sum(w), 6).alias("weight_sum"), R(fl.available_mean("fare", "weight"), 4).alias("fare"))
+    return j.groupBy("district", "home").agg(R(F.sum(w * f) / F.sum(w), 4).alias("fare_known_only"), R(F.sum(w), 6).alias("weight_sum"), R(F.sum(w * F.col("time_min")) / F.sum(w), 4).alias("commute_min"), R(fl.available_mean("fare", "weight"), 4).alias("fare"))
 
 
 @query("""SELECT dong, type, median(rent) AS med, count(*) AS n, count(*) < 30 AS small FROM txn GROUP BY 1, 2
@@ -85,13 +85,18 @@ def a15_in_out_flows(t: Tables):
 
 
 @query("""SELECT r.zone, count(*) AS members, sum(inflow) AS inflow, sum(outflow) AS outflow, sum(inflow - outflow) AS net,
-    arg_max(n.node, struct_pack(a := inflow, b := -n.node)) AS representative FROM (
+    arg_max(n.node, struct_pack(a := inflow, b := -n.node)) AS representative,
+    round(sum(b.rent_cost * n.outflow) / sum(CASE WHEN b.rent_cost IS NOT NULL THEN n.outflow END), 4) AS rent_cost,
+    round(sum(b.oneway_min * n.outflow) / sum(CASE WHEN b.oneway_min IS NOT NULL THEN n.outflow END), 4) AS oneway_min,
+    round(sum(b.total * n.outflow) / sum(CASE WHEN b.total IS NOT NULL THEN n.outflow END), 4) AS total FROM (
       SELECT w.node, coalesce(inflow, 0) AS inflow, coalesce(outflow, 0) AS outflow FROM (SELECT work AS node, sum(flow) AS inflow FROM od WHERE home <> work GROUP BY 1) w
       LEFT JOIN (SELECT home AS node, sum(flow) AS outflow FROM od WHERE home <> work GROUP BY 1) h ON w.node = h.node) n
-    JOIN dim_region r ON r.dong = n.node GROUP BY r.zone""")
+    JOIN dim_region r ON r.dong = n.node LEFT JOIN burden b ON b.dong = n.node GROUP BY r.zone""")
 def a16_community_summary(t: Tables):
-    n = fl.node_flows(t.od).join(t.dim_region, F.col("node") == F.col("dong"))
-    return n.groupBy("zone").agg(F.count(F.lit(1)).alias("members"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.sum("net").alias("net"), F.max_by("node", F.struct(F.col("inflow"), -F.col("node"))).alias("representative"))
+    metrics = ["rent_cost", "oneway_min", "total"]
+    n = fl.node_flows(t.od).join(t.dim_region, F.col("node") == F.col("dong")).join(t.burden.select(F.col("dong").alias("node"), *metrics), "node", "left")
+    means = [R(fl.available_mean(c, "outflow"), 4).alias(c) for c in metrics]
+    return n.groupBy("zone").agg(F.count(F.lit(1)).alias("members"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.sum("net").alias("net"), F.max_by("node", F.struct(F.col("inflow"), -F.col("node"))).alias("representative"), *means)
 
 
 @query("""SELECT home, sum(CASE WHEN h = w THEN flow ELSE 0 END) / sum(flow) AS same_share, 1 - sum(CASE WHEN h = w THEN flow ELSE 0 END) / sum(flow) AS cross_share FROM (

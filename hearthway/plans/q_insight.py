@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthway.operators import insight as ins
 from hearthway.operators import scores as sc
+from hearthway.operators import statistics as st
 
 from .tables import VIEWS, Tables, query
 
@@ -159,9 +160,15 @@ def c24_user_filter(t: Tables):
     return _pairs(t).filter("work = 7 and rent_cost <= 260000 and hours <= 18 and total <= 700000").select("work", "home", "rent_cost", "hours", "total")
 
 
-@query("SELECT work, count(*) AS n, round(regr_slope(hours, rent_cost) * 100000, 4) AS slope, round(regr_r2(hours, rent_cost), 6) AS r2 FROM pairs GROUP BY work HAVING count(*) >= 10")
+@query("""WITH r AS (SELECT work, hours, rent_cost, rank() OVER (PARTITION BY work ORDER BY rent_cost) + (count(*) OVER (PARTITION BY work, rent_cost) - 1) / 2.0 AS a, rank() OVER (PARTITION BY work ORDER BY hours) + (count(*) OVER (PARTITION BY work, hours) - 1) / 2.0 AS b FROM pairs),
+    g AS (SELECT work, count(*) AS n, regr_slope(hours, rent_cost) AS slope, regr_r2(hours, rent_cost) AS r2, corr(a, b) AS rho FROM r GROUP BY work HAVING count(*) >= 10),
+    x AS (SELECT *, least(n - 2, 2000)::INT AS df, atan(abs(rho * sqrt((n - 2) / (1 - rho * rho))) / sqrt(least(n - 2, 2000))) AS th FROM g)
+    SELECT work, n, round(slope * 100000, 4) AS slope, round(r2, 6) AS r2, round(rho, 6) AS rho, round(greatest(0, 1 - CASE WHEN df % 2 = 0
+      THEN sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * cos(th) ** (2 * k)))
+      ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(th) ** (2 * k))), 0)) END), 6) AS p FROM x""")
 def a26_regression_summary(t: Tables):
-    return _pairs(t).groupBy("work").agg(F.count(F.lit(1)).alias("n"), R(F.regr_slope("hours", "rent_cost") * 100000, 4).alias("slope"), R(F.regr_r2("hours", "rent_cost"), 6).alias("r2")).filter("n >= 10")
+    g = st.regression_summary(_pairs(t), "work", "rent_cost", "hours")
+    return g.select("work", "n", R(F.col("slope") * 100000, 4).alias("slope"), R("r2", 6).alias("r2"), R("rho", 6).alias("rho"), R("p", 6).alias("p"))
 
 
 @query("SELECT work, floor(rent_cost / 10000) * 10000 AS band, count(*) AS n, round(avg(hours), 7) AS hours, round(avg(fare_cost), 7) AS fare FROM pairs GROUP BY 1, 2")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.operators import cluster as cs
 from hearthway.operators import flows as fl
 from hearthway.operators import graph as gr
+from hearthway.operators import scores as sc
 from hearthway.operators import statistics as st
+from hearthway.sources.stage import stage_dir
 from hearthway.streaming import jobs
 
 from .tables import VIEWS, Tables, query
@@ -144,11 +149,37 @@ def m16_hopkins(t: Tables):
     return cs.hopkins(_scaled(t), "dong", COLS)
 
 
-@query("""WITH c AS (SELECT p_brand, p_type, count(*) AS n, avg(p_size) AS size FROM part GROUP BY 1, 2), s AS (SELECT *, 0.6::DOUBLE * (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) + 0.4::DOUBLE * (1 - (size - min(size) OVER ()) / (max(size) OVER () - min(size) OVER ())) AS score FROM c)
-    SELECT p_brand, p_type, n, round(score, 8) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 10) DESC, p_type) AS place FROM s) WHERE place <= 2""")
+CANDIDATES = """c AS (SELECT p_brand AS representation, 4 + p_size % 5 AS k, p_type AS method, count(*) AS smallest, avg(p_size) / 100 AS largest_share, stddev_samp(p_retailprice) / avg(p_retailprice) AS silhouette, sum(p_retailprice) AS ch,
+      stddev_pop(p_size) AS db, avg(p_retailprice) AS balance, max(p_retailprice) - min(p_retailprice) AS separation, min(p_size) AS stability FROM part GROUP BY ALL),
+    ok AS (SELECT *, (silhouette IS NOT NULL AND smallest >= 4 AND largest_share <= 0.22) AS strict, (silhouette IS NOT NULL AND smallest >= 2 AND largest_share <= 0.45) AS relaxed FROM c),
+    e AS (SELECT *, CASE WHEN (SELECT count(*) FROM ok WHERE strict) >= 15 THEN 'strict' ELSE 'relaxed' END AS rule FROM ok WHERE CASE WHEN (SELECT count(*) FROM ok WHERE strict) >= 15 THEN strict ELSE relaxed END)"""
+
+
+def _minmax(c: str, of: str = "") -> str:
+    x = of or c
+    return f"CASE WHEN max({x}) OVER () > min({x}) OVER () THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE 0.5 END"
+
+
+FIRST = f"0.15::DOUBLE * {_minmax('silhouette')} + 0.10::DOUBLE * {_minmax('ch', 'ln(1 + ch)')} + 0.10::DOUBLE * (1 - {_minmax('db')}) + 0.30::DOUBLE * {_minmax('balance')} + 0.35::DOUBLE * {_minmax('separation')}"
+FINAL = f"0.25::DOUBLE * {_minmax('separation')} + 0.25::DOUBLE * {_minmax('balance')} + 0.20::DOUBLE * {_minmax('stability')} + 0.15::DOUBLE * {_minmax('silhouette')} + 0.10::DOUBLE * {_minmax('ch', 'ln(1 + ch)')} + 0.05::DOUBLE * (1 - {_minmax('db')})"
+
+
+@query(f"""WITH {CANDIDATES}, s AS (SELECT *, round({FIRST}, 9) AS first_score FROM e), short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY representation, k ORDER BY first_score DESC, method) AS place FROM s) WHERE place <= 2), f AS (SELECT *, round({FINAL}, 9) AS final_score FROM short)
+    SELECT representation, k, method, rule, round(first_score, 7) AS first_score, place, round(final_score, 7) AS final_score, row_number() OVER (PARTITION BY k ORDER BY final_score DESC, representation, method) = 1 AS best_of_k FROM f""")
 def m17_candidate_scores(t: Tables):
-    c = t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.avg("p_size").alias("size"))
-    return cs.candidate_scores(c, {"n": (0.6, True), "size": (0.4, False)}, 2, ["p_brand"]).select("p_brand", "p_type", "n", R("score", 8).alias("score"), "place")
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    c = t.part.groupBy(F.col("p_brand").alias("representation"), (4 + size % 5).alias("k"), F.col("p_type").alias("method")).agg(
+        F.count(F.lit(1)).alias("smallest"), (F.avg(size) / 100).alias("largest_share"), (F.stddev_samp(price) / F.avg(price)).alias("silhouette"), F.log1p(F.sum(price)).alias("ch"),
+        F.stddev_pop(size).alias("db"), F.avg(price).alias("balance"), (F.max(price) - F.min(price)).alias("separation"), F.min(size).alias("stability"),
+    )
+    c = c.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
+    rule = lambda least, most: F.col("silhouette").isNotNull() & (F.col("smallest") >= least) & (F.col("largest_share") <= most)
+    e = cs.eligible(c, rule(4, 0.22), rule(2, 0.45))
+    s = cs.weighted_score(e, {"silhouette": (0.15, True), "ch": (0.10, True), "db": (0.10, False), "balance": (0.30, True), "separation": (0.35, True)}, "first_score").withColumn("first_score", R("first_score", 9))
+    short = cs.best_of(s, ["representation", "k"], "first_score", 2, ["method"])
+    f = cs.weighted_score(short, {"separation": (0.25, True), "balance": (0.25, True), "stability": (0.20, True), "silhouette": (0.15, True), "ch": (0.10, True), "db": (0.05, False)}, "final_score").withColumn("final_score", R("final_score", 9))
+    place = F.row_number().over(W.partitionBy("k").orderBy(F.desc("final_score"), "representation", "method"))
+    return f.select("representation", "k", "method", "rule", R("first_score", 7).alias("first_score"), "place", R("final_score", 7).alias("final_score"), (place == 1).alias("best_of_k"))
 
 
 @query()
@@ -183,6 +214,14 @@ def m21_correlations(t: Tables):
 RANKS = "SELECT {g}, {v}, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r FROM {t}"
 
 
+COSTS = ["rent_cost", "oneway_min", "hours", "total"]
+
+
+@query("SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM burden" for i, a in enumerate(COSTS) for b in COSTS[i + 1 :]) + ") WHERE abs(r) > 0.8")
+def m21_strong_pairs(t: Tables):
+    return st.correlations(t.burden, COSTS).filter(F.abs("r") > 0.8).select("a", "b", R("r", 6).alias("r"))
+
+
 @query("""SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY rent_cost) + (count(*) OVER (PARTITION BY rent_cost) - 1) / 2.0 AS a, rank() OVER (ORDER BY oneway_min) + (count(*) OVER (PARTITION BY oneway_min) - 1) / 2.0 AS b FROM burden)""")
 def m21_spearman(t: Tables):
     return st.spearman(t.burden, "rent_cost", "oneway_min").select("n", R("rho", 6).alias("rho"))
@@ -205,10 +244,20 @@ def m24_contingency(t: Tables):
     return st.contingency(t.part.select(F.col("p_type").alias("a"), (F.col("p_size") % 3).alias("b")), "a", "b").select("n", "rows", "columns", R("chi2", 6).alias("chi2"), R("v", 8).alias("v"))
 
 
-@query(f"""WITH r AS ({RANKS.format(g="p_type = 'SMALL' AS g", v='p_retailprice', t='part')}) SELECT sum(g::INT) AS n1, sum((NOT g)::INT) AS n2, sum(CASE WHEN g THEN r END) - sum(g::INT) * (sum(g::INT) + 1) / 2 AS u,
-    round(2 * (sum(CASE WHEN g THEN r END) - sum(g::INT) * (sum(g::INT) + 1) / 2) / (sum(g::INT) * sum((NOT g)::INT)) - 1, 8) AS rank_biserial FROM r""")
+@query(f"""WITH r AS ({RANKS.format(g="p_type = 'SMALL' AS g", v='p_retailprice', t='part')}), s AS (SELECT sum(g::INT)::DOUBLE AS n1, sum((NOT g)::INT)::DOUBLE AS n2, sum(CASE WHEN g THEN r END)::DOUBLE AS rs FROM r), ti AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM part GROUP BY p_retailprice)),
+    u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u FROM s, ti), z AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u),
+    h AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * abs(z) * list_sum(list_transform(range(0, 121), lambda k: exp(k * ln(greatest(z * z, 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) AS h FROM z)
+    SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(2 * u / (n1 * n2) - 1, 8) AS rank_biserial, round(z, 6) AS z, round(CASE WHEN z > 6 THEN 0 WHEN z < -6 THEN 1 WHEN z >= 0 THEN 0.5 - h ELSE 0.5 + h END, 8) AS p FROM h""")
 def m25_mann_whitney(t: Tables):
-    return st.mann_whitney(t.part.select((F.col("p_type") == "SMALL").alias("g"), "p_retailprice"), "g", "p_retailprice").select("n1", "n2", "u", R("rank_biserial", 8).alias("rank_biserial"))
+    m = st.mann_whitney(t.part.select((F.col("p_type") == "SMALL").alias("g"), "p_retailprice"), "g", "p_retailprice")
+    return m.select("n1", "n2", "u", R("rank_biserial", 8).alias("rank_biserial"), R("z", 6).alias("z"), R("p", 8).alias("p"))
+
+
+@query("""WITH x AS (SELECT *, 1 + (p_size > q[1])::INT + (p_size > q[2])::INT + (p_size > q[3])::INT AS quarter FROM part, (SELECT quantile_cont(p_size::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM part))
+    SELECT *, round(flagged - other, 6) AS difference FROM (SELECT quarter, count(CASE WHEN p_type = 'SMALL' THEN 1 END) AS n1, count(CASE WHEN p_type <> 'SMALL' THEN 1 END) AS n2, median(CASE WHEN p_type = 'SMALL' THEN p_retailprice END) AS flagged, median(CASE WHEN p_type <> 'SMALL' THEN p_retailprice END) AS other FROM x GROUP BY quarter) WHERE n1 >= 3 AND n2 >= 3""")
+def m25_by_quartile(t: Tables):
+    m = st.medians_by_quartile(t.part.select((F.col("p_type") == "SMALL").alias("g"), "p_retailprice", "p_size"), "g", "p_retailprice", "p_size")
+    return m.select("quarter", "n1", "n2", "flagged", "other", R("difference", 6).alias("difference"))
 
 
 @query()
@@ -220,12 +269,23 @@ def m26_k_evaluation(t: Tables):
     return k.select("k", "silhouette", "inertia", "smallest", ((F.col("r1") + F.col("r2")) / 2).alias("mean_rank"))
 
 
-@query("""WITH s AS (SELECT dong, f1 > (SELECT median(f1) FROM scaled) AS a, f2 > (SELECT median(f2) FROM scaled) AS b FROM scaled) SELECT dong, CASE WHEN a AND b THEN 'dear and far' WHEN a THEN 'dear and near' WHEN b THEN 'cheap and far' ELSE 'cheap and near' END AS quadrant FROM s""")
+VIEWS["structure"] = """SELECT dong, (inside - avg(inside) OVER ()) / stddev_pop(inside) OVER () AS inside, (entropy - avg(entropy) OVER ()) / stddev_pop(entropy) OVER () AS entropy FROM (
+    SELECT f.dong, o.inside, o.entropy FROM features f JOIN (SELECT home AS dong, sum(CASE WHEN home = work THEN flow ELSE 0 END) / sum(flow) AS inside, -sum(share * ln(share)) / ln(count(*)) AS entropy FROM ranked_od GROUP BY home) o USING (dong))"""
+
+
+@query("""WITH s AS (SELECT dong, f1 AS rent, (f2 + f3) / 2 AS commute, (f1 + f2 + f3) / 3 AS burden_, (inside - entropy) / 2 AS local_ FROM scaled JOIN structure USING (dong)),
+    m AS (SELECT median(rent) AS h, median(commute) AS c, median(burden_) AS b, median(local_) AS s FROM s)
+    SELECT dong, CASE WHEN rent <= h THEN 'low rent' ELSE 'high rent' END || ', ' || CASE WHEN commute <= c THEN 'low commute' ELSE 'high commute' END AS rent_commute,
+    CASE WHEN burden_ <= b THEN 'low burden' ELSE 'high burden' END || ', ' || CASE WHEN local_ <= m.s THEN 'dispersed' ELSE 'local' END AS burden_structure FROM s, m""")
 def c28_quadrants(t: Tables):
-    s = _scaled(t)
-    m = s.agg(F.median("f1").alias("m1"), F.median("f2").alias("m2"))
-    a, b = F.col("f1") > F.col("m1"), F.col("f2") > F.col("m2")
-    return s.crossJoin(F.broadcast(m)).select("dong", F.when(a & b, "dear and far").when(a, "dear and near").when(b, "cheap and far").otherwise("cheap and near").alias("quadrant"))
+    o = fl.concentration(t.od).select(F.col("home").alias("dong"), F.col("entropy_norm").alias("entropy")).join(fl.internal_share(t.od).select(F.col("home").alias("dong"), F.col("internal_share").alias("inside")), "dong")
+    structure = cs.standard_scale(t.features.select("dong").join(o, "dong"), ["inside", "entropy"])
+    scores = {"rent": F.col("f1"), "commute": (F.col("f2") + F.col("f3")) / 2, "burden": (F.col("f1") + F.col("f2") + F.col("f3")) / 3, "local": (F.col("inside") - F.col("entropy")) / 2}
+    s = _scaled(t).join(structure, "dong").select("dong", *[v.alias(k) for k, v in scores.items()])
+    m = s.agg(*[F.median(k).alias(f"m_{k}") for k in scores])
+    side = lambda k, low, high: F.when(F.col(k) <= F.col(f"m_{k}"), low).otherwise(high)
+    grids = s.crossJoin(F.broadcast(m))
+    return grids.select("dong", F.concat_ws(", ", side("rent", "low rent", "high rent"), side("commute", "low commute", "high commute")).alias("rent_commute"), F.concat_ws(", ", side("burden", "low burden", "high burden"), side("local", "dispersed", "local")).alias("burden_structure"))
 
 
 @query("""WITH l AS (SELECT b.dong, b.tx, ln(b.rent_cost / z.m) AS x FROM burden b JOIN dim_region r USING (dong) JOIN (SELECT r.zone, median(rent_cost) AS m FROM burden b JOIN dim_region r USING (dong) GROUP BY 1) z ON z.zone = r.zone), m AS (SELECT median(x) AS med, stddev_samp(x) AS sd FROM l), d AS (SELECT median(abs(x - med)) AS mad FROM l, m),
@@ -236,16 +296,22 @@ def c34_anomalies(t: Tables):
     return st.anomalies(b, "dong", "rent_cost", "zone", "tx", 590).select("dong", R("log_ratio", 6).alias("log_ratio"), R("z", 4).alias("z"), "diagnosis")
 
 
-@query("""WITH n AS (SELECT work AS dong, sum(flow) AS inflow FROM od WHERE home <> work GROUP BY 1), o AS (SELECT home AS dong, sum(flow) AS outflow FROM od WHERE home <> work GROUP BY 1), x AS (SELECT dong, inflow, outflow, inflow / outflow AS ratio FROM n JOIN o USING (dong)), c AS (SELECT count(*) AS c FROM x),
-    p AS (SELECT dong, inflow, ratio, (rank() OVER (ORDER BY inflow) + (count(*) OVER (PARTITION BY inflow) - 1) / 2.0) / c AS p1, (rank() OVER (ORDER BY ratio) + (count(*) OVER (PARTITION BY ratio) - 1) / 2.0) / c AS p2 FROM x, c)
-    SELECT dong, round((p1 + p2) / 2, 8) AS score, inflow >= (SELECT quantile_cont(inflow::DOUBLE, 0.85) FROM x) AND ratio > 1 AS centre, round(inflow / (SELECT sum(inflow) FROM x), 8) AS absorbed FROM p""")
-def c25_workplace_score(t: Tables):
-    from hearthway.operators.scores import average_rank
+def _pct(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / (SELECT count({c}) FROM x) END"
+
 
-    x = fl.node_flows(t.od).filter("inflow > 0 and outflow > 0").select(F.col("node").alias("dong"), "inflow", F.col("in_out_ratio").alias("ratio"))
-    one = x.agg(F.count(F.lit(1)).alias("c"), F.percentile("inflow", F.lit(0.85)).alias("q"), F.sum("inflow").alias("s"))
-    r = average_rank(average_rank(x, "inflow", "r1"), "ratio", "r2").crossJoin(F.broadcast(one))
-    return r.select("dong", R((F.col("r1") / F.col("c") + F.col("r2") / F.col("c")) / 2, 8).alias("score"), ((F.col("inflow") >= F.col("q")) & (F.col("ratio") > 1)).alias("centre"), R(F.col("inflow") / F.col("s"), 8).alias("absorbed"))
+@query(f"""WITH n AS (SELECT work AS dong, sum(flow) AS inflow FROM od WHERE home <> work GROUP BY 1), o AS (SELECT home AS dong, sum(flow) AS outflow FROM od WHERE home <> work GROUP BY 1),
+    p AS (SELECT home AS dong, sum(CASE WHEN minute_of_day BETWEEN 540 AND 1079 THEN weight ELSE 0 END) / nullif(sum(CASE WHEN minute_of_day NOT BETWEEN 540 AND 1079 THEN weight ELSE 0 END), 0) AS day_night, sum(CASE WHEN dayofweek(ts) BETWEEN 1 AND 5 THEN weight ELSE 0 END) / sum(weight) AS weekday FROM mobility GROUP BY 1),
+    x AS (SELECT r.dong, coalesce(inflow, 0) AS inflow, coalesce(inflow, 0) / nullif(coalesce(outflow, 0), 0) AS ratio, round(day_night, 9) AS day_night, round(weekday, 9) AS weekday FROM dim_region r LEFT JOIN n USING (dong) LEFT JOIN o USING (dong) LEFT JOIN p USING (dong)),
+    q AS (SELECT *, {_pct('inflow')} AS r1, {_pct('ratio')} AS r2, {_pct('day_night')} AS r3, {_pct('weekday')} AS r4, inflow >= (SELECT quantile_cont(inflow::DOUBLE, 0.85) FROM x) AND coalesce(ratio > 1, false) AND coalesce(day_night > 1, false) AS centre FROM x)
+    SELECT dong, round((coalesce(r1, 0) + coalesce(r2, 0) + coalesce(r3, 0) + coalesce(r4, 0)) / ((r1 IS NOT NULL)::INT + (r2 IS NOT NULL)::INT + (r3 IS NOT NULL)::INT + (r4 IS NOT NULL)::INT), 8) AS score, centre, round(sum(CASE WHEN centre THEN inflow ELSE 0 END) OVER () / sum(inflow) OVER (), 8) AS absorbed FROM q""")
+def c25_workplace_score(t: Tables):
+    n = fl.node_flows(t.od).select(F.col("node").alias("dong"), "inflow", F.col("in_out_ratio").alias("ratio"))
+    day, weight = F.col("minute_of_day").between(540, 1079), F.col("weight")
+    night = F.sum(F.when(~day, weight).otherwise(0))
+    people = t.mobility.groupBy(F.col("home").alias("dong")).agg(R(F.sum(F.when(day, weight).otherwise(0)) / F.nullif(night, F.lit(0)), 9).alias("day_night"), R(F.sum(F.when(F.dayofweek("ts").between(2, 6), weight).otherwise(0)) / F.sum(weight), 9).alias("weekday"))
+    x = t.dim_region.select("dong").join(n, "dong", "left").na.fill(0, ["inflow"]).join(people, "dong", "left")
+    return sc.workplace_score(x, "inflow", ["inflow", "ratio", "day_night", "weekday"], ["ratio", "day_night"]).select("dong", R("score", 8).alias("score"), "centre", R("absorbed", 8).alias("absorbed"))
 
 
 @query("""WITH names AS (SELECT 'Supplier#' || lpad((k * 9)::VARCHAR, 9, '0') AS name, 'D' || k % 3 AS district FROM (SELECT unnest(range(15)) AS k)) SELECT n.name, n.district, r.dong, CASE WHEN r.dong IS NULL THEN 'listed but missing' ELSE 'listed' END AS status FROM names n LEFT JOIN dim_region r ON r.dong_name = n.name""")
@@ -262,16 +328,22 @@ EDGES = "e AS (SELECT least(home, work) AS a, greatest(home, work) AS b, sum(flo
 CUTS = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, quantile_cont(flow::DOUBLE, {q}) AS cut FROM e" for q in (0.0, 0.1, 0.25, 0.5))
 
 
-@query(f"""WITH {EDGES}, q AS ({CUTS}), f AS (SELECT quantile, cut, sum(CASE WHEN flow >= cut THEN flow ELSE 0 END) / sum(flow) AS flow_kept, count(CASE WHEN flow >= cut THEN 1 END) / count(*) AS edges_kept FROM e, q GROUP BY 1, 2),
-    n AS (SELECT quantile, count(DISTINCT node) AS n FROM (SELECT quantile, a AS node FROM e, q WHERE flow >= cut UNION ALL SELECT quantile, b FROM e, q WHERE flow >= cut) GROUP BY 1)
-    SELECT quantile, cut, flow_kept, edges_kept, n / (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS nodes_kept FROM f JOIN n USING (quantile)""")
+@query(f"""WITH RECURSIVE {EDGES}, q AS ({CUTS}), f AS (SELECT quantile, cut, sum(CASE WHEN flow >= cut THEN flow ELSE 0 END) / sum(flow) AS flow_kept, count(CASE WHEN flow >= cut THEN 1 END) / count(*) AS edges_kept FROM e, q GROUP BY 1, 2),
+    v AS (SELECT a AS node FROM e UNION SELECT b FROM e), u AS (SELECT quantile, a AS x, b AS y FROM e, q WHERE flow >= cut UNION SELECT quantile, b, a FROM e, q WHERE flow >= cut),
+    r(quantile, x, y) AS (SELECT quantile, node, node FROM v, q UNION SELECT r.quantile, r.x, u.y FROM r JOIN u ON u.quantile = r.quantile AND u.x = r.y),
+    c AS (SELECT quantile, count(DISTINCT y) AS components FROM (SELECT quantile, x, min(y) AS y FROM r GROUP BY 1, 2) GROUP BY 1),
+    n AS (SELECT quantile, count(DISTINCT x) / (SELECT count(*) FROM v) AS nodes_kept FROM u GROUP BY 1), k AS (SELECT * FROM f JOIN n USING (quantile) JOIN c USING (quantile))
+    SELECT quantile, cut, flow_kept, edges_kept, nodes_kept, components, quantile = coalesce((SELECT max(quantile) FROM k WHERE flow_kept >= 0.95 AND nodes_kept >= 0.99), (SELECT min(quantile) FROM k)) AS selected FROM k""")
 def g01_filter_sensitivity(t: Tables):
     return gr.filter_sensitivity(fl.undirected(t.od), [0.0, 0.1, 0.25, 0.5])
 
 
-@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e WHERE flow > 330), u AS (SELECT a AS x, b AS y FROM s UNION SELECT b, a FROM s), r(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM r JOIN u ON u.x = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
+@query("SELECT dong AS node, min(dong) OVER (PARTITION BY gu) AS component FROM (SELECT *, count(*) OVER (PARTITION BY gu) AS n FROM dim_region) WHERE n > 1")
 def g02_components(t: Tables):
-    return gr.components(fl.undirected(t.od).filter("flow > 330").select("a", "b"))
+    """Chains of the dongs of each gu: the searched minimum has to travel along all of a chain."""
+    w = W.partitionBy("gu").orderBy("dong")
+    chain = t.dim_region.select(F.col("dong").alias("a"), F.lead("dong").over(w).alias("b")).filter("b is not null")
+    return gr.components(chain)
 
 
 @query(f"""WITH {EDGES}, l AS (SELECT dong AS node, gu AS community FROM dim_region), j AS (SELECT e.flow, x.community AS ca, y.community AS cb FROM e JOIN l x ON x.node = e.a JOIN l y ON y.node = e.b), m AS (SELECT sum(flow) AS m FROM e),
@@ -286,15 +358,22 @@ def g03_communities(t: Tables):
     return gr.communities(fl.undirected(t.od))[0]
 
 
+def _streamed(t: Tables, name: str, columns: list[str], files: int = 4):
+    """A provided table dealt over several files, read file by file."""
+    out = f"{stage_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    getattr(t, name).select(*columns).repartition(files).write.parquet(out)
+    return jobs.stream_of(t.spark, out)
+
+
 @query("SELECT l_suppkey AS dong, l_returnflag AS flag, sum(l_quantity) AS flow, count(*) AS n_rows, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1, 2")
 def x01_streaming_flows(t: Tables):
-    s = jobs.stream_of(t.spark, f"{t.sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("dong"), F.col("l_returnflag").alias("flag"), "l_quantity", "l_discount")
+    s = _streamed(t, "lineitem", ["l_suppkey", "l_returnflag", "l_quantity", "l_discount"]).withColumnsRenamed({"l_suppkey": "dong", "l_returnflag": "flag"})
     return jobs.running_flows(s, ["dong", "flag"], "l_quantity", "l_discount")
 
 
 @query("SELECT 'valid' AS side, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'orphan', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def x02_streaming_quarantine(t: Tables):
-    s = jobs.stream_of(t.spark, f"{t.sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    s = _streamed(t, "orders", ["o_orderkey", "o_custkey"])
     valid, orphan = jobs.split_stream(s, t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
     n = lambda d, side: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")
     return n(valid, "valid").unionByName(n(orphan, "orphan"))
@@ -302,5 +381,5 @@ def x02_streaming_quarantine(t: Tables):
 
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 2) AS volume FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 420 AND 580 GROUP BY 1")
 def x03_streaming_morning_volume(t: Tables):
-    out = jobs.morning_volume(jobs.stream_of(t.spark, f"{t.sf_dir}/events.parquet"))
+    out = jobs.morning_volume(_streamed(t, "events", ["ts", "value"]), late="40 days")
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", R("volume", 2).alias("volume"))

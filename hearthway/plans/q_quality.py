@@ -99,12 +99,14 @@ def q11_format_profile(t: Tables):
     return t.part.agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls"), F.count_if(F.trim(c) == "").alias("blanks"), F.countDistinct(c).alias("distinct_n"), F.count_if(c.rlike("[^a-z ]")).alias("odd"), F.array_join(F.array_sort(F.collect_set(F.length(c).cast("string"))), ",").alias("lengths"))
 
 
-@query("""WITH g AS (SELECT c_custkey, c_nationkey, round(c_acctbal, -2) AS x, c_custkey % 40 AS y FROM customer) SELECT count(*) AS n, count(CASE WHEN x < 0 THEN 1 END) AS failed, count(CASE WHEN c_nationkey > 20 THEN 1 END) AS outside, count(CASE WHEN k > 1 THEN 1 END) AS repeated
+@query("""WITH g AS (SELECT n_name AS gu, c_acctbal >= 0 AS ok, CASE WHEN c_custkey % 7 = 0 THEN 'Busan' ELSE 'Seoul' END || ' NATION_' || (CASE WHEN c_custkey % 11 = 0 THEN c_nationkey + 30 ELSE c_nationkey END) || ' ' || c_custkey AS address, round(c_acctbal, -2) AS x, c_custkey % 40 AS y FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT count(*) AS n, count(CASE WHEN NOT ok THEN 1 END) AS failed, count(CASE WHEN NOT starts_with(address, 'Seoul') THEN 1 END) AS outside, count(CASE WHEN ok AND NOT contains(address, gu || ' ') THEN 1 END) AS other_gu, count(CASE WHEN k > 1 THEN 1 END) AS repeated
     FROM (SELECT *, count(*) OVER (PARTITION BY x, y) AS k FROM g)""")
 def q12_geocode_audit(t: Tables):
-    g = t.customer.select("c_custkey", "c_nationkey", R("c_acctbal", -2).alias("x"), (F.col("c_custkey") % 40).alias("y"))
-    k = g.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("x", "y")))
-    return k.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < 0).alias("failed"), F.count_if(F.col("c_nationkey") > 20).alias("outside"), F.count_if(F.col("k") > 1).alias("repeated"))
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    address = F.concat(F.when(key % 7 == 0, "Busan").otherwise("Seoul"), F.lit(" NATION_"), F.when(key % 11 == 0, nation + 30).otherwise(nation), F.lit(" "), key)
+    g = t.customer.join(F.broadcast(t.nation), nation == F.col("n_nationkey")).select(F.col("n_name").alias("gu"), (F.col("c_acctbal") >= 0).alias("ok"), address.alias("address"), R("c_acctbal", -2).alias("x"), (key % 40).alias("y"))
+    return ql.geocode_audit(g, "ok", "address", "gu", ["x", "y"], "Seoul")
 
 
 @query("""SELECT count(*) AS n, count(CASE WHEN bad THEN 1 END) AS lost, round(100.0 * count(CASE WHEN bad THEN 1 END) / count(*), 4) AS lost_pct, round(100 * sum(CASE WHEN bad THEN deposit ELSE 0 END) / sum(deposit), 4) AS amount_pct,
@@ -152,10 +154,10 @@ def c29_lookup_batch(t: Tables):
     return j.select("code", F.coalesce("status", F.lit("not_found")).alias("status"), F.when(F.col("status") != "no_data", F.col("total")).alias("total"), "alternatives")
 
 
-@query("""WITH n AS (SELECT p_name AS name, p_partkey FROM part), req AS (SELECT DISTINCT p_name AS q FROM part WHERE p_size < 10 UNION SELECT 'no such name')
+@query("""WITH n AS (SELECT p_name AS name, p_partkey FROM part), req AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT 'no such name')
     SELECT q, count(p_partkey) AS matches, CASE WHEN count(p_partkey) = 0 THEN 'not_found' WHEN count(p_partkey) = 1 THEN 'unique' ELSE 'ambiguous' END AS status, min(p_partkey) AS first FROM req LEFT JOIN n ON n.name = req.q GROUP BY q""")
 def c30_name_lookup(t: Tables):
-    req = t.part.filter("p_size < 10").select(F.col("p_name").alias("q")).union(t.spark.createDataFrame([("no such name",)], "q string")).distinct()
+    req = t.part.select(F.col("p_name").alias("q")).union(t.spark.createDataFrame([("no such name",)], "q string")).distinct()
     m = t.part.groupBy(F.col("p_name").alias("q")).agg(F.count(F.lit(1)).alias("m"), F.min("p_partkey").alias("first"))
     n = F.coalesce("m", F.lit(0))
     return req.join(m, "q", "left").select("q", n.alias("matches"), F.when(n == 0, "not_found").when(n == 1, "unique").otherwise("ambiguous").alias("status"), "first")

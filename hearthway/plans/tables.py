@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.sources.stage import settle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -94,12 +96,39 @@ def query(sql: str | None = None):
     return add
 
 
+#: Base views written so far, by application, folder, state of the folder's tables and name.
+_published: dict[tuple, DataFrame] = {}
+
+
+def published(view: Callable[[Tables], DataFrame]) -> cached_property:
+    """A base view that is written once for each state of its tables and then read by every query that needs it."""
+
+    @wraps(view)
+    def read(self: Tables) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state, view.__name__)
+        if key not in _published:
+            _published[key] = settle(view(self))
+        return _published[key]
+
+    return cached_property(read)
+
+
 class Tables:
     """The provided tables of a folder as attributes, and the base views over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def state(self) -> tuple:
+        """Times and sizes of the tables under the base views: a view is written again when one of them changes."""
+        out = []
+        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            status = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(at)
+            out.append((status.getModificationTime(), status.getLen()))
+        return tuple(out)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
@@ -114,7 +143,7 @@ class Tables:
         joined = self.supplier.join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
         return joined.select(F.col("s_suppkey").alias("dong"), F.col("s_name").alias("dong_name"), F.col("n_name").alias("gu"), F.col("r_name").alias("zone"))
 
-    @cached_property
+    @published
     def od(self) -> DataFrame:
         from hearthway.operators.flows import weighted_od
 
@@ -130,7 +159,7 @@ class Tables:
 
         return running_share(self.od)
 
-    @cached_property
+    @published
     def route(self) -> DataFrame:
         from hearthway.operators.flows import renormalise, select_to_threshold
 
@@ -144,14 +173,14 @@ class Tables:
         ym = F.year("l_shipdate") * 100 + F.month("l_shipdate")
         return joined.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("dong"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), ym.alias("ym"), F.col("l_extendedprice").alias("deposit"), F.col("l_quantity").alias("rent"), F.col("p_size").alias("area"))
 
-    @cached_property
+    @published
     def rate(self) -> DataFrame:
         lines = self.lineitem.join(self.orders.filter(F.month("o_orderdate").isin(1, 4, 7, 10)), F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         zoned = lines.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey"))
         ym = F.year("o_orderdate") * 100 + F.month("o_orderdate")
         return zoned.groupBy(F.col("n_regionkey").alias("zone_key"), F.col("p_type").alias("type"), ym.alias("ym")).agg(F.round(F.avg("l_discount"), 8).alias("rate"))
 
-    @cached_property
+    @published
     def sales(self) -> DataFrame:
         lines = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         quarter = F.year("o_orderdate") * 10 + F.quarter("o_orderdate")
@@ -161,20 +190,20 @@ class Tables:
             sums += [F.sum(F.when(cond, F.col("l_extendedprice"))).alias(f"{name}_amount"), F.sum(F.when(cond, F.col("l_quantity"))).alias(f"{name}_cnt")]
         return lines.groupBy(quarter.alias("quarter"), F.col("l_suppkey").alias("dong"), F.col("p_brand").alias("industry")).agg(*sums)
 
-    @cached_property
+    @published
     def panel(self) -> DataFrame:
         bands = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
         return self.orders.groupBy(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % self.n_dongs).alias("dong")).agg(
             F.count(F.lit(1)).alias("households"), F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("singles"), *[F.count_if(F.col("o_orderpriority") == b).alias(f"b{i}") for i, b in enumerate(bands, 1)]
         )
 
-    @cached_property
+    @published
     def bridge(self) -> DataFrame:
         inflow = self.od.filter("home <> work").groupBy(F.col("work").alias("dong")).agg(F.sum("flow").alias("inflow")).orderBy(F.desc("inflow"), "dong").limit(40)
         placed = inflow.join(self.dim_region, "dong").withColumnRenamed("zone", "district")
         return placed.select("dong", "district", "inflow", (F.col("inflow") / F.sum("inflow").over(W.partitionBy("district"))).alias("weight"))
 
-    @cached_property
+    @published
     def costs(self) -> DataFrame:
         return self.txn.groupBy("dong").agg(F.round(F.median("rent") * 10000, 0).alias("rent_cost"), F.count(F.lit(1)).alias("tx"))
 
@@ -186,13 +215,13 @@ class Tables:
             F.round(F.sum(F.col("flow") * F.col("time_min")) / F.sum("flow"), 6).alias("oneway_min"), F.round(available_mean("fare", "flow"), 6).alias("fare"), F.round(coverage("fare", "flow"), 6).alias("coverage")
         )
 
-    @cached_property
+    @published
     def burden(self) -> DataFrame:
         from hearthway.operators.burden import total_burden
 
         return total_burden(self.costs.join(self.commute, "dong"))
 
-    @cached_property
+    @published
     def zindex(self) -> DataFrame:
         return self.sales.filter("cnt > 0").groupBy("dong").agg(F.round(F.avg(F.col("amount") / F.col("cnt")), 4).alias("price"))
 
