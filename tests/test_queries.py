@@ -1,10 +1,12 @@
 """Every registered query with SQL against DuckDB on the smallest tables; the others for shape and invariants."""
 
+import collections
 import datetime
 import decimal
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from hearthway.plans.registry import ORACLES, QUERIES
@@ -85,3 +87,187 @@ def test_rand_of_equal_labels_is_one(spark):
     df = spark.createDataFrame([(i % 3, (i % 3 + 1) % 3) for i in range(30)], "a int, b int")
     assert cluster.adjusted_rand(df, "a", "b").first()["ari"] == 1.0
     assert cluster.k_scan(spark.createDataFrame([(float(i % 2),) for i in range(20)], "x double"), ["x"], [2]).first()["inertia"] < 1e-9
+
+
+def points(spark, n=90, seed=5):
+    """Three round groups of points far apart, with a key."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.standard_normal((n // 3, 2)) * 0.3 + c for c in ((0, 0), (6, 0), (0, 6))])
+    rows = [(i, float(a), float(b), i // (n // 3)) for i, (a, b) in enumerate(x)]
+    return spark.createDataFrame(rows, "k long, x double, y double, truth int"), x
+
+
+def rand_index(a, b):
+    """Adjusted Rand index, counted over all pairs."""
+    pairs = [(i, j) for i in range(len(a)) for j in range(i)]
+    sa, sb = [a[i] == a[j] for i, j in pairs], [b[i] == b[j] for i, j in pairs]
+    both, x, y, n = sum(p and q for p, q in zip(sa, sb, strict=True)), sum(sa), sum(sb), len(pairs)
+    return (both - x * y / n) / ((x + y) / 2 - x * y / n) if (x + y) / 2 != x * y / n else 1.0
+
+
+def test_communities_find_the_best_partition_of_small_graphs(spark):
+    """Against every partition of seven nodes: two triangles and a tail; two cliques joined by an edge."""
+    from hearthway.operators import graph
+
+    def partitions(nodes):
+        if not nodes:
+            yield []
+            return
+        for rest in partitions(nodes[1:]):
+            for i in range(len(rest)):
+                yield [*rest[:i], [nodes[0], *rest[i]], *rest[i + 1 :]]
+            yield [[nodes[0]], *rest]
+
+    def quality(edges, groups):
+        m = sum(w for _, _, w in edges)
+        home = {n: i for i, g in enumerate(groups) for n in g}
+        degree = [sum(w for a, b, w in edges for e in (a, b) if home[e] == i) for i in range(len(groups))]
+        inside = [sum(w for a, b, w in edges if home[a] == home[b] == i) for i in range(len(groups))]
+        return sum(w / m - (d / (2 * m)) ** 2 for w, d in zip(inside, degree, strict=True))
+
+    for edges in ([(1, 2, 3.0), (2, 3, 3.0), (1, 3, 3.0), (4, 5, 2.0), (5, 6, 2.0), (4, 6, 2.0), (3, 4, 1.0), (6, 7, 1.0)], [(a, b, 1.0) for a in range(3) for b in range(a + 1, 3)] + [(a, b, 1.0) for a in range(3, 7) for b in range(a + 1, 7)] + [(2, 3, 1.0)]):
+        labels, q = graph.communities(spark.createDataFrame(edges, "a long, b long, flow double"), passes=3, rounds=12)
+        nodes = sorted({n for e in edges for n in e[:2]})
+        assert q >= max(quality(edges, g) for g in partitions(nodes)) - 1e-9
+        groups = {}
+        for r in labels.collect():
+            groups.setdefault(r.community, []).append(r.node)
+        assert abs(quality(edges, list(groups.values())) - q) < 1e-9
+
+
+def test_communities_of_the_flows_reach_a_greedy_partition(spark, tables):
+    """On the given flows about what greedy merging of communities reaches."""
+    from hearthway.operators import flows, graph
+
+    edges = [(r.a, r.b, r.flow) for r in flows.undirected(tables.od).collect()]
+    _, q = graph.communities(flows.undirected(tables.od))
+    m = sum(w for _, _, w in edges)
+    degree, weight = {}, {}
+    for a, b, w in edges:
+        weight[a, b] = weight.get((a, b), 0) + w / m
+        for n in (a, b):
+            degree[n] = degree.get(n, 0) + w / (2 * m)
+    greedy = -sum(d * d for d in degree.values())
+    while True:
+        gain, pair = max(((w - 2 * degree[a] * degree[b], (a, b)) for (a, b), w in weight.items()), default=(0, None))
+        if gain <= 0:
+            break
+        a, b = pair
+        greedy += gain
+        merged = {}
+        for (x, y), w in weight.items():
+            x, y = (a if n == b else n for n in (x, y))
+            if x != y:
+                merged[min(x, y), max(x, y)] = merged.get((min(x, y), max(x, y)), 0) + w
+        weight = merged
+        degree[a] += degree.pop(b)
+    assert q >= 0.8 * greedy  # these flows are nearly even, so both are close to 0
+
+
+def test_fits_recover_groups_and_their_figures(spark):
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    truth = [i // 30 for i in range(90)]
+    for method in ("kmeans", "bisecting", "mixture"):
+        got = {r.k: r.label for r in cluster.fit(df, ["x", "y"], 3, method).collect()}
+        assert rand_index([got[i] for i in range(90)], truth) == 1.0
+    scan = {r.k: r for r in cluster.k_scan(df, ["x", "y"], [2, 3]).collect()}
+    inertia = sum(((x[30 * g : 30 * g + 30] - x[30 * g : 30 * g + 30].mean(axis=0)) ** 2).sum() for g in range(3))
+    assert abs(scan[3].inertia - inertia) < 1e-6 and scan[3].smallest == 30 and scan[3].silhouette > scan[2].silhouette
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    group = np.array(truth)
+    own = np.array([d2[i, group == group[i]].sum() / 29 for i in range(90)])
+    other = np.array([min(d2[i, group == g].mean() for g in range(3) if g != group[i]) for i in range(90)])
+    assert abs(scan[3].silhouette - ((other - own) / np.maximum(own, other)).mean()) < 1e-6
+
+
+def test_rows_that_are_only_labelled(spark):
+    """Rows left out of the fit are filled with the fitted rows' means and get the nearest centre."""
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    from pyspark.sql import functions as F
+
+    keep = df.unionByName(spark.createDataFrame([(900, None, 6.1, None)], "k long, x double, y double, truth int"))
+    got = {r.k: r.label for r in cluster.fit(df, ["x", "y"], 3, keep=keep).collect()}
+    centres = {got[i]: x[30 * (i // 30) : 30 * (i // 30) + 30].mean(axis=0) for i in (0, 30, 60)}
+    at = np.array([x[:, 0].mean(), 6.1])
+    assert got[900] == min(centres, key=lambda c: ((centres[c] - at) ** 2).sum())
+    assert df.filter(F.col("k") == 900).count() == 0
+
+
+def test_principal_components_against_numpy(spark):
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    out, share = cluster.principal(df, ["x", "y"], 2, ["k"])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(share, values[::-1] / values.sum())
+    got = {r.k: (r.pc1, r.pc2) for r in out.collect()}
+    want = x @ axes[:, ::-1]
+    assert all(np.allclose(np.abs(got[i]), np.abs(want[i]), atol=1e-8) for i in range(90))
+
+
+def test_fuzzy_memberships_follow_their_centres(spark):
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    members = cluster.fuzzy(df, "k", ["x", "y"], 3)
+    u = np.zeros((90, 3))
+    d = np.zeros((90, 3))
+    for r in members.collect():
+        u[r.k, r.cluster], d[r.k, r.cluster] = r.u, r._d
+    want = d**-4 / (d**-4).sum(axis=1, keepdims=True)  # exponent 2 / (m - 1) of m = 1.5
+    assert np.allclose(u, want) and rand_index(u.argmax(axis=1).tolist(), [i // 30 for i in range(90)]) == 1.0
+    summary = {r.k: r for r in cluster.fuzzy_summary(members, "k").collect()}
+    assert all(summary[i].cluster == u[i].argmax() and abs(summary[i].u - u[i].max()) < 1e-12 and summary[i].ambiguous == (u[i].max() < 0.6) for i in range(90))
+
+
+def test_stability_and_its_figures(spark):
+    from hearthway.operators import cluster
+
+    df, _ = points(spark)
+    got = {r.kind: r for r in cluster.stability(df, "k", ["x", "y"], 3, runs=2).collect()}
+    assert set(got) == {"bootstrap", "subsample"} and all(r.mean_ari == r.p10_ari == 1.0 and r.std_ari == 0 for r in got.values())
+    times = collections.Counter(r.k for r in cluster.bootstrapped(df, "k", 1).collect())
+    assert 60 <= sum(times.values()) <= 120 and max(times.values()) >= 2 and len(times) < 80
+    df = df.withColumn("other", (df.k * 7) % 3)
+    rows = df.collect()
+    assert abs(cluster.adjusted_rand(df, "truth", "other").first()["ari"] - rand_index([r.truth for r in rows], [r.other for r in rows])) < 1e-12
+
+
+def test_permutation_baseline_and_hopkins_tell_groups_from_none(spark):
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    base = cluster.permutation_baseline(df, "k", ["x", "y"], 3, runs=2).first()
+    assert base.silhouette > base.null_mean and abs(base.z - (base.silhouette - base.null_mean) / base.null_sd) < 1e-9
+    dealt = cluster.permuted(df, "k", ["x", "y"], 3).collect()
+    assert sorted(r.x for r in dealt) == sorted(x[:, 0]) and sorted(r.y for r in dealt) == sorted(x[:, 1]) and [r.x for r in sorted(dealt)] != x[:, 0].tolist()
+    rng = np.random.default_rng(1)
+    even = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((300, 2)))], "k long, x double, y double")
+    assert cluster.hopkins(df, "k", ["x", "y"]).first()["hopkins"] > 0.8 and 0.35 < cluster.hopkins(even, "k", ["x", "y"]).first()["hopkins"] < 0.65
+
+
+def test_consensus_imputation_and_two_stages_on_the_given_features(spark, tables):
+    """The registered queries without SQL against their parts recomputed in numpy."""
+    folder = tables.sf_dir
+    fits = {r.dong: (r.bisecting, r.mixture) for r in QUERIES["m04_alternative_fits"](spark, folder).collect()}
+    consensus = {r.method: r for r in QUERIES["m18_consensus"](spark, folder).collect()}
+    order = sorted(fits)
+    pair = rand_index([fits[d][0] for d in order], [fits[d][1] for d in order])
+    for m in ("bisecting", "mixture"):
+        assert consensus[m].min_ari - 1e-9 <= pair and consensus[m].min_ari <= consensus[m].mean_ari + 1e-12
+    lowest = min(consensus[m].min_ari for m in consensus)
+    assert lowest <= pair + 1e-9
+    assert -1 <= QUERIES["m19_imputation_sensitivity"](spark, folder).first()["ari"] <= 1
+    stages = QUERIES["m20_two_stage"](spark, folder).collect()
+    sizes = collections.Counter(r.outer for r in stages)
+    assert len(stages) == len(order) and all(r.inner == 0 for r in stages if sizes[r.outer] < 20)
+    k = {r.k: r for r in QUERIES["m26_k_evaluation"](spark, folder).collect()}
+    rank = lambda values: {i: sum(v < values[i] for v in values.values()) + (sum(v == values[i] for v in values.values()) + 1) / 2 for i in values}
+    one, two = rank({i: -r.silhouette for i, r in k.items()}), rank({i: r.inertia for i, r in k.items()})
+    assert all(abs(r.mean_rank - (one[i] + two[i]) / 2) < 1e-12 for i, r in k.items())
+    assignment = {r.dong: r.label for r in QUERIES["m02_kmeans_assignment"](spark, folder).collect()}
+    assert set(assignment) == set(order) and set(assignment.values()) <= set(range(4))

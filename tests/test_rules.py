@@ -1,13 +1,18 @@
 """Null, tie and boundary rules on small tables."""
 
+import collections
 import math
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean
 from hearthway.operators import burden, flows, quality, scores, statistics
+from hearthway.plans.tables import Tables
 from hearthway.sources import readers
+from hearthway.streaming import jobs
 
 
 def one(spark, column, rows, schema):
@@ -110,3 +115,106 @@ def test_korean_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("이름,수\n종로구,3\n".encode("cp949"))
     assert readers.csv_encoding(spark, str(tmp_path / "a.csv")) == "x-windows-949"
     assert readers.read_csv_any(spark, str(tmp_path / "a.csv")).first()["이름"] == "종로구"
+
+
+def test_policies_against_every_pair(spark):
+    rng = random.Random(1)
+    users = [(i, rng.choice([None, float(rng.randint(0, 50))]) if i % 9 == 0 else float(rng.randint(0, 50)), rng.choice([None, 0, 1, 2])) for i in range(120)]
+    rules = [(i, rng.choice([None, float(rng.randint(0, 50))]), rng.choice([None, 0, 1, 5])) for i in range(80)]
+    for some in (rules, rules[:1], []):
+        got = {r.c_custkey: (r.rules, r.first_rule) for r in scores.match_policies(spark.createDataFrame(users, "c_custkey long, c_acctbal double, c_nationkey int"), spark.createDataFrame(some, "p_partkey long, rent_max double, target int")).collect()}
+        want = {}
+        for user, value, nation in users:
+            fit = [rule for rule, limit, target in some if (limit is None or value is not None and limit >= value) and (target is None or target == nation)]
+            if fit:
+                want[user] = (len(fit), min(fit))
+        assert got == want
+
+
+def test_tails_of_distributions(spark):
+    rows = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.228, 10, 0.05), (2.080, 21, 0.05), (0.0, 7, 1.0), (-2.228, 10, 0.05), (1.96, 10**6, 0.05)]
+    out = spark.createDataFrame([(t, n, p) for t, n, p in rows], "t double, n long, p double").select("p", statistics.t_two_sided(F.col("t"), F.col("n")).alias("got")).collect()
+    assert all(abs(r.p - r.got) < 1e-3 for r in out)
+    z = spark.createDataFrame([(x / 10,) for x in range(-65, 66)], "z double").select("z", statistics.normal_upper(F.col("z")).alias("got")).collect()
+    assert all(abs(r.got - statistics.normal_tail(r.z)) < 1e-9 for r in z)
+
+
+def test_every_dot_of_a_name_is_mended(spark):
+    rows = [(f"서울 종로1{chr(c)}2가동", "종로1.2가동") for c in clean.NUMBER_DOTS] + [("종로1?2?3가동", "종로1.2.3가동"), ("가·나동", "가·나동"), ("종로1•2가동", "종로1•2가동")]
+    assert len(clean.NUMBER_DOTS) == 7
+    out = spark.createDataFrame(rows, "a string, b string").select("b", clean.repair_name(F.col("a")).alias("got")).collect()
+    assert all(r.b == r.got for r in out)
+
+
+def test_encoding_is_judged_on_all_lines(spark, tmp_path):
+    head = "".join(f"{i},plain\n" for i in range(30000))
+    for name, codec, last in (("utf", "utf-8", "가나다"), ("ko", "cp949", "똠방각하")):
+        (tmp_path / f"{name}.csv").write_bytes(("id,name\n" + head + f"1,{last}\n").encode(codec))
+        back = readers.read_csv_any(spark, str(tmp_path / f"{name}.csv"), "id long, name string")
+        assert back.filter(f"name = '{last}'").count() == 1 and back.count() == 30001
+
+
+def test_preamble_of_a_file_in_several_splits(spark, tmp_path):
+    body = "".join(f"{i},name {i}\n" for i in range(20000))
+    (tmp_path / "a.csv").write_text("report\nabout NO\nNO,name\n" + body + "NO,again\n")
+    (tmp_path / "b.csv").write_text("NO,name\r\n1,one\r\n\r\n2,two\r\n")
+    (tmp_path / "c.csv").write_text("\n" * 40 + "NO,name\n9,far down\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = readers.read_after_preamble(spark, str(tmp_path), ["no", "name"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source_file[-5:]].append((r.no, r.name))
+    assert sorted(by["b.csv"]) == [("1", "one"), ("2", "two")] and "c.csv" not in by
+    assert len(by["a.csv"]) == 20001 and ("19999", "name 19999") in by["a.csv"]
+
+
+def test_load_order_and_publishing(spark, tmp_path):
+    assert readers.load_order({"c": ["b"], "b": ["a"], "a": [], "d": []}) == ["a", "d", "b", "c"]
+    with pytest.raises(ValueError):
+        readers.load_order({"a": ["b"], "b": ["a"]})
+    one = {"child": spark.range(3), "parent": spark.range(2)}
+    for _ in range(2):
+        assert readers.publish(one, str(tmp_path), {"child": ["parent"]}) == ["parent", "child"]
+    assert spark.read.parquet(str(tmp_path / "child")).count() == 3
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    write = lambda rows: spark.createDataFrame(rows, "k string, w double, v double").coalesce(1).write.mode("append").parquet(source)
+    totals = lambda: {r.k: (r.flow, r.n_rows) for r in jobs.running_flows(jobs.stream_of(spark, source), ["k"], "w", "v", folder).collect()}
+    write([("a", 1.0, 2.0), ("b", 1.0, 2.0)])
+    write([("a", 2.0, 2.0)])
+    assert totals() == {"a": (3.0, 2), "b": (1.0, 1)}
+    batches = len(list((tmp_path / "job" / "out").glob("batch=*")))
+    write([("c", 5.0, 1.0), ("a", 1.0, 1.0)])
+    assert totals() == {"a": (4.0, 3), "b": (1.0, 1), "c": (5.0, 1)}
+    assert len(list((tmp_path / "job" / "out").glob("batch=*"))) == batches + 1
+    assert totals() == {"a": (4.0, 3), "b": (1.0, 1), "c": (5.0, 1)}
+
+
+def test_late_events_leave_the_state(spark, tmp_path):
+    source = str(tmp_path / "in")
+    write = lambda rows: spark.createDataFrame(rows, "ts string, value double").selectExpr("timestamp(ts) AS ts", "value").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {str(r.hour): r.n for r in jobs.morning_volume(jobs.stream_of(spark, source), late="1 day", folder=str(tmp_path / "job")).collect()}
+    write([("2024-01-01 07:10:00", 1.0), ("2024-01-01 07:20:00", 1.0)])
+    assert run() == {"2024-01-01 07:00:00": 2}
+    write([("2024-01-20 08:00:00", 1.0)])
+    assert run() == {"2024-01-01 07:00:00": 2, "2024-01-20 08:00:00": 1}
+    write([("2024-01-01 07:30:00", 1.0), ("2024-01-20 08:30:00", 1.0)])  # the first is too late to count
+    assert run() == {"2024-01-01 07:00:00": 2, "2024-01-20 08:00:00": 2}
+
+
+def test_base_views_are_written_once_and_again_after_a_change(spark, tmp_path):
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf")
+    for f in (tmp_path / "sf").glob("*.parquet"):
+        f.chmod(0o644)
+    (tmp_path / "sf").chmod(0o755)
+    folder = str(tmp_path / "sf")
+    one = Tables(spark, folder).od
+    assert Tables(spark, folder).od is one
+    some = spark.read.parquet(f"{folder}/lineitem.parquet").limit(100).toPandas()
+    some.to_parquet(tmp_path / "sf" / "lineitem.parquet", coerce_timestamps="us")
+    assert Tables(spark, folder).od is not one and Tables(spark, folder).od.count() <= 100
