@@ -64,3 +64,36 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     for r in pieces:
         full[r.sequence_id] += r.length
     assert max(full.values()) <= 1024
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Null texts and ids, repeated rows, more columns, and no rows at all."""
+    odd = [(1, None, "en", "a", 0), (1, None, "en", "a", 0), (None, "x y z", None, None, None), (2, "x y z", "en", "b", 5), (3, "", "en", "a", 0), (4, "one two three four five six " * 9, "en", "b", 5)] * 2
+    for name, rows in (("odd", odd), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0), (9, 0, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in out} <= {1, 2, 3, 4, None} and bool(out) == bool(rows)
+        stages = [spark.read.parquet(f"{folder}/documents.parquet")]
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            stage(spark, stages[-1], folder).write.parquet(f"{folder}/{i}")
+            stages.append(spark.read.parquet(f"{folder}/{i}"))
+            assert stages[-1].columns == stages[0].columns
+        # one null-or-empty text and the two others: each text once
+        assert stages[2].count() == len({r[1] or "" for r in rows})
+
+
+def test_held_out_toxicity_on_given_labels(spark):
+    """Fitted on half of the labelled documents of sf0.1, judged on the other half."""
+    from hearthway.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = labels.filter("toxic is not null").join(docs, "doc_id")
+    half = known.filter("doc_id % 2 = 0")
+    model = toxicity.fit_on(half.select("doc_id", "text"), labels, toxicity.severity())
+    judged = toxicity.score(known.filter("doc_id % 2 = 1").select("doc_id", "text"), model).join(labels, "doc_id").select(labels["toxic"].alias("truth"), "p_toxic", "grade").collect()
+    bad = [r for r in judged if r.truth == 1]
+    assert sum(r.grade > 0 for r in bad) >= 0.75 * len(bad)
+    assert sum(r.grade > 0 for r in judged if r.truth == 0) <= 0.02 * (len(judged) - len(bad))
