@@ -230,8 +230,8 @@ class Page:
             scores[self.above[p]] += 0.97 * scores[p]
         top, most = 0, -1.0
         for p, step in enumerate(self.steps):
-            name = step.split(".")[0].split("#")[0]
-            weighed = scores[p] * (1.6 if name in ("article", "main") else 1.3 if HINTS.search(step) else 1.0)
+            name = re.split("[.#]", step, maxsplit=1)[0]
+            weighed = scores[p] * (1.6 if name in ("article", "main") else 1.3 if HINTS.search(step, len(name)) else 1.0)
             if weighed > most:
                 top, most = p, weighed
         names = []

@@ -2,8 +2,8 @@
 
 Documents are linked when they belong to the same group (equal texts by default). Linked documents start in a hashed
 shard and move, round by round, to the shard that holds most of their neighbours. Each shard admits only what its
-quota of bytes allows. Documents without links cost no cut edge wherever they go, so they even the shards out at the
-end, large ones first.
+quota of bytes allows. Small groups that are torn in the end are placed as a whole. Documents without
+links cost no cut edge wherever they go, so they even the shards out at the end, large ones first.
 """
 
 from __future__ import annotations
@@ -100,14 +100,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     free = state.filter("n = 1").drop("n", "shard")
     linked = propagate(state.filter("n > 1").drop("n"), shards, fair, rounds)
 
-    # what still exceeds a shard's fair share is free to go elsewhere: small groups as a whole, large ones by documents
-    over = [max(0.0, x - fair) / x if x else 0.0 for x in _loads(linked, shards)]
+    # small groups that no shard had room for are still torn: they are free to go elsewhere as a whole
     whole = F.col("group_bytes") <= F.lit(fair / WHOLE)
+    torn = settle(linked.filter(whole).groupBy("group").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).filter("lo <> hi").select("group", F.lit(True).alias("torn")), "shard-torn")
     row_unit = F.concat_ws(" ", "group", "row_no")
+    linked = linked.join(torn, "group", "left").withColumn("torn", F.coalesce("torn", F.lit(False)))
     linked = linked.withColumn("unit", F.when(whole, F.col("group")).otherwise(row_unit)).withColumn("unit_bytes", F.when(whole, F.col("group_bytes")).otherwise(F.col("size")))
-    spilled = uniform(F.col("unit"), seed="spill") < _at(over, F.col("shard"))
+    # and so is what still exceeds a shard's fair share: small groups as a whole, large ones by documents
+    over = [max(0.0, x - fair) / x if x else 0.0 for x in _loads(linked.filter("not torn"), shards)]
+    spilled = F.col("torn") | (uniform(F.col("unit"), seed="spill") < _at(over, F.col("shard")))
     free = free.withColumn("unit", row_unit).withColumn("unit_bytes", F.col("size"))
-    stay, free = linked.filter(~spilled), free.unionByName(linked.filter(spilled).drop("shard"))
+    stay, free = linked.filter(~spilled).drop("torn"), free.unionByName(linked.filter(spilled).drop("shard", "torn"))
     placed = settle(stay, "shard-linked")
     bounds = [None, *[fair / k for k in STEPS], 0.0]
     for high, low in zip(bounds, bounds[1:], strict=False):
