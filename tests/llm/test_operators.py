@@ -523,11 +523,12 @@ def test_html_time_grows_with_length(html):
 def test_html_host_votes(spark, tmp_path):
     """A page whose own best container is another follows its host; without a host it does not."""
     page = lambda main, side: f'<body><div class="a"><p>{main}</p></div><div class="b"><p>{side}</p></div></body>'
-    rows = [(i, "http://h.com/" if i < 9 else None, page(LONG_PARAGRAPH, "short")) for i in range(8)]
-    rows += [(8, "http://h.com/x", page("short text", LONG_PARAGRAPH)), (9, None, page("short text", LONG_PARAGRAPH))]
+    long = " ".join([LONG_PARAGRAPH] * 5)
+    rows = [(i, "http://h.com/", page(long, "short")) for i in range(8)]
+    rows += [(8, "http://h.com/x", page("short text", long)), (9, None, page("short text", long))]
     pages = table(spark, tmp_path, rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
-    assert got[0] == LONG_PARAGRAPH and got[8] == "short text" and got[9] == LONG_PARAGRAPH
+    assert got[0] == long and got[8] == "short text" and got[9] == long
 
 
 def test_html_truth_on_given_pages(spark):
