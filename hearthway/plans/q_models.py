@@ -365,7 +365,7 @@ def _streamed(t: Tables, name: str, columns: list[str], files: int = 4):
     return jobs.stream_of(t.spark, out)
 
 
-@query("SELECT l_suppkey AS dong, l_returnflag AS flag, sum(l_quantity) AS flow, count(*) AS n_rows, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_suppkey AS dong, l_returnflag AS flag, sum(l_quantity) AS flow, count(*) AS n_rows, round(sum(l_quantity * l_discount) / sum(l_quantity), 9) AS mean FROM lineitem GROUP BY 1, 2")
 def x01_streaming_flows(t: Tables):
     s = _streamed(t, "lineitem", ["l_suppkey", "l_returnflag", "l_quantity", "l_discount"]).withColumnsRenamed({"l_suppkey": "dong", "l_returnflag": "flag"})
     return jobs.running_flows(s, ["dong", "flag"], "l_quantity", "l_discount")

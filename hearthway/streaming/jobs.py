@@ -59,7 +59,7 @@ def running_flows(trips: DataFrame, keys: list[str], weight: str, value: str, fo
     """
     agg = trips.groupBy(*keys).agg(F.sum(weight).alias("flow"), F.sum(F.col(weight) * F.col(value)).alias("_xw"), F.count(F.lit(1)).alias("n_rows"))
     out = _latest(agg, keys, _folder(trips.sparkSession, folder))
-    return out.withColumn("mean", F.round(F.col("_xw") / F.col("flow"), 6)).drop("_xw")
+    return out.withColumn("mean", F.round(F.col("_xw") / F.col("flow"), 9)).drop("_xw")
 
 
 def split_stream(rows: DataFrame, dim: DataFrame, key: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
