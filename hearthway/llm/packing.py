@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered_within, settle, ship, tidy, with_row
 
-#: Bytes that the units kept by a task may take, about; nodes and sets of lengths that a search looks at.
-UNIT_BYTES, EFFORT = 24_000_000, 20_000
+#: Nodes and sets of lengths that a search looks at.
+EFFORT = 20_000
 END = 2
 PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -226,48 +225,28 @@ def bin_completion(counts: Counts, capacity: int, effort: int = EFFORT, seen: Se
     return incumbent
 
 
-class Units(dict):
-    """Ids of units led by a blank, as little-endian unsigned 32-bit integers; kept as far as UNIT_BYTES reach."""
+def encoder(path: str, letters: int = 1 << 18) -> Callable[[list[str]], Iterator[bytes]]:
+    """A function from texts to their ids by ``tokenizers``, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.held = encode, 0
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = array("I", self.encode(" " + unit)).tobytes()
-        self.held += 200 + len(unit) + len(ids)
-        if self.held > UNIT_BYTES:
-            self.clear()
-            self.held = 0
-        self[unit] = ids
-        return ids
-
-
-class UnitTokenizer:
-    """Ids of whole texts by ``tokenizers``, put together from the ids of their blank-led units.
-
-    Byte-level pre-tokenisation never joins a character with a blank after it, so the units " word" can be encoded one
-    by one, unless a blank stands between other white space. Such texts, texts with a special token and texts with
-    characters beyond Latin script go to the tokenizer whole.
+    Texts are encoded together up to some ``letters``, because the library's result takes far more room than its ids.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.units = Units(self.encode)
+    tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoder.encode(text, add_special_tokens=False).ids
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= letters):
+                size += len(texts[upto])
+                upto += 1
+            for one in tokenizer.encode_batch_fast(texts[at:upto], add_special_tokens=False):
+                yield array("I", one.ids).tobytes()
+            at = upto
 
-    def __call__(self, text: str) -> bytes:
-        if self.rare.search(text):
-            return array("I", self.encode(text)).tobytes()
-        first, *rest = text.split(" ")
-        return array("I", self.encode(first)).tobytes() + b"".join(map(self.units.__getitem__, rest))
+    return encode
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,12 +259,12 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
     numbered, row = with_row(docs)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = UnitTokenizer(tokenizer)  # of this task: a reused worker keeps nothing of it
+        encode = encoder(tokenizer)
         tail = b"" if end is None else array("I", [end]).tobytes()
         for batch in batches:
             out = []
-            for row_no, doc_id, text in zip(batch["row_no"], batch["doc_id"], batch["text"], strict=True):
-                ids = memoryview(encode(text) + tail)
+            for row_no, doc_id, known in zip(batch["row_no"], batch["doc_id"], encode(batch["text"].tolist()), strict=True):
+                ids = memoryview(known + tail)
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
