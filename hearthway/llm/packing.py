@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered_within, settle, ship, tidy, with_row
 
-#: Nodes and sets of lengths that a search looks at.
-EFFORT = 20_000
+#: Bytes that the units kept by a task may take, about; nodes and sets of lengths that a search looks at.
+UNIT_BYTES, EFFORT = 64_000_000, 20_000
 END = 2
 PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -225,28 +226,48 @@ def bin_completion(counts: Counts, capacity: int, effort: int = EFFORT, seen: Se
     return incumbent
 
 
-def encoder(path: str, letters: int = 1 << 18) -> Callable[[list[str]], Iterator[bytes]]:
-    """A function from texts to their ids by ``tokenizers``, as little-endian unsigned 32-bit integers.
+class Encoder:
+    """Ids of whole texts by ``tokenizers``, as little-endian unsigned 32-bit integers, put together from blank-led units.
 
-    Texts are encoded together up to some ``letters``, because the library's result takes far more room than its ids.
+    Byte-level pre-tokenisation never joins a character with a blank after it, so the units " word" can be encoded by
+    themselves, unless a blank stands beside other white space. Such texts, texts with a special token and texts with
+    characters beyond Latin script go to the tokenizer whole. Units are encoded together when a batch brings them first,
+    and kept from batch to batch as far as UNIT_BYTES reach.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.units: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str], letters: int = 1 << 18) -> Iterator[bytes]:
+        """Texts are encoded together up to some ``letters``: the library's result takes far more room than its ids."""
         at = 0
         while at < len(texts):
             upto, size = at, 0
             while upto < len(texts) and (upto == at or size + len(texts[upto]) <= letters):
                 size += len(texts[upto])
                 upto += 1
-            for one in tokenizer.encode_batch_fast(texts[at:upto], add_special_tokens=False):
+            for one in self.tokenizer.encode_batch_fast(texts[at:upto], add_special_tokens=False):
                 yield array("I", one.ids).tobytes()
             at = upto
 
-    return encode
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [[t] if self.rare.search(t) else t.split(" ") for t in texts]
+        if self.held > UNIT_BYTES:
+            self.units.clear()
+            self.held = 0
+        missing = list({u for p in parts for u in p[1:]} - self.units.keys())
+        for unit, ids in zip(missing, self.encode([" " + u for u in missing]), strict=True):
+            self.units[unit] = ids
+            self.held += 200 + len(unit)
+        heads = self.encode([p[0] for p in parts])
+        return [b"".join([head, *map(self.units.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +280,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
     numbered, row = with_row(docs)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = Encoder(tokenizer)  # of this task: a reused worker keeps nothing of it
         tail = b"" if end is None else array("I", [end]).tobytes()
         for batch in batches:
             out = []
