@@ -13,7 +13,9 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,17 +233,21 @@ class Encoder:
 
     Byte-level pre-tokenisation never joins a character with a blank after it, so the units " word" can be encoded by
     themselves, unless a blank stands beside other white space. Such texts, texts with a special token and texts with
-    characters beyond Latin script go to the tokenizer whole. Units are encoded together when a batch brings them first,
-    and kept from batch to batch as far as UNIT_BYTES reach.
+    characters beyond Latin script go to the tokenizer whole. Units that a batch brings first are joined to long texts,
+    as the library's result for each text costs more than the merging of a word, and their ids told apart by their
+    bytes. Units are kept from batch to batch as far as UNIT_BYTES reach. With ``plain`` special tokens are plain text.
     """
 
     rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        # a byte-level token has a character for each of its bytes
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.units: dict[str, bytes] = {}
         self.held = 0
 
@@ -257,15 +263,33 @@ class Encoder:
                 yield array("I", one.ids).tobytes()
             at = upto
 
+    def learn(self, units: list[str], each: int = 512) -> None:
+        """Encode units, each after a blank: joined where no end of a unit is white space, else one by one."""
+        joined = [u for u in units if u and u.strip() == u]
+        alone = [u for u in units if not u or u.strip() != u]
+        for at in range(0, len(joined), each):
+            some = joined[at : at + each]
+            text = " " + " ".join(some)
+            (ids,) = self.encode([text])
+            ends = np.cumsum(self.size[np.frombuffer(ids, np.uint32)])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            want = np.append(np.flatnonzero(raw == ord(" "))[1:], len(raw))
+            stops = np.searchsorted(ends, want)
+            if len(ends) <= stops[-1] or (ends[stops] != want).any():
+                alone += some  # a token reaches over two units
+                continue
+            cuts = [0, *(4 * (stops + 1)).tolist()]
+            self.units.update(zip(some, [ids[i:j] for i, j in pairwise(cuts)], strict=True))
+            self.held += 200 * len(some) + len(text)
+        self.units.update(zip(alone, self.encode([" " + u for u in alone]), strict=True))
+        self.held += sum(200 + len(u) for u in alone)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if self.rare.search(t) else t.split(" ") for t in texts]
         if self.held > UNIT_BYTES:
             self.units.clear()
             self.held = 0
-        missing = list({u for p in parts for u in p[1:]} - self.units.keys())
-        for unit, ids in zip(missing, self.encode([" " + u for u in missing]), strict=True):
-            self.units[unit] = ids
-            self.held += 200 + len(unit)
+        self.learn(list({u for p in parts for u in p[1:]} - self.units.keys()))
         heads = self.encode([p[0] for p in parts])
         return [b"".join([head, *map(self.units.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
 
