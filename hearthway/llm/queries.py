@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, packing, sharding, substring_dedup, token_alignment, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 
 ORACLES = {
