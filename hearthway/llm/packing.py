@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered_within, settle, ship, tidy, with_row
 
-#: Bytes that the units kept by a task may take, about; nodes and sets of lengths that a search looks at.
-UNIT_BYTES, EFFORT = 64_000_000, 20_000
+#: Bytes that the units of a generation may take, about; nodes and sets of lengths that a search looks at.
+UNIT_BYTES, EFFORT = 40_000_000, 20_000
 END = 2
 PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -228,6 +228,39 @@ def bin_completion(counts: Counts, capacity: int, effort: int = EFFORT, seen: Se
     return incumbent
 
 
+class Units:
+    """Ids of units met before, in two generations: those of the last batches, and those before, from which units are taken
+    over when a batch brings them again. A generation has UNIT_BYTES."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def learn(self, units: list[str], ids: list[bytes]) -> None:
+        self.ids.update(zip(units, ids, strict=True))
+        self.held += 200 * len(units) + sum(map(len, units))
+
+    def missing(self, units: set[str]) -> list[str]:
+        """Those of a batch that are to be learned; all others are in ``ids`` then."""
+        if self.held > UNIT_BYTES:
+            self.old, self.ids, self.held = self.ids, {}, 0
+        new = units - self.ids.keys()
+        again = list(new & self.old.keys())
+        self.learn(again, list(map(self.old.__getitem__, again)))
+        return list(new.difference(again))
+
+
+_kept: dict[tuple[type, str], object] = {}
+
+
+def kept(kind: type, path: str):
+    """The encoder of this worker for a file; later tasks of the worker find the units of earlier ones."""
+    if (kind, path) not in _kept:
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
+
+
 class Encoder:
     """Ids of whole texts by ``tokenizers``, as little-endian unsigned 32-bit integers, put together from blank-led units.
 
@@ -235,7 +268,7 @@ class Encoder:
     themselves, unless a blank stands beside other white space. Such texts, texts with a special token and texts with
     characters beyond Latin script go to the tokenizer whole. Units that a batch brings first are joined to long texts,
     as the library's result for each text costs more than the merging of a word, and their ids told apart by their
-    bytes. Units are kept from batch to batch as far as UNIT_BYTES reach. With ``plain`` special tokens are plain text.
+    bytes. With ``plain`` special tokens are plain text.
     """
 
     rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
@@ -248,8 +281,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         # a byte-level token has a character for each of its bytes
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.units: dict[str, bytes] = {}
-        self.held = 0
+        self.units = Units()
 
     def encode(self, texts: list[str], letters: int = 1 << 18) -> Iterator[bytes]:
         """Texts are encoded together up to some ``letters``: the library's result takes far more room than its ids."""
@@ -279,19 +311,14 @@ class Encoder:
                 alone += some  # a token reaches over two units
                 continue
             cuts = [0, *(4 * (stops + 1)).tolist()]
-            self.units.update(zip(some, [ids[i:j] for i, j in pairwise(cuts)], strict=True))
-            self.held += 200 * len(some) + len(text)
-        self.units.update(zip(alone, self.encode([" " + u for u in alone]), strict=True))
-        self.held += sum(200 + len(u) for u in alone)
+            self.units.learn(some, [ids[i:j] for i, j in pairwise(cuts)])
+        self.units.learn(alone, list(self.encode([" " + u for u in alone])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if self.rare.search(t) else t.split(" ") for t in texts]
-        if self.held > UNIT_BYTES:
-            self.units.clear()
-            self.held = 0
-        self.learn(list({u for p in parts for u in p[1:]} - self.units.keys()))
-        heads = self.encode([p[0] for p in parts])
-        return [b"".join([head, *map(self.units.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
+        self.learn(self.units.missing({u for p in parts for u in p[1:]}))
+        heads, ids = self.encode([p[0] for p in parts]), self.units.ids
+        return [b"".join([head, *map(ids.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +331,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
     numbered, row = with_row(docs)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)  # of this task: a reused worker keeps nothing of it
+        encode = kept(Encoder, tokenizer)
         tail = b"" if end is None else array("I", [end]).tobytes()
         for batch in batches:
             out = []
@@ -318,7 +345,6 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None =
                     out.append((row_no, doc_id, piece, start, size, zlib.crc32(part), *([part.cast("I").tolist()] if with_ids else [])))
                     start, piece = start + size, piece + 1
             yield pd.DataFrame(out, columns=names)
-        del encode
         tidy()
 
     schema = PIECES + (", ids array<long>" if with_ids else "")

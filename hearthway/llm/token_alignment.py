@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, ship, tidy
-from .packing import UNIT_BYTES, Encoder
+from .packing import Encoder, Units, kept
 
 #: Characters of text that are aligned together, and bytes of a stretch that one place of the state vector walks through.
 BLOCK, STRETCH = 1 << 22, 1 << 11
@@ -53,7 +53,7 @@ class PieceEncoder:
     """Ids of a sentencepiece model with byte fallback, and each id's bytes.
 
     Where no piece has a blank behind a character, merges never cross the start of a word, so texts with single blanks
-    between words are put together from words, which are kept from batch to batch as far as UNIT_BYTES reach.
+    between words are put together from words.
     """
 
     def __init__(self, path: str):
@@ -63,8 +63,7 @@ class PieceEncoder:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_words = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.units: dict[str, bytes] = {}
-        self.held = 0
+        self.units = Units()
 
     def encode(self, texts: list[str], each: int = 1 << 12) -> Iterator[bytes]:
         for at in range(0, len(texts), each):
@@ -74,14 +73,10 @@ class PieceEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_words or "  " in t or t[:1] == " " or t[-1:] == " " for t in texts]
         parts = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if self.held > UNIT_BYTES:
-            self.units.clear()
-            self.held = 0
-        missing = list({u for p in parts for u in p} - self.units.keys())
-        self.units.update(zip(missing, self.encode(missing), strict=True))
-        self.held += sum(map(len, missing)) + 200 * len(missing)
+        missing = self.units.missing({u for p in parts for u in p})
+        self.units.learn(missing, list(self.encode(missing)))
         rest = self.encode([t for t, w in zip(texts, whole, strict=True) if w], 1)
-        return [next(rest) if w else b"".join(map(self.units.__getitem__, p)) for p, w in zip(parts, whole, strict=True)]
+        return [next(rest) if w else b"".join(map(self.units.ids.__getitem__, p)) for p, w in zip(parts, whole, strict=True)]
 
 
 class Merged(NamedTuple):
@@ -149,7 +144,7 @@ class Aligner:
     """Both tokenizers in a task."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteEncoder(a_path), PieceEncoder(b_path)
+        self.a, self.b = kept(ByteEncoder, a_path), kept(PieceEncoder, b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in e.bytes], np.int64) for e in (self.a, self.b))
         if len(self.a_size) > 1 << 16 or len(self.b_size) > 1 << 16:
             raise ValueError("ids beyond 16 bits")
