@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -167,6 +167,49 @@ def numbered_within(df: DataFrame, group: list[str], chunk: Column, counts: Data
     return ranked.join(parts, [*group, "_chunk"]).withColumn(name, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_chunk", "_k", "_before")
 
 
+def scan(df: DataFrame, key: str, order: list[Column], step: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
+    """Walk the rows of each ``key`` in ``order``: ``step(state, row)`` gives the next state and a row to put out or None,
+    ``finish(key, state)`` a row at the key's end.
+
+    The state of a key is None at its start. Rows stream past it, so that no key's rows are ever held together.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, now, state = False, None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                if not begun or row[key] != now:
+                    if begun and finish:
+                        out.append(finish(now, state))
+                    begun, now, state = True, row[key], None
+                state, made = step(state, row)
+                out.append(made)
+            yield table(out)
+        if begun and finish:
+            yield table([finish(now, state)])
+
+    def table(made: list[dict | None]) -> pd.DataFrame:
+        return pd.DataFrame([[m[n] for n in names] for m in made if m is not None], columns=names)
+
+    ship(df.sparkSession)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
+
+
+def each(df: DataFrame, make: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A row made of each row by itself."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [make(row) for row in batch.to_dict("records")]
+            yield pd.DataFrame([[m[n] for n in names] for m in made], columns=names)
+
+    ship(df.sparkSession)
+    return df.mapInPandas(walk, schema)
+
+
 #: Bytes of a batch between the JVM and a Python worker, where the session does not say otherwise.
 BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
