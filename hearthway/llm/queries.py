@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, packing, sharding, substring_dedup, token_alignment, toxicity, url_filter
+from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, packing, sharding, substring_dedup, token_alignment, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_chat_format": chat_format.OP13_SQL,
 }

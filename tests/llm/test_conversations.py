@@ -102,3 +102,78 @@ def test_search_against_all_edits():
         assert repair.Search(rows, repair.END, True).cheapest(0)[:2] == cheapest(rows)
         fates, after = repair.follow(rows, cheapest(rows)[1], 0)
         assert len(fates) == len(rows) and after in ("", "a", "ua")
+
+
+def brute_chat(rows):
+    """What the query returns, from the rows alone."""
+    from hearthway.llm import chat_format as chat
+
+    groups = collections.defaultdict(list)
+    for conv, turn, role, text in [*rows, (-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)]:
+        groups[conv].append((turn is not None, turn or 0, (role or "").encode(), (text or "").encode()))
+    out = []
+    for conv, turns in groups.items():
+        said = [(r.decode(), t.decode()) for *_, r, t in sorted(turns)]
+        learned = "".join(t for r, t in said if r == "assistant")
+        shown = "".join(f"<turn>{chat.escape(r)}<text>{chat.escape(t)}</turn>" for r, t in said)
+        out.append((conv, len(said), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(shown)))
+    return sorted(out, key=str)
+
+
+def chats():
+    """Conversations that share first turns, copies, a hot first turn, and texts that look like the template."""
+    rng = random.Random(3)
+    says = [None, "", "a", "b", r"\### Assistant: </turn> ok", "<turn>x<text>\\", "<\\turn>", "\\n\n</text>", "naïve 가 \U0001f600", "w " * 20000]
+    rows = [(c if c < 58 else None, rng.choice([t, t, t, None]), rng.choice(["user", "assistant", None, "sys<text>tem"]), rng.choice(says)) for c in range(60) for t in range(rng.randint(1, 5))]
+    for c in range(100, 160):
+        rows += [(c, 0, "system", "Be brief."), (c, 1, "user", f"{c % 7}"), (c, 2, "assistant", f"{c % 3} & {c % 2}"), (c, 3, "user", "bye")][: 2 + c % 3]
+    return rows + [(7, 1, "user", "a")] * 3
+
+
+def test_chat_of_odd_conversations(spark, tmp_path):
+    from hearthway.llm import chat_format as chat
+
+    table(spark, tmp_path, chats())
+    got = [tuple(r) for r in chat.op13_chat_format(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == brute_chat(chats())
+    table(spark, tmp_path / "none", [])
+    assert [r.conv_id for r in chat.op13_chat_format(spark, str(tmp_path / "none")).collect()] == [-7]
+
+
+def test_trees_are_depth_first_and_attend_to_ancestors_only(spark, tmp_path, monkeypatch):
+    from hearthway.llm import chat_format as chat
+    from hearthway.llm.packing import byte_bpe
+
+    monkeypatch.setattr(chat, "CHUNK_BITS", 1)  # several chunks a tree
+    table(spark, tmp_path, chats())
+    nodes, conversations = chat.prefix_trees(chat.turns_of(spark.read.parquet(f"{tmp_path}/conversations.parquet")), byte_bpe())
+    trees = collections.defaultdict(dict)
+    for r in nodes.collect():
+        assert r.start not in trees[r.tree]
+        trees[r.tree][r.start] = r
+    for tree in trees.values():
+        at = 0
+        for start in sorted(tree):  # one sequence without a gap
+            assert start == at and tree[start].length == len(tree[start].ids)
+            at += tree[start].length
+    of = {r.conv: (r.tree, r.starts) for r in conversations.collect()}
+    prefixes, children = set(), collections.defaultdict(set)
+    for tree, starts in of.values():
+        seen, position = [], 0
+        for k, start in enumerate(starts):
+            node = trees[tree][start]
+            assert node.position == position
+            assert [i for a, b in node.sees for i in range(a, b)] == [i for s, n in seen for i in range(s, s + n)]
+            assert all(a[1] < b[0] for a, b in zip(node.sees, node.sees[1:], strict=False))  # joined as far as can be
+            seen.append((start, node.length))
+            position += node.length
+            prefixes.add((tree, *starts[: k + 1]))
+            children[tree, *starts[:k]].add(start)
+    assert len(prefixes) == sum(map(len, trees.values()))  # every node once, and each on some path
+    ends = {}
+    for (tree, *path), starts in sorted(children.items(), key=lambda x: -len(x[0])):
+        for start in starts:  # all tokens below a node lie right behind it
+            below = ends.get((tree, *path, start), [])
+            last = max([start + trees[tree][start].length, *below])
+            ends.setdefault((tree, *path), []).append(last)
+            assert all(not start < other < last for other in starts)
