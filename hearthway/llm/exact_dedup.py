@@ -7,6 +7,7 @@ shuffle of the index, and its new digests are appended.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pandas as pd
@@ -25,17 +26,38 @@ class DigestIndex:
     Within a batch the row with the largest id stays (of rows equal in id as well, one). A text that an earlier
     batch brought keeps its earlier document, and all its rows in the new batch are dropped. Admitting a batch again
     under the same name gives the same answer and appends nothing, so a job that failed half-way can be run again.
+    With a ``path`` in the shared file system the index outlives the session: a later one that opens the path goes on from
+    what it holds, also where its catalog has never heard of the table.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, path: str | None = None):
         self.spark, self.table, self.path = spark, table, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(table):
-            self._write(spark.createDataFrame([], INDEX_SCHEMA))
+            self._register(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        self.buckets = int(told["Num Buckets"])
+
+    def _register(self, buckets: int) -> None:
+        """Make the catalog know the index: what an earlier session left at ``path``, or an empty one.
+
+        The folder's name tells the number of buckets, which holds for the index as long as it lives. Nothing is written
+        here, and a folder that holds anything else is an error.
+        """
+        place = ""
+        if self.path:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            found = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+            if found and not (len(found) == 1 and re.fullmatch(r"buckets-\d+", found[0])):
+                raise ValueError(f"{self.path} holds more than a digest index: {sorted(found)[:3]}")
+            folder = found[0] if found else f"buckets-{buckets}"
+            buckets = int(folder.removeprefix("buckets-"))
+            place = f"LOCATION '{self.path.rstrip('/')}/{folder}'"
+            fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/{folder}"))
+        self.spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS {place}")
 
     def _write(self, df: DataFrame) -> None:
-        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
-        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
+        df.write.format("parquet").mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.table)
 
     def drop(self) -> None:
         """Remove the index: its table and, where it has a path of its own, the files there."""

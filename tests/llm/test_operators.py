@@ -80,6 +80,40 @@ def test_exact_batches_and_rerun(spark, tmp_path):
     assert spark.table(index.table).count() == 3
 
 
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from hearthway.llm.exact_dedup import DigestIndex
+
+where, batch, partitions, *texts = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", partitions).config("spark.sql.warehouse.dir", where + "/warehouse-" + batch).getOrCreate()
+docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+index = DigestIndex(spark, "seen", path=where + "/index")
+print("ANSWER", index.buckets, spark.table("seen").count(), sorted((texts[r.doc_id], r.kept) for r in index.admit(docs, batch).collect()), spark.table("seen").count())
+"""
+
+
+def test_exact_index_outlives_its_session(tmp_path):
+    """Each batch is admitted by a session of its own, with a new catalog and other settings."""
+    import subprocess
+    import sys
+
+    def session(*args):
+        out = subprocess.run([sys.executable, "-c", SESSION, str(tmp_path), *args], capture_output=True, text=True, timeout=300)
+        return next((x for x in out.stdout.splitlines() if x.startswith("ANSWER")), out.stderr[-2000:])
+
+    assert session("b1", "3", "a", "b") == "ANSWER 3 0 [('a', True), ('b', True)] 2"
+    assert session("b2", "5", "a", "c") == "ANSWER 3 2 [('a', False), ('c', True)] 3"
+    assert session("b2", "5", "a", "c") == "ANSWER 3 3 [('a', False), ('c', True)] 3"
+
+
+def test_exact_index_refuses_other_files(spark, tmp_path):
+    (tmp_path / "something.txt").write_text("mine")
+    with pytest.raises(ValueError, match="something.txt"):
+        exact_dedup.DigestIndex(spark, "refused", path=str(tmp_path))
+    assert (tmp_path / "something.txt").exists() and not spark.catalog.tableExists("refused")
+
+
 @pytest.mark.parametrize("run", [
     lambda s, d: exact_dedup.scratch_index(s).admit(d, "b"), lambda s, d: sharding.shard_documents(d), lambda s, d: mixing.plan_mix(d), lambda s, d: packing.pack(d, packing.byte_bpe()),
     lambda s, d: minhash_dedup.near_documents(d), lambda s, d: substring_dedup.repeated_passages(d), lambda s, d: toxicity.score(d, toxicity.OrdinalModel()),
