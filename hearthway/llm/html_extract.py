@@ -24,8 +24,8 @@ from .url_filter import url_parts
 #: Hosts whose winning paths are broadcast; with more the pages are joined to them by a shuffle.
 BROADCAST_HOSTS = 20_000
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[/a-zA-Z][^<>]*\Z""", re.S)
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[/a-zA-Z][^<>]*\Z""", re.S)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 def _words(text: str) -> frozenset[str]:
@@ -47,14 +47,25 @@ PLAIN, WEAK, STRONG, NEVER = range(4)
 #: What a mark leaves of a container's score, and what may stand beside a marked container, as a share of its letters,
 #: for it to be the article's holder and stay.
 FACTOR, BESIDE = (1.0, 0.3, 0.05, 0.05), (0.0, 1.0, 0.02, -1.0)
-STRONG_WORDS = _words("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup newsletter signup related recommended recommendation recommendations comment comments commentlist disqus pagination pager toolbar login promo promos promotion notice notices notification")
+STRONG_WORDS = _words("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup newsletter signup related recommended recommendation recommendations comment comments commentlist disqus pagination pager toolbar login promo promos promotion werbung anzeige anzeigen publicidad publicite kommentare kommentar commentaires comentarios feedback notice notices notification")
 WEAK_WORDS = _words("side widget widgets modal overlay share sharing social search subscribe subscription respond reply replies discussion foot")
+#: Elements that names may mark: containers. Headings, paragraphs, quotations and tables are the article's own.
+MARKED = _words("div section article aside ul ol dl form details td center")
+#: Words that also name the topic of a part of an article. Within an article they mark only what has little text beside links.
+TOPICS = _words("sponsor sponsors sponsored banner banners navigation related recommended recommendation recommendations promo promos promotion search share sharing social widget widgets reply replies discussion subscription side foot menu menus login notification")
+LITTLE = 80
 #: Parts of a name that say nothing of their own beside such words.
 NEUTRAL = _words("box bar block wrap wrapper container list area section inner outer left right top bottom site page main post posts article articles entry links link item items icons panel unit slot zone row col primary secondary global user reader text title thread form policy message buttons tools in the and")
 HEADER_PARTS = _words("site page top global main header")
 HINTS = re.compile(r"(?:^|[^a-z])(?:content|article|post|entry|story|main|body|text)(?![a-z])")
 
 
+def topical(names: str) -> bool:
+    """Whether all words of a name that mark may also name a topic."""
+    parts = set(re.split(r"[^a-z]+", names)) & (STRONG_WORDS | WEAK_WORDS)
+    return parts <= TOPICS
+
+
 def mark_of(names: str, inside: bool) -> int:
     """PLAIN, WEAK or STRONG for the names of a class and an id; ``inside`` an article or main element.
 
@@ -86,12 +97,18 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # node, text, letters in links
         self.parent, self.path, self.mark, self.holds = [0], [0], [PLAIN], [True]
         self.steps, self.paths, self.above = [""], {}, [0]
+        self.topic: list[int] = []  # marked nodes that may be a part of the article
         self._walk(html)
-        self.letters = [0] * len(self.parent)
+        self.letters, linked = [0] * len(self.parent), [0] * len(self.parent)
         for node, text, links in self.blocks:
             self.letters[node] += max(0, len(text) - links)
+            linked[node] += links
         for n in range(len(self.parent) - 1, 0, -1):
             self.letters[self.parent[n]] += self.letters[n]
+            linked[self.parent[n]] += linked[n]
+        for n in self.topic:
+            if self.letters[n] >= LITTLE and self.letters[n] > linked[n]:
+                self.mark[n] = PLAIN
 
     def _walk(self, html: str) -> None:
         stack: list[tuple[str, int]] = []  # tag, node that holds what is in it
@@ -183,14 +200,13 @@ class Page:
     def _open(self, tag: str, attributes: str, node: int, inside: bool) -> None:
         """A node for an element that is a step of the path or marked; ``_last`` is the node that holds its content."""
         mark, attrs = PLAIN, {}
-        if "=" in attributes:
+        if attributes.strip(" /\t\r\n"):
             attrs = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTR.findall(attributes)}
-        if tag in ASIDE or tag == "header" and not inside or attrs.get("role") in ROLES or "hidden" in attributes.lower().split():
+        names = "" if tag not in MARKED else attrs.get("class", "") if tag == "article" else f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        if tag in ASIDE or tag == "header" and not inside or attrs.get("role") in ROLES or "hidden" in attrs:
             mark = NEVER
-        elif tag not in ("html", "body", "main", "article") and (attrs.get("class") or attrs.get("id")):
-            mark = mark_of(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
-        elif tag == "article" and attrs.get("class"):
-            mark = mark_of(attrs["class"], inside)
+        elif names.strip():
+            mark = mark_of(names, inside)
         if tag == "form" and mark < WEAK:
             mark = WEAK
         step = ""
@@ -210,6 +226,8 @@ class Page:
         self.path.append(path)
         self.mark.append(mark)
         self.holds.append(bool(step))
+        if inside and mark in (WEAK, STRONG) and tag != "form" and topical(names):
+            self.topic.append(len(self.parent) - 1)
         self._last = len(self.parent) - 1
 
     def best(self) -> tuple[str | None, float]:

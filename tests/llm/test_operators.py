@@ -547,7 +547,24 @@ def test_html_marks_lower_and_do_not_decide(html, text):
     assert html_extract.Page(f"<body>{html}</body>").text_on(None) == text
 
 
-@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<div>a" * 100_000, "<b>" * 100_000 + "x", "<div>" * 50_000 + "</span>" * 50_000 + "x", "<title>" * 50_000 + "<p>x", '<a "' * 50_000 + "x"], ids=["nested", "nested text", "inline", "stray ends", "titles", "quotes"])
+@pytest.mark.parametrize("part", [
+    '<h2 id="navigation">{}</h2>', '<h2 id="related">{}</h2>', '<h2 class="sponsors">{}</h2>', '<section id="promotion"><p>{}</p></section>', '<section id="search"><h2>Search</h2><p>{}</p></section>', '<table class="sponsors"><tr><td>{}</td></tr></table>',
+    '<p title="the hidden valley">{}</p>', '<p data-info="this is hidden away">{}</p>', '<p class="notice">{}</p>', '<blockquote class="social">{}</blockquote>', '<div data-a=hidden>{}</div>',
+])
+def test_html_keeps_all_of_an_article(part):
+    html = f"<body><article><h1>T</h1><p>{LONG_PARAGRAPH}</p>{part.format(LONG_PARAGRAPH)}<p>{LONG_PARAGRAPH}</p></article></body>"
+    assert html_extract.Page(html).text_on(None).count(LONG_PARAGRAPH) == 3
+
+
+@pytest.mark.parametrize("part", [
+    "<p hidden>{}</p>", '<div hidden="until-found">{}</div>', '<div class="ad">{}</div>', '<div class="related"><a href="x">{}</a></div>', '<div class="user-feedback">{}</div>', '<section id="kommentare"><p>{}</p></section>', '<div class="social">Share this</div>', '<div class="werbung">{}</div>', '<form>{}</form>',
+])
+def test_html_leaves_out_what_is_no_article(part):
+    html = f"<body><article><h1>T</h1><p>{LONG_PARAGRAPH * 3}</p>{part.format('Other text, as long as a sentence of the article itself might be, or longer.')}</article></body>"
+    assert html_extract.Page(html).text_on(None) == f"T\n\n{LONG_PARAGRAPH * 3}"
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<div>a" * 100_000, "<b>" * 100_000 + "x", "<div>" * 50_000 + "</span>" * 50_000 + "x", "<title>" * 50_000 + "<p>x", "<!a" * 100_000 + "x<p>y", '<a "' * 50_000 + "x"], ids=["nested", "nested text", "inline", "stray ends", "titles", "declarations", "quotes"])
 def test_html_time_grows_with_length(html):
     began = time.process_time()
     assert html_extract.Page(html).text_on(None)
