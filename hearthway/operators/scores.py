@@ -67,41 +67,6 @@ def recommend_homes(view: DataFrame, homes: DataFrame, least_coverage: float = 0
     return costed.withColumn("k", F.row_number().over(W.partitionBy("district").orderBy("cost", "home"))).filter(F.col("k") <= k)
 
 
-def _fitting(users: DataFrame, rules: DataFrame, on: list[str], parts: int = 64) -> DataFrame:
-    """(user, n, first): how many rules(on, limit, rule) have the user's ``on`` and a limit of at least its value.
-
-    Limits are dealt into ranges of about as many rules. What the ranges above hold is summed up first; within a range
-    users and rules are merged in order of value. So no user meets the rules one by one.
-    """
-    cuts = rules.filter("limit < double('infinity')").agg(F.percentile_approx("limit", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10000).alias("c")).first()["c"] or []
-    edges = sorted(set(cuts))
-    bucket = lambda v: F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < v)) if edges else F.lit(0)
-    dealt = rules.withColumn("_b", bucket(F.col("limit")))
-    sums = dealt.groupBy(*on, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("rule").alias("_first"))
-    # a row for each range, also where it holds no rule: there are at most ``parts`` of them
-    ranges = dealt.select(*on).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
-    above = W.partitionBy(*on).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    higher = ranges.join(sums, [*on, "_b"], "left").select(*on, "_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_over"), F.min("_first").over(above).alias("_over_first"))
-    both = dealt.select(*on, "_b", F.col("limit").alias("v"), F.lit(None).cast("long").alias("user"), "rule").unionByName(users.withColumn("_b", bucket(F.col("v"))).select(*on, "_b", "v", "user", F.lit(None).cast("long").alias("rule")))
-    inside = W.partitionBy(*on, "_b").orderBy(F.desc("v"), F.col("user").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumns({"_n": F.count("rule").over(inside), "_first": F.min("rule").over(inside)}).filter("user is not null")
-    return seen.join(higher, [*on, "_b"]).select("user", (F.col("_n") + F.col("_over")).alias("n"), F.least("_first", "_over_first").alias("first"))
-
-
-def match_policies(users: DataFrame, rules: DataFrame) -> DataFrame:
-    """Users with the rules that fit them, how many and the first: a null limit or target restricts nothing.
-
-    A user without a value fits only rules without a limit.
-    """
-    endless = F.lit(float("inf"))
-    u = users.select(F.col("c_custkey").alias("user"), F.coalesce(F.col("c_acctbal").cast("double"), endless).alias("v"), F.col("c_nationkey").cast("long").alias("target"))
-    r = rules.select(F.col("p_partkey").alias("rule"), F.coalesce(F.col("rent_max").cast("double"), endless).alias("limit"), F.col("target").cast("long").alias("target"))
-    anywhere = _fitting(u.withColumn("_all", F.lit(1)), r.filter("target is null").withColumn("_all", F.lit(1)), ["_all"])
-    aimed = _fitting(u.filter("target is not null"), r.filter("target is not null"), ["target"])
-    found = anywhere.unionByName(aimed).groupBy(F.col("user").alias("c_custkey")).agg(F.sum("n").alias("rules"), F.min("first").alias("first_rule")).filter("rules > 0")
-    return users.select("c_custkey", "c_acctbal").join(found, "c_custkey")
-
-
 def workplace_score(df: DataFrame, inflow: str, measures: list[str], above_one: list[str], quantile: float = 0.85) -> DataFrame:
     """Add score (mean of the percentile ranks of the measures a row has), centre and absorbed.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean as cl
 from hearthway.operators import burden as bd
+from hearthway.operators import matching
 from hearthway.operators import scores as sc
 from hearthway.operators import statistics as st
 
@@ -212,11 +214,38 @@ def c07_j11_savings_grid(t: Tables):
     return g.groupBy("income", "base").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(left >= 0.2 * F.col("income"), 1).otherwise(0)).alias("reach"), R(F.avg(left / F.col("income")), 6).alias("mean_rate"))
 
 
-@query("""SELECT c.c_custkey, c.c_acctbal, count(*) AS rules, min(p.p_partkey) AS first_rule FROM customer c JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN p_retailprice END AS rent_max, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 25 END AS target FROM part) p
-    ON (p.rent_max IS NULL OR p.rent_max >= c.c_acctbal) AND (p.target IS NULL OR p.target = c.c_nationkey) GROUP BY 1, 2""")
+#: Users are customers (income: balance, rent: a hundredth of the mean order), policies are parts; a limit or target is null for some.
+USERS = """u AS (SELECT c_custkey AS usr, 18 + c_custkey % 50 AS age, c_acctbal AS income, round(avg(o_totalprice) / 100, 2) AS rent, c_nationkey AS target FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3, 5),
+    p AS (SELECT p_partkey AS rule, CASE WHEN p_size % 5 < 2 THEN 19 + p_partkey % 15 END AS age_min, CASE WHEN p_size % 5 IN (1, 2) THEN 34 + p_partkey % 20 END AS age_max, CASE WHEN p_size % 3 = 1 THEN p_partkey % 10000 END AS income_max,
+    CASE WHEN p_size % 2 = 1 THEN p_retailprice END AS rent_max, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 25 END AS target, p_brand, p_name, p_retailprice / 10 AS benefit FROM part)"""
+
+
+def _policies(t: Tables) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    limits = {"age_min": (size % 5 < 2, 19 + key % 15), "age_max": ((size % 5).isin(1, 2), 34 + key % 20), "income_max": (size % 3 == 1, key % 10000), "rent_max": (size % 2 == 1, F.col("p_retailprice")), "target": (key % 2 == 1, key % 25)}
+    return t.part.select(key.alias("rule"), "p_brand", "p_name", (F.col("p_retailprice") / 10).alias("benefit"), *[F.when(some, value).alias(c) for c, (some, value) in limits.items()])
+
+
+def _users(t: Tables) -> DataFrame:
+    rent = t.orders.groupBy(F.col("o_custkey").alias("user")).agg(R(F.avg("o_totalprice") / 100, 2).alias("rent"))
+    who = t.customer.select(F.col("c_custkey").alias("user"), (18 + F.col("c_custkey") % 50).alias("age"), F.col("c_acctbal").alias("income"), F.col("c_nationkey").cast("long").alias("target"))
+    return who.join(rent, "user", "left")
+
+
+@query(f"""WITH {USERS} SELECT usr AS c_custkey, count(*) AS rules, min(rule) AS first_rule FROM u JOIN p ON (age_min IS NULL OR age_min <= age) AND (age_max IS NULL OR age_max >= age)
+    AND (income_max IS NULL OR income_max >= income) AND (rent_max IS NULL OR rent_max >= rent) AND (p.target IS NULL OR p.target = u.target) GROUP BY 1""")
 def c08_j13_p33_policy_match(t: Tables):
-    p = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 1, F.col("p_retailprice")).alias("rent_max"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey") % 25).alias("target"))
-    return sc.match_policies(t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), p)
+    return matching.match_policies(_users(t), _policies(t)).select(F.col("user").alias("c_custkey"), "rules", F.col("first").alias("first_rule"))
+
+
+@query(f"""WITH {USERS} SELECT dong_name, p_brand AS category, p_name AS policy_name, benefit, rent_cost, round(rent_cost - coalesce(benefit, 0)) AS after_support FROM burden JOIN dim_region USING (dong) JOIN p ON (p.target IS NULL OR p.target = dong % 25)
+    AND (rent_max IS NULL OR rent_max >= rent_cost / 200) AND (age_min IS NULL OR age_min <= 29) AND (age_max IS NULL OR age_max >= 29) AND (income_max IS NULL OR income_max >= 2800) WHERE dong_name = 'Supplier#000000004'""")
+def p33_policies_of_a_home(t: Tables):
+    """All policies for one user (age 29, income 2800) in one dong, with the cost that support leaves."""
+    home = t.burden.join(t.dim_region, "dong").filter(F.col("dong_name") == "Supplier#000000004").select("dong_name", "dong", "rent_cost")
+    fits = matching.policies_of(_policies(t), 29, 2800, F.col("rent_cost") / 200, F.col("dong") % 25)
+    out = _policies(t).join(F.broadcast(home.limit(1)), fits)
+    return out.select("dong_name", F.col("p_brand").alias("category"), F.col("p_name").alias("policy_name"), "benefit", "rent_cost", F.round(F.col("rent_cost") - F.coalesce("benefit", F.lit(0))).alias("after_support"))
 
 
 @query("""SELECT district, count(*) AS n, CASE WHEN NOT isnan(regr_slope(y, x)) THEN round(regr_slope(y, x) * -100000, 6) END AS slope_100k, CASE WHEN regr_slope(y, x) < 0 THEN 'cheaper is farther' ELSE 'no trade-off' END AS verdict FROM (

@@ -6,10 +6,11 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean
-from hearthway.operators import burden, flows, quality, scores, statistics
+from hearthway.operators import burden, flows, matching, positions, quality, scores, statistics
 from hearthway.plans.tables import Tables
 from hearthway.sources import readers
 from hearthway.streaming import jobs
@@ -118,19 +119,48 @@ def test_korean_csv(spark, tmp_path):
 
 
 def test_policies_against_every_pair(spark):
+    """Nulls in every measure and target, equal and single values, rules that fit nobody, and no rules at all."""
     rng = random.Random(1)
-    users = [(i, rng.choice([None, float(rng.randint(0, 50))]) if i % 9 == 0 else float(rng.randint(0, 50)), rng.choice([None, 0, 1, 2])) for i in range(120)]
-    rules = [(i, rng.choice([None, float(rng.randint(0, 50))]), rng.choice([None, 0, 1, 5])) for i in range(80)]
-    for some in (rules, rules[:1], []):
-        got = {r.c_custkey: (r.rules, r.first_rule) for r in scores.match_policies(spark.createDataFrame(users, "c_custkey long, c_acctbal double, c_nationkey int"), spark.createDataFrame(some, "p_partkey long, rent_max double, target int")).collect()}
+    some = lambda top, p=0.3: None if rng.random() < p else rng.randint(0, top)
+    users = [(i, some(70, 0.1), some(500, 0.1), some(9, 0.1), some(3, 0.2)) for i in range(150)]
+    rules = [(i, some(70), some(70), some(500), some(9), some(4)) for i in range(120)] + [(200, None, None, None, None, None), (201, 60, 10, None, None, None)]
+    for chosen in (rules, rules[:1], rules[-1:], []):
+        u = spark.createDataFrame(users, "user long, age int, income int, rent int, target int")
+        r = spark.createDataFrame(chosen, "rule long, age_min int, age_max int, income_max int, rent_max int, target int")
+        got = {x.user: (x.rules, x.first) for x in matching.match_policies(u, r).collect()}
         want = {}
-        for user, value, nation in users:
-            fit = [rule for rule, limit, target in some if (limit is None or value is not None and limit >= value) and (target is None or target == nation)]
+        for user, age, income, rent, target in users:
+            under = lambda limit, value: limit is None or value is not None and value <= limit
+            fit = [q[0] for q in chosen if (q[1] is None or age is not None and age >= q[1]) and under(q[2], age) and under(q[3], income) and under(q[4], rent) and (q[5] is None or q[5] == target)]
             if fit:
                 want[user] = (len(fit), min(fit))
         assert got == want
 
 
+def test_blocks_cover_each_range_once(spark):
+    levels = 2
+    ranges = [(lo, hi) for lo in [None, *range(0, 63, 7)] for hi in [None, *range(0, 63, 5)]]
+    out = spark.createDataFrame(ranges, "lo long, hi long").select("lo", "hi", matching.cover(F.col("lo"), F.col("hi"), levels).alias("c")).collect()
+    paths = [set(r.p) for r in spark.range(63).orderBy("id").select(matching.path(F.col("id"), levels).alias("p")).collect()]
+    for r in out:
+        inside = [len(p & set(r.c)) for p in paths]
+        assert inside == [int((r.lo is None or i >= r.lo) and (r.hi is None or i < r.hi)) for i in range(63)]
+
+
+def test_positions_ranks_and_tiles_against_windows(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice([None, *range(7)]), rng.random()) for i in range(203)], "k long, v int, x double").repartition(5)
+    w = W.orderBy(F.col("v").asc_nulls_first(), "x")
+    placed = positions.positions(df, [F.col("v").asc_nulls_first(), "x"]).withColumn("want", F.row_number().over(w) - 1)
+    assert placed.filter("position <> want").count() == 0 and placed.count() == 203
+    ranked = positions.ranks(df, F.col("v"), "r").withColumn("want", F.rank().over(W.orderBy(F.col("v").asc_nulls_first())))
+    assert ranked.filter("r <> want").count() == 0 and ranked.count() == 203
+    for n in (1, 4, 10, 203, 500):
+        tiled = positions.ntiles(df, ["x"], n, "t").withColumn("want", F.ntile(n).over(W.orderBy("x")))
+        assert tiled.filter("t <> want").count() == 0 and tiled.count() == 203
+    assert positions.positions(df.limit(0), ["x"]).count() == 0
+
+
 def test_tails_of_distributions(spark):
     rows = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.228, 10, 0.05), (2.080, 21, 0.05), (0.0, 7, 1.0), (-2.228, 10, 0.05), (1.96, 10**6, 0.05)]
     out = spark.createDataFrame([(t, n, p) for t, n, p in rows], "t double, n long, p double").select("p", statistics.t_two_sided(F.col("t"), F.col("n")).alias("got")).collect()
