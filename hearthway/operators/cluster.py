@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.operators.positions import positions
+
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation; 0 where there is no deviation."""
@@ -223,10 +225,10 @@ def stability(df: DataFrame, key: str, columns: list[str], k: int, runs: int = 5
 
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
     """Each column dealt anew to the rows, independently, in hash order."""
-    base = df.select(F.row_number().over(W.orderBy(key)).alias("_i"), key)
+    base = positions(df.select(key), [key], "_i")
     for n, c in enumerate(columns):
-        dealt = df.select(F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed * 1000 + n), F.col(key)), F.col(key))).alias("_i"), c)
-        base = base.join(dealt, "_i")
+        dealt = positions(df.select(key, c), [F.xxhash64(F.lit(seed * 1000 + n), F.col(key)), key], "_i")
+        base = base.join(dealt.select("_i", c), "_i")
     return base.drop("_i")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.operators.positions import ntiles
+
 
 def robust_z(df: DataFrame, by: list[str], value: str, name: str = "z") -> DataFrame:
     """(x - median) / (1.4826 MAD) in each group; by the sample deviation where the MAD is 0; 0 where that is 0 too.
@@ -56,9 +58,9 @@ def recommend_homes(view: DataFrame, homes: DataFrame, least_coverage: float = 0
     """Least burdened ``k`` homes by district among those with coverage, without the decile of fewest transactions.
 
     The burden is rent, fares of 42 rides at most ``cap`` (a missing fare counts as the cap) and the time of 42 rides at
-    ``hourly``. ``homes`` is a table of districts' homes, a dimension.
+    ``hourly``.
     """
-    eligible = homes.withColumn("_d", F.ntile(10).over(W.orderBy("tx", "dong"))).filter("_d > 1").drop("_d", "tx")
+    eligible = ntiles(homes, ["tx", "dong"], 10, "_d").filter("_d > 1").drop("_d", "tx")
     transport = F.coalesce(F.least(F.round("fare") * 42, F.lit(cap)), F.lit(cap))
     transport = F.when(F.col("fare").isNull(), F.lit(cap)).otherwise(transport)
     time = F.round(F.col("commute_min") * 42 / 60 * hourly)

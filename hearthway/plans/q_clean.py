@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean as cl
+from hearthway.operators import positions
 from hearthway.operators import reshape as rs
 from hearthway.sources import readers as rd
 
@@ -400,5 +401,5 @@ def a47_yearly_summary(t: Tables):
 
 @query("SELECT dong, rank() OVER (ORDER BY rent_cost DESC) AS r1, rank() OVER (ORDER BY oneway_min DESC) AS r2, rank() OVER (ORDER BY rent_cost DESC)::BIGINT - rank() OVER (ORDER BY oneway_min DESC)::BIGINT AS gap FROM burden")
 def w01_rank_gap(t: Tables):
-    r = lambda c: F.rank().over(W.orderBy(F.desc(c)))
-    return t.burden.select("dong", r("rent_cost").alias("r1"), r("oneway_min").alias("r2")).withColumn("gap", F.col("r1") - F.col("r2"))
+    ranked = positions.ranks(positions.ranks(t.burden.select("dong", "rent_cost", "oneway_min"), -F.col("rent_cost"), "r1"), -F.col("oneway_min"), "r2")
+    return ranked.select("dong", "r1", "r2", (F.col("r1") - F.col("r2")).alias("gap"))

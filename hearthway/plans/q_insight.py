@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.operators import insight as ins
+from hearthway.operators import positions
 from hearthway.operators import scores as sc
 from hearthway.operators import statistics as st
 
@@ -205,7 +206,7 @@ def w02_rank_in_group(t: Tables):
 
 @query("SELECT dong, decile FROM (SELECT dong, ntile(10) OVER (ORDER BY tx, dong) AS decile FROM burden) WHERE decile > 1")
 def w03_w04_decile_filter(t: Tables):
-    return t.burden.select("dong", F.ntile(10).over(W.orderBy("tx", "dong")).alias("decile")).filter("decile > 1")
+    return positions.ntiles(t.burden.select("dong", "tx"), ["tx", "dong"], 10, "decile").filter("decile > 1").select("dong", "decile")
 
 
 @query("SELECT work, home, round(total - avg(total) OVER (PARTITION BY work), 4) AS dev FROM pairs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.operators import positions
 from hearthway.operators import quality as ql
 
 from .tables import Tables, query
@@ -47,8 +48,7 @@ def q03_district_coverage(t: Tables):
 @query("""SELECT count(*) AS n, count(CASE WHEN stored <> r THEN 1 END) AS mismatches, CASE WHEN count(CASE WHEN stored <> r THEN 1 END) = 0 THEN 'equal' WHEN count(CASE WHEN stored <> r THEN 1 END) <= 10 THEN 'tolerable' ELSE 'differs' END AS verdict
     FROM (SELECT dong, rank() OVER (ORDER BY total NULLS FIRST) AS r, row_number() OVER (ORDER BY round(total, -2) NULLS FIRST, dong) AS stored FROM burden)""")
 def q04_rank_reproduction(t: Tables):
-    w = lambda *o: W.orderBy(*o)
-    r = t.burden.select("dong", F.rank().over(w("total")).alias("r"), F.row_number().over(w(R("total", -2), "dong")).alias("stored"))
+    r = positions.positions(positions.ranks(t.burden.select("dong", "total"), F.col("total"), "r"), [R("total", -2).asc_nulls_first(), "dong"], "place").withColumn("stored", F.col("place") + 1)
     m = F.count_if(F.col("stored") != F.col("r"))
     return r.agg(F.count(F.lit(1)).alias("n"), m.alias("mismatches"), F.when(m == 0, "equal").when(m <= 10, "tolerable").otherwise("differs").alias("verdict"))
 

@@ -23,4 +23,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage of iterations in a way that survives lost executors."""
     path = f"{stage_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote and that nothing reads any more."""
+    path = getattr(df, "_settled_at", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

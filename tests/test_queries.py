@@ -161,7 +161,7 @@ def test_communities_of_the_flows_reach_a_greedy_partition(spark, tables):
                 merged[min(x, y), max(x, y)] = merged.get((min(x, y), max(x, y)), 0) + w
         weight = merged
         degree[a] += degree.pop(b)
-    assert q >= 0.8 * greedy  # these flows are nearly even, so both are close to 0
+    assert q >= 0.95 * greedy  # these flows are nearly even, so both are close to 0
 
 
 def test_fits_recover_groups_and_their_figures(spark):
