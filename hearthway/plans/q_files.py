@@ -72,7 +72,8 @@ def i12_i15_publish_tables(t: Tables):
     tables = {"bridge": t.bridge, "burden": t.burden, "dim_region": t.dim_region, "od": t.od}
     rd.publish(tables, out, parents)
     names = rd.publish(tables, out, parents)  # a second load replaces the first
-    parts = [t.spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("place"), F.lit(n).alias("name"), "n") for i, n in enumerate(names, 1)]
+    found = rd.published(t.spark, out)
+    parts = [found[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("place"), F.lit(n).alias("name"), "n") for i, n in enumerate(names, 1)]
     return reduce(DataFrame.unionByName, parts)
 
 

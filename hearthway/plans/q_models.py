@@ -379,7 +379,15 @@ def x02_streaming_quarantine(t: Tables):
     return n(valid, "valid").unionByName(n(orphan, "orphan"))
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 2) AS volume FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 420 AND 580 GROUP BY 1")
+@query("""WITH m AS (SELECT ts, value, event_id % 4 AS b FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 420 AND 580), s AS (SELECT b, max(epoch_ms(ts)) AS top FROM m GROUP BY b),
+    w AS (SELECT x.b, (SELECT max(top) FROM s y WHERE y.b < x.b) - 6 * 86400000 AS mark FROM s x), j AS (SELECT m.*, coalesce(epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark, false) AS late FROM m JOIN w USING (b))
+    SELECT date_trunc('hour', ts) AS hour, count(*) FILTER (NOT late) AS n, round(coalesce(sum(value) FILTER (NOT late), 0), 2) AS volume, count(*) FILTER (late) AS late FROM j GROUP BY 1""")
 def x03_streaming_morning_volume(t: Tables):
-    out = jobs.morning_volume(_streamed(t, "events", ["ts", "value"]), late="40 days")
-    return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", R("volume", 2).alias("volume"))
+    """Four micro-batches that all span the whole time, with a lateness of six days: much of the later ones is late."""
+    out = f"{stage_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    for b in range(4):
+        t.events.filter(F.col("event_id") % 4 == b).select("ts", "value").repartition(4).write.mode("append").parquet(out)
+    volumes, late = jobs.morning_volume(jobs.stream_of(t.spark, out, files=4), late="6 days")
+    missed = late.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("late"))
+    both = volumes.join(missed, "hour", "full").na.fill(0, ["n", "late", "volume"])
+    return both.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", R("volume", 2).alias("volume"), "late")

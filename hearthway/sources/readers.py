@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,21 +173,72 @@ def load_order(parents: dict[str, list[str]]) -> list[str]:
     return out
 
 
-def publish(tables: dict[str, DataFrame], folder: str, parents: dict[str, list[str]] | None = None) -> list[str]:
-    """Empty the named tables below ``folder``, those that refer to others first, then write each after what it refers to.
+def publish(tables: dict[str, DataFrame], folder: str, parents: dict[str, list[str]] | None = None, keep: int = 2) -> list[str]:
+    """Load all tables as a new version below ``folder``, each after what it refers to, and make it the one that readers see.
 
-    Returns the order of loading. A rerun replaces what the last one wrote.
+    Each load writes into a folder of its own. Only when every table is whole does a manifest that names them take the
+    next number by one rename; a load that stops anywhere before leaves the last version as it was, and of two loads at a
+    time one fails. Versions older than the last ``keep``, and what stopped loads left, go afterwards. Returns the order
+    of loading.
     """
     order = [n for n in load_order({n: [p for p in (parents or {}).get(n, []) if p in tables] for n in tables}) if n in tables]
     spark = next(iter(tables.values())).sparkSession
-    for name in reversed(order):
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    store, version = _Versions(spark, folder), uuid.uuid4().hex
+    started, there = store.numbers(), store.names("versions")
     for name in order:
-        tables[name].write.parquet(f"{folder}/{name}")
+        tables[name].write.parquet(f"{folder}/versions/{version}/{name}")
+    store.commit((started[-1] if started else 0) + 1, {"version": version, "tables": order})
+    store.expire(keep, there)
     return order
 
 
+def published(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last whole version by name, in order of loading; none where nothing was published yet."""
+    store = _Versions(spark, folder)
+    numbers = store.numbers()
+    if not numbers:
+        return {}
+    told = store.manifest(numbers[-1])
+    return {name: spark.read.parquet(f"{folder}/versions/{told['version']}/{name}") for name in told["tables"]}
+
+
+class _Versions:
+    """Manifests ``manifests/<number>.json`` and the versions that they name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.path = spark, folder, spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, inside: str) -> list[str]:
+        where = self.path(f"{self.folder}/{inside}")
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(where)) if self.fs.exists(where) else []
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.names("manifests") if re.fullmatch(r"\d+\.json", n))
+
+    def manifest(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{number:012d}.json", wholetext=True).first()[0])
+
+    def commit(self, number: int, told: dict) -> None:
+        made, name = (self.path(f"{self.folder}/{x}") for x in (f"manifests/_{told['version']}", f"manifests/{number:012d}.json"))
+        out = self.fs.create(made, False)
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        if self.fs.exists(name) or not self.fs.rename(made, name):
+            self.fs.delete(made, False)
+            raise RuntimeError(f"another load has published version {number}")
+
+    def expire(self, keep: int, there: list[str]) -> None:
+        """Delete old versions, and of those in ``there`` what no manifest names: a load that was under way when the last one
+        began can't publish any more, as its number is taken."""
+        numbers = self.numbers()
+        told = {n: self.manifest(n)["version"] for n in numbers}
+        for n in numbers[:-keep]:
+            self.fs.delete(self.path(f"{self.folder}/manifests/{n:012d}.json"), False)
+        for v in {*(told[n] for n in numbers[:-keep]), *(set(there) - set(told.values()))}:
+            self.fs.delete(self.path(f"{self.folder}/versions/{v}"), True)
+
+
 def surrogate_key(df: DataFrame, order: str, name: str) -> DataFrame:
     """A gapless number from 1 in the order of a dimension's name; for dimensions, not facts."""
     from pyspark.sql import Window as W

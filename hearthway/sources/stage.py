@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,19 @@ def forget(df: DataFrame) -> None:
     if path:
         where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, as --py-files would, where Python runs on them."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    with tempfile.NamedTemporaryFile(prefix="hearthway-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(out.name)
+    _shipped.add(app)

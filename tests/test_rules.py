@@ -206,9 +206,27 @@ def test_load_order_and_publishing(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.load_order({"a": ["b"], "b": ["a"]})
     one = {"child": spark.range(3), "parent": spark.range(2)}
-    for _ in range(2):
-        assert readers.publish(one, str(tmp_path), {"child": ["parent"]}) == ["parent", "child"]
-    assert spark.read.parquet(str(tmp_path / "child")).count() == 3
+    folder = str(tmp_path / "store")
+    assert readers.published(spark, folder) == {}
+    for _ in range(3):
+        assert readers.publish(one, folder, {"child": ["parent"]}) == ["parent", "child"]
+    assert {n: d.count() for n, d in readers.published(spark, folder).items()} == {"parent": 2, "child": 3}
+    assert len(list((tmp_path / "store" / "versions").iterdir())) == 2  # older ones are gone
+
+
+def test_a_load_that_stops_half_way_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    readers.publish({"child": spark.range(3), "parent": spark.range(2)}, folder, {"child": ["parent"]})
+    read = readers.published(spark, folder)
+    broken = spark.range(9).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("stopped"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        readers.publish({"child": broken, "parent": spark.range(7)}, folder, {"child": ["parent"]})
+    assert {n: d.count() for n, d in readers.published(spark, folder).items()} == {"parent": 2, "child": 3} and read["child"].count() == 3
+    readers.publish({"child": spark.range(4), "parent": spark.range(7)}, folder, {"child": ["parent"]})
+    assert {n: d.count() for n, d in readers.published(spark, folder).items()} == {"parent": 7, "child": 4}
+    assert len(list((tmp_path / "versions").iterdir())) == 2  # what the stopped load had written went with the next
+    with pytest.raises(RuntimeError):
+        readers._Versions(spark, folder).commit(2, {"version": "late", "tables": []})
 
 
 def test_streams_go_on_where_they_ended(spark, tmp_path):
@@ -225,16 +243,44 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert totals() == {"a": (4.0, 3), "b": (1.0, 1), "c": (5.0, 1)}
 
 
+def test_running_state_is_compacted(spark, tmp_path, monkeypatch):
+    """After any number of batches a reader opens one base and a few folders, and finds each key's last state."""
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 4)
+    log = jobs.UpsertLog(spark, str(tmp_path / "log"), ["k"], spark.createDataFrame([], "k long, v long").schema)
+    state = {}
+    for batch in range(14):
+        changes = {batch % 5: batch, batch % 3: batch}
+        state |= changes
+        log.add(spark.createDataFrame(list(changes.items()), "k long, v long"), batch)
+        base, rest = log.parts()
+        assert len(rest) < 4 and len(list((tmp_path / "log").iterdir())) <= 4
+        assert batch < 3 or base == batch - (batch + 1) % 4
+        if batch in (2, 3, 9, 13):
+            assert {r.k: r.v for r in log.read().collect()} == state
+    log.add(spark.createDataFrame([(0, 99), (1, 13), (3, 13)], "k long, v long"), 13)  # a batch that is run again replaces itself
+    assert {r.k: r.v for r in log.read().collect()}[0] == 99
+    (tmp_path / "log" / "making-stopped").mkdir()  # a compaction that stopped half-way is not read
+    log.compact(13)
+    assert log.parts() == (13, []) and {r.k: r.v for r in log.read().collect()} == state | {0: 99}
+
+
 def test_late_events_leave_the_state(spark, tmp_path):
     source = str(tmp_path / "in")
     write = lambda rows: spark.createDataFrame(rows, "ts string, value double").selectExpr("timestamp(ts) AS ts", "value").coalesce(1).write.mode("append").parquet(source)
-    run = lambda: {str(r.hour): r.n for r in jobs.morning_volume(jobs.stream_of(spark, source), late="1 day", folder=str(tmp_path / "job")).collect()}
-    write([("2024-01-01 07:10:00", 1.0), ("2024-01-01 07:20:00", 1.0)])
-    assert run() == {"2024-01-01 07:00:00": 2}
+
+    def run():
+        volumes, late = jobs.morning_volume(jobs.stream_of(spark, source), late="1 day", folder=str(tmp_path / "job"))
+        return {str(r.hour): (r.n, r.final) for r in volumes.collect()}, sorted((str(r.ts), r.value) for r in late.collect())
+
+    write([("2024-01-01 07:10:00", 1.0), ("2024-01-01 07:20:00", 1.0), ("2024-01-01 11:00:00", 1.0), (None, 1.0)])
+    assert run() == ({"2024-01-01 07:00:00": (2, False)}, [])
     write([("2024-01-20 08:00:00", 1.0)])
-    assert run() == {"2024-01-01 07:00:00": 2, "2024-01-20 08:00:00": 1}
-    write([("2024-01-01 07:30:00", 1.0), ("2024-01-20 08:30:00", 1.0)])  # the first is too late to count
-    assert run() == {"2024-01-01 07:00:00": 2, "2024-01-20 08:00:00": 2}
+    assert run() == ({"2024-01-01 07:00:00": (2, True), "2024-01-20 08:00:00": (1, False)}, [])  # the timer has ended the first hour
+    write([("2024-01-01 07:30:00", 3.0), ("2024-01-20 08:30:00", None), ("2024-01-19 09:00:00", 1.0)])  # the first is too late
+    first = {"2024-01-01 07:00:00": (2, True), "2024-01-20 08:00:00": (2, False), "2024-01-19 09:00:00": (1, False)}
+    assert run() == (first, [("2024-01-01 07:30:00", 3.0)])
+    write([("2024-01-01 07:40:00", 4.0)])  # and so is this, also after the job has started anew
+    assert run() == (first, [("2024-01-01 07:30:00", 3.0), ("2024-01-01 07:40:00", 4.0)])
 
 
 def test_base_views_are_written_once_and_again_after_a_change(spark, tmp_path):
