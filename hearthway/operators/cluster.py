@@ -6,8 +6,8 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -57,22 +57,22 @@ def fit(df: DataFrame, columns: list[str], k: int, method: str = "kmeans", seed:
 
 
 def k_scan(df: DataFrame, columns: list[str], ks: list[int], seed: int = 42) -> DataFrame:
-    """For each k: inertia, silhouette and the smallest cluster."""
-    v = vectors(df, columns).select("v").cache()
+    """For each k: inertia, silhouette, the smallest cluster, Calinski-Harabasz and Davies-Bouldin."""
+    v = vectors(df, columns).select("v", *columns).persist(StorageLevel.DISK_ONLY)
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="v").fit(v)
-        out = model.transform(v)
-        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="v").evaluate(out)), int(min(model.summary.clusterSizes))))
+        scores = validity(model.transform(v).withColumnRenamed("prediction", "label"), columns).first()
+        rows.append((k, float(model.summary.trainingCost), scores["silhouette"], int(min(model.summary.clusterSizes)), scores["calinski_harabasz"], scores["davies_bouldin"]))
     v.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, smallest long")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, smallest long, calinski_harabasz double, davies_bouldin double")
 
 
 def _distance2(columns: list[str], other: str) -> Column:
     return reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"{other}{c}"), 2) for c in columns])
 
 
-def fuzzy(df: DataFrame, key: str, columns: list[str], k: int, m: float = 1.5, error: float = 0.005, rounds: int = 50, seed: int = 42) -> DataFrame:
+def fuzzy(df: DataFrame, key: str, columns: list[str], k: int, m: float = 1.5, error: float = 0.005, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Fuzzy c-means from KMeans centres: (key, cluster, u) for each row and cluster.
 
     A round is one pass: distances to the k broadcast centres, memberships, weighted sums by cluster. A row on a centre
@@ -112,6 +112,20 @@ def partition_coefficient(members: DataFrame, key: str) -> DataFrame:
     return members.agg((F.sum(F.col("u") * F.col("u")) / F.countDistinct(key)).alias("fpc"))
 
 
+def component_counts(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.8, 0.9)) -> DataFrame:
+    """For each share of the variance the fewest principal components that explain it, and what they explain."""
+    _, explained = principal(df, columns, len(columns), [])
+    rows = []
+    for share in shares:
+        total = 0.0
+        for n, x in enumerate(explained, 1):
+            total += x
+            if total >= share - 1e-12:
+                break
+        rows.append((share, n, total))
+    return df.sparkSession.createDataFrame(rows, "share double, components int, explained double")
+
+
 def principal(df: DataFrame, columns: list[str], k: int, keep: list[str]) -> tuple[DataFrame, list[float]]:
     """Coordinates pc1.. of each row and the components' shares of variance."""
     v = vectors(df, columns)
@@ -120,8 +134,20 @@ def principal(df: DataFrame, columns: list[str], k: int, keep: list[str]) -> tup
     return out.select(*keep, *[F.col("p")[i].alias(f"pc{i + 1}") for i in range(k)]), [float(x) for x in model.explainedVariance]
 
 
+def silhouette(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """Mean silhouette over squared distances: each row meets sums by cluster, never other rows. A row alone scores 0."""
+    length = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in columns])
+    sums = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.avg(length).alias("_q"), *[F.avg(c).alias(f"c_{c}") for c in columns])
+    dot = reduce(lambda a, b: a + b, [F.col(c) * F.col(f"c_{c}") for c in columns])
+    far = df.select(label, *columns, F.monotonically_increasing_id().alias("_row")).crossJoin(F.broadcast(sums)).withColumn("_d", F.greatest(length - 2 * dot + F.col("_q"), F.lit(0.0)))
+    own = F.col("_l") == F.col(label)
+    each = far.groupBy("_row").agg(F.max(F.when(own, F.col("_d") * F.col("_n") / F.nullif(F.col("_n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("_d"))).alias("b"))
+    score = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.avg(score).alias("silhouette"))
+
+
 def validity(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin from sums by cluster."""
+    """Calinski-Harabasz, Davies-Bouldin and silhouette from sums by cluster."""
     centres = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"c_{c}") for c in columns])
     j = df.select(label, *columns).join(F.broadcast(centres), label).withColumn("_d2", _distance2(columns, "c_"))
     spread = j.groupBy(label).agg(F.avg(F.sqrt("_d2")).alias("s"), F.sum("_d2").alias("w"))
@@ -132,15 +158,19 @@ def validity(df: DataFrame, columns: list[str], label: str = "label") -> DataFra
     overall = df.agg(*[F.avg(x).alias(f"g_{x}") for x in columns])
     between = reduce(lambda a, b: a + b, [F.pow(F.col(f"c_{x}") - F.col(f"g_{x}"), 2) for x in columns])
     ch = c.crossJoin(F.broadcast(overall)).agg(F.sum(F.col("n") * between).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return ch.select("k", "n", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz")).crossJoin(db)
+    return ch.select("k", "n", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz")).crossJoin(db).crossJoin(silhouette(df, columns, label))
+
 
+def balance(df: DataFrame, label: str = "label", noise: int = -1) -> DataFrame:
+    """Clusters, smallest and largest size and share, normalised entropy of the sizes, and the share of rows that are noise.
 
-def balance(df: DataFrame, label: str = "label") -> DataFrame:
-    """Clusters, smallest and largest size and share, normalised entropy of the sizes."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("t"))
+    Rows whose label is null or ``noise`` are in no cluster; sizes and shares are of the others.
+    """
+    out = F.col(label).isNull() | (F.col(label).cast("string") == str(noise))
+    n = df.groupBy(F.when(~out, F.col(label)).alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum(F.when(F.col("_l").isNotNull(), F.col("n"))).alias("t"), (F.coalesce(F.sum(F.when(F.col("_l").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("noise_share"))
     p = F.col("n") / F.col("t")
-    one = n.crossJoin(F.broadcast(total)).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max(p).alias("largest_share"), (-F.sum(p * F.ln(p))).alias("h"))
+    one = n.filter("_l is not null").crossJoin(F.broadcast(total)).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max(p).alias("largest_share"), (-F.sum(p * F.ln(p))).alias("h"), F.max("noise_share").alias("noise_share"))
     return one.withColumn("entropy", F.when(F.col("k") > 1, F.col("h") / F.ln("k")).otherwise(F.lit(0.0))).drop("h")
 
 
@@ -259,14 +289,20 @@ def hopkins(df: DataFrame, key: str, columns: list[str], sample: int = 50, seed:
     return near.agg((total("uniform") / (total("uniform") + total("real"))).alias("hopkins"))
 
 
-def two_stage(df: DataFrame, key: str, first: list[str], second: list[str], k: int, parts: int = 2, least: int = 20, seed: int = 42) -> DataFrame:
-    """Clusters by ``first``, then within each of at least ``least`` rows by ``second``."""
+def two_stage(df: DataFrame, key: str, first: list[str], second: list[str], k: int, parts: tuple[int, ...] = (2, 3), least: int = 20, seed: int = 42) -> DataFrame:
+    """Clusters by ``first``, then within each of at least ``least`` rows by ``second``: as many of ``parts`` as have the best
+    silhouette there (the fewest of equals)."""
     outer = fit(df, first, k, seed=seed).withColumnRenamed("label", "outer")
     sizes = {r["outer"]: r["n"] for r in outer.groupBy("outer").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
     for label, n in sorted(sizes.items()):
         part = outer.filter(F.col("outer") == label)
-        out.append(fit(part, second, parts, seed=seed).select(key, "outer", F.col("label").alias("inner")) if n >= least else part.select(key, "outer", F.lit(0).alias("inner")))
+        if n < least:
+            out.append(part.select(key, "outer", F.lit(0).alias("inner")))
+            continue
+        scored = k_scan(part, second, list(parts), seed).collect()
+        best = max(scored, key=lambda r: (r["silhouette"], -r["k"]))["k"]
+        out.append(fit(part, second, best, seed=seed).select(key, "outer", F.col("label").alias("inner")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthway.operators.positions import ntiles
+from hearthway.operators.positions import ntiles, positions
+from hearthway.sources.stage import settle
 
 
 def robust_z(df: DataFrame, by: list[str], value: str, name: str = "z") -> DataFrame:
@@ -31,11 +32,22 @@ def winsorise(df: DataFrame, value: str, q: float) -> DataFrame:
     return df.crossJoin(F.broadcast(bounds)).withColumn(value, held).drop("_q")
 
 
-def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, tie: str) -> DataFrame:
-    """First value at which the cumulative weight reaches half of the total."""
-    part = W.partitionBy(*by)
-    upto = F.sum(weight).over(part.orderBy(value, tie).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_c", upto).withColumn("_t", F.sum(weight).over(part)).filter(F.col("_c") >= F.col("_t") / 2).groupBy(*by).agg(F.min(value).alias(value))
+def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, bits: int = 12) -> DataFrame:
+    """First value of each group at which the cumulative weight reaches half of the total; rows without a value or weight are left out.
+
+    Weights are summed by value, all values of all groups are placed in order by ranges, and their weights summed by
+    stretches of places. Only the stretch in which a group passes its half is walked value by value, so no task sorts a group.
+    """
+    sums = df.filter(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    placed = settle(positions(sums, [*by, value], "_place").withColumn("_stretch", F.shiftright("_place", bits)))
+    parts = placed.groupBy(*by, "_stretch").agg(F.sum("_w").alias("_part"))
+    group = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_part").over(group.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_half": F.sum("_part").over(group) / 2})
+    crossed = parts.filter((F.col("_before") + F.col("_part") >= F.col("_half")) & ((F.col("_before") < F.col("_half")) | (F.col("_before") == 0)))
+    upto = F.sum("_w").over(W.partitionBy(*by, "_stretch").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    walked = placed.join(crossed, [*by, "_stretch"]).withColumn("_c", F.col("_before") + upto)
+    return walked.filter(F.col("_c") >= F.col("_half")).groupBy(*by).agg(F.min(value).alias(value))
 
 
 def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:

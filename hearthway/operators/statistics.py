@@ -108,6 +108,13 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return sums.crossJoin(ties).select("n", "groups", h.alias("h"), (h / (n - 1)).alias("epsilon2"))
 
 
+def with_chi2_p(test: DataFrame, statistic: str, groups: str = "groups") -> DataFrame:
+    """A test's single row with p, the chi-square tail of its statistic at groups - 1 degrees of freedom; null without a statistic."""
+    row = test.first()
+    p = None if row is None or row[statistic] is None else chi2_tail(float(row[statistic]), int(row[groups]) - 1)
+    return test.withColumn("p", F.lit(p).cast("double"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, rows, columns, chi-square and Cramér's V of two categories."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))

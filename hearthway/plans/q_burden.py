@@ -154,7 +154,7 @@ def a34_weighted_mean_of_medians(t: Tables):
     FROM (SELECT zone, dong, median(rent) AS v, count(*) AS n FROM txn JOIN dim_region USING (dong) GROUP BY 1, 2)) WHERE c >= tot / 2 GROUP BY zone""")
 def a33_weighted_median(t: Tables):
     m = t.txn.join(t.dim_region, "dong").groupBy("zone", "dong").agg(F.median("rent").alias("v"), F.count(F.lit(1)).alias("n"))
-    return sc.weighted_median(m, ["zone"], "v", "n", "dong").withColumnRenamed("v", "wmedian")
+    return sc.weighted_median(m, ["zone"], "v", "n").withColumnRenamed("v", "wmedian")
 
 
 @query("""SELECT k.component, min(v) AS lo, median(v) AS med, max(v) AS hi, max(v) - min(v) AS spread FROM (SELECT 'rent' AS component, rent_cost AS v FROM burden UNION ALL SELECT 'transport', transport FROM burden UNION ALL SELECT 'hours', hours FROM burden) k WHERE v IS NOT NULL GROUP BY 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean as cl
+from hearthway.operators import cluster as cs
 from hearthway.operators import positions
 from hearthway.operators import reshape as rs
 from hearthway.sources import readers as rd
@@ -316,7 +317,7 @@ def j19_shared_neighbours(t: Tables):
 @query("WITH m AS (SELECT DISTINCT l_suppkey AS dong, l_partkey % 2000 AS road, l_returnflag AS gu FROM lineitem) SELECT a.dong, count(DISTINCT b.dong) AS neighbours FROM m a JOIN m b ON a.road = b.road AND a.gu = b.gu AND a.dong <> b.dong GROUP BY 1")
 def j20_road_adjacency(t: Tables):
     m = t.lineitem.select(F.col("l_suppkey").alias("dong"), (F.col("l_partkey") % 2000).alias("road"), F.col("l_returnflag").alias("gu")).distinct()
-    return m.join(m.withColumnRenamed("dong", "other"), ["road", "gu"]).filter("dong <> other").groupBy("dong").agg(F.countDistinct("other").alias("neighbours"))
+    return rs.meetings(m, m, "dong", ["road", "gu"]).groupBy("dong").agg(F.countDistinct("neighbour").alias("neighbours"))
 
 
 GEO = "SELECT dong, gu, 37.5 + (dong * 37 % 100) * 0.0006 AS lat, 126.9 + (dong * 53 % 100) * 0.0008 AS lng FROM dim_region"
@@ -326,15 +327,19 @@ GEO = "SELECT dong, gu, 37.5 + (dong * 37 % 100) * 0.0006 AS lat, 126.9 + (dong
     SELECT dong, {", ".join(f"count(CASE WHEN km <= {r} THEN 1 END) AS within{r}" for r in (1, 2, 3, 5))}, round(min(km), 4) AS nearest, count(*) AS candidates FROM d GROUP BY dong""")
 def j21_haversine(t: Tables):
     g = t.dim_region.select("dong", "gu", (37.5 + (F.col("dong") * 37 % 100) * 0.0006).alias("lat"), (126.9 + (F.col("dong") * 53 % 100) * 0.0008).alias("lng"))
-    d = rs.haversine_pairs(g.filter("dong % 5 = 0"), g.filter("dong % 5 <> 0"), "dong", "gu")
-    return d.groupBy("dong").agg(*[F.count_if(F.col("km") <= r).alias(f"within{r}") for r in (1, 2, 3, 5)], R(F.min("km"), 4).alias("nearest"), F.count(F.lit(1)).alias("candidates"))
+    table = rs.radius_table(g.filter("dong % 5 = 0"), g.filter("dong % 5 <> 0"), "dong", "gu", [1, 2, 3, 5])
+    return table.withColumn("nearest", R("nearest", 4))
 
 
-@query("""WITH x AS (SELECT f.dong, r.gu, r.zone, f.f1, f.f2, f.f4 FROM features f JOIN dim_region r USING (dong)), p AS (SELECT a.dong, b.dong AS donor, b.f1 AS donor_value, CASE WHEN a.gu = b.gu THEN 1 WHEN a.zone = b.zone THEN 2 ELSE 3 END AS lvl, round((a.f2 - b.f2) ** 2 + (a.f4 - b.f4) ** 2, 9) AS d FROM x a JOIN x b ON b.dong % 5 <> 0 WHERE a.dong % 5 = 0),
+SCALED = ", ".join(f"(f.{c} - (SELECT median({c}) FROM features)) / (SELECT quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25) FROM features) AS {c}" for c in ("f2", "f4"))
+
+
+@query(f"""WITH x AS (SELECT f.dong, r.gu, r.zone, f.f1, {SCALED} FROM features f JOIN dim_region r USING (dong)), p AS (SELECT a.dong, b.dong AS donor, b.f1 AS donor_value, CASE WHEN a.gu = b.gu THEN 1 WHEN a.zone = b.zone THEN 2 ELSE 3 END AS lvl, round((a.f2 - b.f2) ** 2 + (a.f4 - b.f4) ** 2, 9) AS d FROM x a JOIN x b ON b.dong % 5 <> 0 WHERE a.dong % 5 = 0),
     s AS (SELECT dong, CASE WHEN count(CASE WHEN lvl = 1 THEN 1 END) >= 3 THEN 1 WHEN count(CASE WHEN lvl <= 2 THEN 1 END) >= 3 THEN 2 ELSE 3 END AS scope FROM p GROUP BY 1)
     SELECT dong, donor, scope, k, donor_value, median(donor_value) OVER (PARTITION BY dong) AS imputed FROM (SELECT p.dong, donor, donor_value, scope, row_number() OVER (PARTITION BY p.dong ORDER BY d, donor) AS k FROM p JOIN s ON s.dong = p.dong AND lvl <= scope) WHERE k <= 5""")
 def j22_widening_donors(t: Tables):
-    x = t.features.join(t.dim_region.select("dong", "gu", "zone"), "dong").select("dong", "gu", "zone", "f1", "f2", "f4")
+    scaled = cs.robust_scale(t.features.select("dong", "f1", F.col("f2").cast("double").alias("f2"), F.col("f4").cast("double").alias("f4")), ["f2", "f4"])
+    x = scaled.join(t.dim_region.select("dong", "gu", "zone"), "dong")
     return rs.widening_donors(x.filter("dong % 5 = 0"), x.filter("dong % 5 <> 0"), ["f2", "f4"], "f1")
 
 

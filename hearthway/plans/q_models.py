@@ -65,6 +65,11 @@ def m03_fuzzy_summary(t: Tables):
     return cs.fuzzy_summary(cs.fuzzy(_scaled(t), "dong", COLS, 3), "dong")
 
 
+@query()
+def m03_partition_coefficient(t: Tables):
+    return cs.partition_coefficient(cs.fuzzy(_scaled(t), "dong", COLS, 3), "dong")
+
+
 @query()
 def m04_alternative_fits(t: Tables):
     s = _scaled(t)
@@ -78,20 +83,30 @@ def m05_principal_components(t: Tables):
     return out.withColumn("explained", F.lit(sum(share)))
 
 
+@query()
+def m05_component_counts(t: Tables):
+    return cs.component_counts(_scaled(t), COLS)
+
+
 CENTRES = "c AS (SELECT label, count(*) AS n, " + ", ".join(f"avg({x}) AS {x}" for x in COLS) + " FROM labelled GROUP BY label)"
 D2 = " + ".join(f"(l.{x} - c.{x}) ** 2" for x in COLS)
 
 
 @query(f"""WITH {CENTRES}, s AS (SELECT l.label, avg(sqrt({D2})) AS s, sum({D2}) AS w FROM labelled l JOIN c USING (label) GROUP BY l.label),
-    r AS (SELECT a.label, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.{x} - b.{x}) ** 2' for x in COLS)})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY a.label)
-    SELECT count(*) AS k, sum(c.n) AS n, round((sum(c.n * ({' + '.join(f'(c.{x} - (SELECT avg({x}) FROM labelled)) ** 2' for x in COLS)})) / (count(*) - 1)) / (sum(w) / (sum(c.n) - count(*))), 6) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin FROM c JOIN s USING (label)""")
+    r AS (SELECT a.label, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.{x} - b.{x}) ** 2' for x in COLS)})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY a.label),
+    pairs AS (SELECT l.dong, l.label, o.label AS other, sum({' + '.join(f'(l.{x} - o.{x}) ** 2' for x in COLS)}) AS d, count(*) AS m FROM labelled l JOIN labelled o ON true GROUP BY 1, 2, 3),
+    sil AS (SELECT dong, max(CASE WHEN label = other THEN d / nullif(m - 1, 0) END) AS a, min(CASE WHEN label <> other THEN d / m END) AS b FROM pairs GROUP BY 1)
+    SELECT round((SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM sil), 6) AS silhouette, count(*) AS k, sum(c.n) AS n, round((sum(c.n * ({' + '.join(f'(c.{x} - (SELECT avg({x}) FROM labelled)) ** 2' for x in COLS)})) / (count(*) - 1)) / (sum(w) / (sum(c.n) - count(*))), 6) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin FROM c JOIN s USING (label)""")
 def m06_validity(t: Tables):
-    return cs.validity(_labelled(t), COLS).select("k", "n", R("calinski_harabasz", 6).alias("calinski_harabasz"), R("davies_bouldin", 6).alias("davies_bouldin"))
+    return cs.validity(_labelled(t), COLS).select("k", "n", R("calinski_harabasz", 6).alias("calinski_harabasz"), R("davies_bouldin", 6).alias("davies_bouldin"), R("silhouette", 6).alias("silhouette"))
 
 
-@query("""SELECT count(*) AS k, min(n) AS smallest, max(n) AS largest, round(max(n / t), 6) AS largest_share, round(-sum(n / t * ln(n / t)) / ln(count(*)), 6) AS entropy FROM (SELECT gu, count(*) AS n, sum(count(*)) OVER () AS t FROM dim_region GROUP BY gu)""")
+@query("""WITH l AS (SELECT CASE WHEN dong % 11 <> 0 THEN gu END AS gu FROM dim_region) SELECT count(*) AS k, min(n) AS smallest, max(n) AS largest, round(max(n / t), 6) AS largest_share, round(-sum(n / t * ln(n / t)) / ln(count(*)), 6) AS entropy,
+    round((SELECT count(*) - count(gu) FROM l) / (SELECT count(*) FROM l), 6) AS noise_share FROM (SELECT gu, count(*) AS n, sum(count(*)) OVER () AS t FROM l WHERE gu IS NOT NULL GROUP BY gu)""")
 def m07_balance(t: Tables):
-    return cs.balance(t.dim_region, "gu").select("k", "smallest", "largest", R("largest_share", 6).alias("largest_share"), R("entropy", 6).alias("entropy"))
+    """Every eleventh dong is noise."""
+    b = cs.balance(t.dim_region.withColumn("gu", F.when(F.col("dong") % 11 != 0, F.col("gu"))), "gu")
+    return b.select("k", "smallest", "largest", *[R(c, 6).alias(c) for c in ("largest_share", "entropy", "noise_share")])
 
 
 @query(f"WITH {CENTRES} SELECT round(avg(sqrt({' + '.join(f'(a.{x} - b.{x}) ** 2' for x in COLS)})), 6) AS separation FROM c a JOIN c b ON a.label < b.label")
@@ -117,6 +132,12 @@ def m11_nearest_archetype(t: Tables):
     return cs.nearest_archetype(_scaled(t), "dong", ["f1", "f2"], a).select("dong", "archetype", R("distance", 6).alias("distance"))
 
 
+@query(f"""WITH {CENTRES} SELECT label, name AS archetype, round(d, 6) AS distance FROM (SELECT label, a.name, sqrt((f1 - a1) ** 2 + (f2 - a2) ** 2) AS d, row_number() OVER (PARTITION BY label ORDER BY sqrt((f1 - a1) ** 2 + (f2 - a2) ** 2), a.name) AS k FROM c CROSS JOIN (VALUES ('hub', -1.0, -1.0), ('edge', 1.0, 1.0), ('mid', 0.0, 0.0)) a(name, a1, a2)) WHERE k = 1""")
+def m11_archetype_of_clusters(t: Tables):
+    a = t.spark.createDataFrame([("hub", -1.0, -1.0), ("edge", 1.0, 1.0), ("mid", 0.0, 0.0)], "name string, c_f1 double, c_f2 double")
+    return cs.nearest_archetype(cs.profiles(_labelled(t), COLS), "label", ["f1", "f2"], a).select("label", "archetype", R("distance", 6).alias("distance"))
+
+
 @query(f"""WITH {CENTRES}, d AS (SELECT l.dong, l.label, c.label AS o, sqrt({D2}) AS d FROM labelled l CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY dong ORDER BY d) AS k FROM d),
     g AS (SELECT dong, any_value(label) AS label, max(CASE WHEN o = label THEN d END) AS own, max(CASE WHEN k = 2 THEN d END) - max(CASE WHEN k = 1 THEN d END) AS gap FROM r GROUP BY dong)
     SELECT dong, label, round(own, 6) AS own, round(gap, 6) AS gap, row_number() OVER (PARTITION BY label ORDER BY own, dong) <= 5 AS representative, gap <= (SELECT quantile_cont(gap, 0.15) FROM g) AS boundary FROM g""")
@@ -238,6 +259,14 @@ def m23_kruskal(t: Tables):
     return st.kruskal(t.part, "p_type", "p_size").select("n", "groups", R("h", 6).alias("h"), R("epsilon2", 8).alias("epsilon2"))
 
 
+@query(f"""WITH r AS ({RANKS.format(g='p_brand', v='p_size', t='part')}), q AS (SELECT sum(s * s / n) AS q, sum(n) AS n, count(*) AS groups FROM (SELECT p_brand, sum(r) AS s, count(*) AS n FROM r GROUP BY 1)), ti AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM part GROUP BY p_size)),
+    h AS (SELECT n, groups, (12 / (n * (n + 1.0::DOUBLE)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ** 3 - n)) AS h FROM q, ti)
+    SELECT n, groups, round(h, 6) AS h, round(exp(-h / 2) * list_sum(list_transform(range(0, (groups - 1) // 2), lambda i: (h / 2) ** i / gamma(i + 1))), 8) AS p FROM h""")
+def m23_kruskal_p(t: Tables):
+    """Over brands: their number is odd, so that the tail is a finite sum in SQL."""
+    return st.with_chi2_p(st.kruskal(t.part, "p_brand", "p_size"), "h").select("n", "groups", R("h", 6).alias("h"), R("p", 8).alias("p"))
+
+
 @query("""WITH c AS (SELECT p_type AS a, p_size % 3 AS b, count(*) AS o FROM part GROUP BY 1, 2), e AS (SELECT c.o, (sum(o) OVER (PARTITION BY a)) * (sum(o) OVER (PARTITION BY b)) / (sum(o) OVER ())::DOUBLE AS e, sum(o) OVER () AS n FROM c)
     SELECT max(n) AS n, (SELECT count(DISTINCT a) FROM c) AS rows, (SELECT count(DISTINCT b) FROM c) AS columns, round(sum((o - e) ** 2 / e), 6) AS chi2, round(sqrt(sum((o - e) ** 2 / e) / (max(n) * 2)), 8) AS v FROM e""")
 def m24_contingency(t: Tables):
@@ -264,9 +293,12 @@ def m25_by_quartile(t: Tables):
 def m26_k_evaluation(t: Tables):
     from hearthway.operators.scores import average_rank
 
-    k = cs.k_scan(_scaled(t), COLS, [2, 3, 4, 5]).withColumn("minus_silhouette", -F.col("silhouette"))
-    k = average_rank(average_rank(k, "minus_silhouette", "r1"), "inertia", "r2")
-    return k.select("k", "silhouette", "inertia", "smallest", ((F.col("r1") + F.col("r2")) / 2).alias("mean_rank"))
+    k = cs.k_scan(_scaled(t), COLS, [2, 3, 4, 5]).withColumns({"_s": -F.col("silhouette"), "_h": -F.col("calinski_harabasz")})
+    metrics = {"_s": "r1", "_h": "r2", "davies_bouldin": "r3", "inertia": "r4"}
+    for metric, name in metrics.items():
+        k = average_rank(k, metric, name)
+    mean = (F.col("r1") + F.col("r2") + F.col("r3") + F.col("r4")) / 4
+    return k.select("k", "silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "smallest", mean.alias("mean_rank"), F.rank().over(W.orderBy(mean)).alias("place"))
 
 
 VIEWS["structure"] = """SELECT dong, (inside - avg(inside) OVER ()) / stddev_pop(inside) OVER () AS inside, (entropy - avg(entropy) OVER ()) / stddev_pop(entropy) OVER () AS entropy FROM (

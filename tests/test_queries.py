@@ -267,7 +267,48 @@ def test_consensus_imputation_and_two_stages_on_the_given_features(spark, tables
     assert len(stages) == len(order) and all(r.inner == 0 for r in stages if sizes[r.outer] < 20)
     k = {r.k: r for r in QUERIES["m26_k_evaluation"](spark, folder).collect()}
     rank = lambda values: {i: sum(v < values[i] for v in values.values()) + (sum(v == values[i] for v in values.values()) + 1) / 2 for i in values}
-    one, two = rank({i: -r.silhouette for i, r in k.items()}), rank({i: r.inertia for i, r in k.items()})
-    assert all(abs(r.mean_rank - (one[i] + two[i]) / 2) < 1e-12 for i, r in k.items())
+    four = [rank({i: -r.silhouette for i, r in k.items()}), rank({i: -r.calinski_harabasz for i, r in k.items()}), rank({i: r.davies_bouldin for i, r in k.items()}), rank({i: r.inertia for i, r in k.items()})]
+    assert all(abs(r.mean_rank - sum(x[i] for x in four) / 4) < 1e-12 for i, r in k.items()) and min(k.values(), key=lambda r: r.mean_rank).place == 1
+    inner = collections.defaultdict(set)
+    for r in stages:
+        inner[r.outer].add(r.inner)
+    assert all(len(inner[o]) in (2, 3) for o in sizes if sizes[o] >= 20)
     assignment = {r.dong: r.label for r in QUERIES["m02_kmeans_assignment"](spark, folder).collect()}
     assert set(assignment) == set(order) and set(assignment.values()) <= set(range(4))
+
+
+def test_partition_coefficient_components_and_parts(spark):
+    """Fuzzy fits run until their centres rest; component counts against numpy; parts by the better silhouette."""
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    members = cluster.fuzzy(df, "k", ["x", "y"], 3)
+    u = np.zeros((90, 3))
+    for r in members.collect():
+        u[r.k, r.cluster] = r.u
+    assert abs(cluster.partition_coefficient(members, "k").first()["fpc"] - (u**2).sum() / 90) < 1e-12
+    centres = np.array([(u[:, [i]] ** 1.5 * x).sum(axis=0) / (u[:, i] ** 1.5).sum() for i in range(3)])
+    told = {r.cluster: r._d for r in members.filter("k = 0").collect()}
+    assert all(abs(np.linalg.norm(x[0] - centres[i]) - told[i]) < 0.01 for i in range(3))  # at rest within the error
+    wide = df.selectExpr("k", "x", "y", "x + y * 0.01 AS z", "x - y AS w")
+    values = np.sort(np.linalg.eigvalsh(np.cov(np.array([[r.x, r.y, r.z, r.w] for r in wide.collect()]).T)))[::-1]
+    shares = np.cumsum(values) / values.sum()
+    for r in cluster.component_counts(wide, ["x", "y", "z", "w"], (0.5, 0.8, 0.9, 1.0)).collect():
+        n = int(np.argmax(shares >= r.share - 1e-9)) + 1
+        assert (r.components, round(r.explained, 9)) == (n, round(float(shares[n - 1]), 9))
+    stages = cluster.two_stage(df.withColumn("one", df.x * 0), "k", ["one"], ["x", "y"], 2).collect()
+    assert len(stages) == 90 and max(len({r.inner for r in stages if r.outer == o}) for o in {r.outer for r in stages}) == 3
+
+
+def test_validity_against_numpy(spark):
+    from hearthway.operators import cluster
+
+    df, x = points(spark)
+    df = df.withColumn("label", (df.k * 7) % 4)
+    group = np.array([r.label for r in df.orderBy("k").collect()])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    own = np.array([d2[i, group == group[i]].sum() / ((group == group[i]).sum() - 1) for i in range(90)])
+    other = np.array([min(d2[i, group == g].mean() for g in range(4) if g != group[i]) for i in range(90)])
+    assert abs(cluster.validity(df, ["x", "y"]).first()["silhouette"] - ((other - own) / np.maximum(own, other)).mean()) < 1e-9
+    alone = spark.createDataFrame([(0.0, 0), (5.0, 1), (6.0, 1)], "x double, label int")
+    assert abs(cluster.silhouette(alone, ["x"]).first()["silhouette"] - (0 + 24 / 25 + 35 / 36) / 3) < 1e-12

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthway.functions import clean
-from hearthway.operators import burden, flows, matching, positions, quality, scores, statistics
+from hearthway.operators import burden, flows, matching, nearest, positions, quality, reshape, scores, statistics
 from hearthway.plans.tables import Tables
 from hearthway.sources import readers
 from hearthway.streaming import jobs
@@ -161,6 +161,60 @@ def test_positions_ranks_and_tiles_against_windows(spark):
     assert positions.positions(df.limit(0), ["x"]).count() == 0
 
 
+def test_nearest_and_within_against_every_pair(spark):
+    """Clumps, equal points, a far outlier, groups of few, and points on the rim of cells."""
+    rng = random.Random(4)
+    spot = lambda: rng.choice([(rng.random(), rng.random()), (float(rng.randint(0, 3)), float(rng.randint(0, 3))), (5.0, 5.0)])
+    left = [(i, i % 3, *spot()) for i in range(60)] + [(90, 0, 400.0, -300.0), (91, 7, 0.0, 0.0)]
+    right = [(1000 + i, i % 5 // 2, *spot()) for i in range(150)] + [(2000, 0, 380.0, -300.0), (2001, 5, 0.0, 0.0)]
+    a, b = spark.createDataFrame(left, "k long, g int, x double, y double"), spark.createDataFrame(right, "o long, g int, x double, y double")
+    d2 = lambda p, q: round((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2, 9)
+    for k in (1, 4):
+        got = {(r.k0, r.o): r.k for r in nearest.nearest(a.withColumnRenamed("k", "k0"), b, "k0", ["g"], ["x", "y"], k, ["o"], "o").collect()}
+        want = {}
+        for p in left:
+            order = sorted((d2(p, q), q[0]) for q in right if q[1] == p[1])[:k]
+            want |= {(p[0], o): place for place, (_, o) in enumerate(order, 1)}
+        assert got == want
+    for radius in (0.1, 1.0, 7.5):
+        got = {(r.k, r.o) for r in nearest.within(a, b, ["g"], ["x", "y"], radius, ["o"]).collect()}
+        assert got == {(p[0], q[0]) for p in left for q in right if p[1] == q[1] and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= radius * radius}
+    assert nearest.nearest(a, b.limit(0), "k", ["g"], ["x", "y"], 1, ["o"], "o").count() == 0
+
+
+def test_hot_groups_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reshape, "BLOCK", 4)
+    rows = [(n, v) for n in range(40) for v in (0, n % 5, 100 + n)]
+    m = spark.createDataFrame(sorted(set(rows)), "n long, v long")
+    got = {(r.n, r.neighbour): (r.shared, list(r.names)) for r in reshape.shared_neighbours(m, m, "n", "v").collect()}
+    via = lambda n: {v for k, v in rows if k == n}
+    want = {(a, b): sorted(via(a) & via(b)) for a in range(40) for b in range(40) if a != b and via(a) & via(b)}
+    assert got == {p: (len(v), [str(x) for x in v]) for p, v in want.items()}
+    first = {(r.n, r.neighbour): (r.shared, list(r.names)) for r in reshape.shared_neighbours(m, m, "n", "v", most_names=1).collect()}
+    assert first == {p: (len(v), [str(x) for x in v[:1]]) for p, v in want.items()}
+
+
+def test_weighted_median_of_one_group_and_of_many(spark):
+    rng = random.Random(5)
+    rows = [(i % 3, rng.choice([None, *range(40)]), rng.choice([None, 0, 1, 2, 5])) for i in range(700)] + [(9, 4, 0), (8, None, 1)]
+    df = spark.createDataFrame(rows, "g int, v int, w int")
+    for by in (["g"], []):
+        groups = {}
+        for g, v, w in rows:
+            if v is not None and w is not None:
+                groups.setdefault((g,) if by else (), []).append((v, w))
+        want = {}
+        for g, pairs in groups.items():
+            total, upto = sum(w for _, w in pairs), 0
+            for v in sorted({v for v, _ in pairs}):
+                upto += sum(w for x, w in pairs if x == v)
+                if upto >= total / 2:
+                    want[g] = v
+                    break
+        got = {tuple(r[b] for b in by): r.v for r in scores.weighted_median(df, by, "v", "w", bits=2).collect()}
+        assert got == want
+
+
 def test_tails_of_distributions(spark):
     rows = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.228, 10, 0.05), (2.080, 21, 0.05), (0.0, 7, 1.0), (-2.228, 10, 0.05), (1.96, 10**6, 0.05)]
     out = spark.createDataFrame([(t, n, p) for t, n, p in rows], "t double, n long, p double").select("p", statistics.t_two_sided(F.col("t"), F.col("n")).alias("got")).collect()
