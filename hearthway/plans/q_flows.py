@@ -171,10 +171,10 @@ def r07_node_list(t: Tables):
 
 
 @query("""SELECT d.dong, coalesce(inflow, 0) AS inflow, coalesce(outflow, 0) AS outflow FROM dim_region d
-    LEFT JOIN (SELECT work, sum(flow) AS inflow FROM od WHERE flow > 100 GROUP BY 1) i ON i.work = d.dong LEFT JOIN (SELECT home, sum(flow) AS outflow FROM od WHERE flow > 100 GROUP BY 1) o ON o.home = d.dong""")
+    LEFT JOIN (SELECT work, sum(CASE WHEN flow > 100 THEN flow END) AS inflow FROM od GROUP BY 1) i ON i.work = d.dong LEFT JOIN (SELECT home, sum(CASE WHEN flow > 100 THEN flow END) AS outflow FROM od GROUP BY 1) o ON o.home = d.dong""")
 def j06_all_nodes_zero_filled(t: Tables):
-    big = t.od.filter("flow > 100")
-    i, o = big.groupBy(F.col("work").alias("dong")).agg(F.sum("flow").alias("inflow")), big.groupBy(F.col("home").alias("dong")).agg(F.sum("flow").alias("outflow"))
+    big = F.when(F.col("flow") > 100, F.col("flow"))
+    i, o = t.od.groupBy(F.col("work").alias("dong")).agg(F.sum(big).alias("inflow")), t.od.groupBy(F.col("home").alias("dong")).agg(F.sum(big).alias("outflow"))
     return t.dim_region.select("dong").join(i, "dong", "left").join(o, "dong", "left").na.fill(0)
 
 

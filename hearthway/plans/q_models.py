@@ -94,8 +94,8 @@ D2 = " + ".join(f"(l.{x} - c.{x}) ** 2" for x in COLS)
 
 @query(f"""WITH {CENTRES}, s AS (SELECT l.label, avg(sqrt({D2})) AS s, sum({D2}) AS w FROM labelled l JOIN c USING (label) GROUP BY l.label),
     r AS (SELECT a.label, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.{x} - b.{x}) ** 2' for x in COLS)})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY a.label),
-    pairs AS (SELECT l.dong, l.label, o.label AS other, sum({' + '.join(f'(l.{x} - o.{x}) ** 2' for x in COLS)}) AS d, count(*) AS m FROM labelled l JOIN labelled o ON true GROUP BY 1, 2, 3),
-    sil AS (SELECT dong, max(CASE WHEN label = other THEN d / nullif(m - 1, 0) END) AS a, min(CASE WHEN label <> other THEN d / m END) AS b FROM pairs GROUP BY 1)
+    met AS (SELECT l.dong, l.label, o.label AS other, sum({' + '.join(f'(l.{x} - o.{x}) ** 2' for x in COLS)}) AS d, count(*) AS m FROM labelled l JOIN labelled o ON true GROUP BY 1, 2, 3),
+    sil AS (SELECT dong, max(CASE WHEN label = other THEN d / nullif(m - 1, 0) END) AS a, min(CASE WHEN label <> other THEN d / m END) AS b FROM met GROUP BY 1)
     SELECT round((SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM sil), 6) AS silhouette, count(*) AS k, sum(c.n) AS n, round((sum(c.n * ({' + '.join(f'(c.{x} - (SELECT avg({x}) FROM labelled)) ** 2' for x in COLS)})) / (count(*) - 1)) / (sum(w) / (sum(c.n) - count(*))), 6) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin FROM c JOIN s USING (label)""")
 def m06_validity(t: Tables):
     return cs.validity(_labelled(t), COLS).select("k", "n", R("calinski_harabasz", 6).alias("calinski_harabasz"), R("davies_bouldin", 6).alias("davies_bouldin"), R("silhouette", 6).alias("silhouette"))

@@ -78,9 +78,9 @@ def q08_logical_errors(t: Tables):
     return t.panel.filter((c("singles") < 0) | (c("singles") > c("households")) | (c("singles") * 100.0 / c("households") > 60)).select("year", "dong", "households", "singles")
 
 
-@query("""SELECT 'missing' AS kind, dong FROM dim_region WHERE dong NOT IN (SELECT DISTINCT dong FROM panel WHERE year = 1996 AND households > 20) UNION ALL SELECT 'extra', dong FROM (SELECT DISTINCT dong FROM panel WHERE year = 1996 AND households > 20) WHERE dong NOT IN (SELECT dong FROM dim_region)""")
+@query("""SELECT 'missing' AS kind, dong FROM dim_region WHERE dong NOT IN (SELECT dong FROM panel GROUP BY 1 HAVING bool_or(year = 1996 AND households > 20)) UNION ALL SELECT 'extra', dong FROM (SELECT dong FROM panel GROUP BY 1 HAVING bool_or(year = 1996 AND households > 20)) WHERE dong NOT IN (SELECT dong FROM dim_region)""")
 def q09_t07_code_audit(t: Tables):
-    source, master = t.panel.filter("year = 1996 and households > 20").select("dong").distinct(), t.dim_region.select("dong")
+    source, master = t.panel.groupBy("dong").agg(F.expr("bool_or(year = 1996 AND households > 20)").alias("listed")).filter("listed").select("dong"), t.dim_region.select("dong")
     return master.join(source, "dong", "left_anti").select(F.lit("missing").alias("kind"), "dong").unionByName(source.join(master, "dong", "left_anti").select(F.lit("extra").alias("kind"), "dong"))
 
 
@@ -208,11 +208,12 @@ def a40_distinct_counts(t: Tables):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("dong")).agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_orderkey").alias("orders_n"))
 
 
-@query("""SELECT d.dong, d.dong IN (SELECT dong FROM panel WHERE year = 1996 AND households > 22) AS in_panel, d.dong IN (SELECT work FROM od WHERE flow > 300) AS in_od, d.dong IN (SELECT dong FROM bridge) AS in_bridge FROM dim_region d""")
+@query("""SELECT d.dong, d.dong IN (SELECT dong FROM panel GROUP BY 1 HAVING bool_or(year = 1996 AND households > 22)) AS in_panel, d.dong IN (SELECT work FROM od GROUP BY 1 HAVING bool_or(flow > 300)) AS in_od, d.dong IN (SELECT dong FROM bridge) AS in_bridge FROM dim_region d""")
 def a42_coverage_matrix(t: Tables):
     out = t.dim_region.select("dong")
-    for name, src in (("in_panel", t.panel.filter("year = 1996 and households > 22").select("dong")), ("in_od", t.od.filter("flow > 300").select(F.col("work").alias("dong"))), ("in_bridge", t.bridge.select("dong"))):
-        out = out.join(src.distinct().withColumn(name, F.lit(True)), "dong", "left")
+    any_ = lambda df, c, rule: df.groupBy(F.col(c).alias("dong")).agg(F.expr(f"bool_or({rule})").alias("has")).filter("has").select("dong")
+    for name, src in (("in_panel", any_(t.panel, "dong", "year = 1996 AND households > 22")), ("in_od", any_(t.od, "work", "flow > 300")), ("in_bridge", t.bridge.select("dong").distinct())):
+        out = out.join(src.withColumn(name, F.lit(True)), "dong", "left")
     return out.na.fill(False)
 
 
