@@ -4,13 +4,15 @@ A gear rolling hash cuts each text where the hash of the last 32 bytes is small,
 alone and settle again soon after an insertion. Chunks are deduplicated by digest over the whole corpus: the first
 occurrence (smallest document, then position) stays. Runs of repeated chunks make up the repeated passages.
 
-An exact check follows: each run is extended on both sides by the bytes that also equal the text around the place where
-its first and its last chunk stay, and is a passage if it then has more than 50 words.
+An exact check follows: each run is extended on both sides by all bytes that also equal the text around the place where
+its first and its last chunk stay, and is a passage if it then has more than 50 words. Texts around places are read as far
+as a chunk may reach; runs that are equal so far are read on, eight times as far each time, until they differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -139,9 +141,9 @@ def _island() -> Column:
     return F.sum(F.when(F.lag("end").over(w) == F.col("start"), 0).otherwise(1)).over(w).cast("int")
 
 
-def contexts(docs: DataFrame, asked: DataFrame, text_col: str) -> DataFrame:
+def contexts(docs: DataFrame, asked: DataFrame, text_col: str, most: int) -> DataFrame:
     """(t1, t2, at, left, bytes, words) for asked(t1, t2, at, left): the text before (left) or after a place, one byte
-    beyond it and MOST bytes and one more on its side, and how many words begin before it. Equal texts are read once."""
+    beyond it and ``most`` bytes and one more on its side, and how many words begin before it. Equal texts are read once."""
     wanted = settle(asked.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "left")).alias("places")), "texts-asked")
     words = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(wanted, "t1", hashed=True).words)
 
@@ -164,7 +166,7 @@ def contexts(docs: DataFrame, asked: DataFrame, text_col: str) -> DataFrame:
                 begins = _word_starts(data)
                 for place in places:
                     at, left = place["at"], place["left"]
-                    part = data[max(0, at - MOST - 1) : at + 1] if left else data[at - 1 : at + MOST + 1]
+                    part = data[max(0, at - most - 1) : at + 1] if left else data[at - 1 : at + most + 1]
                     out.append((t1, t2, at, left, part, int(np.searchsorted(begins, at))))
             yield pd.DataFrame(out, columns=["t1", "t2", "at", "left", "bytes", "words"])
 
@@ -177,50 +179,64 @@ def _word_starts(data: bytes) -> np.ndarray:
     return np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
 
 
-def extension(own: bytes, kept: bytes, left: bool, start: bool) -> tuple[int, int]:
-    """Bytes that a run grows by on one side, and the words that begin there (on the left, also one that is cut).
+def extension(own: bytes, kept: bytes, left: bool, start: bool, most: int = MOST) -> tuple[int, int, bool]:
+    """Bytes that a run grows by on one side, the words that begin there (on the left, also one that is cut), and whether all
+    ``most`` bytes are equal, so that it may grow further.
 
     ``own`` and ``kept`` are contexts; ``start``: the left one reaches the start of the text. Characters stay whole.
     """
     a, b = (own[:-1], kept[:-1]) if left else (own[1:], kept[1:])
-    most = max(0, min(len(a) - (0 if start else 1), len(b), MOST)) if left else min(len(a), len(b), MOST)
-    low, high = 0, most
+    low, high = 0, max(0, min(len(a) - (0 if start else 1), len(b), most)) if left else min(len(a), len(b), most)
     while low < high:
         m = (low + high + 1) // 2
         if (a[len(a) - m :] == b[len(b) - m :]) if left else a[:m] == b[:m]:
             low = m
         else:
             high = m - 1
-    m = low
+    m, full = low, low == most
     if left:
         while m and a[len(a) - m] & 0xC0 == 0x80:
             m -= 1
-        return m, len(a[len(a) - m :].split()) if m else 0
+        return m, len(a[len(a) - m :].split()) if m else 0, full
     while m and m < len(a) and a[m] & 0xC0 == 0x80:
         m -= 1
     part = a[:m]
-    return m, len(part.split()) - (1 if m and not part[:1].isspace() and not own[:1].isspace() else 0)
+    return m, len(part.split()) - (1 if m and not part[:1].isspace() and not own[:1].isspace() else 0), full
 
 
-def extended(runs: DataFrame, ids: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Add before, after (bytes that a run grows by) and words to runs(row_no, island, a, b, first, last)."""
-    side = lambda left, at, kept: F.struct(F.lit(left).alias("left"), at.cast("int").alias("at"), kept["row"].alias("keep_row"), kept["at"].cast("int").alias("keep_at"))
-    edges = runs.select("row_no", "island", F.inline(F.array(side(True, F.col("a"), F.col("first")), side(False, F.col("b"), F.col("last")))))
-    edges = settle(edges.join(ids.select("row_no", "t1", "t2"), "row_no"), "run-edges")
-    keepers = edges.groupBy("keep_row").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("row_no").alias("keep_row"), F.col("t1").alias("k1"), F.col("t2").alias("k2")), "keep_row")
-    edges = settle(spread_join(edges, settle(keepers, "run-keepers"), ["keep_row"], "n", F.hash("row_no", "at")).drop("n", "keep_row"), "run-edges")
+def _grown(edges: DataFrame, docs: DataFrame, text_col: str, most: int) -> DataFrame:
+    """``edges`` with own_words and g (grown, words, full) from ``most`` bytes around their places."""
+    columns = edges.columns
     asked = edges.select("t1", "t2", "at", "left").unionByName(edges.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("keep_at").alias("at"), "left"))
-    around = settle(contexts(docs, asked, text_col), "run-contexts")
+    around = settle(contexts(docs, asked, text_col, most), "run-contexts")
     for names, held in ((["t1", "t2", "at"], "own"), (["k1", "k2", "keep_at"], "kept")):
         part = around.withColumnsRenamed({"t1": names[0], "t2": names[1], "at": names[2], "bytes": held, "words": f"{held}_words"})
         groups = settle(edges.groupBy(*names, "left").agg(F.count(F.lit(1)).alias("n")).join(part, [*names, "left"]), f"run-{held}")
         edges = spread_join(edges, groups, [*names, "left"], "n", F.hash("row_no", "island")).drop("n")
 
-    @F.pandas_udf("grown int, words int")
+    @F.pandas_udf("grown int, words int, full boolean")
     def grow(own: pd.Series, kept: pd.Series, left: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extension(*x[:3], x[3] <= MOST) for x in zip(own, kept, left, at, strict=True)], columns=["grown", "words"])
+        return pd.DataFrame([extension(*x[:3], x[3] <= most, most) for x in zip(own, kept, left, at, strict=True)], columns=["grown", "words", "full"])
+
+    return edges.select(*columns, "own_words", grow("own", "kept", "left", "at").alias("g"))
 
-    grown = edges.select("row_no", "island", "left", F.col("own_words").alias("upto"), grow("own", "kept", "left", "at").alias("g"))
+
+def extended(runs: DataFrame, ids: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Add before, after (bytes that a run grows by) and words to runs(row_no, island, a, b, first, last)."""
+    side = lambda left, at, kept: F.struct(F.lit(left).alias("left"), at.cast("int").alias("at"), kept["row"].alias("keep_row"), kept["at"].cast("int").alias("keep_at"))
+    edges = runs.select("row_no", "island", F.inline(F.array(side(True, F.col("a"), F.col("first")), side(False, F.col("b"), F.col("last")))))
+    edges = settle(edges.join(ids.select("row_no", "t1", "t2"), "row_no"), "run-edges")
+    keepers = edges.groupBy("keep_row").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("row_no").alias("keep_row"), F.col("t1").alias("k1"), F.col("t2").alias("k2")), "keep_row")
+    edges = settle(spread_join(edges, settle(keepers, "run-keepers"), ["keep_row"], "n", F.hash("row_no", "at")).drop("n", "keep_row"), "run-edges")
+    most, done = MOST, []
+    while True:
+        grown = settle(_grown(edges, docs, text_col, most), "run-grown")
+        done.append(grown.filter("not g.full"))
+        edges = grown.filter("g.full").select(*edges.columns)
+        if edges.isEmpty():
+            break
+        most *= 8
+    grown = reduce(DataFrame.unionByName, done).select("row_no", "island", "left", F.col("own_words").alias("upto"), "g")
     on, off = F.col("left"), ~F.col("left")
     total = F.max(F.when(off, F.col("upto"))) - F.max(F.when(on, F.col("upto"))) + F.sum("g.words")
     sums = grown.groupBy("row_no", "island").agg(F.max(F.when(on, F.col("g.grown"))).alias("before"), F.max(F.when(off, F.col("g.grown"))).alias("after"), total.cast("long").alias("words"))

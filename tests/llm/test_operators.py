@@ -637,6 +637,51 @@ def test_substring_in_texts_of_long_characters(spark, tmp_path):
         assert left[i].encode() == b"".join(t.encode()[a:b] for a, b in zip([0, *(s + n for s, n in spans)], [*(s for s, _ in spans), len(t.encode())], strict=True))
 
 
+def repeated_words(docs):
+    """For each document which of its words lie in a stretch of 51 words that an earlier document (by id) has too."""
+    first, out = {}, {}
+    for doc_id, text in sorted(docs):
+        w = (text or "").split()
+        marks = [False] * len(w)
+        for k in range(len(w) - 50):
+            if first.setdefault(tuple(w[k : k + 51]), doc_id) != doc_id:
+                marks[k : k + 51] = [True] * 51
+        out[doc_id] = marks
+    return out
+
+
+def words_inside(text, spans):
+    """For each word whether a span (start, length in bytes) holds all of it."""
+    data = text.encode()
+    return [any(a <= m.start() and m.end() <= a + n for a, n in spans) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+
+
+def test_substring_recall_against_windows(spark, tmp_path):
+    """Passages of 52 to 400 words, whole or with changed words, whose chunks stay in several documents; and clean documents."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 12))) for _ in range(n))
+    passages = [say(rng.choice([52, 60, 90, 400])) for _ in range(40)]
+    docs = []
+    for i in range(300):
+        some = rng.choice(passages).split()
+        if i % 3 == 0:  # one word is another, so the two parts repeat by themselves
+            some[rng.randrange(len(some))] = "changed"
+        docs.append((i, f"{say(rng.randint(5, 80))} {' '.join(some)} {say(rng.randint(5, 80))}" if i % 4 else say(150)))
+    table_ = table(spark, tmp_path, docs)
+    spans = collections.defaultdict(list)
+    for r in substring_dedup.repeated_passages(table_).filter("removed").collect():
+        spans[r.doc_id].append((r.start, r.length))
+    want = repeated_words(docs)
+    got = {i: words_inside(t, spans[i]) for i, t in docs}
+    total = sum(map(sum, want.values()))
+    found = sum(a and b for i in want for a, b in zip(want[i], got[i], strict=True))
+    assert found >= 0.97 * total
+    assert sum(b and not a for i in want for a, b in zip(want[i], got[i], strict=True)) <= 0.02 * total
+    assert all(not spans[i] for i in range(0, 300, 4))
+    missed = [i for i in want if sum(want[i]) and sum(a and b for a, b in zip(want[i], got[i], strict=True)) < 0.5 * sum(want[i])]
+    assert len(missed) <= 0.02 * len(docs)
+
+
 def test_extension_against_plain_comparison():
     rng = random.Random(13)
     for _ in range(500):
@@ -656,8 +701,8 @@ def test_extension_against_plain_comparison():
         while n and ends[0] + n < len(one) and one[ends[0] + n] & 0xC0 == 0x80:
             n -= 1
         context = lambda d, at, side: d[max(0, at - substring_dedup.MOST - 1) : at + 1] if side else d[at - 1 : at + substring_dedup.MOST + 1]
-        before, words = substring_dedup.extension(context(one, a, True), context(two, b, True), True, a <= substring_dedup.MOST)
-        after, more = substring_dedup.extension(context(one, ends[0], False), context(two, ends[1], False), False, False)
+        before, words, _ = substring_dedup.extension(context(one, a, True), context(two, b, True), True, a <= substring_dedup.MOST)
+        after, more, _ = substring_dedup.extension(context(one, ends[0], False), context(two, ends[1], False), False, False)
         assert (before, after) == (m, n)
         starts = substring_dedup._word_starts(one)
         inside = int(np.searchsorted(starts, ends[0]) - np.searchsorted(starts, a))
