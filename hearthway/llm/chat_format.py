@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each, scan, settle, ship, spread_join, tidy
+from .common import each, forget, scan, settle, ship, spread_join, tidy
 from .conversation_repair import in_order
 from .packing import byte_bpe, kept
 from .token_alignment import ByteEncoder
@@ -136,7 +136,10 @@ def prefix_trees(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame
     contents = tokenised(ordered.groupBy("digest").agg(F.first("role").alias("role"), F.first("text").alias("text")), tokenizer)
     times = nodes.groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
     contents = settle(contents.join(times, "digest"), "chat-contents")
+    forget(ordered)
     filled = settle(spread_join(nodes, contents, ["digest"], "times", F.col("prefix")).drop("times"), "chat-filled")
+    forget(contents)
+    forget(nodes)
     laid = settle(laid_out(filled), "chat-starts")  # prefix, start
     spans = settle(filled.select("prefix", "owner", "length", "paths").join(laid, "prefix"), "chat-spans")
 
@@ -146,7 +149,10 @@ def prefix_trees(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame
     owned = seen.select(F.explode("nodes").alias("n")).select("n.*")
     out = filled.join(laid, "prefix").join(owned, "prefix").select("tree", "start", "ids", "length", "position", "loss_from", "loss_to", "sees")
     ends = settle(seen.select("path", "tree", "starts").join(paths.select("path", "conversations"), "path"), "chat-ends")
-    return settle(out, "chat-tokens"), spread_join(of.select("conv", "path"), ends, ["path"], "conversations", F.col("conv")).select("conv", "tree", "starts")
+    tokens = settle(out, "chat-tokens")
+    for done in (paths, filled, laid, spans, seen):
+        forget(done)
+    return tokens, spread_join(of.select("conv", "path"), ends, ["path"], "conversations", F.col("conv")).select("conv", "tree", "starts")
 
 
 def laid_out(filled: DataFrame) -> DataFrame:
