@@ -147,18 +147,19 @@ def silhouette(df: DataFrame, columns: list[str], label: str = "label") -> DataF
 
 
 def validity(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    """Calinski-Harabasz, Davies-Bouldin and silhouette from sums by cluster."""
+    """Calinski-Harabasz, Davies-Bouldin and silhouette from sums by cluster; null where a figure is not defined, as with one
+    cluster or with all rows at their centres."""
     centres = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"c_{c}") for c in columns])
     j = df.select(label, *columns).join(F.broadcast(centres), label).withColumn("_d2", _distance2(columns, "c_"))
     spread = j.groupBy(label).agg(F.avg(F.sqrt("_d2")).alias("s"), F.sum("_d2").alias("w"))
     c = centres.join(spread, label)
     o = c.select(F.col(label).alias("_l"), F.col("s").alias("_s"), *[F.col(f"c_{x}").alias(f"o_{x}") for x in columns])
     gap = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"c_{x}") - F.col(f"o_{x}"), 2) for x in columns]))
-    db = c.join(o, F.col(label) != F.col("_l")).groupBy(label).agg(F.max((F.col("s") + F.col("_s")) / gap).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    db = c.join(o, F.col(label) != F.col("_l")).groupBy(label).agg(F.max(F.try_divide(F.col("s") + F.col("_s"), gap)).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
     overall = df.agg(*[F.avg(x).alias(f"g_{x}") for x in columns])
     between = reduce(lambda a, b: a + b, [F.pow(F.col(f"c_{x}") - F.col(f"g_{x}"), 2) for x in columns])
     ch = c.crossJoin(F.broadcast(overall)).agg(F.sum(F.col("n") * between).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return ch.select("k", "n", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz")).crossJoin(db).crossJoin(silhouette(df, columns, label))
+    return ch.select("k", "n", F.try_divide(F.col("b") * (F.col("n") - F.col("k")), F.col("w") * (F.col("k") - 1)).alias("calinski_harabasz")).crossJoin(db).crossJoin(silhouette(df, columns, label))
 
 
 def balance(df: DataFrame, label: str = "label", noise: int = -1) -> DataFrame:
