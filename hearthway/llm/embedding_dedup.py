@@ -1,13 +1,13 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 In each pass the vectors of a label are ordered lexicographically by the concatenated signs of random projections, and
-each is compared with its neighbours in a bounded window. Verified links of all passes are united. A label that one
-window holds needs one pass. Signs tell little within a dense label, so the passes of larger labels follow from what they
-find: they are doubled until a round joins nothing new.
+each is compared with its neighbours in a bounded window. Verified links of all passes are united.
 
-An exact check follows the passes. The links of each component are counted block against block, so a group of near-copies
-larger than a window loses no link; and labels of up to EXACT different vectors, or in which further windows would hold
-as many pairs as there are, are compared as a whole, so nothing that no window saw is lost there.
+How many passes a label takes follows from its size and its density, which is measured first: signs tell less where all
+vectors are alike. Passes are then doubled until a round joins nothing new, as a label may have parts that are denser than
+its whole. Only labels whose windows would hold several times as many pairs as there are get their pairs compared block
+against block instead. The links of each component are counted block against block, so a group of near-copies larger than
+a window loses no link.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import forget, numbered_within, settle, ship, spread_join, with_row
 from .components import components
 
-#: Passes, projections in a key, vectors in a block of positions, and before it, that a window holds.
-PASSES, SIGNS, WINDOW, OVERLAP = 8, 48, 2048, 256
-#: Different vectors of a label that are all compared after the passes; vectors in a block of an exact comparison.
-EXACT, BLOCK = 8192, 4096
+#: Projections in a key, vectors in a block of positions, and before it, that a window holds.
+SIGNS, WINDOW, OVERLAP = 48, 2048, 256
+#: Share of a label's links that its first passes shall find; times all pairs that windows may hold before blocks take over.
+RECALL, EXCESS = 0.99, 8.0
+#: Vectors in a block of an exact comparison.
+BLOCK = 4096
 #: Vectors that a task compares with all of the others at once.
 STRIP = 512
 
@@ -49,33 +51,52 @@ def centres(vectors: DataFrame) -> DataFrame:
     return each.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("label", "dim", F.col("c.x").alias("centre"))
 
 
-def sort_keys(vectors: DataFrame, passes: int, signs: int, seed: int) -> DataFrame:
+def label_plan(vectors: DataFrame, threshold: float, window: int, overlap: int, recall: float) -> DataFrame:
+    """label, dim, centre, n, passes: the passes after which a label is expected to have found ``recall`` of its links.
+
+    The squared length of the centre is the label's mean cosine. Seen from the centre, vectors at a cosine of ``threshold``
+    stand at an angle that grows with it; a sign tells them apart with the angle's share of a half turn. They meet in a
+    pass if they agree on the signs that part the label into pieces of ``overlap`` vectors. A window's label needs one pass.
+    """
+    sizes = vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.greatest(F.lit(1e-9), 1 - F.aggregate("centre", F.lit(0.0), lambda t, x: t + x * x))
+    agree = 1 - F.acos(F.greatest(F.lit(0.0), 1 - F.lit(1 - threshold) / spread)) / float(np.pi)
+    meet = F.when(F.col("n") <= window, F.lit(1.0)).otherwise(F.pow(agree, F.log2(F.col("n") / F.lit(overlap))))
+    passes = F.when(meet >= recall, F.lit(1)).otherwise(F.ceil(F.lit(float(np.log(1 - recall))) / F.log1p(-meet)))
+    return sizes.join(centres(vectors), ["label", "dim"]).withColumn("passes", passes.cast("long"))
+
+
+def sort_keys(vectors: DataFrame, plan: DataFrame, signs: int, seed: int) -> DataFrame:
     """A row for each vector and pass: rep, label, dim, pass, key; the key is the projections' signs as a number.
 
-    Vectors are projected from the centre of their label, so that the signs separate a dense label too.
+    ``plan`` has label, dim, centre and the passes from ``first`` to before ``last`` of each label. Vectors are projected
+    from the centre of their label, so that the signs separate a dense label too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby("dim"):
+            for (dim, first, last), part in batch.groupby(["dim", "first", "last"]):
                 x = _unit(part["embedding"]) - np.vstack(part["centre"].to_numpy())
-                planes = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * signs))
-                bits = (x @ planes > 0).reshape(len(x), passes, signs)
-                keys = bits @ (1 << np.arange(signs, dtype=np.int64)[::-1])
-                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), passes), "label": np.repeat(part["label"].to_numpy(), passes), "dim": int(dim), "pass": np.tile(np.arange(passes), len(x)), "key": keys.ravel()})
+                for at in range(int(first), int(last)):
+                    planes = np.random.default_rng([seed, int(dim), at]).standard_normal((int(dim), signs))
+                    key = (x @ planes > 0) @ (1 << np.arange(signs, dtype=np.int64)[::-1])
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "label": part["label"].to_numpy(), "dim": int(dim), "pass": at, "key": key})
 
-    placed = vectors.join(settle(centres(vectors), "embedding-centres"), ["label", "dim"])
-    return placed.select("rep", "label", "dim", "embedding", "centre").mapInPandas(run, "rep long, label string, dim int, pass int, key long")
+    placed = vectors.join(plan.select("label", "dim", "centre", "first", "last"), ["label", "dim"])
+    return placed.select("rep", "label", "dim", "embedding", "centre", "first", "last").mapInPandas(run, "rep long, label string, dim int, pass int, key long")
 
 
 def _forest(own: pd.DataFrame, every: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Edges (a, b) of a forest that connects what links between ``own`` and ``every``, compared in strips."""
     x, y, ids = _unit(own["embedding"]), _unit(every["embedding"]).T, every["rep"].to_numpy()
     place = {rep: i for i, rep in enumerate(ids)}
-    starts = [place.setdefault(rep, len(place)) for rep in own["rep"]]
+    starts = np.array([place.setdefault(rep, len(place)) for rep in own["rep"]])
     group, edges = np.arange(len(place)), []
     for at in range(0, len(x), STRIP):
         linked = x[at : at + STRIP] @ y >= threshold
+        # no vector is a link of its own
+        here = np.flatnonzero(starts[at : at + STRIP] < len(ids))
+        linked[here, starts[at + here]] = False
         for i in np.flatnonzero(linked.any(axis=1)):
             js = np.flatnonzero(linked[i])
             for g, first in zip(*np.unique(group[js], return_index=True), strict=True):
@@ -103,7 +124,7 @@ def all_links(vectors: DataFrame, threshold: float, block: int) -> DataFrame:
     return paired.repartition(parts, *group, "x", "y").groupBy(*group, "x", "y").applyInPandas(forest, "a long, b long")
 
 
-def window_links(vectors: DataFrame, threshold: float, passes: int, signs: int, window: int, overlap: int, seed: int) -> DataFrame:
+def window_links(vectors: DataFrame, plan: DataFrame, threshold: float, signs: int, window: int, overlap: int, seed: int) -> DataFrame:
     """Edges (a, b) that connect what the windows find: in each window and pass, a forest of the verified links.
 
     A window holds the vectors at positions k * window to (k + 1) * window of a pass and label, and the ``overlap``
@@ -112,7 +133,7 @@ def window_links(vectors: DataFrame, threshold: float, passes: int, signs: int,
     """
     group = ["pass", "label", "dim"]
     # positions: keys are dealt into ranges that samples even out, whose counts are summed before rows are numbered in theirs
-    keys = settle(sort_keys(vectors, passes, signs, seed), "embedding-keys")
+    keys = settle(sort_keys(vectors, plan, signs, seed), "embedding-keys")
     ranged = settle(keys.repartitionByRange(*group, "key", "rep").withColumn("range", F.spark_partition_id()), "embedding-ranges")
     placed = numbered_within(ranged, group, F.col("range"), name="position", order=[F.col("key"), F.col("rep")])
     win = F.floor(F.col("position") / window)
@@ -135,32 +156,35 @@ def window_links(vectors: DataFrame, threshold: float, passes: int, signs: int,
     return links
 
 
-def connecting_links(vectors: DataFrame, threshold: float, passes: int, signs: int, window: int, overlap: int, exact: int, block: int, seed: int) -> DataFrame:
+def connecting_links(vectors: DataFrame, threshold: float, signs: int, window: int, overlap: int, recall: float, excess: float, block: int, seed: int) -> DataFrame:
     """Edges (a, b) that connect the links of ``vectors`` (settled), from as many passes as each label needs.
 
-    One pass where a window holds the whole label. Else ``passes`` passes, then as many again, then twice as many, and so
-    on; a label is done when a round after the first joins nothing new. After the first round labels of up to ``exact``
-    vectors are compared as a whole, and after any round those in which the windows of the next would hold as many pairs
-    as there are, so the work never exceeds a small multiple of that.
+    All labels take the passes of their plan. Those of more than a window then take as many again, and are done when that
+    joins nothing new; else they take twice as many, and so on. Labels whose passes would hold over ``excess`` times as
+    many pairs as there are need no more of them: their blocks are compared pairwise, which loses no link.
     """
     group = ["label", "dim"]
-    sizes = settle(vectors.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), "embedding-labels")
-    whole = vectors.join(sizes.filter(F.col("n") <= window).select(*group), group)
-    links = [window_links(settle(whole, "embedding-whole"), threshold, 1, signs, window, overlap, seed)]
-    left, found, spent, more = sizes.filter(F.col("n") > window), None, 0, passes
+    planned = settle(label_plan(vectors, threshold, window, overlap, recall), "embedding-plan")
+    most = F.greatest(F.lit(1.0), F.lit(excess) * F.col("n") / F.lit(window + 2 * overlap))
+    begun = planned.withColumn("first", F.lit(0).cast("long")).withColumn("last", F.when(F.col("n") <= window, F.lit(1)).otherwise(F.least("passes", F.ceil(most))).cast("long"))
+    links = [window_links(vectors, begun, threshold, signs, window, overlap, seed)]
+    left, found = begun.filter(F.col("n") > window), None
     while not left.isEmpty():
         some = settle(vectors.join(left.select(*group), group), "embedding-open")
-        links.append(window_links(some, threshold, more, signs, window, overlap, seed + spent))
-        spent += more
-        most = max(exact, (window + 2 * overlap) * spent)
-        links.append(settle(all_links(some.join(left.filter(F.col("n") <= most), group), threshold, block), "embedding-links"))
-        left = left.filter(F.col("n") > most)
-        before, found = found, components(reduce(DataFrame.unionByName, links))
-        if before is not None and not left.isEmpty():
+        hard = left.filter(F.greatest("passes", "last") > most)
+        if not hard.isEmpty():
+            dense = some.join(hard.select(*group, "n"), group)
+            links.append(settle(all_links(dense, threshold, block), "embedding-links"))
+            left = left.filter(F.greatest("passes", "last") <= most)
+        if not left.isEmpty():
+            found = found if found is not None else components(reduce(DataFrame.unionByName, links))
+            left = settle(left.withColumn("first", F.col("last")).withColumn("last", F.col("last") * 2), "embedding-labels")
+            open_now = some.join(left.select(*group), group)
+            links.append(window_links(open_now, left, threshold, signs, window, overlap, seed))
+            before, found = found, components(reduce(DataFrame.unionByName, links))
             joined = found.join(before.withColumnRenamed("component", "was"), "id", "left").filter(~F.col("was").eqNullSafe(F.col("component")))
             news = some.join(joined.select(F.col("id").alias("rep")), "rep").select(*group).distinct()
             left = settle(left.join(news, group), "embedding-labels")
-        more = spent
         forget(some)
     return reduce(DataFrame.unionByName, links)
 
@@ -195,7 +219,7 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return paired.groupBy("component", "x", "y").applyInPandas(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, signs: int = SIGNS, window: int = WINDOW, overlap: int = OVERLAP, exact: int = EXACT, block: int = BLOCK, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, signs: int = SIGNS, window: int = WINDOW, overlap: int = OVERLAP, recall: float = RECALL, excess: float = EXCESS, block: int = BLOCK, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """A row for each row of ``vectors``: row_no, vec_id, n_links, component_id, kept.
 
     Vectors with equal, non-null labels and equal dimensions link at a cosine of ``threshold`` or more, in double
@@ -213,7 +237,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASS
     rows = settle(numbered.select(F.col(row).alias("row_no"), F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vector.alias("embedding"), *keys), "vectors")
     same = rows.filter("embedding is not null").groupBy("h1", "h2").agg(F.min("row_no").alias("rep"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     same = settle(same.withColumn("dim", F.size("embedding")), "vector-classes")
-    edges = connecting_links(same, threshold, passes, signs, window, overlap, exact, block, seed)
+    edges = connecting_links(same, threshold, signs, window, overlap, recall, excess, block, seed)
     found = components(edges.distinct())
     members = same.select("rep", "least", "many", "embedding").join(found.withColumnRenamed("id", "rep"), "rep")
     links = count_links(members.select("rep", "component", "many", "embedding"), threshold, block)
