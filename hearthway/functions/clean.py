@@ -125,6 +125,15 @@ def safe_ratio(n: Column, d: Column) -> Column:
     return F.when(F.abs(q) < float("inf"), q)
 
 
+def sql_round(c: Column, digits: int) -> Column:
+    """SQL's round of a double: the scaled value is rounded, halves away from zero.
+
+    ``F.round`` takes the digits of the double as it is printed, so a half that is stored a little low (14.281049999999999
+    for 14.28105) goes down there and up in SQL.
+    """
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """``c`` in [low, high]; null stays null."""
     return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)

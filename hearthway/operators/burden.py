@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.functions.clean import sql_round
 from hearthway.sources.stage import settle
 
 WORK_DAYS = 21
@@ -28,10 +29,10 @@ def total_burden(df: DataFrame, hourly: float = HOURLY_VALUE, cap: float = PASS_
 
     A missing fare leaves transport and total null.
     """
-    hours, transport = F.round(monthly(F.col("oneway_min")) / 60, 4), F.round(monthly(F.col("fare")), 2)
+    hours, transport = sql_round(monthly(F.col("oneway_min")) / 60, 4), sql_round(monthly(F.col("fare")), 2)
     out = df.select("dong", "rent_cost", "oneway_min", "fare", "coverage", "tx", hours.alias("hours"), transport.alias("transport"))
     out = out.withColumn("transport_pass", clip_upper(F.col("transport"), float(cap)))
-    return out.withColumn("total", F.round(F.col("rent_cost") + F.col("transport") + F.col("hours") * hourly, 2))
+    return out.withColumn("total", sql_round(F.col("rent_cost") + F.col("transport") + F.col("hours") * hourly, 2))
 
 
 def global_rank(df: DataFrame, order: Column, name: str, tie: str, parts: int = 64) -> DataFrame:

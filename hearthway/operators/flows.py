@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.functions.clean import sql_round
+
 
 def weighted_od(trips: DataFrame, keys: list[str], weight: str, values: list[str], decimals: int = 6) -> DataFrame:
     """Sum of ``weight``, weighted means of ``values`` and row count by ``keys``; null keys are groups of their own."""
-    means = [F.round(F.sum(F.col(v) * F.col(weight)) / F.sum(weight), decimals).alias(v) for v in values]
+    means = [sql_round(F.sum(F.col(v) * F.col(weight)) / F.sum(weight), decimals).alias(v) for v in values]
     return trips.groupBy(*keys).agg(F.sum(weight).alias(weight), *means, F.count(F.lit(1)).alias("n_rows"))
 
 

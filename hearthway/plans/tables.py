@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthway.functions.clean import sql_round
 from hearthway.sources.stage import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +179,7 @@ class Tables:
         lines = self.lineitem.join(self.orders.filter(F.month("o_orderdate").isin(1, 4, 7, 10)), F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         zoned = lines.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey"))
         ym = F.year("o_orderdate") * 100 + F.month("o_orderdate")
-        return zoned.groupBy(F.col("n_regionkey").alias("zone_key"), F.col("p_type").alias("type"), ym.alias("ym")).agg(F.round(F.avg("l_discount"), 8).alias("rate"))
+        return zoned.groupBy(F.col("n_regionkey").alias("zone_key"), F.col("p_type").alias("type"), ym.alias("ym")).agg(sql_round(F.avg("l_discount"), 8).alias("rate"))
 
     @published
     def sales(self) -> DataFrame:
@@ -212,7 +213,7 @@ class Tables:
         from hearthway.operators.flows import available_mean, coverage
 
         return self.route.groupBy(F.col("home").alias("dong")).agg(
-            F.round(F.sum(F.col("flow") * F.col("time_min")) / F.sum("flow"), 6).alias("oneway_min"), F.round(available_mean("fare", "flow"), 6).alias("fare"), F.round(coverage("fare", "flow"), 6).alias("coverage")
+            sql_round(F.sum(F.col("flow") * F.col("time_min")) / F.sum("flow"), 6).alias("oneway_min"), sql_round(available_mean("fare", "flow"), 6).alias("fare"), sql_round(coverage("fare", "flow"), 6).alias("coverage")
         )
 
     @published
@@ -223,7 +224,7 @@ class Tables:
 
     @published
     def zindex(self) -> DataFrame:
-        return self.sales.filter("cnt > 0").groupBy("dong").agg(F.round(F.avg(F.col("amount") / F.col("cnt")), 4).alias("price"))
+        return self.sales.filter("cnt > 0").groupBy("dong").agg(sql_round(F.avg(F.col("amount") / F.col("cnt")), 4).alias("price"))
 
     @cached_property
     def features(self) -> DataFrame:

@@ -84,6 +84,13 @@ def test_average_rank_and_global_rank(spark):
     assert {r.s for r in flat.withColumn("s", scores.minmax_good_low("v", [])).collect()} == {50.0}
 
 
+def test_burden_rounds_halves_as_sql(spark):
+    """42 * 20.4015 / 60 is 14.28105, stored as 14.281049999999999: SQL rounds it up."""
+    df = spark.createDataFrame([(1, 250000.0, 20.4015, 2000.0, 1.0, 3)], "dong long, rent_cost double, oneway_min double, fare double, coverage double, tx long")
+    r = burden.total_burden(df).first()
+    assert (r.hours, r.total) == (14.2811, round(250000 + 84000 + 14.2811 * 10320, 2))
+
+
 def test_grades(spark):
     df = spark.createDataFrame([(1, 0.9), (2, 0.1), (3, None)], "k int, c double")
     out = {r.k: (r.status, r.reasons) for r in quality.grade(df, [(F.col("c").isNull(), "no_data", "none"), (F.col("c") < 0.5, "unreliable", "low"), (F.col("k") > 1, "low_confidence", "late")]).collect()}
