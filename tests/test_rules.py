@@ -355,3 +355,16 @@ def test_base_views_are_written_once_and_again_after_a_change(spark, tmp_path):
     some = spark.read.parquet(f"{folder}/lineitem.parquet").limit(100).toPandas()
     some.to_parquet(tmp_path / "sf" / "lineitem.parquet", coerce_timestamps="us")
     assert Tables(spark, folder).od is not one and Tables(spark, folder).od.count() <= 100
+
+
+def test_base_views_deal_lines_by_their_number(spark, monkeypatch):
+    """More lines are more tasks of the same size, and the views stay the same."""
+    from hearthway.plans import tables
+
+    whole = {name: sorted(map(str, getattr(Tables(spark, "/root/testdata/sf0.001"), name).collect())) for name in ("sales", "costs")}
+    monkeypatch.setattr(tables, "LINES", 500)
+    monkeypatch.setattr(tables, "_published", {})
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.parts == -(-t.lineitem.count() // 500) > 4
+    assert {name: sorted(map(str, getattr(t, name).collect())) for name in whole} == whole
+    assert len(t.sales.inputFiles()) > 4
