@@ -4,6 +4,7 @@ import collections
 import datetime
 import decimal
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -312,3 +313,25 @@ def test_validity_against_numpy(spark):
     assert abs(cluster.validity(df, ["x", "y"]).first()["silhouette"] - ((other - own) / np.maximum(own, other)).mean()) < 1e-9
     alone = spark.createDataFrame([(0.0, 0), (5.0, 1), (6.0, 1)], "x double, label int")
     assert abs(cluster.silhouette(alone, ["x"]).first()["silhouette"] - (0 + 24 / 25 + 35 / 36) / 3) < 1e-12
+
+
+def test_filters_share_one_search_of_components(spark, monkeypatch):
+    """Components of nested filters: an edge is searched in one filter only, and chains against the order of ids settle."""
+    from hearthway.operators import graph
+
+    rng = random.Random(3)
+    edges = [(a, b, float(rng.randint(1, 9))) for a, b in {tuple(sorted(rng.sample(range(90), 2))) for _ in range(80)}]
+    searched = []
+    plain = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: (searched.append(e.count()), plain(e))[1])
+    rows = graph.filter_sensitivity(spark.createDataFrame(edges, "a long, b long, flow double"), [0.0, 0.25, 0.5]).collect()
+    nodes = {x for e in edges for x in e[:2]}
+    for r in rows:
+        up = {n: n for n in nodes}
+        for _ in nodes:
+            for a, b, f in edges:
+                if f >= r.cut:
+                    up[a] = up[b] = min(up[a], up[b])
+        assert r.components == len(set(up.values()))
+        assert r.nodes_kept == len({x for a, b, f in edges if f >= r.cut for x in (a, b)}) / len(nodes)
+    assert len(rows) == 3 and sum(searched) <= len(edges)
