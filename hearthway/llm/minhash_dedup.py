@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -173,58 +174,78 @@ def _near_rows(x: np.ndarray, row: np.ndarray, floor: float, k: int, mantissa: i
     return near, est[near]
 
 
-def _across(members: DataFrame, floor: float, k: int, mantissa: int, band: int, threshold: int, how: str) -> DataFrame:
-    """What (a, b) is found in blocks of members(key, band, x, y, side, node, component, registers), over different components.
+def _across(dealt: tuple[DataFrame, int], columns: list[DataFrame], floor: float, k: int, mantissa: int, band: int, threshold: int, how: str) -> DataFrame:
+    """What (a, b) is found in the blocks that ``_dealt`` gave, over different components; ``columns`` (by node) bring the
+    registers and, for "verify", the sets.
 
     ``how`` is "forest": a best-first forest of the pairs that pass the estimate; "open": the members of such pairs, each
-    with itself; "verify": a forest of the pairs whose sets (members bring ``set``) confirm it. A pair that shares
-    several bands is looked at in the first of them only. No task puts out more rows than it has members.
+    with itself; "verify": a forest of the pairs whose sets confirm it. A pair that shares several bands is looked at in the
+    first of them only. Small blocks come to a task's function many at a time, and none puts out more rows than it has members.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf[pdf["side"] <= 1].sort_values("node")
-        two = pdf[pdf["side"] >= 1].sort_values("node")
+    def block(one: np.ndarray, two: np.ndarray, registers: np.ndarray, nodes: np.ndarray, components: np.ndarray, here: int, same: bool) -> list[tuple]:
         found: list[tuple] = []
-        if len(one) and len(two):
-            same, here = one["side"].iat[0] == 1, int(pdf["band"].iat[0])
-            x, y = (np.frombuffer(b"".join(p["registers"]), dtype=np.uint16).reshape(len(p), k) for p in (one, two))
-            na, nb, ca, cb = (p[c].to_numpy() for c in ("node", "component") for p in (one, two))
-            for i in range(len(x)):
-                near, est = _near_rows(y, x[i], floor, k, mantissa)
-                keep = (cb[near] != ca[i]) & ((nb[near] > na[i]) if same else (nb[near] != na[i]))
-                near, est = near[keep], est[keep]
-                if len(near):
-                    first = (y[near] == x[i]).reshape(-1, k // band, band).all(axis=2).argmax(axis=1) == here
-                    found.extend((-e, min(na[i], nb[j]), max(na[i], nb[j]), i, j) for e, j in zip(est[first].tolist(), near[first].tolist(), strict=True))
-        if how == "open":
-            nodes = sorted({n for f in found for n in f[1:3]})
-            return pd.DataFrame({"a": nodes, "b": nodes}, dtype="int64")
-        groups, kept = _Union(), []
-        sa, sb = (one["set"].to_numpy(), two["set"].to_numpy()) if how == "verify" else (None, None)
-        for e in sorted(found):
-            i, j = e[3:]
-            if groups.top(int(ca[i])) == groups.top(int(cb[j])):
+        for i in one:
+            others = two[(components[two] != components[i]) & ((nodes[two] > nodes[i]) if same else (nodes[two] != nodes[i]))]
+            if not len(others):
+                continue
+            near, est = _near_rows(registers[others], registers[i], floor, k, mantissa)
+            if len(near):
+                near = others[near]
+                first = (registers[near] == registers[i]).reshape(-1, k // band, band).all(axis=2).argmax(axis=1) == here
+                found.extend((-e, min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), i, j) for e, j in zip(est[first].tolist(), near[first].tolist(), strict=True))
+        return found
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "x", "y", "node"], ignore_index=True)
+        registers = np.frombuffer(b"".join(pdf["registers"]), dtype=np.uint16).reshape(len(pdf), k)
+        nodes, components, sides, bands = (pdf[c].to_numpy() for c in ("node", "component", "side", "band"))
+        sets = pdf["set"].to_numpy() if how == "verify" else None
+        cell = pdf[["key", "x", "y"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        kept: list[tuple] = []
+        for lo, hi in pairwise(cuts):
+            if (components[lo:hi] == components[lo]).all():
+                continue
+            one, two = (lo + np.flatnonzero(s) for s in (sides[lo:hi] <= 1, sides[lo:hi] >= 1))
+            if not len(one) or not len(two):
+                continue
+            found = block(one, two, registers, nodes, components, int(bands[lo]), sides[one[0]] == 1)
+            if how == "open":
+                kept.extend((n, n) for n in sorted({n for f in found for n in f[1:3]}))
                 continue
-            if how == "verify":
-                both = _common(sa[i], sb[j])
-                if 100 * both < threshold * ((len(sa[i]) + len(sb[j])) // 8 - both):
+            groups = _Union()
+            for e in sorted(found):
+                i, j = e[3:]
+                if groups.top(int(components[i])) == groups.top(int(components[j])):
                     continue
-            groups.join(int(ca[i]), int(cb[j]))
-            kept.append(e[1:3])
+                if how == "verify":
+                    both = _common(sets[i], sets[j])
+                    if 100 * both < threshold * ((len(sets[i]) + len(sets[j])) // 8 - both):
+                        continue
+                groups.join(int(components[i]), int(components[j]))
+                kept.append(e[1:3])
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    # a stated number of partitions is not coalesced, so the comparisons spread over all tasks
+    members, rows = dealt
+    for one in columns:
+        members = members.join(one, "node")
+    # sets are far longer than registers; a stated number of partitions is not coalesced, so the comparisons spread over all tasks
+    many = max(1, -(-rows // (512 if how == "verify" else 4096)))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
+    members = members.withColumn("deal", F.pmod(F.xxhash64("key", "x", "y"), F.lit(many)))
+    return members.repartition(parts, "deal").groupBy("deal").applyInPandas(run, "a long, b long")
 
 
-def _dealt(placed: DataFrame, block: int) -> DataFrame:
-    """Members of buckets that hold several components, once for each pair of blocks: key, band, node, component, x, y, side."""
+def _dealt(placed: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Members of buckets that hold several components, once for each pair of blocks: key, band, node, component, x, y, side;
+    and how many rows these are."""
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "mixed-buckets")
+    rows = mixed.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
     members = spread_join(placed, mixed, ["key"], "m", F.col("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
-    return paired.select("key", "band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
+    return paired.select("key", "band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side")), rows
 
 
 def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGISTERS, mantissa: int = MANTISSA, band: int = BAND, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -276,13 +297,13 @@ def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGIST
         joined = of.join(found.withColumnRenamed("id", "node"), "node", "left")
         return settle(joined.select("key", "band", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
 
-    forest = settle(_across(_dealt(placed(bucketed), block).join(held, "node"), floor, k, mantissa, band, threshold, "forest"), "pairs")
+    forest = settle(_across(_dealt(placed(bucketed), block), [held], floor, k, mantissa, band, threshold, "forest"), "pairs")
     links.append(settle(_confirmed(forest.join(star, ["a", "b"], "left_anti"), sets, threshold), "links"))
     # what may still link different components is decided where its members meet, so that no pair is put out undecided
     rest = placed(bucketed)
-    undecided = settle(_across(_dealt(rest, block).join(held, "node"), floor, k, mantissa, band, threshold, "open").select(F.col("a").alias("node")).distinct(), "open-nodes")
-    members = _dealt(rest.join(undecided, "node", "left_semi"), block).join(held, "node").join(sets, "node")
-    links.append(settle(_across(members, floor, k, mantissa, band, threshold, "verify"), "links"))
+    undecided = settle(_across(_dealt(rest, block), [held], floor, k, mantissa, band, threshold, "open").select(F.col("a").alias("node")).distinct(), "open-nodes")
+    members = _dealt(rest.join(undecided, "node", "left_semi"), block)
+    links.append(settle(_across(members, [held, sets], floor, k, mantissa, band, threshold, "verify"), "links"))
     for done in (star, near, forest, rest, undecided, bucketed, held, sets):
         forget(done)
     found = components(reduce(DataFrame.unionByName, links))

@@ -381,3 +381,25 @@ def test_neighbours_are_counted_without_pairs(spark, monkeypatch):
     thirds = collections.Counter(n % 3 for n in range(0, 70000, 2))
     near = {n: [o for o in range(n // 50 * 50, n // 50 * 50 + 50, 2)] for n in range(0, 70000, 2)}
     assert got == {n: thirds[n % 3] - 1 + sum(o % 3 != n % 3 for o in near[n]) for n in near}
+
+
+def test_shared_neighbours_of_hot_values_and_hot_nodes_without_shuffled_pairs(spark, monkeypatch):
+    from hearthway.operators import reshape
+
+    # value 0 has 90 members, node 0 has every value; blocks of 8 and at most 50 pairs a task
+    monkeypatch.setattr(reshape, "BLOCK", 8)
+    monkeypatch.setattr(reshape, "PAIRS", 50)
+    rows = sorted({(n, 0) for n in range(-5, 85)} | {(0, v) for v in range(40)} | {(n, n % 40) for n in range(85)} | {(2**40, 7)})
+    m = spark.createDataFrame(rows, "n long, v long")
+    members = collections.defaultdict(set)
+    for n, v in rows:
+        members[n].add(v)
+    want = {(a, b): sorted(members[a] & members[b]) for a in members for b in members if a != b and members[a] & members[b]}
+    other = m.filter("v % 2 = 0")
+    for right, even in ((m, False), (other, True)):
+        out = reshape.shared_neighbours(m, right, "n", "v")
+        got = {(r.n, r.neighbour): (r.shared, list(r.names)) for r in out.collect()}
+        kept = {p: [x for x in v if not even or x % 2 == 0] for p, v in want.items()}
+        assert got == {p: (len(v), [str(x) for x in v]) for p, v in kept.items() if v} and out.count() == len(got)
+    # no more rows leave the shuffle's sender than there are memberships, once a block of the other side
+    assert reshape.meetings(m, m, "n", "v").count() == sum(len(v) for v in want.values()) // 2
