@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,6 +77,17 @@ def weight_grid(table: DataFrame, grid: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(W.partitionBy("w", "work").orderBy(F.desc("score"), "home"))).select("w", "work", "home", "score", "place")
 
 
+def tops(table: DataFrame, axis: str, points: list[Column], cost: Callable[[Column], Column], keep: list[str], among: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(axis, work, home, keep): at each of ``points`` the home of a work that costs least among those that pass (nulls last, ties: smaller
+    home). A work's rows are read once for all points and never repeated by them."""
+    best = []
+    for p in points:
+        row = F.struct(cost(p).isNull().alias("none"), cost(p).alias("cost"), "home", *keep)
+        best.append(F.struct(p.alias(axis), F.min(F.when(among(p), row) if among else row).alias("top")))
+    each = table.groupBy("work").agg(F.array(*best).alias("_b")).select("work", F.explode("_b").alias("_b")).filter("_b.top is not null")
+    return each.select(F.col(f"_b.{axis}").alias(axis), "work", F.col("_b.top.home").alias("home"), *[F.col(f"_b.top.{c}").alias(c) for c in keep])
+
+
 def switches(tops: DataFrame, axis: str, group: str = "work", value: str = "home") -> DataFrame:
     """Points of ``axis`` at which the group's value is not the one before."""
     before = F.lag(value).over(W.partitionBy(group).orderBy(axis))

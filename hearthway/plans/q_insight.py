@@ -28,6 +28,11 @@ def _pairs(t: Tables):
     return ins.commute_table(t.route, t.costs)
 
 
+def _by_work(t: Tables):
+    """The pairs dealt by work: medians, ranks and tops of a work need no shuffle of their own, and a task's rows stay bounded."""
+    return _pairs(t).repartition(t.parts, "work")
+
+
 @query("SELECT work, home, rent_cost, hours, fare_cost, time_cost, total, round(rent_cost / total, 6) AS rent_share FROM pairs")
 def c11_commute_table(t: Tables):
     return _pairs(t).select("work", "home", "rent_cost", "hours", "fare_cost", "time_cost", "total", R(F.col("rent_cost") / F.col("total"), 6).alias("rent_share"))
@@ -35,7 +40,7 @@ def c11_commute_table(t: Tables):
 
 @query("SELECT work, home, rent_cost FROM base_home")
 def c12_w12_baseline_home(t: Tables):
-    return ins.baseline_homes(_pairs(t)).select("work", "home", "rent_cost")
+    return ins.baseline_homes(_by_work(t)).select("work", "home", "rent_cost")
 
 
 TRADE = """t AS (SELECT work, home, saving, added, round(saving - added, 2) AS net FROM (SELECT p.work, p.home, round(b.rent_cost - p.rent_cost, 2) AS saving, round(p.fare_cost + p.time_cost - b.fare_cost - b.time_cost, 2) AS added FROM pairs p JOIN base_home b ON p.work = b.work))"""
@@ -43,12 +48,12 @@ TRADE = """t AS (SELECT work, home, saving, added, round(saving - added, 2) AS n
 
 @query(f"WITH {TRADE} SELECT *, CASE WHEN saving > 0 AND net < 0 THEN 'illusion' WHEN net > 0 THEN 'real saving' ELSE 'no saving' END AS verdict, CASE WHEN saving >= 10000 THEN round(net / saving * 10000, 4) END AS net_per_10k FROM t")
 def c13_tradeoffs(t: Tables):
-    return ins.tradeoffs(_pairs(t))
+    return ins.tradeoffs(_by_work(t))
 
 
 @query(f"WITH {TRADE} SELECT work, count(*) AS n, median(net) AS med_net, round(avg(CASE WHEN saving > 0 AND net < 0 THEN 1 ELSE 0 END), 6) AS illusion_ratio, round(avg(saving), 2) AS mean_saving FROM t GROUP BY work")
 def a28_tradeoff_summary(t: Tables):
-    x = ins.tradeoffs(_pairs(t))
+    x = ins.tradeoffs(_by_work(t))
     return x.groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.median("net").alias("med_net"), R(F.avg((F.col("verdict") == "illusion").cast("int")), 6).alias("illusion_ratio"), R(F.avg("saving"), 2).alias("mean_saving"))
 
 
@@ -58,19 +63,19 @@ EFF = """e AS (SELECT p.work, p.home, p.rent_cost, p.hours, p.total, CASE WHEN p
 
 @query(f"WITH {EFF} SELECT work, home, kind, idx, rent_rank, total_rank, rent_rank::BIGINT - total_rank::BIGINT AS rank_change FROM e")
 def c14_a29_efficiency(t: Tables):
-    return ins.efficiency(_pairs(t)).select("work", "home", "kind", "idx", "rent_rank", "total_rank", "rank_change")
+    return ins.efficiency(_by_work(t)).select("work", "home", "kind", "idx", "rent_rank", "total_rank", "rank_change")
 
 
 @query(f"WITH {EFF} SELECT work, count(*) AS n, round(corr(rent_rank, total_rank), 6) AS rho, round(avg(abs(rent_rank::BIGINT - total_rank::BIGINT)), 6) AS mean_change, round(avg(CASE WHEN total_rank::BIGINT - rent_rank::BIGINT > 10 THEN 1 ELSE 0 END), 6) AS hidden_share FROM e GROUP BY work HAVING count(*) >= 10")
 def c15_rank_correlation(t: Tables):
-    e = ins.efficiency(_pairs(t))
+    e = ins.efficiency(_by_work(t))
     return e.groupBy("work").agg(F.count(F.lit(1)).alias("n"), R(F.corr("rent_rank", "total_rank"), 6).alias("rho"), R(F.avg(F.abs("rank_change")), 6).alias("mean_change"), R(F.avg((F.col("rank_change") < -10).cast("int")), 6).alias("hidden_share")).filter("n >= 10")
 
 
 @query("""SELECT wage, work, home, place FROM (SELECT v.wage, work, home, row_number() OVER (PARTITION BY v.wage, work ORDER BY round(rent_cost + fare_cost + hours * v.wage, 2), home) AS place FROM pairs CROSS JOIN (VALUES (5160), (10320), (20640)) v(wage)) WHERE place <= 10""")
 def c16_scenarios_top10(t: Tables):
     v = t.spark.createDataFrame([(5160,), (10320,), (20640,)], "wage int")
-    p = _pairs(t).crossJoin(F.broadcast(v)).withColumn("cost", R(F.col("rent_cost") + F.col("fare_cost") + F.col("hours") * F.col("wage"), 2))
+    p = _by_work(t).crossJoin(F.broadcast(v)).withColumn("cost", R(F.col("rent_cost") + F.col("fare_cost") + F.col("hours") * F.col("wage"), 2))
     return p.withColumn("place", F.row_number().over(W.partitionBy("wage", "work").orderBy("cost", "home"))).filter("place <= 10").select("wage", "work", "home", "place")
 
 
@@ -92,7 +97,7 @@ TOPS = """x AS (SELECT work, home FROM (SELECT work, home, row_number() OVER (PA
     FROM x a JOIN x b ON a.home = b.home AND a.work < b.work JOIN n na ON na.work = a.work JOIN n nb ON nb.work = b.work GROUP BY 1, 2""")
 def c18_t06_topk_overlap(t: Tables):
     k = F.row_number().over(W.partitionBy("work").orderBy("total", "home"))
-    x = _pairs(t).withColumn("k", k).filter("k <= 10").select("work", "home")
+    x = _by_work(t).withColumn("k", k).filter("k <= 10").select("work", "home")
     n = x.groupBy("work").agg(F.count(F.lit(1)).alias("n"))
     j = x.withColumnRenamed("work", "w1").join(x.withColumnRenamed("work", "w2"), "home").filter("w1 < w2").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("common"), F.array_join(F.transform(F.array_sort(F.collect_list("home")), lambda h: h.cast("string")), ",").alias("homes"))
     j = j.join(n.withColumnsRenamed({"work": "w1", "n": "n1"}), "w1").join(n.withColumnsRenamed({"work": "w2", "n": "n2"}), "w2")
@@ -102,7 +107,7 @@ def c18_t06_topk_overlap(t: Tables):
 @query("""SELECT work, home, c_rent, c_fare, c_time, score, CASE WHEN score > 0 THEN round(c_rent / score, 6) END AS rent_part, row_number() OVER (PARTITION BY work ORDER BY score DESC, home) AS place
     FROM (SELECT *, round(c_rent + c_fare + c_time, 6) AS score FROM (SELECT work, home, round(s_rent * 0.5, 6) AS c_rent, round(s_fare * 0.25, 6) AS c_fare, round(s_time * 0.25, 6) AS c_time FROM scored))""")
 def c19_recommendation_score(t: Tables):
-    return ins.recommendation_score(_pairs(t), (2, 1, 1)).select("work", "home", "c_rent", "c_fare", "c_time", "score", "rent_part", "place")
+    return ins.recommendation_score(_by_work(t), (2, 1, 1)).select("work", "home", "c_rent", "c_fare", "c_time", "score", "rent_part", "place")
 
 
 WGRID = """g AS (SELECT w, work, home, row_number() OVER (PARTITION BY w, work ORDER BY round(w * s_rent + (1 - w) * 0.75 * s_fare + (1 - w) * 0.25 * s_time, 6) DESC, home) AS place FROM scored CROSS JOIN (VALUES (0.3::DOUBLE), (0.35::DOUBLE), (0.4::DOUBLE), (0.45::DOUBLE), (0.5::DOUBLE)) v(w))"""
@@ -110,7 +115,7 @@ WGRID = """g AS (SELECT w, work, home, row_number() OVER (PARTITION BY w, work O
 
 def _wgrid(t: Tables):
     grid = t.spark.createDataFrame([(0.3,), (0.35,), (0.4,), (0.45,), (0.5,)], "w double")
-    return ins.weight_grid(_pairs(t), grid)
+    return ins.weight_grid(_by_work(t), grid)
 
 
 @query(f"WITH {WGRID} SELECT w, work, home, place FROM g WHERE place <= 5")
@@ -127,10 +132,8 @@ IGRID = """i AS (SELECT income, work, home, row_number() OVER (PARTITION BY inco
 
 
 def _igrid(t: Tables):
-    g = t.spark.range(2000000, 4000001, 100000).withColumnRenamed("id", "income")
-    cost = R(F.col("rent_cost") + F.col("fare_cost") + F.col("hours") * F.col("income") / 209 * 0.5, 2)
-    p = _pairs(t).crossJoin(F.broadcast(g)).withColumn("cost", cost)
-    return p.withColumn("place", F.row_number().over(W.partitionBy("income", "work").orderBy("cost", "home"))).filter("place = 1").select("income", "work", "home")
+    cost = lambda income: R(F.col("rent_cost") + F.col("fare_cost") + F.col("hours") * income / 209 * 0.5, 2)
+    return ins.tops(_by_work(t), "income", [F.lit(i).cast("long") for i in range(2000000, 4000001, 100000)], cost, [])
 
 
 @query(f"WITH {IGRID} SELECT income, work, home, before FROM (SELECT income, work, home, lag(home) OVER (PARTITION BY work ORDER BY income) AS before FROM i WHERE place = 1) WHERE before IS NOT NULL AND before <> home")
@@ -141,9 +144,8 @@ def c21_w13_income_switches(t: Tables):
 @query("""SELECT budget, work, home, hours, lag(hours) OVER (PARTITION BY work ORDER BY budget) - hours AS saved_hours, lag(home) OVER (PARTITION BY work ORDER BY budget) AS before FROM (
     SELECT v.budget, work, home, hours, row_number() OVER (PARTITION BY v.budget, work ORDER BY hours, home) AS k FROM pairs JOIN (VALUES (240000), (250000), (260000), (270000), (280000)) v(budget) ON rent_cost <= v.budget) WHERE k = 1""")
 def c22_w15_budget_effect(t: Tables):
-    v = t.spark.createDataFrame([(240000,), (250000,), (260000,), (270000,), (280000,)], "budget int")
-    p = _pairs(t).join(F.broadcast(v), F.col("rent_cost") <= F.col("budget"))
-    top = p.withColumn("k", F.row_number().over(W.partitionBy("budget", "work").orderBy("hours", "home"))).filter("k = 1")
+    fits = lambda budget: F.col("rent_cost") <= budget
+    top = ins.tops(_by_work(t), "budget", [F.lit(b) for b in range(240000, 280001, 10000)], lambda _: F.col("hours"), ["hours"], fits)
     w = W.partitionBy("work").orderBy("budget")
     return top.select("budget", "work", "home", "hours", (F.lag("hours").over(w) - F.col("hours")).alias("saved_hours"), F.lag("home").over(w).alias("before"))
 
@@ -168,13 +170,13 @@ def c24_user_filter(t: Tables):
       THEN sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * cos(th) ** (2 * k)))
       ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(th) ** (2 * k))), 0)) END), 6) AS p FROM x""")
 def a26_regression_summary(t: Tables):
-    g = st.regression_summary(_pairs(t), "work", "rent_cost", "hours")
+    g = st.regression_summary(_by_work(t), "work", "rent_cost", "hours")
     return g.select("work", "n", R(F.col("slope") * 100000, 4).alias("slope"), R("r2", 6).alias("r2"), R("rho", 6).alias("rho"), R("p", 6).alias("p"))
 
 
 @query("SELECT work, floor(rent_cost / 10000) * 10000 AS band, count(*) AS n, round(avg(hours), 7) AS hours, round(avg(fare_cost), 7) AS fare FROM pairs GROUP BY 1, 2")
 def a27_rent_bands(t: Tables):
-    return _pairs(t).groupBy("work", (F.floor(F.col("rent_cost") / 10000) * 10000).cast("double").alias("band")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("hours"), 7).alias("hours"), R(F.avg("fare_cost"), 7).alias("fare"))
+    return _by_work(t).groupBy("work", (F.floor(F.col("rent_cost") / 10000) * 10000).cast("double").alias("band")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("hours"), 7).alias("hours"), R(F.avg("fare_cost"), 7).alias("fare"))
 
 
 @query("""SELECT district, gu, n, mean_total, rank() OVER (PARTITION BY district ORDER BY mean_total) AS k FROM (SELECT b.district, r.gu, count(*) AS n, round(avg(p.total), 7) AS mean_total FROM pairs p JOIN bridge b ON b.dong = p.work JOIN dim_region r ON r.dong = p.home GROUP BY 1, 2)""")
@@ -201,7 +203,7 @@ def r04_pivot_districts(t: Tables):
 
 @query("SELECT work, home, rank() OVER (PARTITION BY work ORDER BY total) AS k FROM pairs")
 def w02_rank_in_group(t: Tables):
-    return _pairs(t).select("work", "home", F.rank().over(W.partitionBy("work").orderBy("total")).alias("k"))
+    return _by_work(t).select("work", "home", F.rank().over(W.partitionBy("work").orderBy("total")).alias("k"))
 
 
 @query("SELECT dong, decile FROM (SELECT dong, ntile(10) OVER (ORDER BY tx, dong) AS decile FROM burden) WHERE decile > 1")
@@ -211,7 +213,7 @@ def w03_w04_decile_filter(t: Tables):
 
 @query("SELECT work, home, round(total - avg(total) OVER (PARTITION BY work), 4) AS dev FROM pairs")
 def w08_deviation_from_mean(t: Tables):
-    return _pairs(t).select("work", "home", R(F.col("total") - F.avg("total").over(W.partitionBy("work")), 4).alias("dev"))
+    return _by_work(t).select("work", "home", R(F.col("total") - F.avg("total").over(W.partitionBy("work")), 4).alias("dev"))
 
 
 @query("""WITH r AS (SELECT dong, (rank() OVER (ORDER BY tx) + (count(*) OVER (PARTITION BY tx) - 1) / 2.0) / (SELECT count(*) FROM burden) AS p1, (rank() OVER (ORDER BY rent_cost) + (count(*) OVER (PARTITION BY rent_cost) - 1) / 2.0) / (SELECT count(*) FROM burden) AS p2 FROM burden)
@@ -225,18 +227,18 @@ def w09_w10_percentile_rank(t: Tables):
 
 @query("SELECT work, home, total FROM (SELECT work, home, total, row_number() OVER (PARTITION BY work ORDER BY total, home) AS k FROM pairs) WHERE k <= 3")
 def w11_topk_per_group(t: Tables):
-    return _pairs(t).withColumn("k", F.row_number().over(W.partitionBy("work").orderBy("total", "home"))).filter("k <= 3").select("work", "home", "total")
+    return _by_work(t).withColumn("k", F.row_number().over(W.partitionBy("work").orderBy("total", "home"))).filter("k <= 3").select("work", "home", "total")
 
 
 @query("SELECT work, home, round((rank() OVER (PARTITION BY work ORDER BY hours) + (count(*) OVER (PARTITION BY work, hours) - 1) / 2.0) / count(*) OVER (PARTITION BY work), 8) AS pct FROM pairs")
 def w16_group_percentile(t: Tables):
     n = F.count(F.lit(1)).over(W.partitionBy("work"))
-    return sc.average_rank(_pairs(t).select("work", "home", "hours"), "hours", "a", ["work"]).select("work", "home", R(F.col("a") / n, 8).alias("pct"))
+    return sc.average_rank(_by_work(t).select("work", "home", "hours"), "hours", "a", ["work"]).select("work", "home", R(F.col("a") / n, 8).alias("pct"))
 
 
 @query("SELECT work, home, round(s_rent, 6) AS rent_score, round(s_fare, 6) AS fare_score FROM scored")
 def w17_minmax_score(t: Tables):
-    return _pairs(t).select("work", "home", R(sc.minmax_good_low("rent_cost", ["work"]), 6).alias("rent_score"), R(sc.minmax_good_low("fare_cost", ["work"]), 6).alias("fare_score"))
+    return _by_work(t).select("work", "home", R(sc.minmax_good_low("rent_cost", ["work"]), 6).alias("rent_score"), R(sc.minmax_good_low("fare_cost", ["work"]), 6).alias("fare_score"))
 
 
 @query("""WITH x AS (SELECT d.dong, d.gu, CASE WHEN d.dong % 4 = 0 OR d.gu LIKE '%1' THEN NULL ELSE b.rent_cost END AS v FROM dim_region d LEFT JOIN burden b USING (dong)), g AS (SELECT gu, median(v) AS m FROM x GROUP BY 1)

@@ -403,3 +403,13 @@ def test_shared_neighbours_of_hot_values_and_hot_nodes_without_shuffled_pairs(sp
         assert got == {p: (len(v), [str(x) for x in v]) for p, v in kept.items() if v} and out.count() == len(got)
     # no more rows leave the shuffle's sender than there are memberships, once a block of the other side
     assert reshape.meetings(m, m, "n", "v").count() == sum(len(v) for v in want.values()) // 2
+
+
+def test_tops_of_a_work_put_null_costs_last_and_repeat_no_row(spark):
+    from hearthway.operators import insight
+
+    df = spark.createDataFrame([(1, 5, 2.0), (1, 4, None), (1, 3, 2.0), (2, 9, None), (2, 8, None), (3, 1, 7.0)], "work long, home long, x double")
+    out = insight.tops(df, "p", [F.lit(1), F.lit(3)], lambda p: F.col("x") * p, ["x"], lambda p: F.col("work") * 1 <= p)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 3, 2.0), (3, 1, 3, 2.0), (3, 2, 8, None), (3, 3, 1, 7.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
