@@ -768,3 +768,28 @@ def test_toxicity_without_labels(spark, tmp_path):
     docs = table(spark, tmp_path, [(1, "a b c")])
     model = toxicity.fit_on(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), toxicity.severity())
     assert [r.toxic for r in toxicity.score(docs, model).collect()] == [False]
+
+
+def test_small_buckets_come_to_a_function_together(spark):
+    import numpy as np
+
+    from hearthway.llm import minhash_dedup as md
+
+    # 300 buckets of three: two equal ones in different components and a third that is far; 100 buckets of one component
+    rng = np.random.default_rng(1)
+    rows, registers = [], []
+    for key in range(400):
+        one = rng.integers(0, 2**15, 256).astype(np.uint16)
+        far = rng.integers(0, 2**15, 256).astype(np.uint16)
+        for i, r in enumerate((one, one, far)):
+            rows.append((key, 0, 3 * key + i, key if key >= 300 else 3 * key + i))
+            registers.append((3 * key + i, r.tobytes()))
+    placed = spark.createDataFrame(rows, "key long, band int, node long, component long")
+    held = spark.createDataFrame(registers, "node long, registers binary")
+    dealt, count = md._dealt(placed, 512)
+    assert count == dealt.count() == 900
+    found = md._across((dealt, count), [held], 0.8, 256, 10, 8, 85, "forest")
+    assert sorted((r.a, r.b) for r in found.collect()) == [(3 * k, 3 * k + 1) for k in range(300)]
+    assert "deal" in found._jdf.queryExecution().optimizedPlan().toString()
+    opened = md._across((dealt, count), [held], 0.8, 256, 10, 8, 85, "open")
+    assert sorted(r.a for r in opened.collect()) == [3 * k + i for k in range(300) for i in (0, 1)]
