@@ -53,9 +53,11 @@ def renormalise(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.col(value) / F.sum(value).over(W.partitionBy(key)))
 
 
-def undirected(od: DataFrame) -> DataFrame:
-    """Edges (a, b, flow) with a < b: both directions summed, internal flow left out."""
-    return od.filter("home <> work").groupBy(F.least("home", "work").alias("a"), F.greatest("home", "work").alias("b")).agg(F.sum("flow").alias("flow"))
+def undirected(od: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges (a, b, flow) with a < b: both directions summed, internal flow left out. With ``parts`` the flows are dealt over so
+    many tasks first: few pairs have both directions, so grouping before a shuffle would only hold memory."""
+    ends = od.filter("home <> work").select(F.least("home", "work").alias("a"), F.greatest("home", "work").alias("b"), "flow")
+    return (ends.repartition(parts, "a", "b") if parts else ends).groupBy("a", "b").agg(F.sum("flow").alias("flow"))
 
 
 def node_flows(od: DataFrame, internal: bool = False) -> DataFrame:

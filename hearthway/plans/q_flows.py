@@ -161,7 +161,7 @@ def w07_renormalised_weights(t: Tables):
 
 @query("SELECT least(home, work) AS a, greatest(home, work) AS b, sum(flow) AS flow FROM od WHERE home <> work GROUP BY 1, 2")
 def r06_undirected_edges(t: Tables):
-    return fl.undirected(t.od)
+    return fl.undirected(t.od, t.parts)
 
 
 @query("""SELECT node, max(name) AS name, count(DISTINCT name) AS names FROM (SELECT home AS node, 'H' || home % 7 AS name FROM od UNION ALL SELECT work, 'H' || work % 7 FROM od) GROUP BY node""")

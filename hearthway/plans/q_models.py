@@ -367,7 +367,7 @@ CUTS = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, quantile_cont(flow::
     n AS (SELECT quantile, count(DISTINCT x) / (SELECT count(*) FROM v) AS nodes_kept FROM u GROUP BY 1), k AS (SELECT * FROM f JOIN n USING (quantile) JOIN c USING (quantile))
     SELECT quantile, cut, flow_kept, edges_kept, nodes_kept, components, quantile = coalesce((SELECT max(quantile) FROM k WHERE flow_kept >= 0.95 AND nodes_kept >= 0.99), (SELECT min(quantile) FROM k)) AS selected FROM k""")
 def g01_filter_sensitivity(t: Tables):
-    return gr.filter_sensitivity(fl.undirected(t.od), [0.0, 0.1, 0.25, 0.5])
+    return gr.filter_sensitivity(fl.undirected(t.od, t.parts), [0.0, 0.1, 0.25, 0.5])
 
 
 @query("SELECT dong AS node, min(dong) OVER (PARTITION BY gu) AS component FROM (SELECT *, count(*) OVER (PARTITION BY gu) AS n FROM dim_region) WHERE n > 1")
@@ -382,12 +382,12 @@ def g02_components(t: Tables):
     d AS (SELECT c, sum(flow) AS deg FROM (SELECT ca AS c, flow FROM j UNION ALL SELECT cb, flow FROM j) GROUP BY 1), w AS (SELECT ca AS c, sum(flow) AS win FROM j WHERE ca = cb GROUP BY 1) SELECT round(sum(coalesce(win, 0) / m - (deg / (2 * m)) ** 2), 9) AS modularity FROM d LEFT JOIN w USING (c), m""")
 def g04_modularity(t: Tables):
     labels = t.dim_region.select(F.col("dong").alias("node"), F.col("gu").alias("community"))
-    return gr.modularity(fl.undirected(t.od), labels).select(R("modularity", 9).alias("modularity"))
+    return gr.modularity(fl.undirected(t.od, t.parts), labels).select(R("modularity", 9).alias("modularity"))
 
 
 @query()
 def g03_communities(t: Tables):
-    return gr.communities(fl.undirected(t.od))[0]
+    return gr.communities(fl.undirected(t.od, t.parts))[0]
 
 
 def _streamed(t: Tables, name: str, columns: list[str], files: int = 4):

@@ -430,3 +430,13 @@ def test_equal_users_and_equal_rules_meet_once(spark, monkeypatch):
     want = {x[0]: [y[0] for y in rules if fits(x, y)] for x in users}
     assert got == {k: (len(v), min(v)) for k, v in want.items() if v}
     assert met[0][0] == len({x[1:] for x in users}) < 40 and met[0][1] == len({y[1:] for y in rules}) < 300
+
+
+def test_undirected_edges_are_dealt_before_they_are_grouped(spark):
+    df = spark.createDataFrame([(1, 2, 3.0), (2, 1, 4.0), (3, 3, 5.0), (4, 1, 6.0)], "home long, work long, flow double")
+    out = flows.undirected(df, 3)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 7.0), (1, 4, 6.0)]
+    # one shuffle, by the number of parts, and nothing grouped below it
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "hashpartitioning(a" in line or "RepartitionByExpression" in line or "Exchange" in line)
+    assert not any("Aggregate" in line for line in plan[dealt:])
