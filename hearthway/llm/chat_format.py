@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each, forget, scan, settle, ship, spread_join, tidy
+from .common import each, forget, kept, scan, settle, ship, spread_join, tidy
 from .conversation_repair import in_order
-from .packing import byte_bpe, kept
+from .packing import byte_bpe
 from .token_alignment import ByteEncoder
 
 OPEN, TEXT, CLOSE = "<turn>", "<text>", "</turn>"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .common import drop_rows, forget, settle, settled_rows, ship, spread_join, tidy
+from .common import drop_rows, forget, let_go, settle, settled_rows, ship, spread_join, tidy
 from .components import components
 
 #: Registers, mantissa bits, registers in a band, members of a bucket that one task compares.
@@ -102,6 +102,7 @@ def sketches(numbered: DataFrame, row: str, k: int, mantissa: int, size: int, id
     """row_no, doc_id, n_shingles, digest (of the set) and registers of each document; ``row`` numbers the documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             n, digests, registers = [], [], []
             for text in batch["text"]:
@@ -278,6 +279,7 @@ def grouped(docs: DataFrame, threshold: int = 85, size: int = 5, k: int = REGIST
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(wanted, "node").words)
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             some = batch[BlockedBloom(bloom.value).passes(batch["hash"].to_numpy())]
             yield pd.DataFrame({"node": some["node"], "set": [shingle_hashes(t, size).tobytes() for t in some["text"]]})

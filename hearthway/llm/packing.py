@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered_within, settle, ship, tidy, with_row
+from .common import kept, numbered_within, settle, ship, tidy, with_row
 
 #: Bytes that the units of a generation may take, about; nodes and sets of lengths that a search looks at.
 UNIT_BYTES, EFFORT = 40_000_000, 20_000
@@ -251,16 +251,6 @@ class Units:
         return list(new.difference(again))
 
 
-_kept: dict[tuple[type, str], object] = {}
-
-
-def kept(kind: type, path: str):
-    """The encoder of this worker for a file; later tasks of the worker find the units of earlier ones."""
-    if (kind, path) not in _kept:
-        _kept[kind, path] = kind(path)
-    return _kept[kind, path]
-
-
 class Encoder:
     """Ids of whole texts by ``tokenizers``, as little-endian unsigned 32-bit integers, put together from blank-led units.
 
@@ -314,7 +304,18 @@ class Encoder:
             self.units.learn(some, [ids[i:j] for i, j in pairwise(cuts)])
         self.units.learn(alone, list(self.encode([" " + u for u in alone])))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str], letters: int = 1 << 20) -> list[bytes]:
+        """Ids of each text. Words are objects of their own, far larger than their letters, so texts are split a few at a time."""
+        out, some, size = [], [], 0
+        for t in texts:
+            if some and size + len(t) > letters:
+                out += self.joined(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        return out + self.joined(some)
+
+    def joined(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if self.rare.search(t) else t.split(" ") for t in texts]
         self.learn(self.units.missing({u for p in parts for u in p[1:]}))
         heads, ids = self.encode([p[0] for p in parts]), self.units.ids

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, tidy
-from .packing import Encoder, Units, kept
+from .common import kept, settle, ship, tidy
+from .packing import Encoder, Units
 
 #: Characters of text that are aligned together, and bytes of a stretch that one place of the state vector walks through.
 BLOCK, STRETCH = 1 << 22, 1 << 11

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, tidy, with_row
+from .common import let_go, settle, ship, tidy, with_row
 
 #: Labelled documents that a model is fitted on, at most; taken by hash of their id.
 MAX_ROWS = 12_000
@@ -155,6 +155,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = MA
 
     @F.pandas_udf("array<int>")
     def features(texts: pd.Series) -> pd.Series:
+        let_go()
         return texts.map(lambda t: np.array(text_features(t), dtype=np.int32))
 
     held = settle(sample.select("_grade", features("_text").alias("f")), "labelled")
@@ -183,6 +184,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         model, known = shared.value, {}
         for batch in batches:
             scores = model.scores(batch["text"], known)
@@ -210,6 +212,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         model, known = shared.value, {}
         for texts in batches:
             yield pd.Series(model.above(model.scores(texts, known))[:, 0] > model.cut)

@@ -250,6 +250,32 @@ def test_packing(spark, tmp_path):
     assert len(bins) <= -(-sum(r.length for r in placed) // 64) * 1.05 + 1
 
 
+def test_an_encoder_splits_a_few_texts_at_a_time():
+    """4 MB of words as objects of their own would take over 40 MB at once."""
+    import tracemalloc
+
+    encode = packing.Encoder(packing.byte_bpe())
+    texts = ["word " * 20_000 + "end"] * 40
+    one = encode(texts[:1])[0]
+    tracemalloc.start()
+    try:
+        got, most = encode(texts), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 35_000_000
+    assert got == [one] * 40
+
+
+def test_encoders_go_when_another_stage_takes_over_the_worker():
+    from hearthway.llm import common
+
+    first = common.kept(dict, "")
+    assert common.kept(dict, "") is first
+    common.let_go()
+    assert common.kept(dict, "") is not first
+    common.let_go()
+
+
 def fewest_bins(items, capacity):
     """The optimum by trying every place for every item."""
     items, best = sorted(items, reverse=True), [len(items)]
