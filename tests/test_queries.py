@@ -136,6 +136,49 @@ def test_communities_find_the_best_partition_of_small_graphs(spark):
         assert abs(quality(edges, list(groups.values())) - q) < 1e-9
 
 
+def test_rounds_of_communities_leave_the_edges_where_they_are(spark, monkeypatch):
+    """Moves, flows within and contraction by several blocks against plain sums; only the nodes' states are shuffled to the blocks."""
+    from pyspark.sql import functions as F
+
+    from hearthway.operators import graph
+
+    monkeypatch.setattr(graph, "ENDS", 40)
+    rng = np.random.default_rng(2)
+    weight = {(int(a), int(b)): float(rng.integers(1, 5)) for a, b in rng.integers(0, 20, (90, 2)) if a < b}
+    home, k, m = {n: n % 4 for e in weight for n in e}, {}, sum(weight.values())
+    kin = {}
+    for (a, b), w in weight.items():
+        for x, y in ((a, b), (b, a)):
+            k[x] = k.get(x, 0.0) + w
+            kin[x, home[y]] = kin.get((x, home[y]), 0.0) + w
+    tot = {c: sum(k[n] for n in k if home[n] == c) for c in range(4)}
+    blocks = graph._Blocks(spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "a long, b long, flow double"))
+    assert blocks.parts > 1
+    states = spark.createDataFrame([(n, home[n], k[n], tot[home[n]]) for n in home], "node long, community long, k double, tot double")
+    met = blocks.meet(states, graph._moves(m, 1.0), "node long, own long, to long, lead double")
+    rows = met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(block") == 1
+    gain = lambda n, c: (kin.get((n, c), 0.0) - (tot[c] - k[n] * (c == home[n])) * k[n] / (2 * m)) / m
+    assert {r.node for r in rows} == set(home)
+    for r in rows:
+        most = max(gain(r.node, c) for c in range(4) if (r.node, c) in kin)
+        assert r.own == home[r.node] and abs(gain(r.node, r.to) - most) < 1e-12 and abs(r.lead - most + gain(r.node, r.own)) < 1e-12
+    sets = states.select("node", F.array("community", F.col("node") % 2).alias("sets"))
+    got = {}
+    for r in blocks.meet(sets, graph._within(2), "i long, v double").collect():
+        got[r.i] = got.get(r.i, 0) + r.v
+    assert got == {i: 2 * sum(w for (a, b), w in weight.items() if of(a) == of(b)) for i, of in enumerate((home.get, lambda n: n % 2))}
+    small, want = {}, {}
+    for r in blocks.meet(states.select("node", "community"), graph._between, "a long, b long, flow double").collect():
+        small[r.a, r.b] = small.get((r.a, r.b), 0) + r.flow
+    for (a, b), w in weight.items():
+        pair = (min(home[a], home[b]), max(home[a], home[b]))
+        want[pair] = want.get(pair, 0) + w
+    assert small == want
+    blocks.drop()
+
+
 def test_communities_of_the_flows_reach_a_greedy_partition(spark, tables):
     """On the given flows about what greedy merging of communities reaches."""
     from hearthway.operators import flows, graph
