@@ -9,21 +9,23 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, numbered_within, settle, ship, tidy, with_row
 
-#: Bytes that the units of a generation may take, about; nodes and sets of lengths that a search looks at.
-UNIT_BYTES, EFFORT = 40_000_000, 20_000
+#: Bytes that the units of a generation may take, about; pieces that an encoder keeps, of some 40 bytes each; nodes and sets
+#: of lengths that a search looks at.
+UNIT_BYTES, PIECES_KEPT, EFFORT = 40_000_000, 1 << 19, 20_000
 END = 2
 PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -251,17 +253,54 @@ class Units:
         return list(new.difference(again))
 
 
-class Encoder:
-    """Ids of whole texts by ``tokenizers``, as little-endian unsigned 32-bit integers, put together from blank-led units.
+class Pieces:
+    """Ids of pieces met before, laid end to end. Over PIECES_KEPT of them, the half met last stays."""
+
+    def __init__(self):
+        self.texts = pa.array([], pa.large_string())
+        self.ids, self.size, self.met, self.turn = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def places(self, wanted: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of some different pieces, after ``learn`` gave the ids of those not met before, and how many each has."""
+        if len(self.size) > PIECES_KEPT:
+            stay = np.sort(np.argsort(self.met, kind="stable")[-(PIECES_KEPT // 2) :])
+            self.ids = laid(self.ids, self.starts()[stay], self.size[stay])
+            self.texts, self.size, self.met = self.texts.take(pa.array(stay)), self.size[stay], self.met[stay]
+        at = pc.fill_null(pc.index_in(wanted, value_set=self.texts), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.size) + np.arange(len(new))
+        fresh = wanted.take(pa.array(new))
+        ids, size = learn(fresh)
+        self.texts, self.ids, self.size = pa.concat_arrays([self.texts, fresh]), np.append(self.ids, ids), np.append(self.size, size)
+        self.met = np.append(self.met, np.zeros(len(new), np.int32))
+        self.turn += 1
+        self.met[at] = self.turn
+        return at
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+
+def laid(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``ids`` one behind the other."""
+    at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at]
+
 
-    Byte-level pre-tokenisation never joins a character with a blank after it, so the units " word" can be encoded by
-    themselves, unless a blank stands beside other white space. Such texts, texts with a special token and texts with
-    characters beyond Latin script go to the tokenizer whole. Units that a batch brings first are joined to long texts,
-    as the library's result for each text costs more than the merging of a word, and their ids told apart by their
-    bytes. With ``plain`` special tokens are plain text.
+class Encoder:
+    """Ids of whole texts by ``tokenizers``, as little-endian unsigned 32-bit integers, put together from blank-led pieces.
+
+    Byte-level pre-tokenisation never joins a character with a blank after it, nor a letter with another character after
+    it, so the words of a text can be encoded by themselves, each after a blank, and their leading letters apart from what
+    follows these; unless a blank stands beside other white space. Such texts, texts with a special token and texts with
+    characters beyond Latin script go to the tokenizer whole. Words are split and numbered in Arrow, and ids laid out in
+    NumPy. Pieces that come first are joined to long texts, as the library's result for each text costs more than the
+    merging of a word, and their ids told apart by their bytes. With ``plain`` special tokens are plain text.
     """
 
-    rare = re.compile(r"\s (?:\s|\Z)|[^\t\n\r\x20-\x7e\xa1-\u017f]|<\|")
+    rare = r"[\t\n\r ] (?:[\t\n\r ]|\z)|[^\t\n\r\x20-\x7e\x{a1}-\x{17f}]|<\|"
+    parts = r"(?s)^(?P<stem> [A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]+|)(?P<rest>.*)$"
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -271,7 +310,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         # a byte-level token has a character for each of its bytes
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.units = Units()
+        self.pieces = Pieces()
 
     def encode(self, texts: list[str], letters: int = 1 << 18) -> Iterator[bytes]:
         """Texts are encoded together up to some ``letters``: the library's result takes far more room than its ids."""
@@ -285,27 +324,32 @@ class Encoder:
                 yield array("I", one.ids).tobytes()
             at = upto
 
-    def learn(self, units: list[str], each: int = 512) -> None:
-        """Encode units, each after a blank: joined where no end of a unit is white space, else one by one."""
-        joined = [u for u in units if u and u.strip() == u]
-        alone = [u for u in units if not u or u.strip() != u]
+    def learn(self, pieces: pa.Array, each: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some different pieces and how many each has: joined where they lead with a blank and end with none, else one by one."""
+        joins = pc.match_substring_regex(pieces, r"(?s)\A \S(?:.*\S)?\z").to_numpy(zero_copy_only=False)
+        order = np.argsort(~joins, kind="stable")
+        joined, alone = pieces.take(pa.array(order[: joins.sum()])), pieces.take(pa.array(order[joins.sum() :])).to_pylist()
+        made, sizes = [], []
         for at in range(0, len(joined), each):
-            some = joined[at : at + each]
-            text = " " + " ".join(some)
-            (ids,) = self.encode([text])
+            some = joined.slice(at, each)
+            (ids,) = self.encode(["".join(some.to_pylist())])
             ends = np.cumsum(self.size[np.frombuffer(ids, np.uint32)])
-            raw = np.frombuffer(text.encode(), np.uint8)
-            want = np.append(np.flatnonzero(raw == ord(" "))[1:], len(raw))
+            want = np.cumsum(pc.binary_length(some).to_numpy())
             stops = np.searchsorted(ends, want)
-            if len(ends) <= stops[-1] or (ends[stops] != want).any():
-                alone += some  # a token reaches over two units
-                continue
-            cuts = [0, *(4 * (stops + 1)).tolist()]
-            self.units.learn(some, [ids[i:j] for i, j in pairwise(cuts)])
-        self.units.learn(alone, list(self.encode([" " + u for u in alone])))
-
-    def __call__(self, texts: list[str], letters: int = 1 << 20) -> list[bytes]:
-        """Ids of each text. Words are objects of their own, far larger than their letters, so texts are split a few at a time."""
+            if len(ends) > stops[-1] and (ends[stops] == want).all():
+                made.append(ids)
+                sizes.append(np.diff(stops, prepend=-1))
+            else:  # a token reaches over two pieces
+                made += self.encode(some.to_pylist())
+                sizes.append(np.array([len(x) // 4 for x in made[-len(some) :]]))
+        one_by_one = list(self.encode(alone))
+        ids = np.frombuffer(b"".join([*made, *one_by_one]), np.uint32)
+        size = np.concatenate([*sizes, np.array([len(x) // 4 for x in one_by_one], np.int64)]).astype(np.int32)
+        back = np.argsort(order)
+        return laid(ids, (np.cumsum(size) - size)[back], size[back]), size[back]
+
+    def __call__(self, texts: list[str], letters: int = 1 << 22) -> list[bytes]:
+        """Ids of each text. The words and ids of some texts at a time are held besides what comes out."""
         out, some, size = [], [], 0
         for t in texts:
             if some and size + len(t) > letters:
@@ -316,10 +360,33 @@ class Encoder:
         return out + self.joined(some)
 
     def joined(self, texts: list[str]) -> list[bytes]:
-        parts = [[t] if self.rare.search(t) else t.split(" ") for t in texts]
-        self.learn(self.units.missing({u for p in parts for u in p[1:]}))
-        heads, ids = self.encode([p[0] for p in parts]), self.units.ids
-        return [b"".join([head, *map(ids.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        rare = pc.match_substring_regex(column, self.rare)
+        whole = self.encode(column.filter(rare).to_pylist())
+        split = pc.split_pattern(column.filter(pc.invert(rare)), " ")
+        put = self.put_together(split.flatten(), split.offsets.to_numpy())
+        return [next(whole) if r else next(put) for r in rare.to_pylist()]
+
+    def put_together(self, words: pa.Array, offsets: np.ndarray) -> Iterator[bytes]:
+        """Ids of each text from all its words; ``offsets`` tells where each text's words start, and where the last one's end."""
+        heads = list(self.encode(words.take(pa.array(offsets[:-1])).to_pylist()))
+        coded = words.dictionary_encode()
+        none, blank = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        parts = pc.extract_regex(pc.binary_join_element_wise(none, coded.dictionary, blank), self.parts)
+        pieces = pa.concat_arrays([parts.field("stem"), parts.field("rest")]).dictionary_encode()
+        places = self.pieces.places(pieces.dictionary, self.learn)
+        of = places[pieces.indices.to_numpy()].reshape(2, -1).T
+        # the ids of each different word, then those of the texts' heads, which no blank leads
+        sizes = self.pieces.size[of]
+        table = np.append(laid(self.pieces.ids, self.pieces.starts()[of.ravel()], sizes.ravel()), np.frombuffer(b"".join(heads), np.uint32))
+        sizes = np.append(sizes.sum(1), [len(h) // 4 for h in heads]).astype(np.int32)
+        code = coded.indices.to_numpy().copy()
+        code[offsets[:-1]] = len(of) + np.arange(len(heads))
+        many = sizes[code]
+        ids = laid(table, (np.cumsum(sizes) - sizes)[code], many)
+        stops = np.append(0, np.cumsum(many))[offsets].tolist()
+        for i, j in pairwise(stops):
+            yield ids[i:j].tobytes()
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int | None = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

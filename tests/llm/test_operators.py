@@ -266,6 +266,31 @@ def test_an_encoder_splits_a_few_texts_at_a_time():
     assert got == [one] * 40
 
 
+def test_an_encoder_gives_the_ids_of_the_library():
+    """Letters beside figures, signs, apostrophes, line ends and characters at the edges of what is taken as Latin, and pieces dropped."""
+    encode, rng = packing.Encoder(packing.byte_bpe()), random.Random(8)
+    marks = ["a", "the", "Zoë", "ſ", "ª", "µ", "º", "×", "÷", "²", "¼", "ƀ", "\xa0", "\xad", "\x0b", "\x85", "'", "'s", "'re", "don't", "’", "7", "_", ".", "%%%", "\n", "\r\n", "\t", "\0", "日", *" " * 30]
+    texts = ["", " ", "  ", "\n", " \n", "a \n b", "a\n b", "a'real.", " 's", *["".join(rng.choices(marks, k=rng.randint(1, 40))) for _ in range(4000)]]
+    kept, packing.PIECES_KEPT = packing.PIECES_KEPT, 200
+    try:
+        for some in (texts[:1500], texts[1500:], texts[:9], [], ["日 日"]):
+            want = [np.array(x.ids, "<u4").tobytes() for x in encode.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            assert encode(some, 3000) == want
+    finally:
+        packing.PIECES_KEPT = kept
+
+
+def test_a_stem_is_encoded_once_whatever_follows_it():
+    """The library's work grows with different stems, neither with what follows them nor with how much was met in between."""
+    encode, rng = packing.Encoder(packing.byte_bpe()), random.Random(9)
+    stems = sorted({"".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(30_000)})
+    seen, library = [], encode.encode
+    encode.encode = lambda texts: library(seen.append(sum(map(len, texts))) or texts)
+    for end in (".", ",", "!", "###", ".\nIt", "?", ":", "%%%"):
+        encode([f"x {' '.join(s + end for s in stems)}"])
+    assert sum(seen) < 1.1 * 9 * len(stems)
+
+
 def test_encoders_go_when_another_stage_takes_over_the_worker():
     from hearthway.llm import common
 
