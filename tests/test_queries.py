@@ -179,6 +179,44 @@ def test_rounds_of_communities_leave_the_edges_where_they_are(spark, monkeypatch
     blocks.drop()
 
 
+def test_communities_merge_a_small_graph_in_one_task_as_in_rounds(spark, monkeypatch):
+    from hearthway.operators import graph
+    from hearthway.sources import stage
+
+    rng = np.random.default_rng(3)
+    edges = {(int(a), int(b)): float(w + (a % 4 == b % 4)) for (a, b), w in zip(rng.integers(0, 30, (120, 2)), rng.random(120), strict=True) if a <= b}
+    df, written, settle = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, flow double"), [], stage.settle
+    monkeypatch.setattr(stage, "settle", lambda x: written.append(1) or settle(x))
+    found = []
+    for size in (4, 2_000_000):
+        monkeypatch.setattr(graph, "ENDS", size)
+        written.clear()
+        groups = {}
+        for r in graph._merge(df, sum(edges.values()), 1.0).collect():
+            groups.setdefault(r.community, set()).add(r.node)
+        found.append({frozenset(g) for g in groups.values()})
+    assert found[0] == found[1] and 1 < len(found[0]) < 15
+    assert len(written) == 2
+
+
+def test_blocks_of_edges_are_narrow_and_states_are_sent_by_home(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hearthway.operators import graph
+
+    monkeypatch.setattr(graph, "ENDS", 100)
+    edges = [(a, b, w) for a in range(60) for b, w in ((a + 1, 3.0), (a + 7, 255.0), (a + 20, 4.0))]
+    for more, kinds in ((0.0, "|u1 |u1"), (300.0, "|u1 <u2"), (0.5, "|u1 <f8")):
+        blocks = graph._Blocks(spark.createDataFrame([(a, b, w + more) for a, b, w in edges], "a long, b long, flow double"))
+        assert {r.kinds for r in blocks.edges.select("kinds").collect()} == {kinds}
+        nodes = sorted({n for e in edges for n in e[:2]})
+        got = blocks.meet(spark.createDataFrame([(n, [n % 3, 0]) for n in nodes], "node long, sets array<long>"), graph._within(2), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        assert {r.i: r.v for r in got} == {0: 2 * sum(w + more for a, b, w in edges if a % 3 == b % 3), 1: 2 * sum(w + more for _, _, w in edges)}
+        # what is sent has a row for each pair of a home and a block that meets it, not for each node
+        assert blocks.routes.count() <= blocks.parts**2 < blocks.edges.count() * len(nodes)
+        blocks.drop()
+
+
 def test_communities_of_the_flows_reach_a_greedy_partition(spark, tables):
     """On the given flows about what greedy merging of communities reaches."""
     from hearthway.operators import flows, graph
