@@ -405,6 +405,25 @@ def test_shared_neighbours_of_hot_values_and_hot_nodes_without_shuffled_pairs(sp
     assert reshape.meetings(m, m, "n", "v").count() == sum(len(v) for v in want.values()) // 2
 
 
+def test_lots_are_sent_once_to_each_cell_of_their_members(spark, monkeypatch):
+    from hearthway.operators import reshape
+
+    # 6 districts of 30 nodes, of which each lot of the district has 25
+    rows = [(d * 30 + n, d * 20 + v) for d in range(6) for v in range(20) for n in range(30) if (n + v) % 6]
+    m = spark.createDataFrame(rows, "n long, v long")
+    monkeypatch.setattr(reshape, "PAIRS", 5000)
+    sent, dealt = [], type(m).repartition
+    monkeypatch.setattr(type(m), "repartition", lambda self, *by: sent.append((self, by)) or dealt(self, *by))
+    out = {(r.n, r.neighbour): r.shared for r in reshape.shared_neighbours(m, m, "n", "v").collect()}
+    has = collections.defaultdict(set)
+    for n, v in rows:
+        has[n].add(v)
+    assert out == {(a, b): len(has[a] & has[b]) for a in has for b in has if a != b and has[a] & has[b]}
+    # at most two or three cells meet a lot; a list for each of its members held twelve others each
+    lists = next(df for df, by in sent if "_h" in by).agg(F.sum(F.size("_others")), F.count(F.lit(1))).first()
+    assert sum(lists) < 4 * len(rows)
+
+
 def test_tops_of_a_work_put_null_costs_last_and_repeat_no_row(spark):
     from hearthway.operators import insight
 
